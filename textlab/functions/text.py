@@ -149,9 +149,28 @@ def plain_marked_sentences(text: ColumnOrName) -> Column:
 
 
 def split_nonempty(col: ColumnOrName, pattern: str) -> Column:
-    """``split`` that maps a blank string to an empty array."""
-    c = _c(col)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, pattern))
+    """``split`` that maps a blank string to an empty array.
+
+    Inputs are trimmed and separators collapsed, so the only empty piece is
+    the one of a blank string; ``array_remove`` drops it without evaluating
+    the (expensive) input twice, as a CASE would.
+    """
+    return F.array_remove(F.split(_c(col), pattern), "")
+
+
+def explode_rows(df, arr: ColumnOrName, value: str, pos: str | None = None, keep: tuple = ()):
+    """Explode an array into rows (with its 0-based position when ``pos``).
+
+    ``explode_outer`` + a null filter instead of ``explode``: the optimizer
+    infers ``size(arr) > 0`` for a plain explode and pushes that filter, with
+    the whole expression that builds ``arr``, below the exchange.
+    """
+    keep = list(keep)
+    if pos is None:
+        out = df.select(*keep, F.explode_outer(_c(arr)).alias(value))
+    else:
+        out = df.select(*keep, F.posexplode_outer(_c(arr)).alias(pos, value))
+    return out.where(F.col(value).isNotNull())
 
 
 def sentence_array(marked: ColumnOrName) -> Column:
@@ -198,15 +217,21 @@ def tokens_13a(col: ColumnOrName, lowercase: bool = False) -> Column:
 
 
 def ngrams(tokens: ColumnOrName, n: int) -> Column:
-    """N-grams of a token array, tokens joined by ``GRAM_SEP``."""
+    """N-grams of a token array, tokens joined by ``GRAM_SEP``.
+
+    Built from ``arrays_zip`` of the array and its shifted slices, so the
+    lambda only touches one zipped element: linear in the array length (a
+    lambda that slices the array itself re-evaluates it per position).
+    """
     t = _c(tokens)
     if n == 1:
         return t
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(t) - n + 1),
-        lambda i: F.array_join(F.slice(t, i, n), R.GRAM_SEP),
-    )
-    return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
+    size = F.size(t)
+    shifted = [t] + [F.slice(t, k + 1, F.greatest(size, F.lit(1))) for k in range(1, n)]
+    fields = ", ".join(f"g{k}: string" for k in range(n))
+    zipped = F.arrays_zip(*shifted).cast(f"array<struct<{fields}>>")
+    grams = F.transform(zipped, lambda s: F.concat_ws(R.GRAM_SEP, *[s[f"g{k}"] for k in range(n)]))
+    return F.slice(grams, 1, F.greatest(size - n + 1, F.lit(0)))
 
 
 def clean_tokens(tokens: ColumnOrName) -> Column:
@@ -214,7 +239,11 @@ def clean_tokens(tokens: ColumnOrName) -> Column:
 
 
 def novelty(a: ColumnOrName, b: ColumnOrName, n: int, clean: bool = True) -> Column:
-    """Share of distinct n-grams of b that do not occur in a; 0 if none."""
+    """Share of distinct n-grams of b that do not occur in a; 0 if none.
+
+    For several n on the same arrays use :func:`textlab.operators.stats.with_novelty`,
+    which cleans each array once.
+    """
     a_t, b_t = _c(a), _c(b)
     if clean:
         a_t, b_t = clean_tokens(a_t), clean_tokens(b_t)

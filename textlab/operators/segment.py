@@ -35,19 +35,19 @@ def with_arrays(docs: DataFrame, text: str = "text", lang: str | None = "lang")
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, para_idx, paragraph) split on exactly two newlines."""
-    return docs.select("doc_id", F.posexplode(F.split(F.col(text), "\n\n")).alias("para_idx", "paragraph"))
+    return T.explode_rows(docs, F.split(F.col(text), "\n\n"), "paragraph", "para_idx", keep=("doc_id",))
 
 
 def sentences(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
     """T4/T5: (doc_id, sent_idx, sent); sent_idx is dense from 0."""
     sents = T.sentence_array(T.mark_sentences(text, lang))
-    return docs.select("doc_id", F.posexplode(sents).alias("sent_idx", "sent"))
+    return T.explode_rows(docs, sents, "sent", "sent_idx", keep=("doc_id",))
 
 
 def tokens(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
     """(doc_id, sent_idx, tok_idx, token), tokenising each sentence."""
     sents = sentences(docs.select("doc_id", text, *([lang] if lang else [])), text, lang)
-    return sents.select("doc_id", "sent_idx", F.posexplode(T.token_array("sent")).alias("tok_idx", "token"))
+    return T.explode_rows(sents, T.token_array("sent"), "token", "tok_idx", keep=("doc_id", "sent_idx"))
 
 
 def lemma_join(toks: DataFrame, lemma_dict: DataFrame | None, lang: str = "lang") -> DataFrame:
@@ -71,7 +71,7 @@ def lemma_join(toks: DataFrame, lemma_dict: DataFrame | None, lang: str = "lang"
 def lemmas(docs: DataFrame, lemma_dict: DataFrame | None, text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, sent_idx, tok_idx, token, lemma)."""
     sents = sentences(docs.select("doc_id", text, lang), text, lang).join(docs.select("doc_id", lang), "doc_id")
-    toks = sents.select("doc_id", lang, "sent_idx", F.posexplode(T.token_array("sent")).alias("tok_idx", "token"))
+    toks = T.explode_rows(sents, T.token_array("sent"), "token", "tok_idx", keep=("doc_id", lang, "sent_idx"))
     return lemma_join(toks, lemma_dict, lang).select("doc_id", "sent_idx", "tok_idx", "token", "lemma")
 
 

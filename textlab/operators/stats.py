@@ -19,44 +19,57 @@ from . import segment as S
 def vocab(docs: DataFrame, by: Sequence[str] = ("lang",), clean: bool = True) -> DataFrame:
     """A1: (by..., token, cnt).  Partial aggregation absorbs frequent tokens."""
     arr = S.with_arrays(docs.select(*by, "text", *([] if "lang" in by else ["lang"])))
-    tok = F.explode("toks")
-    toks = arr.select(*by, tok.alias("token"))
+    toks = T.explode_rows(arr, "toks", "token", keep=tuple(by))
     if clean:
         toks = toks.select(*by, T.clean_token("token").alias("token"))
     return toks.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def lemma_arrays(arr: DataFrame, lemma_dict: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """T10 on token arrays: add ``lemmas`` aligned with ``toks``.
+
+    Without a dictionary lemmas are the tokens.  With one, tokens are
+    exploded with their position, looked up by a (size-checked) broadcast
+    join and folded back in order.  The fold groups by the row's own keys,
+    which the upstream hash partitioning already satisfies: no exchange.
+    """
+    if lemma_dict is None:
+        return arr.withColumn("lemmas", F.col("toks"))
+    keys = list(keys)
+    carry = [c for c in arr.columns if c not in keys and c != "toks"]
+    ex = arr.select(*keys, *carry, F.posexplode_outer("toks").alias("pos", "token"))
+    lem = S.lemma_join(ex, lemma_dict)
+    item = F.when(F.col("token").isNotNull(), F.struct("pos", "token", "lemma"))
+    folded = lem.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in carry],
+        F.array_sort(F.collect_list(item)).alias("_t"),
+    )
+    return folded.select(*keys, *carry, F.col("_t.token").alias("toks"), F.col("_t.lemma").alias("lemmas"))
+
+
 def doc_table(docs: DataFrame, lemma_dict: DataFrame | None = None, keys: Sequence[str] = ("doc_id", "lang")) -> DataFrame:
-    """A3-A8 per document plus its distinct cleaned token and lemma types.
+    """A3-A8 per document plus its token/lemma arrays and distinct types.
 
     Columns: keys..., n_tokens, n_sents, sum_token_len, avg_token_len,
-    avg_sent_len, ttr, fre, types (distinct cleaned tokens),
+    avg_sent_len, ttr, fre, toks, lemmas, types (distinct cleaned tokens),
     lemma_types (distinct cleaned lemmas).
     """
     keys = list(keys)
     arr = S.with_arrays(docs.select(*keys, "text") if "lang" in keys else docs.select(*keys, "lang", "text"))
+    arr = arr.select(*keys, *([] if "lang" in keys else ["lang"]), F.size("sents").cast("bigint").alias("n_sents"), "toks")
+    arr = lemma_arrays(arr, lemma_dict, keys)
     n_tok = F.size("toks").cast("bigint")
-    n_sent = F.size("sents").cast("bigint")
-    sum_len = F.length(F.array_join("toks", "")).cast("bigint")
-    types = F.array_distinct(T.clean_tokens("toks"))
     base = arr.select(
         *keys,
         n_tok.alias("n_tokens"),
-        n_sent.alias("n_sents"),
-        sum_len.alias("sum_token_len"),
-        T.flesch("toks", n_sent, "lang").alias("fre"),
-        types.alias("types"),
+        "n_sents",
+        F.length(F.array_join("toks", "")).cast("bigint").alias("sum_token_len"),
+        T.flesch("toks", "n_sents", "lang").alias("fre"),
+        "toks",
+        "lemmas",
+        F.array_distinct(T.clean_tokens("toks")).alias("types"),
+        F.array_distinct(T.clean_tokens("lemmas")).alias("lemma_types"),
     )
-    if lemma_dict is None:
-        base = base.withColumn("lemma_types", F.col("types"))
-    else:
-        # distinct tokens per document, looked up once each (T10), then
-        # folded back per document; doc-partitioned input keeps it local.
-        dist = arr.select("doc_id", "lang", F.explode(F.array_distinct("toks")).alias("token"))
-        lem = S.lemma_join(dist, lemma_dict)
-        lt = lem.groupBy("doc_id").agg(F.collect_set(T.clean_token("lemma")).alias("lemma_types"))
-        base = base.join(lt, "doc_id", "left").withColumn(
-            "lemma_types", F.coalesce("lemma_types", F.array().cast("array<string>")))
     return base.select(
         *keys,
         "n_tokens",
@@ -66,6 +79,8 @@ def doc_table(docs: DataFrame, lemma_dict: DataFrame | None = None, keys: Sequen
         F.try_divide(F.col("n_tokens").cast("double"), F.col("n_sents").cast("double")).alias("avg_sent_len"),
         F.try_divide(F.size("lemma_types").cast("double"), F.col("n_tokens").cast("double")).alias("ttr"),
         "fre",
+        "toks",
+        "lemmas",
         "types",
         "lemma_types",
     )
@@ -84,8 +99,8 @@ def type_counts(table: DataFrame, by: Sequence[str]) -> DataFrame:
     are de-duplicated with a partial aggregate before the shuffle.
     """
     by = list(by)
-    t = table.select(*by, F.explode("types").alias("t")).withColumn("kind", F.lit("raw"))
-    l = table.select(*by, F.explode("lemma_types").alias("t")).withColumn("kind", F.lit("lemma"))
+    t = T.explode_rows(table, "types", "t", keep=tuple(by)).withColumn("kind", F.lit("raw"))
+    l = T.explode_rows(table, "lemma_types", "t", keep=tuple(by)).withColumn("kind", F.lit("lemma"))
     dedup = t.unionByName(l).distinct()
     return dedup.groupBy(*by).agg(
         F.count_if(F.col("kind") == "raw").alias("types_raw"),
@@ -108,7 +123,7 @@ def corpus_stats(table: DataFrame, by: Sequence[str]) -> DataFrame:
         F.try_divide(F.sum("n_tokens").cast("double"), F.sum("n_sents").cast("double")).alias("avg_sent_len"),
     )
     types = type_counts(table, by)
-    out = agg.join(types, by, "left") if by else agg.crossJoin(types)
+    out = agg.join(types, by, "left")
     return out.select(
         *by, "docs", "tokens", "sentences",
         F.coalesce("types_raw", F.lit(0)).cast("bigint").alias("types_raw"),
@@ -117,9 +132,18 @@ def corpus_stats(table: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def pair_novelty(a_tokens, b_tokens, ns: Sequence[int] = (1, 2, 3), clean: bool = True) -> list:
-    """A12 for several n: columns ``nov_<n>`` as fractions."""
-    return [T.novelty(a_tokens, b_tokens, n, clean).alias(f"nov_{n}") for n in ns]
+def with_novelty(df: DataFrame, a: str, b: str, ns: Sequence[int] = (1, 2, 3), clean: bool = True) -> DataFrame:
+    """A12 for several n: add ``nov_<n>`` (fractions) for token arrays a, b.
+
+    The cleaned arrays are computed once in their own projection and then
+    referenced by every n.
+    """
+    keep = [c for c in df.columns if c not in ("_nov_a", "_nov_b")]
+    if clean:
+        staged = df.select(*keep, T.clean_tokens(a).alias("_nov_a"), T.clean_tokens(b).alias("_nov_b"))
+    else:
+        staged = df.select(*keep, F.col(a).alias("_nov_a"), F.col(b).alias("_nov_b"))
+    return staged.select(*keep, *[T.novelty("_nov_a", "_nov_b", n, clean=False).alias(f"nov_{n}") for n in ns])
 
 
 def compression(src_n, tgt_n) -> F.Column:

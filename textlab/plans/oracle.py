@@ -250,3 +250,182 @@ def oracle_sql() -> dict[str, str]:
 
 
 __all__ = ["oracle_sql", "ORACLE", "R", "PAIR_STRIDE"]
+
+
+# ---------------------------------------------------------------- pairs, novelty, report
+
+PAIRS = f"""
+pairs AS (
+  SELECT CASE u.conv_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split,
+         u.conv_id * {PAIR_STRIDE} + u.turn AS pair_id, 'en' AS lang, u.text AS source, a.text AS target
+  FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'
+)"""
+
+DOC_PAIRS = f"""
+pairs AS (
+  SELECT CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split,
+         doc_id AS pair_id, lang, text AS source,
+         array_to_string(list_filter({X.sentence_array(X.mark_sentences('text', 'lang'))}, lambda s, i: i % 2 = 1), ' ') AS target
+  FROM documents
+)"""
+
+
+def side_table_sql(pairs_cte: str) -> str:
+    """CTEs ending in side_t(pair_id, side, lang, n_tokens, n_sents, sum_token_len, fre, toks, lemmas)."""
+    return f"""
+{pairs_cte.strip()},
+sides AS (
+  SELECT pair_id, 'source' AS side, lang, source AS text FROM pairs
+  UNION ALL
+  SELECT pair_id, 'target' AS side, lang, target AS text FROM pairs
+),
+sides_m AS (SELECT pair_id, side, lang, {X.mark_sentences('text', 'lang')} AS marked FROM sides),
+sides_a AS (
+  SELECT pair_id, side, lang, {X.sentence_array('marked')} AS sents, {X.token_array('marked')} AS toks FROM sides_m
+),
+{LEMMA_DICT.strip()},
+sides_x AS (
+  SELECT pair_id, side, lang, unnest(range(0, len(toks))) AS pos, unnest(toks) AS token FROM sides_a
+),
+sides_l AS (
+  SELECT x.pair_id, x.side, list(coalesce(nullif(l.lemma, '--'), x.token) ORDER BY x.pos) AS lemmas
+  FROM sides_x x LEFT JOIN lemma_dict l ON x.lang = l.lang AND x.token = l.token
+  GROUP BY x.pair_id, x.side
+),
+side_t AS (
+  SELECT a.pair_id, a.side, a.lang, len(a.toks)::BIGINT AS n_tokens, len(a.sents)::BIGINT AS n_sents,
+         length(array_to_string(a.toks, ''))::BIGINT AS sum_token_len,
+         {X.flesch('a.toks', 'len(a.sents)', 'a.lang')} AS fre,
+         a.toks, coalesce(l.lemmas, []::VARCHAR[]) AS lemmas
+  FROM sides_a a LEFT JOIN sides_l l ON a.pair_id = l.pair_id AND a.side = l.side
+),
+side_s AS (
+  SELECT *, len(list_distinct({X.clean_tokens('lemmas')}))::DOUBLE / nullif(n_tokens, 0)::DOUBLE AS ttr FROM side_t
+),
+pair_c AS (
+  SELECT s.pair_id, {X.clean_tokens('s.lemmas')} AS a, {X.clean_tokens('t.lemmas')} AS b,
+         t.n_tokens::DOUBLE / nullif(s.n_tokens, 0)::DOUBLE AS cmp
+  FROM side_t s JOIN side_t t ON s.pair_id = t.pair_id AND s.side = 'source' AND t.side = 'target'
+),
+pair_g AS (
+  SELECT pair_id, cmp, a AS a1, b AS b1, {X.ngrams('a', 2, 'x2')} AS a2, {X.ngrams('b', 2, 'y2')} AS b2,
+         {X.ngrams('a', 3, 'x3')} AS a3, {X.ngrams('b', 3, 'y3')} AS b3
+  FROM pair_c
+),
+per_pair AS (
+  SELECT pair_id, cmp, {X.novelty('a1', 'b1', 1, clean=False)} AS nov_1,
+         {X.novelty('a2', 'b2', 1, clean=False)} AS nov_2, {X.novelty('a3', 'b3', 1, clean=False)} AS nov_3
+  FROM pair_g
+)"""
+
+
+def corpus_report_sql(pairs_cte: str) -> str:
+    from .corpus_report import STAT_COLUMNS
+    unpivot = " UNION ALL ".join(
+        f"SELECT side, {i} AS ord, {X.q(name)} AS statistic, {c}::DOUBLE AS value FROM by_side"
+        for i, (name, c) in enumerate(STAT_COLUMNS)
+    )
+    return f"""
+WITH {side_table_sql(pairs_cte).strip()},
+types_side AS (
+  SELECT side,
+         count(DISTINCT CASE WHEN kind = 'raw' THEN t END)::BIGINT AS types_raw,
+         count(DISTINCT CASE WHEN kind = 'lemma' THEN t END)::BIGINT AS types_lemmas
+  FROM (
+    SELECT side, 'raw' AS kind, {X.clean_token('tk')} AS t FROM (SELECT side, unnest(toks) AS tk FROM side_t)
+    UNION ALL
+    SELECT side, 'lemma' AS kind, {X.clean_token('lm')} AS t FROM (SELECT side, unnest(lemmas) AS lm FROM side_t)
+  ) GROUP BY side
+),
+by_side AS (
+  SELECT a.side, count(*)::BIGINT AS docs, sum(n_tokens)::BIGINT AS tokens, sum(n_sents)::BIGINT AS sentences,
+         any_value(ts.types_raw) AS types_raw, any_value(ts.types_lemmas) AS types_lemmas,
+         avg(n_tokens) AS avg_words, avg(n_sents) AS avg_sents, avg(ttr) AS avg_ttr, avg(fre) AS avg_fre,
+         sum(sum_token_len)::DOUBLE / nullif(sum(n_tokens), 0)::DOUBLE AS avg_word_len,
+         sum(n_tokens)::DOUBLE / nullif(sum(n_sents), 0)::DOUBLE AS avg_sent_len
+  FROM side_s a LEFT JOIN types_side ts ON a.side = ts.side GROUP BY a.side
+),
+long AS ({unpivot}),
+wide AS (
+  SELECT ord, statistic, any_value(CASE WHEN side = 'source' THEN value END) AS source,
+         any_value(CASE WHEN side = 'target' THEN value END) AS target
+  FROM long GROUP BY ord, statistic
+),
+tail AS (
+  SELECT 11 AS ord, 'Novelty (n=1)' AS statistic, NULL::DOUBLE AS source, avg(nov_1) * 100 AS target FROM per_pair
+  UNION ALL SELECT 12, 'Novelty (n=2)', NULL, avg(nov_2) * 100 FROM per_pair
+  UNION ALL SELECT 13, 'Novelty (n=3)', NULL, avg(nov_3) * 100 FROM per_pair
+  UNION ALL SELECT 14, 'CMP', NULL, avg(cmp) FROM per_pair
+),
+report AS (SELECT * FROM wide UNION ALL SELECT * FROM tail)"""
+
+
+@oracle("paired_corpus")
+def _():
+    return f"WITH {PAIRS.strip()}\nSELECT split, pair_id, source, target FROM pairs"
+
+
+@oracle("ngrams")
+def _():
+    parts = " UNION ALL ".join(
+        f"SELECT doc_id, {n}::BIGINT AS n, len({X.ngrams('toks', n)})::BIGINT AS n_grams, "
+        f"len(list_distinct({X.ngrams('toks', n)}))::BIGINT AS n_distinct FROM docs_a" for n in (1, 2, 3))
+    return f"WITH {DOC_ARRAYS.strip()}\n{parts}"
+
+
+PAIR_TOKENS = f"""
+{PAIRS.strip()},
+pt AS (
+  SELECT pair_id, {X.token_array(X.mark_sentences('source', "'en'"))} AS src,
+         {X.token_array(X.mark_sentences('target', "'en'"))} AS tgt FROM pairs
+)"""
+
+for _n in (1, 2, 3):
+    ORACLE[f"novelty_{_n}"] = (
+        f"WITH {PAIR_TOKENS.strip()},\n"
+        f"pc AS (SELECT pair_id, {X.clean_tokens('src')} AS a, {X.clean_tokens('tgt')} AS b FROM pt),\n"
+        f"pg AS (SELECT pair_id, {X.ngrams('a', _n, 'x')} AS ga, {X.ngrams('b', _n, 'y')} AS gb FROM pc)\n"
+        f"SELECT pair_id, round({X.novelty('ga', 'gb', 1, clean=False)}, 6) AS novelty FROM pg")
+
+
+@oracle("compression")
+def _():
+    return f"""WITH {PAIR_TOKENS.strip()}
+SELECT pair_id, len(src)::BIGINT AS src_tokens, len(tgt)::BIGINT AS tgt_tokens,
+       round(len(tgt)::DOUBLE / nullif(len(src), 0)::DOUBLE, 6) AS cmp FROM pt"""
+
+
+@oracle("corpus_report")
+def _():
+    return corpus_report_sql(PAIRS) + "\nSELECT ord::BIGINT AS ord, statistic, round(source, 6) AS source, round(target, 6) AS target FROM report"
+
+
+@oracle("corpus_report_docs")
+def _():
+    return corpus_report_sql(DOC_PAIRS) + "\nSELECT ord::BIGINT AS ord, statistic, round(source, 6) AS source, round(target, 6) AS target FROM report"
+
+
+@oracle("corpus_report_formatted")
+def _():
+    ints = ", ".join(f"'{k}'" for k, v in R.CORPUS_REPORT_ROWS if v == "int")
+
+    def fmt(c):
+        return (f"coalesce(CASE WHEN statistic IN ({ints}) THEN format('{{:,.0f}}', round_even({c}, 0)) "
+                f"ELSE format('{{:.2f}}', round_even({c}, 2)) END, '')")
+    return corpus_report_sql(PAIRS) + f"""
+SELECT ord::BIGINT AS ord, statistic, {fmt('source')} AS "Source", {fmt('target')} AS "Target" FROM report WHERE ord < 11
+UNION ALL
+SELECT 11, 'Novelty', '', string_agg(round_even(target, 0)::BIGINT::VARCHAR, '/' ORDER BY ord) || '%'
+FROM report WHERE statistic LIKE 'Novelty%'
+UNION ALL
+SELECT 12, 'CMP', '', round_even(target, 2)::VARCHAR FROM report WHERE statistic = 'CMP'"""
+
+
+@oracle("corpus_novelty")
+def _():
+    return corpus_report_sql(PAIRS) + """
+SELECT round(avg(nov_1) * 100, 6) AS nov_1, round(avg(nov_2) * 100, 6) AS nov_2, round(avg(nov_3) * 100, 6) AS nov_3,
+       round_even(avg(nov_1) * 100, 0)::BIGINT::VARCHAR || '/' || round_even(avg(nov_2) * 100, 0)::BIGINT::VARCHAR
+       || '/' || round_even(avg(nov_3) * 100, 0)::BIGINT::VARCHAR || '%' AS novelty
+FROM per_pair"""

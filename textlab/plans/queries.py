@@ -57,7 +57,7 @@ def q_sentences(spark, sf):
 def q_eval_sentences(spark, sf):
     d = src.documents(spark, sf)
     s = T.sentence_array(T.plain_marked_sentences("text"))
-    return d.select("doc_id", F.posexplode(s).alias("sent_idx", "sent")).select(
+    return T.explode_rows(d, s, "sent", "sent_idx", keep=("doc_id",)).select(
         "doc_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), "sent")
 
 
@@ -76,7 +76,7 @@ def q_eval_tokens(spark, sf):
     """Per-document tokens with the default (enumeration-free) split."""
     d = src.documents(spark, sf)
     toks = T.token_array(T.plain_marked_sentences("text"))
-    return d.select("doc_id", F.posexplode(toks).alias("tok_idx", "token")).select(
+    return T.explode_rows(d, toks, "token", "tok_idx", keep=("doc_id",)).select(
         "doc_id", F.col("tok_idx").cast("bigint").alias("tok_idx"), "token")
 
 
@@ -116,7 +116,7 @@ def q_vocab_raw(spark, sf):
 @query("clean_tokens")
 def q_clean_tokens(spark, sf):
     d = S.with_arrays(src.documents(spark, sf))
-    toks = d.select(F.explode("toks").alias("token")).distinct()
+    toks = T.explode_rows(d, "toks", "token").distinct()
     return toks.select("token", T.clean_token("token").alias("cleaned"))
 
 
@@ -172,3 +172,84 @@ def q_type_counts(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
+
+
+# ---------------------------------------------------------------- pairs, novelty, report
+
+from . import corpus_report as CR  # noqa: E402
+
+
+@query("paired_corpus")
+def q_paired_corpus(spark, sf):
+    return src.conversation_pairs(spark, sf)
+
+
+@query("ngrams")
+def q_ngrams(spark, sf):
+    d = S.with_arrays(src.documents(spark, sf)).select("doc_id", "toks")
+    per_n = F.array(*[
+        F.struct(F.lit(n).cast("bigint").alias("n"), T.ngrams("toks", n).alias("g")) for n in (1, 2, 3)
+    ])
+    x = d.select("doc_id", F.inline(per_n))
+    return x.select(
+        "doc_id", "n",
+        F.size("g").cast("bigint").alias("n_grams"),
+        F.size(F.array_distinct("g")).cast("bigint").alias("n_distinct"),
+    )
+
+
+def _pair_tokens(spark, sf):
+    p = src.spread(src.conversation_pairs(spark, sf), "pair_id")
+    return p.select(
+        "pair_id",
+        T.token_array(T.mark_sentences("source", F.lit("en"))).alias("src"),
+        T.token_array(T.mark_sentences("target", F.lit("en"))).alias("tgt"),
+    )
+
+
+def _novelty_query(n):
+    def fn(spark, sf):
+        p = A.with_novelty(_pair_tokens(spark, sf), "src", "tgt", (n,))
+        return p.select("pair_id", r6(F.col(f"nov_{n}")).alias("novelty"))
+    return fn
+
+
+for _n in (1, 2, 3):
+    query(f"novelty_{_n}")(_novelty_query(_n))
+
+
+@query("compression")
+def q_compression(spark, sf):
+    p = _pair_tokens(spark, sf)
+    s, t = F.size("src").cast("bigint"), F.size("tgt").cast("bigint")
+    return p.select("pair_id", s.alias("src_tokens"), t.alias("tgt_tokens"), r6(A.compression(s, t)).alias("cmp"))
+
+
+def _report_cols(df):
+    return df.select(F.col("ord").cast("bigint").alias("ord"), "statistic",
+                     r6(F.col("source")).alias("source"), r6(F.col("target")).alias("target"))
+
+
+@query("corpus_report")
+def q_corpus_report(spark, sf):
+    return _report_cols(CR.corpus_report(src.conversation_pairs(spark, sf), lexicon.builtin_lemmas(spark)))
+
+
+@query("corpus_report_docs")
+def q_corpus_report_docs(spark, sf):
+    return _report_cols(CR.corpus_report(src.document_pairs(spark, sf), lexicon.builtin_lemmas(spark)))
+
+
+@query("corpus_report_formatted")
+def q_corpus_report_formatted(spark, sf):
+    rep = CR.corpus_report(src.conversation_pairs(spark, sf), lexicon.builtin_lemmas(spark))
+    return CR.format_report(rep).select(F.col("ord").cast("bigint").alias("ord"), "statistic", "Source", "Target")
+
+
+@query("corpus_novelty")
+def q_corpus_novelty(spark, sf):
+    t = CR.side_table(src.conversation_pairs(spark, sf), lexicon.builtin_lemmas(spark))
+    m = CR.pair_measures(t).agg(*[(F.avg(f"nov_{n}") * 100).alias(f"nov_{n}") for n in (1, 2, 3)])
+    label = F.concat(F.concat_ws("/", *[F.bround(f"nov_{n}", 0).cast("bigint").cast("string") for n in (1, 2, 3)]),
+                     F.lit("%"))
+    return m.select(*[r6(F.col(f"nov_{n}")).alias(f"nov_{n}") for n in (1, 2, 3)], label.alias("novelty"))
