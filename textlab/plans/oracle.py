@@ -429,3 +429,190 @@ SELECT round(avg(nov_1) * 100, 6) AS nov_1, round(avg(nov_2) * 100, 6) AS nov_2,
        round_even(avg(nov_1) * 100, 0)::BIGINT::VARCHAR || '/' || round_even(avg(nov_2) * 100, 0)::BIGINT::VARCHAR
        || '/' || round_even(avg(nov_3) * 100, 0)::BIGINT::VARCHAR || '%' AS novelty
 FROM per_pair"""
+
+
+# ---------------------------------------------------------------- evaluation
+
+EVAL = f"""
+{PAIRS.strip()},
+ev AS (
+  SELECT 'identity' AS system, pair_id, source AS orig, target AS ref, source AS sys FROM pairs
+  UNION ALL SELECT 'gold', pair_id, source, target, target FROM pairs
+  UNION ALL SELECT 'lead3', pair_id, source, target,
+         array_to_string({X.sentence_array(X.plain_marked('source'))}[1:3], ' ') FROM pairs
+)"""
+
+
+def _gram_specs() -> list[tuple[str, int, int, str]]:
+    specs = []
+    for n in (1, 2):
+        specs += [("rouge", n, 1, "r_ref"), ("rouge", n, 2, "r_sys")]
+    for n in (1, 2, 3, 4):
+        specs += [("bleu", n, 1, "b_ref"), ("bleu", n, 2, "b_sys")]
+        specs += [("sari", n, 0, "s_orig"), ("sari", n, 1, "s_ref"), ("sari", n, 2, "s_sys")]
+    return specs
+
+
+EVAL_STATS = f"""
+{EVAL.strip()},
+tk AS (
+  SELECT system, pair_id,
+         {X.rouge_tokens('ref')} AS r_ref, {X.rouge_tokens('sys')} AS r_sys,
+         {X.tokens_13a('ref')} AS b_ref, {X.tokens_13a('sys')} AS b_sys,
+         {X.tokens_13a('orig', True)} AS s_orig, {X.tokens_13a('ref', True)} AS s_ref,
+         {X.tokens_13a('sys', True)} AS s_sys
+  FROM ev
+),
+gl AS (
+  {" UNION ALL ".join(f"SELECT system, pair_id, '{k}' AS kind, {n} AS n, {side} AS side, {X.ngrams(c, n, 'v')} AS lst FROM tk"
+                     for k, n, side, c in _gram_specs())}
+),
+gx AS (
+  SELECT system, pair_id, kind, n, side,
+         unnest(CASE WHEN len(lst) = 0 THEN [NULL::VARCHAR] ELSE lst END) AS gram
+  FROM gl
+),
+counts AS (
+  SELECT system, pair_id, kind, n, gram,
+         count(*) FILTER (WHERE gram IS NOT NULL AND side = 0) AS c_orig,
+         count(*) FILTER (WHERE gram IS NOT NULL AND side = 1) AS c_ref,
+         count(*) FILTER (WHERE gram IS NOT NULL AND side = 2) AS c_sys
+  FROM gx GROUP BY system, pair_id, kind, n, gram
+),
+st AS (
+  SELECT system, pair_id, kind, n,
+         sum(least(c_sys, c_ref)) AS hits, sum(c_sys) AS sys_total, sum(c_ref) AS ref_total,
+         count(*) FILTER (WHERE c_sys > 0 AND c_orig = 0) AS add_sys,
+         count(*) FILTER (WHERE c_ref > 0 AND c_orig = 0) AS add_ref,
+         count(*) FILTER (WHERE c_sys > 0 AND c_ref > 0 AND c_orig = 0) AS add_ok,
+         sum(least(c_orig, c_sys)) AS keep_sys, sum(least(c_orig, c_ref)) AS keep_ref,
+         sum(least(c_orig, c_sys, c_ref)) AS keep_ok,
+         sum(greatest(c_orig - c_sys, 0)) AS del_sys, sum(greatest(c_orig - c_ref, 0)) AS del_ref,
+         sum(least(greatest(c_orig - c_sys, 0), greatest(c_orig - c_ref, 0))) AS del_ok
+  FROM counts GROUP BY system, pair_id, kind, n
+),
+rouge AS (
+  SELECT system, n, avg(p) * 100 AS precision, avg(r) * 100 AS recall,
+         avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END) * 100 AS fmeasure
+  FROM (SELECT system, n, hits::DOUBLE / greatest(sys_total, 1) AS p, hits::DOUBLE / greatest(ref_total, 1) AS r
+        FROM st WHERE kind = 'rouge')
+  GROUP BY system, n
+),
+bleu_c AS (
+  SELECT system,
+         {", ".join(f"sum(hits) FILTER (WHERE n = {n}) AS c{n}, sum(sys_total) FILTER (WHERE n = {n}) AS t{n}" for n in (1, 2, 3, 4))},
+         sum(ref_total) FILTER (WHERE n = 1) AS ref_len
+  FROM st WHERE kind = 'bleu' GROUP BY system
+),
+bleu_k AS (
+  SELECT *, {", ".join(
+      "(" + " + ".join(f"(CASE WHEN t{m} > 0 AND c{m} = 0 THEN 1 ELSE 0 END)" for m in range(1, n + 1)) + f") AS k{n}"
+      for n in (1, 2, 3, 4))}
+  FROM bleu_c
+),
+bleu_p AS (
+  SELECT *, {", ".join(
+      f"(CASE WHEN t{n} = 0 THEN 0.0 WHEN c{n} > 0 THEN 100.0 * c{n} / t{n} ELSE 100.0 / (pow(2.0, k{n}) * t{n}) END) AS p{n}"
+      for n in (1, 2, 3, 4))}
+  FROM bleu_k
+),
+bleu AS (
+  SELECT system,
+         (CASE WHEN t1 >= ref_len THEN 1.0 WHEN t1 > 0 THEN exp(1 - ref_len::DOUBLE / t1) ELSE 0.0 END)
+         * exp(({" + ".join(f"(CASE WHEN p{n} > 0 THEN ln(p{n}) ELSE -9999999999.0 END)" for n in (1, 2, 3, 4))}) / 4) AS bleu
+  FROM bleu_p
+),
+sari_n AS (
+  SELECT system, n, {", ".join(f"sum({c}) AS {c}" for c in
+      ("add_sys", "add_ref", "add_ok", "keep_sys", "keep_ref", "keep_ok", "del_sys", "del_ref", "del_ok"))}
+  FROM st WHERE kind = 'sari' GROUP BY system, n
+),
+sari_f AS (
+  SELECT system, {", ".join(
+      f"(CASE WHEN p_{op} + r_{op} > 0 THEN 2 * p_{op} * r_{op} / (p_{op} + r_{op}) ELSE 0.0 END) AS f_{op}"
+      for op in ("add", "keep", "del"))}
+  FROM (SELECT system, {", ".join(
+      f"(CASE WHEN {op}_sys > 0 THEN {op}_ok::DOUBLE / {op}_sys ELSE 0.0 END) AS p_{op}, "
+      f"(CASE WHEN {op}_ref > 0 THEN {op}_ok::DOUBLE / {op}_ref ELSE 0.0 END) AS r_{op}"
+      for op in ("add", "keep", "del"))} FROM sari_n)
+),
+sari AS (
+  SELECT system, avg(f_add) * 100 AS sari_add, avg(f_keep) * 100 AS sari_keep, avg(f_del) * 100 AS sari_del,
+         (avg(f_add) * 100 + avg(f_keep) * 100 + avg(f_del) * 100) / 3 AS sari
+  FROM sari_f GROUP BY system
+),
+surf_t AS (
+  SELECT system, {X.token_array(X.plain_marked('orig'))} AS xt, {X.token_array(X.plain_marked('sys'))} AS yt,
+         len({X.sentence_array(X.plain_marked('orig'))}) AS xs, len({X.sentence_array(X.plain_marked('sys'))}) AS ys
+  FROM ev
+),
+surf_c AS (
+  SELECT *, {X.clean_tokens('xt', 'c1')} AS xc, {X.clean_tokens('yt', 'c2')} AS yc FROM surf_t
+),
+surf_g AS (
+  SELECT *, {X.ngrams('xc', 2, 'v1')} AS x2, {X.ngrams('yc', 2, 'v2')} AS y2 FROM surf_c
+),
+surface AS (
+  SELECT system, avg(len(xt)) AS x_w, avg(xs) AS x_s, avg(len(yt)) AS y_w, avg(ys) AS y_s,
+         avg(len(yt)::DOUBLE / nullif(len(xt), 0)::DOUBLE) AS cmp_w, avg(ys::DOUBLE / nullif(xs, 0)::DOUBLE) AS cmp_s,
+         avg({X.novelty('xc', 'yc', 1, clean=False)} * 100) AS nov_1,
+         avg({X.novelty('x2', 'y2', 1, clean=False)} * 100) AS nov_2
+  FROM surf_g GROUP BY system
+),
+metrics AS (
+  SELECT system, 'R-' || n AS metric, fmeasure AS value FROM rouge
+  UNION ALL SELECT system, 'R-' || n || '_p', precision FROM rouge
+  UNION ALL SELECT system, 'R-' || n || '_r', recall FROM rouge
+  UNION ALL SELECT system, 'BLEU', bleu FROM bleu
+  UNION ALL SELECT system, 'SARI', sari FROM sari
+  {" ".join(f"UNION ALL SELECT system, '{m}', {c} FROM surface" for m, c in [
+      ("|x|_w", "x_w"), ("|x|_s", "x_s"), ("|y|_w", "y_w"), ("|y|_s", "y_s"), ("CMP_w", "cmp_w"),
+      ("CMP_s", "cmp_s"), ("Nov. (n=1)", "nov_1"), ("Nov. (n=2)", "nov_2")])}
+)"""
+
+REPORT_METRICS = ["R-1", "R-2", "BLEU", "SARI", "|y|_w", "CMP_w", "Nov. (n=1)", "Nov. (n=2)"]
+
+
+@oracle("eval_table")
+def _():
+    return f"WITH {EVAL.strip()}\nSELECT system, pair_id, orig, ref, sys FROM ev"
+
+
+@oracle("rouge_1")
+def _():
+    return (f"WITH {EVAL_STATS.strip()}\nSELECT system, round(precision, 6) AS precision, round(recall, 6) AS recall, "
+            f"round(fmeasure, 6) AS fmeasure FROM rouge WHERE n = 1")
+
+
+@oracle("rouge_2")
+def _():
+    return (f"WITH {EVAL_STATS.strip()}\nSELECT system, round(precision, 6) AS precision, round(recall, 6) AS recall, "
+            f"round(fmeasure, 6) AS fmeasure FROM rouge WHERE n = 2")
+
+
+@oracle("bleu")
+def _():
+    return f"WITH {EVAL_STATS.strip()}\nSELECT system, round(bleu, 6) AS bleu FROM bleu"
+
+
+@oracle("sari")
+def _():
+    return (f"WITH {EVAL_STATS.strip()}\nSELECT system, round(sari_add, 6) AS sari_add, round(sari_keep, 6) AS sari_keep, "
+            f"round(sari_del, 6) AS sari_del, round(sari, 6) AS sari FROM sari")
+
+
+@oracle("surface_stats")
+def _():
+    cols = ", ".join(f"round({c}, 6) AS {c}" for c in ("x_w", "x_s", "y_w", "y_s", "cmp_w", "cmp_s", "nov_1", "nov_2"))
+    return f"WITH {EVAL_STATS.strip()}\nSELECT system, {cols} FROM surface"
+
+
+@oracle("metric_means")
+def _():
+    return f"WITH {EVAL_STATS.strip()}\nSELECT system, metric, round(value, 6) AS value FROM metrics"
+
+
+@oracle("metric_report")
+def _():
+    cols = ", ".join(f"round(any_value(value) FILTER (WHERE metric = {X.q(m)}), 2) AS \"{m}\"" for m in REPORT_METRICS)
+    return f"WITH {EVAL_STATS.strip()}\nSELECT system, {cols} FROM metrics GROUP BY system"

@@ -253,3 +253,63 @@ def q_corpus_novelty(spark, sf):
     label = F.concat(F.concat_ws("/", *[F.bround(f"nov_{n}", 0).cast("bigint").cast("string") for n in (1, 2, 3)]),
                      F.lit("%"))
     return m.select(*[r6(F.col(f"nov_{n}")).alias(f"nov_{n}") for n in (1, 2, 3)], label.alias("novelty"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+from ..operators import evaluation as EV  # noqa: E402
+
+REPORT_METRICS = ["R-1", "R-2", "BLEU", "SARI", "|y|_w", "CMP_w", "Nov. (n=1)", "Nov. (n=2)"]
+
+
+def _eval(spark, sf):
+    return src.eval_table(src.conversation_pairs(spark, sf))
+
+
+def _stats(spark, sf):
+    return EV.pair_order_stats(EV.ngram_counts(_eval(spark, sf)))
+
+
+@query("eval_table")
+def q_eval_table(spark, sf):
+    return _eval(spark, sf)
+
+
+def _rouge(n):
+    def fn(spark, sf):
+        r = EV.rouge_n(_stats(spark, sf)).where(F.col("n") == n)
+        return r.select("system", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "fmeasure")])
+    return fn
+
+
+query("rouge_1")(_rouge(1))
+query("rouge_2")(_rouge(2))
+
+
+@query("bleu")
+def q_bleu(spark, sf):
+    return EV.bleu(_stats(spark, sf)).select("system", r6(F.col("bleu")).alias("bleu"))
+
+
+@query("sari")
+def q_sari(spark, sf):
+    s = EV.sari(_stats(spark, sf))
+    return s.select("system", *[r6(F.col(c)).alias(c) for c in ("sari_add", "sari_keep", "sari_del", "sari")])
+
+
+@query("surface_stats")
+def q_surface_stats(spark, sf):
+    s = EV.surface_stats(_eval(spark, sf))
+    return s.select("system", *[r6(F.col(c)).alias(c)
+                                for c in ("x_w", "x_s", "y_w", "y_s", "cmp_w", "cmp_s", "nov_1", "nov_2")])
+
+
+@query("metric_means")
+def q_metric_means(spark, sf):
+    m = EV.metric_table(_eval(spark, sf))
+    return m.select("system", "metric", r6(F.col("value")).alias("value"))
+
+
+@query("metric_report")
+def q_metric_report(spark, sf):
+    return EV.metric_report(EV.metric_table(_eval(spark, sf)), REPORT_METRICS, precision=2)
