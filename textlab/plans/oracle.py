@@ -616,3 +616,155 @@ def _():
 def _():
     cols = ", ".join(f"round(any_value(value) FILTER (WHERE metric = {X.q(m)}), 2) AS \"{m}\"" for m in REPORT_METRICS)
     return f"WITH {EVAL_STATS.strip()}\nSELECT system, {cols} FROM metrics GROUP BY system"
+
+
+# ---------------------------------------------------------------- sections, clean-up
+
+SECTIONS = f"""
+parts AS (
+  SELECT doc_id, regexp_extract_all(text, {X.q(R.DEFAULT_TITLE_PATTERN)}, 0) AS titles,
+         regexp_extract_all(text, {X.q(R.DEFAULT_TITLE_PATTERN)}, 1) AS norms,
+         regexp_split_to_array(text, {X.q(R.DEFAULT_TITLE_PATTERN)}) AS bodies
+  FROM documents
+),
+nz AS (SELECT * FROM parts WHERE len(titles) > 0),
+m AS (
+  SELECT doc_id, length(bodies[1]) AS pre_len, unnest(range(0, len(titles))) AS i, unnest(titles) AS title,
+         unnest(norms) AS norm, unnest(bodies[2:]) AS body
+  FROM nz
+),
+ms AS (
+  SELECT *, pre_len + coalesce(sum(length(title) + length(body)) OVER (
+           PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st
+  FROM m
+),
+secs AS (
+  SELECT doc_id, (i + CASE WHEN pre_len > 0 THEN 1 ELSE 0 END)::INTEGER AS "index", st::INTEGER AS start,
+         (st + length(title) + length(body))::INTEGER AS "end", title, norm AS title_normalized,
+         st::INTEGER AS title_start, (st + length(title))::INTEGER AS title_end, body AS text,
+         (st + length(title))::INTEGER AS text_start, (st + length(title) + length(body))::INTEGER AS text_end
+  FROM ms
+  UNION ALL
+  SELECT doc_id, 0, 0, length(bodies[1])::INTEGER, {X.q(R.UNNAMED_TITLE)}, {X.q(R.UNNAMED_TITLE)},
+         NULL::INTEGER, NULL::INTEGER, bodies[1], 0, length(bodies[1])::INTEGER
+  FROM nz WHERE length(bodies[1]) > 0
+)"""
+
+
+@oracle("sections")
+def _():
+    return f"WITH {SECTIONS.strip()}\nSELECT * FROM secs"
+
+
+@oracle("sections_preamble")
+def _():
+    return f"WITH {SECTIONS.strip()}\nSELECT * FROM secs WHERE title_start IS NULL"
+
+
+@oracle("next_section")
+def _():
+    return (f"WITH {SECTIONS.strip()}\nSELECT doc_id, \"index\", title_normalized, "
+            f"lead(title_normalized) OVER (PARTITION BY doc_id ORDER BY \"index\") AS next_title FROM secs")
+
+
+@oracle("strip_text")
+def _():
+    return (f"SELECT conv_id, turn, {X.strip('text')} AS stripped, length({X.strip('text')})::BIGINT AS n_chars "
+            f"FROM conversations")
+
+
+@oracle("text_cleanup")
+def _():
+    spaced = "array_to_string(toks, ' ')"
+    return f"WITH {DOC_ARRAYS.strip()}\nSELECT doc_id, {X.cleanup(spaced)} AS cleaned FROM docs_a"
+
+
+# ---------------------------------------------------------------- training-data preparation
+
+def encode_sql(prefix: str = "", max_src: int = 1024, max_tgt: int = 128, val_max_tgt: int | None = None) -> str:
+    val_max_tgt = max_tgt if val_max_tgt is None else val_max_tgt
+    src_text = f"({X.q(prefix)} || source)" if prefix else "source"
+    return f"""
+{PAIRS.strip()},
+pt AS (
+  SELECT split, pair_id, {X.token_array(X.mark_sentences(src_text, "'en'"))} AS src,
+         {X.token_array(X.mark_sentences('target', "'en'"))} AS tgt
+  FROM pairs
+),
+vc AS (
+  SELECT token, count(*)::BIGINT AS cnt FROM (SELECT unnest(list_concat(src, tgt)) AS token FROM pt WHERE split = 'train')
+  GROUP BY token
+),
+vocab AS (
+  SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) + 1)::INTEGER AS id, cnt FROM vc
+  QUALIFY row_number() OVER (ORDER BY cnt DESC, token) <= 50000
+),
+sx AS (
+  SELECT split, pair_id, 'input_ids' AS side, unnest(range(0, len(s))) AS pos, unnest(s) AS token
+  FROM (SELECT split, pair_id, src[1:{max_src}] AS s FROM pt)
+  UNION ALL
+  SELECT split, pair_id, 'labels', unnest(range(0, len(s))), unnest(s)
+  FROM (SELECT split, pair_id, CASE WHEN split = 'train' THEN tgt[1:{max_tgt}] ELSE tgt[1:{val_max_tgt}] END AS s FROM pt)
+),
+sid AS (
+  SELECT x.split, x.pair_id, x.side, x.pos, x.token, v.id AS vid, coalesce(v.id, 1) AS id
+  FROM sx x LEFT JOIN vocab v ON x.token = v.token
+),
+ids AS (
+  SELECT split, pair_id, side, list(id ORDER BY pos) AS ids,
+         list(CASE WHEN vid IS NOT NULL THEN token END ORDER BY pos) AS dec
+  FROM sid GROUP BY split, pair_id, side
+),
+enc AS (
+  SELECT p.split, p.pair_id, coalesce(i.ids, []::INTEGER[]) AS input_ids, coalesce(l.ids, []::INTEGER[]) AS labels,
+         coalesce(i.dec, []::VARCHAR[]) AS input_dec
+  FROM pt p
+  LEFT JOIN ids i ON p.pair_id = i.pair_id AND i.side = 'input_ids'
+  LEFT JOIN ids l ON p.pair_id = l.pair_id AND l.side = 'labels'
+)"""
+
+
+def _pad(col: str, n: int) -> str:
+    return f"list_concat({col}, list_transform(range(0, greatest({n} - len({col}), 0)), lambda z: 0))"
+
+
+@oracle("prefix_source")
+def _():
+    return f"WITH {PAIRS.strip()}\nSELECT pair_id, 'simplify: ' || source AS prefixed FROM pairs"
+
+
+@oracle("first_n")
+def _():
+    return (f"WITH {PAIRS.strip()}\nSELECT split, pair_id, source, target FROM pairs "
+            f"QUALIFY row_number() OVER (PARTITION BY split ORDER BY pair_id) <= 10")
+
+
+@oracle("vocab_ids")
+def _():
+    return f"WITH {encode_sql().strip()}\nSELECT token, id, cnt FROM vocab"
+
+
+@oracle("encode_pairs")
+def _():
+    return (f"WITH {encode_sql('simplify: ', 1024, 128, 64).strip()}\n"
+            "SELECT split, pair_id, array_to_string(input_ids, ' ') AS input_ids, array_to_string(labels, ' ') AS labels, "
+            "len(input_ids)::BIGINT AS n_input, len(labels)::BIGINT AS n_labels FROM enc")
+
+
+@oracle("pad_pairs")
+def _():
+    pin, plab = _pad("input_ids", 256), _pad("labels", 128)
+    return (f"WITH {encode_sql('', 256, 128).strip()}\n"
+            f"SELECT split, pair_id, array_to_string({pin}, ' ') AS input_ids, len(input_ids)::BIGINT AS n_attended, "
+            f"array_to_string(list_transform({plab}, lambda y: CASE WHEN y = 0 THEN -100 ELSE y END), ' ') AS labels FROM enc")
+
+
+@oracle("decode_ids")
+def _():
+    return (f"WITH {encode_sql().strip()}\n"
+            "SELECT split, pair_id, array_to_string(list_filter(input_dec, lambda z: z IS NOT NULL), ' ') AS text FROM enc")
+
+
+@oracle("gen_len")
+def _():
+    return f"WITH {encode_sql().strip()}\nSELECT split, round(avg(len(labels)), 6) AS gen_len FROM enc GROUP BY split"

@@ -313,3 +313,104 @@ def q_metric_means(spark, sf):
 @query("metric_report")
 def q_metric_report(spark, sf):
     return EV.metric_report(EV.metric_table(_eval(spark, sf)), REPORT_METRICS, precision=2)
+
+
+# ---------------------------------------------------------------- sections, clean-up
+
+from ..operators import sections as SEC  # noqa: E402
+
+
+@query("sections")
+def q_sections(spark, sf):
+    return SEC.sections(src.documents(spark, sf))
+
+
+@query("sections_preamble")
+def q_sections_preamble(spark, sf):
+    s = SEC.sections(src.documents(spark, sf))
+    return s.where(F.col("title_start").isNull())
+
+
+@query("next_section")
+def q_next_section(spark, sf):
+    return SEC.next_section(SEC.sections(src.documents(spark, sf)))
+
+
+@query("strip_text")
+def q_strip_text(spark, sf):
+    c = src.read_table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", T.strip("text").alias("stripped"),
+                    F.length(T.strip("text")).cast("bigint").alias("n_chars"))
+
+
+@query("text_cleanup")
+def q_text_cleanup(spark, sf):
+    """N5 on detokenised-looking text: the T6 tokens of each document joined
+    by spaces, then the clean-up rules."""
+    d = S.with_arrays(src.documents(spark, sf)).select("doc_id", F.array_join("toks", " ").alias("spaced"))
+    return d.select("doc_id", T.tokenization_cleanup("spaced").alias("cleaned"))
+
+
+# ---------------------------------------------------------------- training-data preparation
+
+from ..operators import encode as ENC  # noqa: E402
+
+PREFIX = "simplify: "
+
+
+def _ids_str(c):
+    return F.array_join(F.col(c).cast("array<string>"), " ")
+
+
+def _enc_inputs(spark, sf, prefix=""):
+    pairs = src.spread(src.conversation_pairs(spark, sf), "pair_id")
+    toks = ENC.pair_tokens(pairs, prefix=prefix)
+    return toks, ENC.vocab_ids(toks)
+
+
+@query("prefix_source")
+def q_prefix_source(spark, sf):
+    p = src.conversation_pairs(spark, sf)
+    return p.select("pair_id", F.concat(F.lit(PREFIX), F.col("source")).alias("prefixed"))
+
+
+@query("first_n")
+def q_first_n(spark, sf):
+    return ENC.first_n(src.conversation_pairs(spark, sf), 10).select("split", "pair_id", "source", "target")
+
+
+@query("vocab_ids")
+def q_vocab_ids(spark, sf):
+    _, v = _enc_inputs(spark, sf)
+    return v.select("token", "id", "cnt")
+
+
+@query("encode_pairs")
+def q_encode_pairs(spark, sf):
+    toks, v = _enc_inputs(spark, sf, PREFIX)
+    e = ENC.encode(toks, v, max_source_length=1024, max_target_length=128, val_max_target_length=64)
+    return e.select("split", "pair_id", _ids_str("input_ids").alias("input_ids"), _ids_str("labels").alias("labels"),
+                    F.size("input_ids").cast("bigint").alias("n_input"), F.size("labels").cast("bigint").alias("n_labels"))
+
+
+@query("pad_pairs")
+def q_pad_pairs(spark, sf):
+    toks, v = _enc_inputs(spark, sf)
+    e = ENC.pad_pairs(ENC.encode(toks, v, 256, 128), 256, 128, ignore_pad_token_for_loss=True)
+    return e.select("split", "pair_id", _ids_str("input_ids").alias("input_ids"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("n_attended"),
+                    _ids_str("labels").alias("labels"))
+
+
+@query("decode_ids")
+def q_decode_ids(spark, sf):
+    toks, v = _enc_inputs(spark, sf)
+    e = ENC.encode(toks, v, 1024, 128)
+    return ENC.decode(e, "input_ids", v).select("split", "pair_id", "text")
+
+
+@query("gen_len")
+def q_gen_len(spark, sf):
+    toks, v = _enc_inputs(spark, sf)
+    e = ENC.pad_pairs(ENC.encode(toks, v, 1024, 128), 1024, 128, ignore_pad_token_for_loss=False)
+    return ENC.gen_len(e, "labels", by=["split"]).select("split", r6(F.col("gen_len")).alias("gen_len"))
