@@ -768,3 +768,96 @@ def _():
 @oracle("gen_len")
 def _():
     return f"WITH {encode_sql().strip()}\nSELECT split, round(avg(len(labels)), 6) AS gen_len FROM enc GROUP BY split"
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+def _line(expr: str) -> str:
+    return X.strip(f"regexp_replace({expr}, '\\r\\n|\\r|\\n', ' ', 'g')")
+
+
+@oracle("read_lines")
+def _():
+    return f"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS line_no, {_line('text')} AS line FROM documents"
+
+
+@oracle("pair_lines")
+def _():
+    return f"""
+WITH {DOC_PAIRS.strip()},
+s AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS n, {_line('text')} AS source FROM documents),
+t AS (SELECT row_number() OVER (ORDER BY pair_id) - 1 AS n, {_line('target')} AS target FROM pairs WHERE pair_id % 10 <> 9)
+SELECT s.n::BIGINT AS pair_id, source, target FROM s JOIN t ON s.n = t.n"""
+
+
+@oracle("jsonl_roundtrip")
+def _():
+    return f"WITH {PAIRS.strip()}\nSELECT split, pair_id, source, target FROM pairs"
+
+
+ORACLE["corpus_union"] = ORACLE["jsonl_roundtrip"]
+
+RUNS = f"""
+{EVAL.strip()},
+runs AS (
+  SELECT system, (row_number() OVER (PARTITION BY system ORDER BY pair_id) - 1)::BIGINT AS line_no,
+         {_line('sys')} AS sys
+  FROM ev
+)"""
+
+
+@oracle("load_runs")
+def _():
+    return f"WITH {RUNS.strip()}\nSELECT system, line_no, sys FROM runs"
+
+
+@oracle("alignment_check")
+def _():
+    return f"""WITH {RUNS.strip()}
+SELECT system, (SELECT count(*) FROM pairs) AS n_orig, (SELECT count(*) FROM pairs) AS n_ref,
+       count(*) AS n_sys, count(*) = (SELECT count(*) FROM pairs) AS aligned
+FROM runs GROUP BY system"""
+
+
+@oracle("clean_predictions")
+def _():
+    lead = "array_to_string(" + X.sentence_array(X.plain_marked('source')) + "[1:3], ' ')"
+    return f"""WITH {PAIRS.strip()}
+SELECT (row_number() OVER (ORDER BY pair_id) - 1)::BIGINT AS line_no, {_line(X.cleanup(X.strip(lead)))} AS line
+FROM pairs"""
+
+
+@oracle("document_table")
+def _():
+    return f"""
+WITH {TOKENS.strip()},
+{LEMMA_DICT.strip()},
+tl AS (
+  SELECT t.doc_id, t.sent_idx, t.tok_idx, t.token, coalesce(nullif(l.lemma, '--'), t.token) AS lemma
+  FROM toks t LEFT JOIN lemma_dict l ON t.lang = l.lang AND t.token = l.token
+),
+ps AS (
+  SELECT doc_id, sent_idx, string_agg(token, ' ' ORDER BY tok_idx) AS tks, string_agg(lemma, ' ' ORDER BY tok_idx) AS lms
+  FROM tl GROUP BY doc_id, sent_idx
+),
+pd AS (
+  SELECT s.doc_id, s.sent_idx, s.sent, ps.tks, ps.lms FROM sents s JOIN ps ON s.doc_id = ps.doc_id AND s.sent_idx = ps.sent_idx
+)
+SELECT doc_id, count(*)::BIGINT AS n_sents, string_agg(sent, chr(1) ORDER BY sent_idx) AS sents,
+       string_agg(tks, chr(1) ORDER BY sent_idx) AS tokens, string_agg(lms, chr(1) ORDER BY sent_idx) AS lemmas
+FROM pd GROUP BY doc_id"""
+
+
+@oracle("encoded_sample")
+def _():
+    return (f"WITH {encode_sql().strip()}\n"
+            "SELECT e.pair_id, array_to_string(e.input_ids, ' ') AS input_ids, array_to_string(e.labels, ' ') AS labels, "
+            "array_to_string(list_filter(e.input_dec, lambda z: z IS NOT NULL), ' ') AS input_tokens, "
+            "array_to_string(list_filter(l.dec, lambda z: z IS NOT NULL), ' ') AS labels_tokens "
+            "FROM enc e LEFT JOIN ids l ON e.pair_id = l.pair_id AND l.side = 'labels' "
+            "WHERE e.split = 'train' ORDER BY e.pair_id LIMIT 1")
+
+
+@oracle("saved_metrics")
+def _():
+    return f"WITH {EVAL_STATS.strip()}\nSELECT 'test' AS prefix, system, metric, round(value, 6) AS value FROM metrics"

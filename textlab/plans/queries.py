@@ -414,3 +414,171 @@ def q_gen_len(spark, sf):
     toks, v = _enc_inputs(spark, sf)
     e = ENC.pad_pairs(ENC.encode(toks, v, 1024, 128), 1024, 128, ignore_pad_token_for_loss=False)
     return ENC.gen_len(e, "labels", by=["split"]).select("split", r6(F.col("gen_len")).alias("gen_len"))
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+import os  # noqa: E402
+
+from ..sources import files as IO  # noqa: E402
+
+
+def _doc_lines(spark, sf):
+    """Write the documents as a line file (doc_id order) and read it back."""
+    path = IO.scratch(spark, "doc-lines")
+    IO.write_lines(src.read_table(spark, sf, "documents"), path, "text", "doc_id")
+    return IO.read_lines(spark, path, per_dir=True)
+
+
+@query("read_lines")
+def q_read_lines(spark, sf):
+    return _doc_lines(spark, sf).select("line_no", "line")
+
+
+@query("pair_lines")
+def q_pair_lines(spark, sf):
+    """A source file and a target file with fewer lines (every tenth
+    document has no target), paired by position with truncation."""
+    src_lines = _doc_lines(spark, sf)
+    tgt_path = IO.scratch(spark, "tgt-lines")
+    tgt = src.document_pairs(spark, sf).where(F.pmod("pair_id", F.lit(10)) != 9)
+    IO.write_lines(tgt, tgt_path, "target", "pair_id")
+    return IO.pair_lines(src_lines, IO.read_lines(spark, tgt_path, per_dir=True))
+
+
+@query("jsonl_roundtrip")
+def q_jsonl_roundtrip(spark, sf):
+    """Pairs written as JSON lines partitioned by split, read back
+    with an explicit schema."""
+    path = IO.scratch(spark, "jsonl")
+    IO.write_jsonl(src.conversation_pairs(spark, sf), path, partition_by="split")
+    extra = IO.Ty.StructType([IO.Ty.StructField("pair_id", IO.Ty.LongType(), True)])
+    back = spark.read.schema(IO.Ty.StructType(list(extra.fields) + list(IO.PAIR_SCHEMA.fields)
+                                              + [IO.Ty.StructField("split", IO.Ty.StringType(), True)])).json(path)
+    return back.select("split", "pair_id", "source", "target")
+
+
+@query("corpus_union")
+def q_corpus_union(spark, sf):
+    """The three split files read by name and concatenated."""
+    path = IO.scratch(spark, "splits")
+    IO.write_jsonl(src.conversation_pairs(spark, sf), path, partition_by="split")
+    extra = IO.Ty.StructType([IO.Ty.StructField("pair_id", IO.Ty.LongType(), True)])
+    parts = [IO.read_jsonl(spark, os.path.join(path, f"split={s}"), extra).withColumn("split", F.lit(s))
+             for s in ("train", "val", "test")]
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out.select("split", "pair_id", "source", "target")
+
+
+def _written_runs(spark, sf):
+    """Prediction files of the three systems, one directory per system."""
+    ev = src.eval_table(src.conversation_pairs(spark, sf))
+    base = IO.scratch(spark, "runs")
+    for system in ("identity", "gold", "lead3"):
+        IO.write_lines(ev.where(F.col("system") == system), os.path.join(base, system), "sys", "pair_id")
+    IO.write_lines(ev.where(F.col("system") == "identity"), os.path.join(base, "orig"), "orig", "pair_id")
+    IO.write_lines(ev.where(F.col("system") == "identity"), os.path.join(base, "refs"), "ref", "pair_id")
+    return base
+
+
+@query("load_runs")
+def q_load_runs(spark, sf):
+    base = _written_runs(spark, sf)
+    return IO.load_runs(spark, [os.path.join(base, s) for s in ("identity", "gold", "lead3")])
+
+
+@query("alignment_check")
+def q_alignment_check(spark, sf):
+    base = _written_runs(spark, sf)
+    runs = IO.load_runs(spark, [os.path.join(base, s) for s in ("identity", "gold", "lead3")])
+    orig = IO.read_lines(spark, os.path.join(base, "orig"), per_dir=True)
+    ref = IO.read_lines(spark, os.path.join(base, "refs"), per_dir=True)
+    return IO.alignment_check(orig, ref, runs)
+
+
+@query("clean_predictions")
+def q_clean_predictions(spark, sf):
+    """S9 + N5: lead3 outputs stripped, cleaned, written one per line, read back."""
+    ev = src.eval_table(src.conversation_pairs(spark, sf)).where(F.col("system") == "lead3")
+    cleaned = ev.select("pair_id", T.tokenization_cleanup(T.strip("sys")).alias("pred"))
+    path = IO.scratch(spark, "predictions")
+    IO.write_lines(cleaned, path, "pred", "pair_id")
+    return IO.read_lines(spark, path, per_dir=True).select("line_no", "line")
+
+
+# ---------------------------------------------------------------- ROUGE-Lsum, full evaluation, nested view
+
+from ..operators import lcs as LCS  # noqa: E402
+
+
+@query("rouge_lsum")
+def q_rouge_lsum(spark, sf):
+    """A18 (no SQL oracle: LCS backtracking; tested against brute force)."""
+    r = LCS.rouge_lsum(EV.cluster_by_pair(_eval(spark, sf)))
+    return r.select("system", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "fmeasure")])
+
+
+@query("evaluate_runs")
+def q_evaluate_runs(spark, sf):
+    """All 19 metrics for every system in one job (long form)."""
+    m = EV.metric_table(_eval(spark, sf), with_lsum=True)
+    return m.select("system", "metric", r6(F.col("value")).alias("value"))
+
+
+@query("document_table")
+def q_document_table(spark, sf):
+    """T11 nested view, flattened for comparison: sentences joined by a
+    separator, tokens and lemmas joined by spaces within a sentence."""
+    d = S.document_table(src.documents(spark, sf), lexicon.builtin_lemmas(spark))
+    sep = "\u0001"
+    return d.select(
+        "doc_id",
+        F.size("sents").cast("bigint").alias("n_sents"),
+        F.array_join("sents", sep).alias("sents"),
+        F.array_join(F.transform("sents_tokenized", lambda s: F.array_join(s, " ")), sep).alias("tokens"),
+        F.array_join(F.transform("sents_lemmatized", lambda s: F.array_join(s, " ")), sep).alias("lemmas"),
+    )
+
+
+@query("encoded_sample")
+def q_encoded_sample(spark, sf):
+    """The first training row, encoded and decoded, written as JSON."""
+    toks, v = _enc_inputs(spark, sf)
+    e = ENC.encode(toks, v, 1024, 128).where(F.col("split") == "train")
+    first = e.orderBy("pair_id").limit(1)
+    dec_in = ENC.decode(first, "input_ids", v, out="input_tokens")
+    dec_lab = ENC.decode(first, "labels", v, out="labels_tokens")
+    row = first.join(dec_in, ["split", "pair_id"]).join(dec_lab, ["split", "pair_id"])
+    path = IO.scratch(spark, "batch-sample")
+    row.write.mode("overwrite").json(path)
+    back = spark.read.schema(row.schema).json(path)
+    return back.select("pair_id", _ids_str("input_ids").alias("input_ids"), _ids_str("labels").alias("labels"),
+                       "input_tokens", "labels_tokens")
+
+
+@query("saved_metrics")
+def q_saved_metrics(spark, sf):
+    """Metric rows appended to a metrics table, read back."""
+    path = IO.scratch(spark, "metrics")
+    m = EV.metric_table(_eval(spark, sf))
+    IO.save_metrics(m, path, "test")
+    back = spark.read.parquet(path)
+    return back.select("prefix", "system", "metric", r6(F.col("value")).alias("value"))
+
+
+@query("decoded_metrics")
+def q_decoded_metrics(spark, sf):
+    """Metrics on decoded ids (inputs as the system output), rounded to 4."""
+    toks, v = _enc_inputs(spark, sf)
+    e = ENC.encode(toks, v, 1024, 128)
+    ins = ENC.decode(e, "input_ids", v, out="orig")
+    labs = ENC.decode(e, "labels", v, out="ref")
+    ev = ins.join(labs, ["split", "pair_id"]).select(
+        F.lit("decoded").alias("system"), "pair_id", "orig", "ref", F.col("orig").alias("sys"))
+    m = EV.metric_table(ev, with_lsum=True).where(
+        F.col("metric").isin("R-1", "R-2", "R-L", "BLEU", "SARI"))
+    g = ENC.gen_len(e, "input_ids").select(F.lit("decoded").alias("system"), F.lit("gen_len").alias("metric"),
+                                           F.col("gen_len").alias("value"))
+    return m.unionByName(g).select("system", "metric", F.round("value", 4).alias("value"))

@@ -22,28 +22,33 @@ PAIR_SCHEMA = Ty.StructType([
 ])
 
 
-def read_lines(spark: SparkSession, paths, strip: bool = True) -> DataFrame:
+def read_lines(spark: SparkSession, paths, strip: bool = True, per_dir: bool = False) -> DataFrame:
     """(path, line_no, line) for every line of every file.
 
     Lines split on \\n, \\r\\n and \\r; ``strip`` removes surrounding
     whitespace as Python's ``str.strip``.  ``line_no`` counts from 0 within
-    each file, in file order (files in path order).
+    each file in file order -- or, with ``per_dir``, within each directory
+    across its part files in name order (a table written by Spark).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    path = F.col("_metadata.file_path")
+    unit = F.regexp_replace(path, "/[^/]*$", "") if per_dir else path
     raw = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
+        unit.alias("unit"),
+        path.alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("mid"),
         F.col("value").alias("line"),
     )
-    blocks = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("mid0"))
-    w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per input split: a bounded table, broadcast without risk
+    blocks = raw.groupBy("unit", "path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("mid0"))
+    w = Window.partitionBy("unit").orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per input split: a table bounded by the number of splits
     offsets = F.broadcast(blocks.select("path", "block", "mid0",
                                         F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset")))
     lines = raw.join(offsets, ["path", "block"])
     line = T.strip("line") if strip else F.col("line")
-    return lines.select("path", (F.col("offset") + F.col("mid") - F.col("mid0")).alias("line_no"), line.alias("line"))
+    return lines.select("unit", "path", (F.col("offset") + F.col("mid") - F.col("mid0")).alias("line_no"),
+                        line.alias("line"))
 
 
 def write_lines(df: DataFrame, path: str, text: str, order: str, mode: str = "overwrite") -> None:
@@ -82,7 +87,7 @@ def read_jsonl(spark: SparkSession, path: str, extra: Ty.StructType | None = Non
 def load_runs(spark: SparkSession, paths) -> DataFrame:
     """(system, line_no, sys) from prediction files; the run name is
     the name of the file's parent directory."""
-    lines = read_lines(spark, paths)
+    lines = read_lines(spark, paths, per_dir=True)
     return lines.select(T.run_name("path").alias("system"), "line_no", F.col("line").alias("sys"))
 
 
