@@ -144,9 +144,8 @@ COLLAPSE_RULE = (WS + "*" + SENT_MARK + SEP + "*", SENT_MARK)
 # a sentence.  Applied in order.
 END = "(" + SENT_MARK + "|$)"
 TOKEN_RULES = [
-    (r"([;@#$%&?!*])", r" \1 "),
-    (r"([\]\[(){}<>])", r" \1 "),
-    (r'(")', r" \1 "),
+    # punctuation, brackets and double quotes become tokens of their own
+    (r'([;@#$%&?!*\]\[(){}<>"])', r" \1 "),
     (r"([:,])([^0-9])", r" \1 \2"),
     (r"([:,])" + END, r" \1 \2"),
     (r"(\.\.+)", r" \1 "),

@@ -132,7 +132,7 @@ def mark_sentences(
     if enums:
         t = enum_mask(t)
     if paragraphs:
-        t = apply_rule(t, R.PARAGRAPH_RULE)
+        t = replace_literal(t, *R.PARAGRAPH_RULE)
     t = apply_rule(t, R.BOUNDARY_RULE)
     t = apply_rule(t, R.COLLAPSE_RULE)
     t = F.btrim(t, F.lit(R.WS_CHARS + R.SENT_MARK))
@@ -261,13 +261,19 @@ def novelty(a: ColumnOrName, b: ColumnOrName, n: int, clean: bool = True) -> Col
 def flesch(tokens: ColumnOrName, n_sents: ColumnOrName, lang: ColumnOrName) -> Column:
     """Flesch reading ease from tokens; words are tokens with a letter.
 
-    Syllables of a word = number of vowel runs, at least one.
+    Syllables of a word = number of vowel runs, at least one.  Counted with
+    three regex scans over the space-joined tokens (tokens hold no spaces)
+    instead of per-token filters.
     """
-    words = F.filter(_c(tokens), lambda t: t.rlike(r"\p{L}"))
-    w = F.size(words)
-    lowered = F.lower(F.array_join(words, " "))
-    vowel_runs = F.size(F.regexp_extract_all(lowered, F.lit("[" + R.VOWELS + "]+"), 0))
-    no_vowel = F.size(F.filter(words, lambda x: ~F.lower(x).rlike("[" + R.VOWELS + "]")))
+    t = _c(tokens)
+    vowels = "[" + R.VOWELS + "]"
+    one = F.array_join(t, " ")
+    two = F.concat(F.lit("  "), F.array_join(t, "  "), F.lit("  "))   # every token in its own spaces
+    w = F.size(F.regexp_extract_all(one, F.lit(r"[^ ]*\p{L}[^ ]*"), 0))
+    vowel_runs = F.size(F.regexp_extract_all(F.lower(one), F.lit(vowels + "+"), 0))
+    consonant = r"[^\P{L} " + R.VOWELS + "]"                          # a letter that is not a vowel
+    no_vowel = F.size(F.regexp_extract_all(
+        F.lower(two), F.lit(" [^ " + R.VOWELS + "]*" + consonant + "[^ " + R.VOWELS + "]* "), 0))
     y = vowel_runs + no_vowel
     en = R.FLESCH_CONSTANTS["en"]
     base, a, b = (F.lit(en[0]), F.lit(en[1]), F.lit(en[2]))

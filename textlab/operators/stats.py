@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import json
+
+from ..functions import rules as R
 from ..functions import text as T
 from . import segment as S
 
@@ -25,16 +28,36 @@ def vocab(docs: DataFrame, by: Sequence[str] = ("lang",), clean: bool = True) ->
     return toks.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+# Dictionaries up to this many entries are applied as a map inside the row.
+LEMMA_MAP_MAX = 10_000
+
+
+def lemma_map(lemma_dict: DataFrame) -> F.Column | None:
+    """A (lang SEP token) -> lemma map literal, or None when the dictionary
+    has more than LEMMA_MAP_MAX entries (checked with a count first)."""
+    d = lemma_dict.select(F.concat_ws(R.GRAM_SEP, "lang", "token").alias("k"), "lemma").dropDuplicates(["k"])
+    if d.count() > LEMMA_MAP_MAX:
+        return None
+    entries = {r.k: r.lemma for r in d.collect()}
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
 def lemma_arrays(arr: DataFrame, lemma_dict: DataFrame | None, keys: Sequence[str]) -> DataFrame:
     """T10 on token arrays: add ``lemmas`` aligned with ``toks``.
 
-    Without a dictionary lemmas are the tokens.  With one, tokens are
-    exploded with their position, looked up by a (size-checked) broadcast
-    join and folded back in order.  The fold groups by the row's own keys,
-    which the upstream hash partitioning already satisfies: no exchange.
+    Without a dictionary lemmas are the tokens.  A small dictionary (count
+    checked) is a map looked up inside the row: no explode, no join.  A
+    large one is joined: tokens are exploded with their position, looked up
+    by the (size-checked) join and folded back in order; the fold groups by
+    the row's own keys, which the upstream partitioning satisfies.
     """
     if lemma_dict is None:
         return arr.withColumn("lemmas", F.col("toks"))
+    m = lemma_map(lemma_dict)
+    if m is not None:
+        look = F.transform("toks", lambda t: F.coalesce(
+            F.nullif(F.element_at(m, F.concat_ws(R.GRAM_SEP, F.col("lang"), t)), F.lit("--")), t))
+        return arr.withColumn("lemmas", look)
     keys = list(keys)
     carry = [c for c in arr.columns if c not in keys and c != "toks"]
     ex = arr.select(*keys, *carry, F.posexplode_outer("toks").alias("pos", "token"))
@@ -109,26 +132,59 @@ def type_counts(table: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def corpus_stats(table: DataFrame, by: Sequence[str]) -> DataFrame:
-    """A9-A11 per group, from :func:`doc_table` output."""
+    """A9-A11 per group, from :func:`doc_table` output, in one pass.
+
+    Each document becomes one "doc" row carrying its statistics plus one
+    row per distinct cleaned token / lemma type.  A first aggregate by
+    (group, kind, type) de-duplicates types and pre-sums the doc rows (its
+    partial, map-side step collapses the one hot (group, "doc") key per
+    task); a second one by group counts types and finishes the sums.
+    """
     by = list(by)
-    agg = table.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("docs"),
-        F.sum("n_tokens").alias("tokens"),
-        F.sum("n_sents").alias("sentences"),
-        F.avg("n_tokens").alias("avg_words"),
-        F.avg("n_sents").alias("avg_sents"),
-        F.avg("ttr").alias("avg_ttr"),
-        F.avg("fre").alias("avg_fre"),
-        F.try_divide(F.sum("sum_token_len").cast("double"), F.sum("n_tokens").cast("double")).alias("avg_word_len"),
-        F.try_divide(F.sum("n_tokens").cast("double"), F.sum("n_sents").cast("double")).alias("avg_sent_len"),
+    num = ["n_tokens", "n_sents", "sum_token_len", "ttr", "fre"]
+    fields = [F.col(c).cast("double").alias(c) for c in num]
+    nulls = [F.lit(None).cast("double").alias(c) for c in num]
+    doc_row = F.array(F.struct(F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("t"), *fields))
+
+    def type_rows(col, kind):
+        return F.transform(col, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("t"), *nulls))
+
+    rows = table.select(*by, F.inline(F.concat(doc_row, type_rows("types", "raw"), type_rows("lemma_types", "lemma"))))
+    g1 = rows.groupBy(*by, "kind", "t").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(c).alias(f"s_{c}") for c in num],
+        F.count("ttr").alias("c_ttr"),
+        F.count("fre").alias("c_fre"),
+    )
+    is_doc = F.col("kind") == "doc"
+
+    def doc_sum(c):
+        return F.sum(F.when(is_doc, F.col(c)))
+
+    g2 = g1.groupBy(*by).agg(
+        doc_sum("n").alias("docs"),
+        doc_sum("s_n_tokens").alias("tokens"),
+        doc_sum("s_n_sents").alias("sentences"),
+        doc_sum("s_sum_token_len").alias("sum_len"),
+        doc_sum("s_ttr").alias("sum_ttr"), doc_sum("c_ttr").alias("n_ttr"),
+        doc_sum("s_fre").alias("sum_fre"), doc_sum("c_fre").alias("n_fre"),
+        F.count_if(F.col("kind") == "raw").alias("types_raw"),
+        F.count_if(F.col("kind") == "lemma").alias("types_lemmas"),
     )
-    types = type_counts(table, by)
-    out = agg.join(types, by, "left")
-    return out.select(
-        *by, "docs", "tokens", "sentences",
-        F.coalesce("types_raw", F.lit(0)).cast("bigint").alias("types_raw"),
-        F.coalesce("types_lemmas", F.lit(0)).cast("bigint").alias("types_lemmas"),
-        "avg_words", "avg_sents", "avg_ttr", "avg_fre", "avg_word_len", "avg_sent_len",
+    div = F.try_divide
+    return g2.select(
+        *by,
+        F.col("docs").cast("bigint").alias("docs"),
+        F.col("tokens").cast("bigint").alias("tokens"),
+        F.col("sentences").cast("bigint").alias("sentences"),
+        F.col("types_raw").cast("bigint").alias("types_raw"),
+        F.col("types_lemmas").cast("bigint").alias("types_lemmas"),
+        div(F.col("tokens"), F.col("docs").cast("double")).alias("avg_words"),
+        div(F.col("sentences"), F.col("docs").cast("double")).alias("avg_sents"),
+        div(F.col("sum_ttr"), F.col("n_ttr").cast("double")).alias("avg_ttr"),
+        div(F.col("sum_fre"), F.col("n_fre").cast("double")).alias("avg_fre"),
+        div(F.col("sum_len"), F.col("tokens")).alias("avg_word_len"),
+        div(F.col("tokens"), F.col("sentences")).alias("avg_sent_len"),
     )
 
 

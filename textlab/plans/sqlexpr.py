@@ -69,7 +69,7 @@ def mark_sentences(text: str, lang: str | None = None, enums: bool = True, parag
     if enums:
         t = enum_mask(t)
     if paragraphs:
-        t = rx(t, R.PARAGRAPH_RULE)
+        t = rep(t, *R.PARAGRAPH_RULE)
     t = rx(t, R.BOUNDARY_RULE)
     t = rx(t, R.COLLAPSE_RULE)
     t = f"trim({t}, {q(R.WS_CHARS + R.SENT_MARK)})"
