@@ -146,6 +146,56 @@ def sari(stats: DataFrame) -> DataFrame:
     return per_sys.select("*", ((F.col("sari_add") + F.col("sari_keep") + F.col("sari_del")) / 3).alias("sari"))
 
 
+SARI_PARTS = ("add_sys", "add_ref", "add_ok", "keep_sys", "keep_ref", "keep_ok", "del_sys", "del_ref", "del_ok")
+
+
+def ngram_metrics(stats: DataFrame) -> DataFrame:
+    """ROUGE-1/2 (P, R, F), BLEU and SARI for every system from ONE
+    aggregation of the per-(pair, kind, n) statistics.
+
+    Columns: system, r{n}_p, r{n}_r, r{n}_f, bleu, sari_add, sari_keep,
+    sari_del, sari.
+    """
+    kind, n = F.col("kind"), F.col("n")
+    aggs = []
+    for k in ROUGE_ORDERS:
+        on = (kind == "rouge") & (n == k)
+        p = F.col("hits") / F.greatest(F.col("sys_total"), F.lit(1))
+        r = F.col("hits") / F.greatest(F.col("ref_total"), F.lit(1))
+        aggs += [F.avg(F.when(on, p)).alias(f"r{k}_p"), F.avg(F.when(on, r)).alias(f"r{k}_r"),
+                 F.avg(F.when(on, _f1(p, r))).alias(f"r{k}_f")]
+    for k in BLEU_ORDERS:
+        on = (kind == "bleu") & (n == k)
+        aggs += [F.sum(F.when(on, F.col("hits"))).alias(f"c{k}"), F.sum(F.when(on, F.col("sys_total"))).alias(f"t{k}")]
+        on_s = (kind == "sari") & (n == k)
+        aggs += [F.sum(F.when(on_s, F.col(c))).alias(f"{c}{k}") for c in SARI_PARTS]
+    aggs.append(F.sum(F.when((kind == "bleu") & (n == 1), F.col("ref_total"))).alias("ref_len"))
+    g = stats.groupBy("system").agg(*aggs)
+
+    logs, k_smooth = [], F.lit(0)
+    for k in BLEU_ORDERS:
+        c, t = F.col(f"c{k}"), F.col(f"t{k}")
+        k_smooth = k_smooth + F.when((t > 0) & (c == 0), 1).otherwise(0)
+        p = F.when(t == 0, F.lit(0.0)).when(c > 0, 100.0 * c / t).otherwise(100.0 / (F.pow(F.lit(2.0), k_smooth) * t))
+        logs.append(F.when(p > 0, F.log(p)).otherwise(F.lit(-9999999999.0)))
+    sys_len, ref_len = F.col("t1"), F.col("ref_len")
+    bp = F.when(sys_len >= ref_len, F.lit(1.0)).when(sys_len > 0, F.exp(1 - ref_len / sys_len)).otherwise(F.lit(0.0))
+    bleu_score = bp * F.exp(reduce(lambda a, x: a + x, logs) / len(BLEU_ORDERS))
+
+    def op_mean(op):
+        f1s = [_f1(_safe_div(F.col(f"{op}_ok{k}"), F.col(f"{op}_sys{k}")),
+                   _safe_div(F.col(f"{op}_ok{k}"), F.col(f"{op}_ref{k}"))) for k in BLEU_ORDERS]
+        return reduce(lambda a, x: a + x, f1s) / len(BLEU_ORDERS) * 100
+
+    out = g.select(
+        "system",
+        *[(F.col(f"r{k}_{x}") * 100).alias(f"r{k}_{x}") for k in ROUGE_ORDERS for x in ("p", "r", "f")],
+        bleu_score.alias("bleu"),
+        op_mean("add").alias("sari_add"), op_mean("keep").alias("sari_keep"), op_mean("del").alias("sari_del"),
+    )
+    return out.withColumn("sari", (F.col("sari_add") + F.col("sari_keep") + F.col("sari_del")) / 3)
+
+
 def surface_stats(ev: DataFrame) -> DataFrame:
     """Per system means of |x|_w, |x|_s, |y|_w, |y|_s, CMP_w, CMP_s and
     surface-token novelty n=1,2 (x100)."""
@@ -178,20 +228,13 @@ def _long(df: DataFrame, mapping: list[tuple[str, str]]) -> DataFrame:
 
 def metric_table(ev: DataFrame, with_lsum: bool = False) -> DataFrame:
     """Long (system, metric, value) for all systems in one job."""
-    stats = pair_order_stats(ngram_counts(ev))
-    rouge = rouge_n(stats)
-    rouge_long = rouge.select(
-        "system", F.inline(F.array(
-            F.struct(F.concat(F.lit("R-"), F.col("n").cast("string")).alias("metric"), F.col("fmeasure").alias("value")),
-            F.struct(F.concat(F.lit("R-"), F.col("n").cast("string"), F.lit("_p")).alias("metric"),
-                     F.col("precision").alias("value")),
-            F.struct(F.concat(F.lit("R-"), F.col("n").cast("string"), F.lit("_r")).alias("metric"),
-                     F.col("recall").alias("value")),
-        )))
+    gram = ngram_metrics(pair_order_stats(ngram_counts(ev)))
+    mapping = []
+    for k in ROUGE_ORDERS:
+        mapping += [(f"R-{k}", f"r{k}_f"), (f"R-{k}_p", f"r{k}_p"), (f"R-{k}_r", f"r{k}_r")]
+    mapping += [("BLEU", "bleu"), ("SARI", "sari")]
     parts = [
-        rouge_long,
-        _long(bleu(stats), [("BLEU", "bleu")]),
-        _long(sari(stats), [("SARI", "sari")]),
+        _long(gram, mapping),
         _long(surface_stats(ev), [
             ("|x|_w", "x_w"), ("|x|_s", "x_s"), ("|y|_w", "y_w"), ("|y|_s", "y_s"),
             ("CMP_w", "cmp_w"), ("CMP_s", "cmp_s"), ("Nov. (n=1)", "nov_1"), ("Nov. (n=2)", "nov_2"),
