@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions import text as T
 from ..operators import stats as A
 from ..sources.tables import spread
 
@@ -56,8 +57,120 @@ def pair_measures(table: DataFrame) -> DataFrame:
     return measured.select("pair_id", "nov_1", "nov_2", "nov_3", A.compression("src_n", "tgt_n").alias("cmp"))
 
 
+NUM = ["n_tokens", "n_sents", "sum_token_len", "ttr", "fre", "nov_1", "nov_2", "nov_3", "cmp"]
+
+
+def _side_arrays(p: DataFrame, lemma_dict: DataFrame | None) -> DataFrame:
+    """Per pair: sentence counts, tokens and lemmas of both sides (one row)."""
+    staged = p.select("pair_id", "lang",
+                      T.mark_sentences("source", "lang").alias("s_m"), T.mark_sentences("target", "lang").alias("t_m"))
+    arr = staged.select(
+        "pair_id", "lang",
+        F.size(T.sentence_array("s_m")).cast("bigint").alias("s_ns"), T.token_array("s_m").alias("s_toks"),
+        F.size(T.sentence_array("t_m")).cast("bigint").alias("t_ns"), T.token_array("t_m").alias("t_toks"),
+    )
+    m = A.lemma_map(lemma_dict) if lemma_dict is not None else None
+
+    def lem(col):
+        if m is None:
+            return F.col(col)
+        return F.transform(col, lambda t: F.coalesce(
+            F.nullif(F.element_at(m, F.concat_ws(R.GRAM_SEP, F.col("lang"), t)), F.lit("--")), t))
+
+    return arr.select("*", lem("s_toks").alias("s_lem"), lem("t_toks").alias("t_lem"))
+
+
+def _one_pass_report(pairs: DataFrame, lemma_dict: DataFrame) -> DataFrame:
+    """A23 in one scan: each pair row emits one "doc" row per side, one
+    "pair" row (novelty, compression) and one row per distinct type; a
+    first aggregate by (side, kind, type) de-duplicates types and pre-sums,
+    a second by side finishes."""
+    lang = F.col("lang") if "lang" in pairs.columns else F.lit("en")
+    p = spread(pairs.select("pair_id", lang.alias("lang"), "source", "target"), "pair_id")
+    arr = _side_arrays(p, lemma_dict)
+    arr = A.with_novelty(arr, "s_lem", "t_lem", (1, 2, 3))
+
+    def dbl(c):
+        return c.cast("double")
+
+    def doc_row(side, x):
+        n_tok = F.size(f"{x}_toks")
+        vals = {
+            "n_tokens": dbl(n_tok), "n_sents": dbl(F.col(f"{x}_ns")),
+            "sum_token_len": dbl(F.length(F.array_join(f"{x}_toks", ""))),
+            "ttr": F.try_divide(dbl(F.size(F.array_distinct(T.clean_tokens(f"{x}_lem")))), dbl(n_tok)),
+            "fre": T.flesch(f"{x}_toks", f"{x}_ns", "lang"),
+        }
+        return F.struct(F.lit(side).alias("side"), F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("t"),
+                        *[(vals[c] if c in vals else F.lit(None).cast("double")).alias(c) for c in NUM])
+
+    pair_vals = {"nov_1": F.col("nov_1"), "nov_2": F.col("nov_2"), "nov_3": F.col("nov_3"),
+                 "cmp": A.compression(F.size("s_toks"), F.size("t_toks"))}
+    pair_row = F.struct(F.lit("target").alias("side"), F.lit("pair").alias("kind"), F.lit(None).cast("string").alias("t"),
+                        *[(pair_vals[c] if c in pair_vals else F.lit(None).cast("double")).alias(c) for c in NUM])
+
+    def type_rows(side, kind, col):
+        nulls = [F.lit(None).cast("double").alias(c) for c in NUM]
+        return F.transform(F.array_distinct(T.clean_tokens(col)), lambda v: F.struct(
+            F.lit(side).alias("side"), F.lit(kind).alias("kind"), v.alias("t"), *nulls))
+
+    rows = arr.select(F.inline(F.concat(
+        F.array(doc_row("source", "s"), doc_row("target", "t"), pair_row),
+        type_rows("source", "raw", "s_toks"), type_rows("source", "lemma", "s_lem"),
+        type_rows("target", "raw", "t_toks"), type_rows("target", "lemma", "t_lem"),
+    )))
+    g1 = rows.groupBy("side", "kind", "t").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in NUM],
+        *[F.count(c).alias(f"c_{c}") for c in ("ttr", "fre", "cmp")])
+    kind = F.col("kind")
+
+    def ksum(k, c):
+        return F.sum(F.when(kind == k, F.col(c)))
+
+    g2 = g1.groupBy("side").agg(
+        ksum("doc", "n").alias("docs"),
+        ksum("doc", "s_n_tokens").alias("tokens"), ksum("doc", "s_n_sents").alias("sentences"),
+        ksum("doc", "s_sum_token_len").alias("sum_len"),
+        ksum("doc", "s_ttr").alias("sum_ttr"), ksum("doc", "c_ttr").alias("n_ttr"),
+        ksum("doc", "s_fre").alias("sum_fre"), ksum("doc", "c_fre").alias("n_fre"),
+        F.count_if(kind == "raw").alias("types_raw"), F.count_if(kind == "lemma").alias("types_lemmas"),
+        ksum("pair", "n").alias("pairs"), ksum("pair", "s_nov_1").alias("nov_1"),
+        ksum("pair", "s_nov_2").alias("nov_2"), ksum("pair", "s_nov_3").alias("nov_3"),
+        ksum("pair", "s_cmp").alias("sum_cmp"), ksum("pair", "c_cmp").alias("n_cmp"),
+    )
+    div = F.try_divide
+    stats = g2.select(
+        "side", "docs", "tokens", "sentences", "types_raw", "types_lemmas",
+        div(F.col("tokens"), dbl(F.col("docs"))).alias("avg_words"),
+        div(F.col("sentences"), dbl(F.col("docs"))).alias("avg_sents"),
+        div(F.col("sum_ttr"), dbl(F.col("n_ttr"))).alias("avg_ttr"),
+        div(F.col("sum_fre"), dbl(F.col("n_fre"))).alias("avg_fre"),
+        div(F.col("sum_len"), F.col("tokens")).alias("avg_word_len"),
+        div(F.col("tokens"), F.col("sentences")).alias("avg_sent_len"),
+        *[(div(F.col(f"nov_{k}"), dbl(F.col("pairs"))) * 100).alias(f"nov_{k}") for k in (1, 2, 3)],
+        div(F.col("sum_cmp"), dbl(F.col("n_cmp"))).alias("cmp"),
+    )
+    n = len(STAT_COLUMNS)
+    entries = [(i, name, c) for i, (name, c) in enumerate(STAT_COLUMNS)]
+    entries += [(n + k, f"Novelty (n={k + 1})", f"nov_{k + 1}") for k in range(3)] + [(n + 3, "CMP", "cmp")]
+    stack = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(name).alias("statistic"), dbl(F.col(c)).alias("value"))
+                      for i, name, c in entries])
+    long = stats.select("side", F.inline(stack))
+    return long.groupBy("ord", "statistic").agg(
+        F.first(F.when((F.col("side") == "source") & (F.col("ord") < n), F.col("value")), ignorenulls=True).alias("source"),
+        F.first(F.when(F.col("side") == "target", F.col("value")), ignorenulls=True).alias("target"),
+    )
+
+
 def corpus_report(pairs: DataFrame, lemma_dict: DataFrame | None = None) -> DataFrame:
-    """(statistic, source, target) as doubles, in report order (``ord``)."""
+    """(ord, statistic, source, target) as doubles, in report order.
+
+    One pass when the lemma dictionary is small enough for an in-row map
+    (or absent); otherwise the side table with a lemma join is aggregated
+    twice (statistics, pair measures).
+    """
+    if lemma_dict is None or A.lemma_map(lemma_dict) is not None:
+        return _one_pass_report(pairs, lemma_dict)
     table = side_table(pairs, lemma_dict)
     stats = A.corpus_stats(table, ["side"])
     stack = F.array(*[
