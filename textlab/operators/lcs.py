@@ -33,44 +33,64 @@ from ..functions import text as T
 MAX_CELLS = 16_000_000
 
 
-def _union_positions(r: np.ndarray, can: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Positions of r on the LCS path with any of the candidate segments."""
-    m, n = len(r), len(can)
+def _union_hits(refs: np.ndarray, ref_lens: np.ndarray, can: np.ndarray, starts: np.ndarray,
+                lens: np.ndarray) -> np.ndarray:
+    """(R, M) booleans: reference position on the LCS path with any candidate.
+
+    ``refs`` holds R reference sentences padded with -1 to M tokens; ``can``
+    the candidate sentences concatenated (segment starts/lengths given).
+    All R x n DP cells of one row index advance in one NumPy step; the
+    backtrack walks all R x S (reference, candidate) paths in lockstep.
+    """
+    n_ref, m = refs.shape
+    n = len(can)
     seg = np.repeat(np.arange(len(lens)), lens)
     first = np.zeros(n, dtype=bool)
     first[starts] = True
-    offset = seg.astype(np.int64) * (m + 1)
-    table = np.zeros((m + 1, n), dtype=np.int32)
-    prev = table[0]
+    offset = (seg.astype(np.int64) * (m + 1))[None, :]
+    table = np.zeros((m + 1, n_ref, n), dtype=np.int32)
     for i in range(1, m + 1):
-        eq = (can == r[i - 1]).astype(np.int32)
-        diag = np.empty(n, dtype=np.int32)
-        diag[0] = 0
-        diag[1:] = prev[:-1]
-        diag[first] = 0
+        prev = table[i - 1]
+        eq = (refs[:, i - 1][:, None] == can[None, :]).astype(np.int32)
+        diag = np.zeros_like(prev)
+        diag[:, 1:] = prev[:, :-1]
+        diag[:, first] = 0
         cand = np.maximum(prev, diag + eq)
-        row = np.maximum.accumulate(cand + offset) - offset
-        table[i] = row
-        prev = table[i]
-    # lockstep backtrack over all segments
-    i = np.full(len(lens), m, dtype=np.int64)
-    j = lens.astype(np.int64).copy()
-    hit = np.zeros(m, dtype=bool)
+        table[i] = np.maximum.accumulate(cand + offset, axis=1) - offset
+    # one path per (reference sentence, candidate sentence)
+    k = np.repeat(np.arange(n_ref), len(lens))
+    st = np.tile(starts, n_ref)
+    i = ref_lens[k].astype(np.int64)
+    j = np.tile(lens, n_ref).astype(np.int64)
+    hit = np.zeros((n_ref, m), dtype=bool)
     while True:
-        act = (i > 0) & (j > 0)
-        if not act.any():
+        act = np.nonzero((i > 0) & (j > 0))[0]
+        if len(act) == 0:
             break
-        ia, ja = i[act], j[act]
-        col = starts[act] + ja - 1
-        match = r[ia - 1] == can[col]
-        hit[ia[match] - 1] = True
-        left = np.where(ja > 1, table[ia, np.maximum(col - 1, 0)], 0)
-        up = table[ia - 1, col]
+        ka, ia, ja = k[act], i[act], j[act]
+        col = st[act] + ja - 1
+        match = refs[ka, ia - 1] == can[col]
+        hit[ka[match], ia[match] - 1] = True
+        left = np.where(ja > 1, table[ia, ka, np.maximum(col - 1, 0)], 0)
+        up = table[ia - 1, ka, col]
         go_left = ~match & (left > up)
         go_up = ~match & ~go_left
         i[act] = ia - match - go_up
         j[act] = ja - match - go_left
-    return np.nonzero(hit)[0]
+    return hit
+
+
+def _chunks(sizes: np.ndarray, budget: int) -> list[tuple[int, int]]:
+    """Consecutive ranges whose total size stays within budget (>= 1 item)."""
+    out, k = [], 0
+    while k < len(sizes):
+        total, e = 0, k
+        while e < len(sizes) and (e == k or total + sizes[e] <= budget):
+            total += sizes[e]
+            e += 1
+        out.append((k, e))
+        k = e
+    return out
 
 
 def lsum_counts(ref_sents, sys_sents) -> tuple[int, int, int]:
@@ -86,24 +106,28 @@ def lsum_counts(ref_sents, sys_sents) -> tuple[int, int, int]:
     cans_c = [code(s) for s in cans]
     refs_c = [code(s) for s in refs]
     sys_counts = np.bincount(np.concatenate(cans_c), minlength=len(vocab))
+    can_lens = np.array([len(c) for c in cans_c], dtype=np.int64)
+    ref_lens = np.array([len(r) for r in refs_c], dtype=np.int64)
+    max_m = int(ref_lens.max())
+    hit_all = [np.zeros(len(r), dtype=bool) for r in refs_c]
+    # candidate chunks: one reference row of the table stays within budget
+    for c0, c1 in _chunks(can_lens, max(1, MAX_CELLS // (max_m + 1))):
+        lens = can_lens[c0:c1]
+        starts = np.concatenate(([0], np.cumsum(lens)[:-1])).astype(np.int64)
+        can = np.concatenate(cans_c[c0:c1])
+        # reference chunks: (longest + 1) x sentences x candidates within budget
+        per_ref = (ref_lens + 1) * len(can)
+        for r0, r1 in _chunks(per_ref, MAX_CELLS):
+            rl = ref_lens[r0:r1]
+            padded = np.full((r1 - r0, int(rl.max())), -1, dtype=np.int64)
+            for q, r in enumerate(refs_c[r0:r1]):
+                padded[q, :len(r)] = r
+            hit = _union_hits(padded, rl, can, starts, lens)
+            for q in range(r1 - r0):
+                hit_all[r0 + q] |= hit[q, :rl[q]]
     union_counts = np.zeros(len(vocab), dtype=np.int64)
-    lens_all = np.array([len(c) for c in cans_c], dtype=np.int64)
-    for r in refs_c:
-        budget = max(1, MAX_CELLS // (len(r) + 1))
-        hit_tokens = []
-        k = 0
-        while k < len(cans_c):
-            total, e = 0, k
-            while e < len(cans_c) and (e == k or total + lens_all[e] <= budget):
-                total += lens_all[e]
-                e += 1
-            lens = lens_all[k:e]
-            starts = np.concatenate(([0], np.cumsum(lens)[:-1])).astype(np.int64)
-            pos = _union_positions(r, np.concatenate(cans_c[k:e]), starts, lens)
-            hit_tokens.append(pos)
-            k = e
-        united = np.unique(np.concatenate(hit_tokens)) if hit_tokens else np.array([], dtype=np.int64)
-        np.add.at(union_counts, r[united], 1)
+    for r, h in zip(refs_c, hit_all):
+        np.add.at(union_counts, r[h], 1)
     hits = int(np.minimum(union_counts, sys_counts).sum())
     return hits, m, n
 
