@@ -227,7 +227,12 @@ def _long(df: DataFrame, mapping: list[tuple[str, str]]) -> DataFrame:
 
 
 def metric_table(ev: DataFrame, with_lsum: bool = False) -> DataFrame:
-    """Long (system, metric, value) for all systems in one job."""
+    """Long (system, metric, value) for all systems in one job.
+
+    The eval rows are clustered by pair_id once; the n-gram, surface and
+    LCS branches all start from that partitioning.
+    """
+    ev = cluster_by_pair(ev)
     gram = ngram_metrics(pair_order_stats(ngram_counts(ev)))
     mapping = []
     for k in ROUGE_ORDERS:
