@@ -861,3 +861,55 @@ def _():
 @oracle("saved_metrics")
 def _():
     return f"WITH {EVAL_STATS.strip()}\nSELECT 'test' AS prefix, system, metric, round(value, 6) AS value FROM metrics"
+
+
+# ---------------------------------------------------------------- further inventory keys
+
+def _marked_all_langs(text: str) -> str:
+    words = R.EXTRA_ABBREVIATIONS["de"]
+    t = X.rx(text, R.abbreviation_rule(list(words)))
+    t = X.enum_mask(t)
+    t = X.rep(t, *R.PARAGRAPH_RULE)
+    t = X.rx(t, R.BOUNDARY_RULE)
+    t = X.rx(t, R.COLLAPSE_RULE)
+    t = f"trim({t}, {X.q(R.WS_CHARS + R.SENT_MARK)})"
+    t = X.enum_unmask(t)
+    return X.rep(t, R.ABBR_MARK, ".")
+
+
+@oracle("sentences_abbrev")
+def _():
+    s = X.sentence_array(_marked_all_langs("text"))
+    return f"""
+SELECT doc_id, sent_idx::BIGINT AS sent_idx, sent FROM (
+  SELECT doc_id, unnest(range(0, len(s))) AS sent_idx, unnest(s) AS sent
+  FROM (SELECT doc_id, {s} AS s FROM documents)
+)"""
+
+
+@oracle("ngram_overlap")
+def _():
+    cols = ", ".join(f"{c}::BIGINT AS {c}" for c in (
+        "hits", "sys_total", "ref_total", "add_sys", "add_ref", "add_ok", "keep_sys", "keep_ref", "keep_ok",
+        "del_sys", "del_ref", "del_ok"))
+    return f"WITH {EVAL_STATS.strip()}\nSELECT system, pair_id, kind, n::BIGINT AS n, {cols} FROM st"
+
+
+@oracle("novel_ngrams")
+def _():
+    parts = " UNION ALL ".join(
+        f"SELECT pair_id, {n}::BIGINT AS n, len(list_distinct(gb{n})) - len(list_intersect(list_distinct(gb{n}), ga{n})) "
+        f"AS novel, len(list_distinct(gb{n})) AS total FROM pg" for n in (1, 2, 3))
+    grams = ", ".join(f"{X.ngrams('a', n, f'x{n}')} AS ga{n}, {X.ngrams('b', n, f'y{n}')} AS gb{n}" for n in (1, 2, 3))
+    return (f"WITH {PAIR_TOKENS.strip()},\n"
+            f"pc AS (SELECT pair_id, {X.clean_tokens('src')} AS a, {X.clean_tokens('tgt')} AS b FROM pt),\n"
+            f"pg AS (SELECT pair_id, {grams} FROM pc)\n"
+            f"SELECT pair_id, n, novel::BIGINT AS novel, total::BIGINT AS total FROM ({parts})")
+
+
+@oracle("mask_labels")
+def _():
+    plab = _pad("labels", 128)
+    return (f"WITH {encode_sql().strip()}\n"
+            f"SELECT split, pair_id, array_to_string(list_transform({plab}, lambda y: CASE WHEN y = 0 THEN -100 ELSE y END), ' ') "
+            f"AS labels, greatest(128 - len(labels), 0)::BIGINT AS n_ignored FROM enc")

@@ -582,3 +582,52 @@ def q_decoded_metrics(spark, sf):
     g = ENC.gen_len(e, "input_ids").select(F.lit("decoded").alias("system"), F.lit("gen_len").alias("metric"),
                                            F.col("gen_len").alias("value"))
     return m.unionByName(g).select("system", "metric", F.round("value", 4).alias("value"))
+
+
+# ---------------------------------------------------------------- further inventory keys
+
+from ..functions import rules as RULES  # noqa: E402
+
+
+@query("sentences_abbrev")
+def q_sentences_abbrev(spark, sf):
+    """T5 as a parameter: the German abbreviation list applied to every
+    document, whatever its language."""
+    d = src.documents(spark, sf)
+    abbr = {code: RULES.EXTRA_ABBREVIATIONS["de"] for code in ("de", "en", "fr", "es")}
+    sents = T.sentence_array(T.mark_sentences("text", "lang", abbreviations=abbr))
+    return T.explode_rows(d, sents, "sent", "sent_idx", keep=("doc_id",)).select(
+        "doc_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), "sent")
+
+
+@query("ngram_overlap")
+def q_ngram_overlap(spark, sf):
+    """Per (system, pair, kind, n) clipped overlap, totals and SARI parts."""
+    st = _stats(spark, sf)
+    cols = ["hits", "sys_total", "ref_total", "add_sys", "add_ref", "add_ok", "keep_sys", "keep_ref", "keep_ok",
+            "del_sys", "del_ref", "del_ok"]
+    return st.select("system", "pair_id", "kind", F.col("n").cast("bigint").alias("n"),
+                     *[F.col(c).cast("bigint").alias(c) for c in cols])
+
+
+@query("novel_ngrams")
+def q_novel_ngrams(spark, sf):
+    """Per pair and n, distinct target n-grams absent from the source, and
+    all distinct target n-grams (cleaned tokens)."""
+    p = _pair_tokens(spark, sf).select("pair_id", T.clean_tokens("src").alias("a"), T.clean_tokens("tgt").alias("b"))
+    per_n = F.array(*[F.struct(F.lit(n).cast("bigint").alias("n"),
+                               F.array_distinct(T.ngrams("b", n)).alias("gb"), T.ngrams("a", n).alias("ga"))
+                      for n in (1, 2, 3)])
+    x = p.select("pair_id", F.inline(per_n))
+    return x.select("pair_id", "n", F.size(F.array_except("gb", "ga")).cast("bigint").alias("novel"),
+                    F.size("gb").cast("bigint").alias("total"))
+
+
+@query("mask_labels")
+def q_mask_labels(spark, sf):
+    """E5: labels padded to 128 with padding replaced by -100."""
+    toks, v = _enc_inputs(spark, sf)
+    e = ENC.encode(toks, v, 1024, 128)
+    masked = e.select("split", "pair_id", ENC.mask_labels(ENC.pad("labels", 128)).alias("labels"))
+    return masked.select("split", "pair_id", _ids_str("labels").alias("labels"),
+                         F.size(F.filter("labels", lambda x: x == ENC.IGNORE_ID)).cast("bigint").alias("n_ignored"))
