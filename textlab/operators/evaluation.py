@@ -45,13 +45,14 @@ def _token_columns(ev: DataFrame) -> DataFrame:
     )
 
 
-def ngram_counts(ev: DataFrame) -> DataFrame:
+def ngram_counts(ev: DataFrame, clustered: bool = False) -> DataFrame:
     """(system, pair_id, kind, n, gram, c_orig, c_ref, c_sys).
 
     Every (system, pair_id, kind, n) also has one row with a NULL gram and
     zero counts, so pairs without n-grams still take part in the means.
+    ``clustered``: the rows are already hash-partitioned by pair_id.
     """
-    toks = _token_columns(cluster_by_pair(ev))
+    toks = _token_columns(ev if clustered else cluster_by_pair(ev))
     specs = []
     for n in ROUGE_ORDERS:
         specs += [("rouge", n, REF, "r_ref"), ("rouge", n, SYS, "r_sys")]
@@ -226,14 +227,14 @@ def _long(df: DataFrame, mapping: list[tuple[str, str]]) -> DataFrame:
     return df.select("system", F.inline(arr))
 
 
-def metric_table(ev: DataFrame, with_lsum: bool = False) -> DataFrame:
+def metric_table(ev: DataFrame, with_lsum: bool = False, clustered: bool = False) -> DataFrame:
     """Long (system, metric, value) for all systems in one job.
 
     The eval rows are clustered by pair_id once; the n-gram, surface and
     LCS branches all start from that partitioning.
     """
-    ev = cluster_by_pair(ev)
-    gram = ngram_metrics(pair_order_stats(ngram_counts(ev)))
+    ev = ev if clustered else cluster_by_pair(ev)
+    gram = ngram_metrics(pair_order_stats(ngram_counts(ev, clustered=True)))
     mapping = []
     for k in ROUGE_ORDERS:
         mapping += [(f"R-{k}", f"r{k}_f"), (f"R-{k}_p", f"r{k}_p"), (f"R-{k}_r", f"r{k}_r")]

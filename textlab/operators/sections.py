@@ -26,56 +26,50 @@ SECTION_COLUMNS = [
 
 def sections(docs: DataFrame, pattern: str = R.DEFAULT_TITLE_PATTERN, first_title: str = R.UNNAMED_TITLE,
              text: str = "text") -> DataFrame:
+    """One pass: each document's sections (preamble first, when there is
+    one) are built as an array in its row, numbered by ``posexplode_outer``
+    and given spans by one running-sum window."""
     t = F.col(text)
     parts = docs.select(
         "doc_id",
         F.regexp_extract_all(t, F.lit(pattern), 0).alias("titles"),
         F.regexp_extract_all(t, F.lit(pattern), 1).alias("norms"),
         F.split(t, pattern, -1).alias("bodies"),
-    ).where(F.size("titles") > 0)
-    pre = F.element_at("bodies", 1)
-    matched = parts.select(
-        "doc_id",
-        F.length(pre).alias("pre_len"),
-        F.posexplode(F.arrays_zip(
-            F.col("titles").alias("title"),
-            F.col("norms").alias("norm"),
-            F.slice("bodies", 2, F.size("bodies")).alias("body"),
-        )).alias("i", "s"),
-    ).select(
-        "doc_id", "pre_len", "i",
-        F.col("s.title").alias("title"), F.col("s.norm").alias("title_normalized"), F.col("s.body").alias("text"),
     )
-    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.col("pre_len") + F.coalesce(F.sum(F.length("title") + F.length("text")).over(w), F.lit(0))
-    matched = matched.select("*", offset.cast("int").alias("start"))
-    shift = F.when(F.col("pre_len") > 0, 1).otherwise(0)
-    titled = matched.select(
-        "doc_id",
-        (F.col("i") + shift).cast("int").alias("index"),
-        "start",
-        (F.col("start") + F.length("title") + F.length("text")).cast("int").alias("end"),
-        "title", "title_normalized",
-        F.col("start").alias("title_start"),
-        (F.col("start") + F.length("title")).cast("int").alias("title_end"),
-        "text",
-        (F.col("start") + F.length("title")).cast("int").alias("text_start"),
-        (F.col("start") + F.length("title") + F.length("text")).cast("int").alias("text_end"),
-    )
-    preamble = parts.where(F.length(pre) > 0).select(
+    item = "struct<pre:boolean,title:string,norm:string,body:string>"
+    pre = F.element_at("bodies", 1)
+    zipped = F.arrays_zip(
+        F.transform("titles", lambda x: F.lit(False)).alias("pre"),
+        F.col("titles").alias("title"),
+        F.col("norms").alias("norm"),
+        F.slice("bodies", 2, F.greatest(F.size("bodies"), F.lit(1))).alias("body"),
+    ).cast(f"array<{item}>")
+    preamble = F.when(
+        (F.size("titles") > 0) & (F.length(pre) > 0),
+        F.array(F.struct(F.lit(True).alias("pre"), F.lit(first_title).alias("title"),
+                         F.lit(first_title).alias("norm"), pre.alias("body")).cast(item)),
+    ).otherwise(F.array().cast(f"array<{item}>"))
+    secs = parts.select("doc_id", F.posexplode_outer(F.concat(preamble, zipped)).alias("index", "s")).where(
+        F.col("s").isNotNull())
+    title_span = F.when(F.col("s.pre"), F.lit(0)).otherwise(F.length("s.title"))
+    w = Window.partitionBy("doc_id").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(title_span + F.length("s.body")).over(w), F.lit(0))
+    x = secs.select("doc_id", "index", "s", title_span.alias("tl"), start.alias("start"))
+    text_start = F.col("start") + F.col("tl")
+    end = text_start + F.length("s.body")
+    return x.select(
         "doc_id",
-        F.lit(0).alias("index"),
-        F.lit(0).alias("start"),
-        F.length(pre).cast("int").alias("end"),
-        F.lit(first_title).alias("title"),
-        F.lit(first_title).alias("title_normalized"),
-        F.lit(None).cast("int").alias("title_start"),
-        F.lit(None).cast("int").alias("title_end"),
-        pre.alias("text"),
-        F.lit(0).alias("text_start"),
-        F.length(pre).cast("int").alias("text_end"),
+        F.col("index").cast("int").alias("index"),
+        F.col("start").cast("int").alias("start"),
+        end.cast("int").alias("end"),
+        F.col("s.title").alias("title"),
+        F.col("s.norm").alias("title_normalized"),
+        F.when(~F.col("s.pre"), F.col("start")).cast("int").alias("title_start"),
+        F.when(~F.col("s.pre"), text_start).cast("int").alias("title_end"),
+        F.col("s.body").alias("text"),
+        text_start.cast("int").alias("text_start"),
+        end.cast("int").alias("text_end"),
     )
-    return titled.unionByName(preamble).select(*SECTION_COLUMNS)
 
 
 def next_section(secs: DataFrame, fill: str | None = None) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import stats as A
-from ..sources.tables import spread
 
 STAT_COLUMNS = [
     ("Docs", "docs"),
@@ -33,7 +32,7 @@ STAT_COLUMNS = [
 def side_table(pairs: DataFrame, lemma_dict: DataFrame | None = None, default_lang: str = "en") -> DataFrame:
     """(pair_id, side, lang, statistics..., toks, lemmas) for source and target."""
     lang = F.col("lang") if "lang" in pairs.columns else F.lit(default_lang)
-    p = spread(pairs.select("pair_id", lang.alias("lang"), "source", "target"), "pair_id")
+    p = pairs.select("pair_id", lang.alias("lang"), "source", "target")
     sides = F.array(
         F.struct(F.lit("source").alias("side"), F.col("source").alias("text")),
         F.struct(F.lit("target").alias("side"), F.col("target").alias("text")),
@@ -86,7 +85,7 @@ def _one_pass_report(pairs: DataFrame, lemma_dict: DataFrame) -> DataFrame:
     first aggregate by (side, kind, type) de-duplicates types and pre-sums,
     a second by side finishes."""
     lang = F.col("lang") if "lang" in pairs.columns else F.lit("en")
-    p = spread(pairs.select("pair_id", lang.alias("lang"), "source", "target"), "pair_id")
+    p = pairs.select("pair_id", lang.alias("lang"), "source", "target")
     arr = _side_arrays(p, lemma_dict)
     arr = A.with_novelty(arr, "s_lem", "t_lem", (1, 2, 3))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import segment as S
 from ..operators import stats as A
+from ..session import materialize
 from ..sources import lexicon
 from ..sources import tables as src
 
@@ -199,7 +200,7 @@ def q_ngrams(spark, sf):
 
 
 def _pair_tokens(spark, sf):
-    p = src.spread(src.conversation_pairs(spark, sf), "pair_id")
+    p = src.conversation_pairs(spark, sf)
     return p.select(
         "pair_id",
         T.token_array(T.mark_sentences("source", F.lit("en"))).alias("src"),
@@ -242,7 +243,7 @@ def q_corpus_report_docs(spark, sf):
 
 @query("corpus_report_formatted")
 def q_corpus_report_formatted(spark, sf):
-    rep = CR.corpus_report(src.conversation_pairs(spark, sf), lexicon.builtin_lemmas(spark))
+    rep = materialize(CR.corpus_report(src.conversation_pairs(spark, sf), lexicon.builtin_lemmas(spark)), "report")
     return CR.format_report(rep).select(F.col("ord").cast("bigint").alias("ord"), "statistic", "Source", "Target")
 
 
@@ -263,11 +264,13 @@ REPORT_METRICS = ["R-1", "R-2", "BLEU", "SARI", "|y|_w", "CMP_w", "Nov. (n=1)",
 
 
 def _eval(spark, sf):
+    """Eval rows of the conversation pairs: clustered by pair_id (the pairs'
+    join is keyed and partitioned by it)."""
     return src.eval_table(src.conversation_pairs(spark, sf))
 
 
 def _stats(spark, sf):
-    return EV.pair_order_stats(EV.ngram_counts(_eval(spark, sf)))
+    return EV.pair_order_stats(EV.ngram_counts(_eval(spark, sf), clustered=True))
 
 
 @query("eval_table")
@@ -306,13 +309,13 @@ def q_surface_stats(spark, sf):
 
 @query("metric_means")
 def q_metric_means(spark, sf):
-    m = EV.metric_table(_eval(spark, sf))
+    m = EV.metric_table(_eval(spark, sf), clustered=True)
     return m.select("system", "metric", r6(F.col("value")).alias("value"))
 
 
 @query("metric_report")
 def q_metric_report(spark, sf):
-    return EV.metric_report(EV.metric_table(_eval(spark, sf)), REPORT_METRICS, precision=2)
+    return EV.metric_report(EV.metric_table(_eval(spark, sf), clustered=True), REPORT_METRICS, precision=2)
 
 
 # ---------------------------------------------------------------- sections, clean-up
@@ -363,9 +366,9 @@ def _ids_str(c):
 
 
 def _enc_inputs(spark, sf, prefix=""):
-    pairs = src.spread(src.conversation_pairs(spark, sf), "pair_id")
+    pairs = src.conversation_pairs(spark, sf)
     toks = ENC.pair_tokens(pairs, prefix=prefix)
-    return toks, ENC.vocab_ids(toks)
+    return toks, materialize(ENC.vocab_ids(toks), "vocab")
 
 
 @query("prefix_source")
@@ -516,14 +519,14 @@ from ..operators import lcs as LCS  # noqa: E402
 @query("rouge_lsum")
 def q_rouge_lsum(spark, sf):
     """A18 (no SQL oracle: LCS backtracking; tested against brute force)."""
-    r = LCS.rouge_lsum(EV.cluster_by_pair(_eval(spark, sf)))
+    r = LCS.rouge_lsum(_eval(spark, sf))
     return r.select("system", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "fmeasure")])
 
 
 @query("evaluate_runs")
 def q_evaluate_runs(spark, sf):
     """All 19 metrics for every system in one job (long form)."""
-    m = EV.metric_table(_eval(spark, sf), with_lsum=True)
+    m = EV.metric_table(_eval(spark, sf), with_lsum=True, clustered=True)
     return m.select("system", "metric", r6(F.col("value")).alias("value"))
 
 
@@ -562,7 +565,7 @@ def q_encoded_sample(spark, sf):
 def q_saved_metrics(spark, sf):
     """Metric rows appended to a metrics table, read back."""
     path = IO.scratch(spark, "metrics")
-    m = EV.metric_table(_eval(spark, sf))
+    m = EV.metric_table(_eval(spark, sf), clustered=True)
     IO.save_metrics(m, path, "test")
     back = spark.read.parquet(path)
     return back.select("prefix", "system", "metric", r6(F.col("value")).alias("value"))
@@ -575,8 +578,8 @@ def q_decoded_metrics(spark, sf):
     e = ENC.encode(toks, v, 1024, 128)
     ins = ENC.decode(e, "input_ids", v, out="orig")
     labs = ENC.decode(e, "labels", v, out="ref")
-    ev = ins.join(labs, ["split", "pair_id"]).select(
-        F.lit("decoded").alias("system"), "pair_id", "orig", "ref", F.col("orig").alias("sys"))
+    ev = materialize(ins.join(labs, ["split", "pair_id"]).select(
+        F.lit("decoded").alias("system"), "pair_id", "orig", "ref", F.col("orig").alias("sys")), "decoded-eval")
     m = EV.metric_table(ev, with_lsum=True).where(
         F.col("metric").isin("R-1", "R-2", "R-L", "BLEU", "SARI"))
     g = ENC.gen_len(e, "input_ids").select(F.lit("decoded").alias("system"), F.lit("gen_len").alias("metric"),

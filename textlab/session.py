@@ -51,3 +51,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the checkpoint folder for a written table."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "textlab", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str = "table"):
+    """Cut lineage: write a table below the shared checkpoint folder and read
+    it back.
+
+    Used for small intermediates read by several branches (a vocabulary, a
+    decoded evaluation table, a report before formatting): they are computed
+    once, and a lost executor re-reads files instead of recomputing.  (An
+    eager ``checkpoint()`` would compute the plan twice: once to count and
+    once to write.)
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

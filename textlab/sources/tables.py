@@ -27,20 +27,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition by ``key`` when the input arrives in fewer partitions
+def parallelism(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a *file scan* by ``key`` when it arrives in fewer splits
     than the cluster has cores (one large file / row group = one task).
 
     Rows derived from one key (sentences, tokens, n-grams) then stay in the
     key's partition, so later per-key aggregates and windows need no
     exchange.  Large inputs that already come in many splits are left alone.
+    Only for scans: counting the partitions of a plan with a shuffle would
+    run that shuffle.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
-    return df.repartition(n, key)
+    spark = scan.sparkSession
+    if scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return scan
+    return scan.repartition(parallelism(spark), key)
+
+
+def cluster(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by ``key`` into a fixed number of partitions (a user
+    repartition, which adaptive execution does not coalesce away)."""
+    return df.repartition(parallelism(df.sparkSession), key)
 
 
 def split_of(key) -> F.Column:
@@ -58,21 +68,21 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1 on the driver's data: (split, pair_id, source, target).
 
     Turns are numbered 0..k-1 per conversation, so "next turn" is an
-    equi-join on (conv_id, turn + 1).  The composite key keeps one very long
-    conversation from landing in a single task (a window over conv_id would).
+    equi-join; both sides are keyed by the user turn's pair_id
+    (conv_id * PAIR_STRIDE + turn, turn < PAIR_STRIDE).  The key is unique
+    per turn, so one very long conversation spreads over many tasks (a
+    window over conv_id would put it in one).  Both sides are clustered by
+    pair_id, which the join reuses and every later per-pair step keeps.
     """
-    conv = read_table(spark, sf_dir, "conversations")
-    user = conv.where(F.col("role") == "user").select(
-        "conv_id", F.col("turn").alias("u_turn"), F.col("text").alias("source"))
-    nxt = conv.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("u_turn"), F.col("text").alias("target"))
-    pairs = user.join(nxt, ["conv_id", "u_turn"], "inner")
-    return pairs.select(
-        split_of(F.col("conv_id")).alias("split"),
-        (F.col("conv_id") * PAIR_STRIDE + F.col("u_turn")).alias("pair_id"),
-        "source",
-        "target",
-    )
+    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    user = cluster(conv.where(F.col("role") == "user").select(
+        (F.col("conv_id") * PAIR_STRIDE + F.col("turn")).alias("pair_id"), "conv_id",
+        F.col("text").alias("source")), "pair_id")
+    nxt = cluster(conv.where((F.col("role") == "assistant") & (F.col("turn") > 0)).select(
+        (F.col("conv_id") * PAIR_STRIDE + F.col("turn") - 1).alias("pair_id"),
+        F.col("text").alias("target")), "pair_id")
+    pairs = user.join(nxt, "pair_id", "inner")
+    return pairs.select(split_of(F.col("conv_id")).alias("split"), "pair_id", "source", "target")
 
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +107,7 @@ def lead_sentences(text, k: int = 3) -> F.Column:
 
 def eval_table(pairs: DataFrame) -> DataFrame:
     """(system, pair_id, orig, ref, sys); systems are rows of one table."""
-    base = spread(pairs.select("pair_id", F.col("source").alias("orig"), F.col("target").alias("ref")), "pair_id")
+    base = pairs.select("pair_id", F.col("source").alias("orig"), F.col("target").alias("ref"))
     systems = F.array(
         F.struct(F.lit("identity").alias("system"), F.col("orig").alias("sys")),
         F.struct(F.lit("gold").alias("system"), F.col("ref").alias("sys")),
