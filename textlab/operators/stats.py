@@ -29,7 +29,9 @@ def vocab(docs: DataFrame, by: Sequence[str] = ("lang",), clean: bool = True) ->
 
 
 # Dictionaries up to this many entries are applied as a map inside the row.
-LEMMA_MAP_MAX = 10_000
+# A map literal is searched linearly per lookup, so only tiny dictionaries
+# go this way; larger ones use the (size-checked) broadcast join.
+LEMMA_MAP_MAX = 64
 
 
 def lemma_map(lemma_dict: DataFrame) -> F.Column | None:
@@ -91,8 +93,10 @@ def doc_table(docs: DataFrame, lemma_dict: DataFrame | None = None, keys: Sequen
         "toks",
         "lemmas",
         F.array_distinct(T.clean_tokens("toks")).alias("types"),
-        F.array_distinct(T.clean_tokens("lemmas")).alias("lemma_types"),
+        *([] if lemma_dict is None else [F.array_distinct(T.clean_tokens("lemmas")).alias("lemma_types")]),
     )
+    if lemma_dict is None:          # lemmas are the tokens: same types, computed once
+        base = base.withColumn("lemma_types", F.col("types"))
     return base.select(
         *keys,
         "n_tokens",
