@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules as R
 from ..functions import text as T
 
 # Row count above which a lemma dictionary is joined with a shuffle instead
@@ -91,8 +90,3 @@ def document_table(docs: DataFrame, lemma_dict: DataFrame | None = None, lang: s
         F.transform("s", lambda x: x["t"]["lemma"]).alias("sents_lemmatized"),
     )
 
-
-__all__ = [
-    "with_marked", "with_arrays", "paragraphs", "sentences", "tokens", "lemma_join", "lemmas",
-    "document_table", "R",
-]

@@ -7,17 +7,25 @@ results compare with the DuckDB oracle (:mod:`textlab.plans.oracle`).
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rules as RULES
 from ..functions import text as T
+from ..operators import encode as ENC
+from ..operators import evaluation as EV
+from ..operators import lcs as LCS
+from ..operators import sections as SEC
 from ..operators import segment as S
 from ..operators import stats as A
 from ..session import materialize
+from ..sources import files as IO
 from ..sources import lexicon
 from ..sources import tables as src
+from . import corpus_report as CR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -177,8 +185,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 # ---------------------------------------------------------------- pairs, novelty, report
 
-from . import corpus_report as CR  # noqa: E402
-
 
 @query("paired_corpus")
 def q_paired_corpus(spark, sf):
@@ -258,7 +264,6 @@ def q_corpus_novelty(spark, sf):
 
 # ---------------------------------------------------------------- evaluation
 
-from ..operators import evaluation as EV  # noqa: E402
 
 REPORT_METRICS = ["R-1", "R-2", "BLEU", "SARI", "|y|_w", "CMP_w", "Nov. (n=1)", "Nov. (n=2)"]
 
@@ -320,8 +325,6 @@ def q_metric_report(spark, sf):
 
 # ---------------------------------------------------------------- sections, clean-up
 
-from ..operators import sections as SEC  # noqa: E402
-
 
 @query("sections")
 def q_sections(spark, sf):
@@ -356,7 +359,6 @@ def q_text_cleanup(spark, sf):
 
 # ---------------------------------------------------------------- training-data preparation
 
-from ..operators import encode as ENC  # noqa: E402
 
 PREFIX = "simplify: "
 
@@ -421,10 +423,6 @@ def q_gen_len(spark, sf):
 
 # ---------------------------------------------------------------- sources and sinks
 
-import os  # noqa: E402
-
-from ..sources import files as IO  # noqa: E402
-
 
 def _doc_lines(spark, sf):
     """Write the documents as a line file (doc_id order) and read it back."""
@@ -513,8 +511,6 @@ def q_clean_predictions(spark, sf):
 
 # ---------------------------------------------------------------- ROUGE-Lsum, full evaluation, nested view
 
-from ..operators import lcs as LCS  # noqa: E402
-
 
 @query("rouge_lsum")
 def q_rouge_lsum(spark, sf):
@@ -589,8 +585,6 @@ def q_decoded_metrics(spark, sf):
 
 # ---------------------------------------------------------------- further inventory keys
 
-from ..functions import rules as RULES  # noqa: E402
-
 
 @query("sentences_abbrev")
 def q_sentences_abbrev(spark, sf):
