@@ -27,9 +27,8 @@ BLEU_ORDERS = (1, 2, 3, 4)
 def cluster_by_pair(ev: DataFrame) -> DataFrame:
     """Hash-partition eval rows by pair_id: one shuffle of the texts instead
     of one of the (much larger) n-gram rows."""
-    n = max(int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-            ev.sparkSession.sparkContext.defaultParallelism)
-    return ev.repartition(n, "pair_id")
+    from ..sources.tables import parallelism
+    return ev.repartition(parallelism(ev.sparkSession), "pair_id")
 
 
 def _token_columns(ev: DataFrame) -> DataFrame:

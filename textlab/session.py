@@ -37,14 +37,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the session has none (local runs, tests) a fresh folder under
     the system temp dir is created and registered.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no SparkContext handle: the session conf is all we have
+        sc = None
+    current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="textlab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    if not sc.getCheckpointDir():
+    if sc and not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    return (sc.getCheckpointDir() if sc else None) or current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -27,8 +27,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _cores(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # sessions without a local SparkContext handle
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def parallelism(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), _cores(spark))
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
@@ -42,7 +49,11 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     run that shuffle.
     """
     spark = scan.sparkSession
-    if scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+    try:
+        splits = scan.rdd.getNumPartitions()
+    except Exception:  # no RDD access: cluster unconditionally
+        splits = 0
+    if splits >= _cores(spark):
         return scan
     return scan.repartition(parallelism(spark), key)
 
