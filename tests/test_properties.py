@@ -2,9 +2,11 @@
 
 import string
 
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, assume, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from textlab.functions import text as T
 
 WS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -26,3 +28,16 @@ def test_strip_and_clean_token_match_python(spark, texts):
     got = {r.i: (r.s, r.c) for r in df.select("i", T.strip("t").alias("s"), T.clean_token("t").alias("c")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == (t.strip(), py_clean(t)), repr(t)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(TEXTS)
+def test_tokens_keep_every_character(spark, texts):
+    """Segmentation and tokenisation only insert separators: the tokens of a
+    document, concatenated, are the document without whitespace."""
+    assume(all("<ENUM" not in t for t in texts))   # raw "<ENUMn>" unmasks to "n." by design
+    df = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "i int, lang string, t string")
+    toks = T.token_array(T.mark_sentences("t", "lang"))
+    got = {r.i: r.j for r in df.select("i", F.array_join(toks, "").alias("j")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == "".join(ch for ch in t if not ch.isspace()), repr(t)
