@@ -41,3 +41,31 @@ def test_tokens_keep_every_character(spark, texts):
     got = {r.i: r.j for r in df.select("i", F.array_join(toks, "").alias("j")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == "".join(ch for ch in t if not ch.isspace()), repr(t)
+
+
+TOKS = st.lists(st.sampled_from(["a", "b", "c", "12", "..", ".", "x-y", "ä"]), max_size=9)
+
+
+def py_novelty(a, b, n):
+    a = [py_clean(t) for t in a]
+    b = [py_clean(t) for t in b]
+    ga = {tuple(a[i:i + n]) for i in range(len(a) - n + 1)}
+    gb = {tuple(b[i:i + n]) for i in range(len(b) - n + 1)}
+    return 0 if not gb else len(gb - ga) / len(gb)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(TOKS, TOKS), min_size=1, max_size=40))
+def test_ngrams_and_novelty_match_python(spark, pairs):
+    from textlab.functions import rules as R
+    from textlab.operators import stats as A
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
+    out = A.with_novelty(df.select("i", "a", "b", *[T.ngrams("b", n).alias(f"g{n}") for n in (1, 2, 3, 4)]),
+                         "a", "b", (1, 2, 3, 4))
+    rows = {r.i: r for r in out.collect()}
+    for i, (a, b) in enumerate(pairs):
+        r = rows[i]
+        for n in (1, 2, 3, 4):
+            want = [R.GRAM_SEP.join(b[k:k + n]) for k in range(len(b) - n + 1)]
+            assert r[f"g{n}"] == want
+            assert abs(r[f"nov_{n}"] - py_novelty(a, b, n)) < 1e-12
