@@ -69,3 +69,42 @@ def test_ngrams_and_novelty_match_python(spark, pairs):
             want = [R.GRAM_SEP.join(b[k:k + n]) for k in range(len(b) - n + 1)]
             assert r[f"g{n}"] == want
             assert abs(r[f"nov_{n}"] - py_novelty(a, b, n)) < 1e-12
+
+
+WORDS = st.lists(st.sampled_from(["the", "cat", "sat", "on", "mat", "a", "dog"]), max_size=8)
+
+
+def py_bleu(pairs):
+    from collections import Counter
+    import math
+    correct, total = [0] * 4, [0] * 4
+    sys_len = ref_len = 0
+    for ref, sys in pairs:
+        sys_len += len(sys)
+        ref_len += len(ref)
+        for n in range(1, 5):
+            cs = Counter(tuple(sys[i:i + n]) for i in range(len(sys) - n + 1))
+            cr = Counter(tuple(ref[i:i + n]) for i in range(len(ref) - n + 1))
+            correct[n - 1] += sum(min(c, cr[g]) for g, c in cs.items())
+            total[n - 1] += sum(cs.values())
+    prec, smooth = [0.0] * 4, 1.0
+    for n in range(4):
+        if total[n] == 0:
+            break
+        if correct[n] == 0:
+            smooth *= 2
+            prec[n] = 100.0 / (smooth * total[n])
+        else:
+            prec[n] = 100.0 * correct[n] / total[n]
+    bp = 1.0 if sys_len >= ref_len else (math.exp(1 - ref_len / sys_len) if sys_len > 0 else 0.0)
+    return bp * math.exp(sum(math.log(p) if p > 0 else -9999999999 for p in prec) / 4)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(WORDS, WORDS), min_size=1, max_size=25))
+def test_bleu_matches_definition(spark, pairs):
+    from textlab.operators import evaluation as EV
+    rows = [("s", i, " ".join(r), " ".join(r), " ".join(y)) for i, (r, y) in enumerate(pairs)]
+    ev = spark.createDataFrame(rows, "system string, pair_id long, orig string, ref string, sys string")
+    got = EV.bleu(EV.pair_order_stats(EV.ngram_counts(ev))).first().bleu
+    assert abs(got - py_bleu(pairs)) < 1e-9
