@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import packing, sharding, token_counts
+from . import decontam, lm, ngram_join, order_minhash, packing, pii, quality, sharding, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -22,11 +22,31 @@ def query(name: str):
     return register
 
 
+@query("op1_rule_quality")
+def op1(spark, sf) -> DataFrame:
+    return quality.quality_scores(C.read_documents(spark, sf), C.read_table(spark, sf, "labels"))
+
+
+@query("op2_skip_chain_pii")
+def op2(spark, sf) -> DataFrame:
+    return pii.personal_data(C.read_documents(spark, sf))
+
+
 @query("op3_pack_ffd")
 def op3(spark, sf) -> DataFrame:
     return packing.pack_documents(C.read_documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op4_gated_lm")
+def op4(spark, sf) -> DataFrame:
+    return lm.document_scores(C.read_documents(spark, sf))
+
+
+@query("op5_cgk_decontam")
+def op5(spark, sf) -> DataFrame:
+    return decontam.leaks(C.read_documents(spark, sf), C.read_table(spark, sf, "benchmark"))
+
+
 @query("op6_ring_shards")
 def op6(spark, sf) -> DataFrame:
     x = sharding.ring_shards(C.read_documents(spark, sf), n_shards=40)
@@ -34,11 +54,26 @@ def op6(spark, sf) -> DataFrame:
                     F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
 
+@query("op7_suffix_merge")
+def op7(spark, sf) -> DataFrame:
+    return suffix_dedup.repeated_bytes(C.read_documents(spark, sf))
+
+
+@query("op8_order_minhash")
+def op8(spark, sf) -> DataFrame:
+    return order_minhash.fingerprints(C.read_documents(spark, sf))
+
+
 @query("op9_transducer_tokens")
 def op9(spark, sf) -> DataFrame:
     return token_counts.token_counts(C.read_documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+@query("op10_ngram_join")
+def op10(spark, sf) -> DataFrame:
+    return ngram_join.ngram_components(C.read_documents(spark, sf), k=4, num=85, den=100)
+
+
 def queries() -> dict[str, Callable]:
     return dict(QUERIES)
 
