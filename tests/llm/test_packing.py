@@ -83,5 +83,15 @@ def test_tournament_tree_is_first_fit(sizes):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\rAbÉé'sΣσİ1.,<|>́  "), st.characters(codec="utf-8")), max_size=40))
 def test_word_table_equals_tokenizer(text):
-    got = np.frombuffer(packing.encode(packing._words(FILE), text), "<u4").tolist()
+    got = np.frombuffer(packing.encode(packing.word_ids(FILE), [text])[0], "<u4").tolist()
     assert got == TOK.encode(text, add_special_tokens=False).ids
+
+
+def test_small_table_gives_the_same_ids(monkeypatch):
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{'.' * (i % 3)}" for i in range(j, j + 40)) for j in range(0, 400, 7)]
+    want = [TOK.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(packing, "TABLE_LIMIT", 50)
+    monkeypatch.setattr(packing, "TOGETHER", 3)
+    monkeypatch.setattr(packing, "MARKED_LIMIT", 5)
+    got = packing.encode(packing.WordIds(FILE), texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == want

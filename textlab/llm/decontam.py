@@ -31,11 +31,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+RATIO = 0.1                  # edits per byte of the item that still count as a leak
 LEAST_ITEM = 24
 CLASSES = (24, 64, 160)      # window classes (bytes)
 STEPS_PER_CHAR = 1.6         # walk steps per byte of a class; the pointer moves every second step
@@ -192,21 +194,25 @@ class ItemIndex:
         return k if k <= most else None
 
 
-def leaks(docs: DataFrame, items: DataFrame, ratio: float = 0.1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def item_slices(items: DataFrame, ratio: float, item_col: str, item_text: str) -> Iterator:
+    """Broadcast indexes over slices of about SLICE_BYTES of items, one after another."""
+    its = items.filter(F.col(item_text).isNotNull()).select(F.col(item_col).alias("i"), F.col(item_text).alias("t"))
+    slices = -(-(its.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0) // SLICE_BYTES)
+    for s in range(slices):
+        part = its if slices == 1 else its.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == s)
+        yield items.sparkSession.sparkContext.broadcast(ItemIndex([(r.i, r.t) for r in part.orderBy("i", "t").collect()], ratio))
+
+
+def leaks(docs: DataFrame, items: DataFrame, ratio: float = RATIO, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per (doc_id, item_id) with a leak: distance (edits) and item_chars."""
-    spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     arrow_item = to_arrow_type(items.schema[item_col].dataType)
     schema = f"doc_id {kind}, item_id {item_kind}, distance int, item_chars int"
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-    its = items.filter(F.col(item_text).isNotNull()).select(F.col(item_col).alias("i"), F.col(item_text).alias("t"))
-    slices = -(-(its.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0) // SLICE_BYTES)
-    out = spark.createDataFrame([], schema)
-    for s in range(slices):  # one for up to about SLICE_BYTES of items
-        part = its if slices == 1 else its.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == s)
-        index = spark.sparkContext.broadcast(ItemIndex([(r.i, r.t) for r in part.orderBy("i", "t").collect()], ratio))
+    out = None
+    for index in item_slices(items, ratio, item_col, item_text):
 
-        def search(batches, index=index):
+        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             x = index.value
             for b in batches:
                 ids, rows = b["doc_id"].to_pylist(), []
@@ -217,5 +223,24 @@ def leaks(docs: DataFrame, items: DataFrame, ratio: float = 0.1, id_col: str = "
                                                  names=["doc_id", "item_id", "distance", "item_chars"])
 
         found = src.mapInArrow(search, schema)
-        out = found if s == 0 else out.unionAll(found)
-    return out
+        out = found if out is None else out.unionAll(found)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, ratio: float = RATIO, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that leak no item, with the same columns; nothing is shuffled."""
+    for index in item_slices(items, ratio, item_col, item_text):
+        docs = docs.filter(~_leaky(index)(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs
+
+
+def _leaky(index):
+    @F.pandas_udf("boolean")
+    def leaky(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = np.zeros(len(texts), bool)
+            for d, _, _ in index.value.hits([normalise(t) for t in texts]):
+                out[d] = True
+            yield pd.Series(out)
+
+    return leaky

@@ -34,41 +34,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END_ID = 2
-TABLE_LIMIT = 1_500_000
+TABLE_LIMIT = 1_500_000  # words kept per worker process,
+MARKED_LIMIT = 300_000   # as many of them with marks at the end
+TOGETHER = 128           # texts looked up together
 GROUP_BYTES = 8 << 20
 _ASCII_SPACES = re.compile(r"[\x20\x09\x0a\x0d]+")
 
 
-class _WordIds(dict):
+class WordIds(dict):
+    """Word -> its ids as little-endian unsigned 32-bit numbers."""
+
     def __init__(self, tokenizer_file: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(tokenizer_file)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encoder.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= TABLE_LIMIT:
-            self.clear()
-        self[word] = ids
-        return ids
+        vocab = self.encoder.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marked = 0  # kept words with marks
+
+    def one(self, word: str) -> bytes:
+        return np.array(self.encoder.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words not in the table: their letter parts are encoded all at once, which is a third of the cost of one by one."""
+        split = {w: m.groups() if (m := _LETTERS_THEN_MARKS.fullmatch(w)) else (w, "") for w in words}
+        new = {part for parts in split.values() for part in parts if part and part not in self}
+        letters = [w for w in new if w.isalpha()]
+        if letters:
+            ids = np.array(self.encoder.encode(" ".join(letters), add_special_tokens=False).ids, dtype="<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            if len(ends) == len(letters) and ends[-1] == 4 * len(ids):
+                data, start = ids.tobytes(), 0
+                for w, end in zip(letters, ends.tolist()):
+                    self[w] = data[start:end]
+                    start = end
+        for w in new:
+            if w not in self:
+                self[w] = self.one(w)
+        self[""] = b""
+        out = {w: self[core] + self[marks] if marks else self[core] for w, (core, marks) in split.items()}
+        if self.marked < MARKED_LIMIT:  # the frequent ones come first
+            marked = {w: out[w] for w, (_, marks) in split.items() if marks}
+            self.update(marked)
+            self.marked += len(marked)
+        return out
+
+
+# a word and the marks after it are encoded apart; an apostrophe could start a contraction
+_LETTERS_THEN_MARKS = re.compile(r"([^\W\d_]+)([.,!$%&*#|;:?()\[\]-]+)")
 
 
 @lru_cache(maxsize=2)
-def _words(tokenizer_file: str) -> _WordIds:
-    return _WordIds(tokenizer_file)
+def word_ids(tokenizer_file: str) -> WordIds:
+    return WordIds(tokenizer_file)
 
 
-def encode(words: _WordIds, text: str) -> bytes:
-    """The text's ids as little-endian unsigned 32-bit numbers.
+def encode(table: WordIds, texts: list[str]) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit numbers.
 
     Lower-casing first only merges table entries the tokenizer would treat
     alike; it is left out where Python and the tokenizer could differ (final
     sigma, special-token strings).
     """
-    if "<|" not in text and "Σ" not in text and "İ" not in text:
-        text = text.lower()
-    return b"".join(map(words.__getitem__, _ASCII_SPACES.split(text) if "\r" in text or "\t" in text else text.replace("\n", " ").split(" ")))
+    out: list[bytes] = []
+    for lo in range(0, len(texts), TOGETHER):
+        if len(table) > TABLE_LIMIT:
+            table.clear()
+            table.marked = 0
+        lists, different = [], set()
+        for text in texts[lo:lo + TOGETHER]:
+            if "<|" not in text and "Σ" not in text and "İ" not in text:
+                text = text.lower()
+            lists.append(_ASCII_SPACES.split(text) if "\r" in text or "\t" in text else text.replace("\n", " ").split(" "))
+            different.update(lists[-1])
+        # the few different words of these texts stay in the processor's cache, the table does not
+        few = dict(zip(different, map(table.get, different)))
+        few.update(table.learn([w for w, ids in few.items() if ids is None]))
+        out += [b"".join(map(few.__getitem__, words)) for words in lists]
+    return out
 
 
 class TournamentTree:
@@ -150,9 +195,9 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, i
 
     @F.pandas_udf("binary")
     def ids_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = _words(tokenizer_file)
+        words = word_ids(tokenizer_file)
         for batch in texts:
-            yield pd.Series([_squeeze(encode(words, x)) for x in batch], dtype=object)
+            yield pd.Series([_squeeze(ids) for ids in encode(words, batch.tolist())], dtype=object)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     group = F.pmod(F.xxhash64(F.lit("group"), F.col(id_col), F.crc32(text.cast("binary"))), F.lit(groups))
