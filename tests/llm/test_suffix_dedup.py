@@ -84,7 +84,7 @@ def test_null_rows_and_repeated_rows(spark):
 @given(st.lists(st.lists(st.binary(max_size=6).map(lambda b: bytes(97 + x % 2 for x in b)), max_size=30), max_size=7))
 def test_loser_tree_sorts_and_knows_prefixes(runs):
     runs = [sorted(r) for r in runs]
-    coded = [sd.decode(list(sd.front_code([(s, b"", [i]) for s in r]))) for i, r in enumerate(runs)]
+    coded = [sd.decode(list(sd.front_code([(s, b"", [(i, 0)]) for s in r]))) for i, r in enumerate(runs)]
     out = list(sd.LoserTree(coded))
     assert [s for _, s, _, _ in out] == sorted(sum(runs, []))
     last = b""
@@ -100,22 +100,43 @@ def test_lcp(a, b):
     assert sd.lcp(a, b) == want
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.binary(min_size=4, max_size=9), st.binary(max_size=6), st.booleans()).map(lambda x: (bytes(97 + c % 2 for c in x[0]), bytes(97 + c % 2 for c in x[1]), x[2])), min_size=1, max_size=9))
-def test_matches_by_definition(group):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.binary(min_size=4, max_size=9), st.binary(max_size=6), st.booleans()).map(lambda x: (bytes(97 + c % 2 for c in x[0]), bytes(97 + c % 2 for c in x[1]), x[2])), min_size=1, max_size=12))
+def test_extremes_by_definition(group):
     n, w = sd.LENGTH, sd.WINDOW
     sd.LENGTH, sd.WINDOW = 8, 5
     try:
-        group = [(s[:8], left[:4], many) for s, left, many in {(s, left): (s, left, m) for s, left, m in group}.values()]
-        got = {(i, t) for i, lo, hi in sd.matches(group) for t in range(lo, hi + 1)}
-        want = set()
+        group = sorted({(s[:8], left[:4]): (s[:8], left[:4], m) for s, left, m in group}.values())
+        known = [0] + [sd.lcp(a[0], b[0]) for a, b in zip(group, group[1:])]
+        low, high = sd.extremes([g[0] for g in group], known, [g[1] for g in group], [g[2] for g in group])
         for i, (s, left, many) in enumerate(group):
-            for t in range(5):
-                if len(left) < t or len(s) < 8 - t:
-                    continue
-                me = (left[:t], s[:8 - t])
-                if many or any(j != i and len(b) >= t and len(a) >= 8 - t and (b[:t], a[:8 - t]) == me for j, (a, b, _) in enumerate(group)):
-                    want.add((i, t))
-        assert got == want
+            ts = [t for t in range(5) if len(left) >= t and len(s) >= 8 - t and (many or any(
+                j != i and len(b) >= t and len(a) >= 8 - t and (b[:t], a[:8 - t]) == (left[:t], s[:8 - t]) for j, (a, b, _) in enumerate(group)))]
+            assert (low[i], high[i]) == ((ts[0], ts[-1]) if ts else (8, -1))
     finally:
         sd.LENGTH, sd.WINDOW = n, w
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([b"a" * 250, b"a" * 250 + b"b", b"a" * 300, b"b" * 220]), st.sampled_from([b"", b"x", b"xy"])), max_size=12))
+def test_groups(items):
+    items = sorted((s, left, [(i, i)]) for i, (s, left) in enumerate(items))
+    merged, last = [], b""
+    for s, left, o in items:
+        merged.append((sd.lcp(last, s), s, left, o))
+        last = s
+    got = list(sd._groups(iter(merged)))
+    seen = {}
+    for suffixes, known, lefts, occ in got:
+        assert all(k == sd.lcp(a, b) for k, a, b in zip(known[1:], suffixes, suffixes[1:]))
+        assert len(set(zip(suffixes, lefts))) == len(suffixes)
+        for s, left, o in zip(suffixes, lefts, occ):
+            seen[s, left] = sorted(o)
+    want = {}
+    for s, left, o in items:
+        want.setdefault((s, left), []).extend(o)
+    for key, o in seen.items():
+        assert want[key] == o
+    for (s, left), o in want.items():  # left out only if alone
+        if (s, left) not in seen:
+            assert len(o) == 1 and not any(k != (s, left) and sd.lcp(k[0], s) >= sd.SHARED for k in want)

@@ -16,9 +16,11 @@ text, the same one included) is removed.  All suffixes need not be sorted for th
   receiving task merges the runs with a loser tree that keeps each run's common prefix
   with the last output and compares only bytes behind it.
 * Suffixes that follow each other with a common prefix of at least
-  LENGTH - WINDOW + 1 form a group.  For each offset t the group members match that
-  agree on t bytes to the left and LENGTH - t to the right; ``matches`` finds all
-  (member, range of t) by splitting the group only where its members differ.
+  LENGTH - WINDOW + 1 form a group.  For each offset t those members match that
+  agree on t bytes to the left and LENGTH - t to the right.  All matching
+  strings around one anchor overlap, so only the least and the largest matching t of a
+  member count (``extremes``); both come from the common prefixes in suffix order
+  and in the order of the left contexts, without comparing bytes again.
 
 Texts with exact copies are removed as a whole (if LENGTH long), and one of
 them stands for all when others are compared, so a group of copies of any size is one text.
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import id_filter, materialize
 
 LENGTH = 400
 WINDOW = 200
@@ -136,28 +138,29 @@ def lcp(a: bytes, b: bytes, at: int = 0) -> int:
     return min(at, n)
 
 
-def front_code(run: list[tuple]) -> Iterator[tuple[list, list, list, list]]:
-    """Blocks (common prefixes, rests, left contexts, occurrences) of a sorted run; each block starts anew."""
+def front_code(run: list[tuple]) -> Iterator[tuple[list, list, list, list, list]]:
+    """Blocks (common prefixes, rests, left contexts, texts, positions) of a sorted run; each block starts anew."""
     for lo in range(0, len(run), BLOCK):
-        common, rests, lefts, where, last = [], [], [], [], b""
+        common, rests, lefts, texts, places, last = [], [], [], [], [], b""
         for suffix, left, occ in run[lo:lo + BLOCK]:
             c = lcp(last, suffix)
             common.append(c)
             rests.append(suffix[c:])
             lefts.append(left)
-            where.append(occ)
+            texts.append([t for t, _ in occ])
+            places.append([p for _, p in occ])
             last = suffix
-        yield common, rests, lefts, where
+        yield common, rests, lefts, texts, places
 
 
 def decode(blocks) -> Iterator[tuple[int, bytes, bytes, list]]:
     """(common prefix with the one before, suffix, left context, occurrences) of one run's blocks in order."""
     before = b""
-    for common, rests, lefts, where in blocks:
+    for block in blocks:
         last = b""
-        for i, (c, rest, left, occ) in enumerate(zip(common, rests, lefts, where)):
+        for i, (c, rest, left, texts, places) in enumerate(zip(*block)):
             last = last[:c] + rest
-            yield lcp(before, last) if i == 0 else c, last, left, occ
+            yield lcp(before, last) if i == 0 else c, last, left, list(zip(texts, places))
         before = last
 
 
@@ -224,40 +227,55 @@ class LoserTree:
 # ------------------------------------------------------------------ groups
 
 
-def _common(items: list[bytes]) -> int:
-    return lcp(min(items), max(items))
+def extremes(suffixes: list[bytes], known: list[int], lefts: list[bytes], many: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest t for which a member matches another, or itself elsewhere (``many``); LENGTH and -1 if none.
 
-
-def matches(group: list[tuple[bytes, bytes, bool]]) -> Iterator[tuple[int, int, int]]:
-    """(member, low, high): for each t in low..high the member's string from t left of the
-    anchor matches another.  Members: suffix, reversed left context, occurs more than once."""
-    stack = [(list(range(len(group))), 0, WINDOW - 1)]
-    while stack:
-        who, x, y = stack.pop()
-        if x > y:
-            continue
-        if len(who) == 1:
-            suffix, left, many = group[who[0]]
-            lo, hi = max(x, LENGTH - len(suffix)), min(y, len(left))
-            if many and lo <= hi:
-                yield who[0], lo, hi
-            continue
-        # all agree on x bytes left and LENGTH - y bytes right; on how many more?
-        left = min(_common([group[i][1] for i in who]), y)
-        right = min(_common([group[i][0] for i in who]), LENGTH - x)
-        lo, hi = max(x, LENGTH - right), min(y, left)
-        if lo <= hi:
-            yield from ((i, lo, hi) for i in who)
-            low_end, high_start = lo - 1, hi + 1
-        else:
-            low_end, high_start = min(y, left), max(x, left + 1)
-        for side, at, a, b in ((0, right, x, low_end), (1, left, high_start, y)):
-            if a <= b:  # these offsets need the byte at which the members differ
-                by: dict[int, list[int]] = {}
-                for i in who:
-                    if len(group[i][side]) > at:
-                        by.setdefault(group[i][side][at], []).append(i)
-                stack += [(part, a, b) for part in by.values()]
+    Members are sorted by suffix, ``known[i]`` is the common prefix of suffixes i - 1 and i.
+    """
+    n = len(suffixes)
+    sizes, left_sizes = np.fromiter(map(len, suffixes), np.int64, n), np.fromiter(map(len, lefts), np.int64, n)
+    low, high = np.full(n, LENGTH, np.int64), np.full(n, -1, np.int64)
+    itself = np.array(many, bool)
+    a, b = np.maximum(LENGTH - sizes, 0), np.minimum(left_sizes, WINDOW - 1)
+    itself &= a <= b
+    low[itself], high[itself] = a[itself], b[itself]
+    if n == 1:
+        return low, high
+    order = sorted(range(n), key=lefts.__getitem__)
+    back = [lcp(lefts[i], lefts[j]) for i, j in zip(order, order[1:])]
+    if n == 2:
+        a, b = LENGTH - min(known[1], LENGTH), min(back[0], WINDOW - 1)
+        if max(a, 0) <= b:
+            low, high = np.minimum(low, max(a, 0)), np.maximum(high, b)
+        return low, high
+    right_lcp = np.append(0, np.minimum(known[1:], LENGTH))
+    left_lcp = np.append(0, back)
+    by_left = np.array(order)
+    left_class = np.empty(n, np.int64)
+
+    def matching(t: int) -> np.ndarray:
+        """Members that share (t bytes left, LENGTH - t right) with another."""
+        left_class[by_left] = np.cumsum(left_lcp < t)
+        both = np.cumsum(right_lcp < LENGTH - t) * (n + 1) + left_class
+        at = np.argsort(both, kind="stable")
+        same = both[at[1:]] == both[at[:-1]]
+        out = np.zeros(n, bool)
+        out[at[1:]] = same
+        out[at[:-1]] |= same
+        return out & (sizes >= LENGTH - t) & (left_sizes >= t)
+
+    # between two lengths at which some common prefix ends nothing changes
+    changes = np.unique(np.concatenate([[0, WINDOW - 1], left_lcp, left_lcp + 1, LENGTH - right_lcp, LENGTH - right_lcp - 1]))
+    changes = changes[(changes >= 0) & (changes < WINDOW)]
+    for t in changes.tolist():
+        if (low <= t).all():
+            break
+        low[matching(t) & (low > t)] = t
+    for t in changes[::-1].tolist():
+        if (high >= t).all():
+            break
+        high[matching(t) & (high < t)] = t
+    return low, high
 
 
 def covered(pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -282,20 +300,20 @@ def _sorted_runs(parts: int):
         for (suffix, left), occ in found.items():
             part = int.from_bytes(hashlib.blake2b(suffix[:SHARED], digest_size=4).digest(), "big") % parts
             by.setdefault(part, []).append((suffix, left, occ))
-        rows = [(part, run, seq, *block) for part, items in by.items() for seq, block in enumerate(front_code(sorted(items, key=lambda s: s[:2])))]
-        cols = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.int32())),
-             pa.array(cols[4], pa.list_(pa.binary())), pa.array(cols[5], pa.list_(pa.binary())),
-             pa.array([[[(t, p) for t, p in occ] for occ in w] for w in cols[6]], _OCC)],
-            names=["part", "run", "seq", "common", "rests", "lefts", "where"])
+        for part, items in by.items():
+            items.sort(key=lambda s: s[:2])
+            for seq, block in enumerate(front_code(items)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([run], pa.int64()), pa.array([seq], pa.int32()), *[pa.array([x], kind) for x, kind in zip(block, _BLOCK)]],
+                    names=["part", "run", "seq", *_NAMES])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         run, found, n = TaskContext.get().partitionId() << 32, {}, 0
         for b in batches:
-            for text, data, at in zip(b["text"].to_pylist(), b["data"].to_pylist(), b["at"].to_pylist()):
+            for text, data, at in zip(b["no"].to_pylist(), b["data"], b["at"]):
+                data, at = data.as_py(), at.as_py()
                 for p in at:
                     key = data[p:p + LENGTH], data[max(0, p - WINDOW + 1):p][::-1]
                     found.setdefault(key, []).append((text, p))
@@ -309,42 +327,68 @@ def _sorted_runs(parts: int):
     return sort
 
 
-_OCC = pa.list_(pa.list_(pa.struct([("text", pa.binary()), ("at", pa.int32())])))
+_NAMES = ["common", "rests", "lefts", "texts", "places"]
+_BLOCK = [pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int32()))]
+_RUNS = "part int, run long, seq int, common array<int>, rests array<binary>, lefts array<binary>, texts array<array<bigint>>, places array<array<int>>"
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks sorted by (part, run, seq) -> (text, start, end) of repeated strings."""
+    """Blocks sorted by (part, run, seq) -> (no, start, end) of repeated strings.  Blocks are decoded one at a time per run."""
 
     def rows():
         for b in batches:
-            yield from zip(*(b[c].to_pylist() for c in ("part", "run", "common", "rests", "lefts", "where")))
+            for i, (part, run) in enumerate(zip(b["part"].to_pylist(), b["run"].to_pylist())):
+                yield part, run, b.slice(i, 1)
+
+    def unpacked(blocks):
+        return ([b[c][0].as_py() for c in _NAMES] for b in blocks)
 
     for _, part in groupby(rows(), key=lambda r: r[0]):
         runs: dict[int, list] = {}
-        for _, run, common, rests, lefts, where in part:
-            runs.setdefault(run, []).append((common, rests, lefts, where))
-        texts, starts, ends = [], [], []
-        for group in _groups(LoserTree([decode(r) for r in runs.values()])):
-            for i, lo, hi in matches([(s, left, len(occ) > 1) for (s, left), occ in group]):
-                for o in group[i][1]:
-                    texts.append(o["text"])
-                    starts.append(o["at"] - hi)
-                    ends.append(o["at"] - lo + LENGTH)
-        if texts:
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["text", "start", "end"])
-
-
-def _groups(merged) -> Iterator[list]:
-    """Runs of suffixes that share SHARED bytes, equal contexts united; only groups that can match."""
-    group: dict[tuple, list] = {}
-    for known, suffix, left, occ in merged:
-        if known < SHARED and group:
-            if len(group) > 1 or len(next(iter(group.values()))) > 1:
-                yield list(group.items())
-            group = {}
-        group.setdefault((suffix, left), []).extend(occ)
-    if len(group) > 1 or group and len(next(iter(group.values()))) > 1:
-        yield list(group.items())
+        for _, run, block in part:
+            runs.setdefault(run, []).append(block)
+        found: list[tuple[int, int, int]] = []
+        for suffixes, known, lefts, occ in _groups(LoserTree([decode(unpacked(r)) for r in runs.values()])):
+            low, high = extremes(suffixes, known, lefts, [len(o) > 1 for o in occ])
+            for o, a, b in zip(occ, low.tolist(), high.tolist()):
+                if a <= b:
+                    found += [(no, at - b, at - a + LENGTH) for no, at in o]
+            if len(found) > 50_000:
+                yield _pieces(found)
+                found = []
+        if found:
+            yield _pieces(found)
+
+
+def _pieces(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    no, start, end = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["no", "start", "end"])
+
+
+def _groups(merged) -> Iterator[tuple[list, list, list, list]]:
+    """Runs of suffixes that share SHARED bytes as (suffixes, common prefixes, left contexts,
+    occurrences); equal contexts are united, and only groups that can match are given."""
+    suffixes, known, lefts, occ, seen, least = [], [], [], [], {}, 0
+    for common, suffix, left, where in merged:
+        if common < SHARED and suffixes:
+            if len(suffixes) > 1 or len(occ[0]) > 1:
+                yield suffixes, known, lefts, occ
+            suffixes, known, lefts, occ, seen = [], [], [], [], {}
+        if suffixes and common < len(suffixes[-1]) or len(suffix) != len(suffixes[-1] if suffixes else suffix):
+            seen = {}  # another suffix
+        least = min(least, common) if suffixes else 0
+        at = seen.get(left)
+        if at is not None:
+            occ[at] += where
+            continue
+        seen[left] = len(suffixes)
+        suffixes.append(suffix)
+        known.append(least)
+        lefts.append(left)
+        occ.append(list(where))
+        least = LENGTH
+    if len(suffixes) > 1 or suffixes and len(occ[0]) > 1:
+        yield suffixes, known, lefts, occ
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,17 +412,20 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = materialize(distinct, "texts")
     each = distinct.select("text", "rep", F.explode(F.arrays_zip("at", "key")).alias("x")).select("text", "rep", F.col("x.at").alias("at"), F.col("x.key").alias("key"))
     repeated = each.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    places = each.join(repeated, "key").groupBy("text", "rep").agg(F.collect_list("at").alias("at"))  # bounded by the text's length
+    # bounded by the text's length
+    places = materialize(each.join(repeated, "key").groupBy("text", "rep").agg(F.collect_list("at").alias("at")), "places")
     bodies = src.withColumn("text", F.unhex(F.md5("data")))
+    bodies = bodies.filter(id_filter(places, "rep")("doc_id"))
     picked = bodies.join(places, (bodies["text"] == places["text"]) & bodies["doc_id"].eqNullSafe(places["rep"])).select(places["text"], "data", "at")
-    picked = materialize(picked.dropDuplicates(["text"]), "candidates")
+    # a text's number is written with it
+    picked = materialize(picked.dropDuplicates(["text"]).withColumn("no", F.monotonically_increasing_id()), "candidates")
     spark = docs.sparkSession
     size = picked.agg(F.sum(F.size("at").cast("long"))).first()[0] or 0
     parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size * (LENGTH + WINDOW) // PART_BYTES))
-    runs = picked.mapInArrow(_sorted_runs(parts), "part int, run long, seq int, common array<int>, rests array<binary>, lefts array<binary>, where array<array<struct<text:binary,at:int>>>")
+    runs = picked.select("no", "data", "at").mapInArrow(_sorted_runs(parts), _RUNS)
     runs = runs.repartition(parts, "part").sortWithinPartitions("part", "run", "seq")
-    pieces = runs.mapInArrow(_merge, "text binary, start int, end int")
-    spans = pieces.groupBy("text").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    pieces = runs.mapInArrow(_merge, "no long, start int, end int")
+    spans = pieces.groupBy("no").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the text's anchors
 
     @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string")
     def cut(data: pd.Series, spans_: pd.Series) -> pd.DataFrame:
@@ -394,7 +441,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows.append((len(d) - len(kept), len(out), hashlib.sha256(kept).hexdigest()))
         return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256"])
 
-    partly = picked.join(spans, "text").select("text", cut("data", "spans").alias("r")).select("text", "r.*")
+    partly = picked.select("no", "text", "data").join(spans, "no").select("text", cut("data", "spans").alias("r")).select("text", "r.*")
     whole = distinct.select("text", "copies").filter("copies > 1")
     x = marks.select("doc_id", "text", "n_bytes", "sha").join(whole, "text", "left").join(partly, "text", "left")
     all_ = (F.coalesce("copies", F.lit(1)) > 1) & (F.col("n_bytes") >= LENGTH)
