@@ -1,7 +1,6 @@
 """Properties without an oracle."""
 
 import random
-from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -52,52 +51,50 @@ def test_identity_and_gold_metrics(spark):
     assert sari["gold"].sari == 100.0
 
 
-def _brute_lsum(refs, cans):
-    m, n = sum(map(len, refs)), sum(map(len, cans))
-    if not m or not n:
-        return 0, m, n
-    cr, cc = Counter(), Counter()
-    for s in refs:
-        cr.update(s)
-    for s in cans:
-        cc.update(s)
-    hits = 0
-    for r in refs:
-        pos = set()
-        for c in cans:
-            t = [[0] * (len(c) + 1) for _ in range(len(r) + 1)]
-            for i in range(1, len(r) + 1):
-                for j in range(1, len(c) + 1):
-                    t[i][j] = t[i - 1][j - 1] + 1 if r[i - 1] == c[j - 1] else max(t[i - 1][j], t[i][j - 1])
-            i, j = len(r), len(c)
-            while i > 0 and j > 0:
-                if r[i - 1] == c[j - 1]:
-                    pos.add(i - 1)
-                    i, j = i - 1, j - 1
-                elif t[i][j - 1] > t[i - 1][j]:
-                    j -= 1
-                else:
-                    i -= 1
-        for p in sorted(pos):
-            if cc[r[p]] > 0 and cr[r[p]] > 0:
-                hits += 1
-                cc[r[p]] -= 1
-                cr[r[p]] -= 1
-    return hits, m, n
-
-
-def test_lcs_kernel_brute_force():
+def _brute_union(ref, cans):
+    """Tokens of ref on the LCS path with any candidate, by the full table."""
+    pos = set()
+    for c in cans:
+        t = [[0] * (len(c) + 1) for _ in range(len(ref) + 1)]
+        for i in range(1, len(ref) + 1):
+            for j in range(1, len(c) + 1):
+                t[i][j] = t[i - 1][j - 1] + 1 if ref[i - 1] == c[j - 1] else max(t[i - 1][j], t[i][j - 1])
+        i, j = len(ref), len(c)
+        while i > 0 and j > 0:
+            if ref[i - 1] == c[j - 1]:
+                pos.add(i - 1)
+                i, j = i - 1, j - 1
+            elif t[i][j - 1] > t[i - 1][j]:
+                j -= 1
+            else:
+                i -= 1
+    return [ref[p] for p in sorted(pos)]
+
+
+def test_lcs_kernel_brute_force(monkeypatch):
     rnd = random.Random(7)
-    for trial in range(300):
+    for trial in range(600):
         alphabet = "abcdefgh"[: rnd.choice([2, 3, 5, 8])]
-        mk = lambda: [[rnd.choice(alphabet) for _ in range(rnd.randint(0, 7))] for _ in range(rnd.randint(0, 5))]
-        refs, cans = mk(), mk()
-        old = L.MAX_CELLS
-        L.MAX_CELLS = 5 if trial % 5 == 0 else old
-        try:
-            assert L.lsum_counts(refs, cans) == _brute_lsum(refs, cans)
-        finally:
-            L.MAX_CELLS = old
+        word = lambda n: [rnd.choice(alphabet) for _ in range(rnd.randint(0, n))]
+        ref, cans = word(14), [word(9) for _ in range(rnd.randint(0, 5))]
+        monkeypatch.setattr(L, "MAX_CELLS", 5 if trial % 5 == 0 else 4_000_000)
+        assert L.union_tokens(ref, cans) == _brute_union(ref, cans)
+
+
+def test_lcs_memory_is_bounded(monkeypatch):
+    """One long reference sentence against many one-token lines, and one long pair."""
+    seen = []
+    real = L._chunk_hits
+
+    def spy(ref, can, starts, lens):
+        seen.append((2 * int(len(ref) ** 0.5) + 2) * len(can))
+        return real(ref, can, starts, lens)
+
+    monkeypatch.setattr(L, "_chunk_hits", spy)
+    ref = [f"t{i % 50}" for i in range(1000)]
+    L.union_tokens(ref, [[f"t{i % 50}"] for i in range(200_000)])
+    L.union_tokens(ref, [[f"t{i % 50}" for i in range(20_000)]])
+    assert len(seen) > 2 and max(seen) <= L.MAX_CELLS
 
 
 def test_rouge_lsum_gold_is_100(spark):
@@ -108,3 +105,30 @@ def test_rouge_lsum_gold_is_100(spark):
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0
+
+
+def test_marker_characters_are_ordinary_text(spark):
+    rows = [(1, "Click \ue000 here now. Next \ue001 one \ue002\ue004 end."), (2, "\ue002"), (3, "a \ue000")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("de"))
+    got = {r.doc_id: r for r in S.with_arrays(df).collect()}
+    assert got[1].sents == ["Click \ue000 here now.", "Next \ue001 one \ue002\ue004 end."]
+    assert got[1].toks == ["Click", "\ue000", "here", "now", ".", "Next", "\ue001", "one", "\ue002\ue004", "end", "."]
+    assert got[2].toks == ["\ue002"] and got[3].sents == ["a \ue000"]
+    assert [r.token for r in S.tokens(df).where("doc_id = 3").orderBy("tok_idx").collect()] == ["a", "\ue000"]
+
+
+def test_quotes_and_joined_words(spark):
+    cases = {"„ja“ sagte er.": ["„", "ja", "“", "sagte", "er", "."], "«nein».": ["«", "nein", "»", "."],
+             'I cannot, "gonna" CANNOT cannot stop.': ["I", "can", "not", ",", "``", "gon", "na", "''", "CAN", "NOT", "can", "not", "stop", "."],
+             "'Tis wanna lemme go": ["'T", "is", "wan", "na", "lem", "me", "go"], "a canna cannots": ["a", "canna", "cannots"]}
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, text string")
+    for r in df.select("text", T.sentence_tokens("text").alias("t")).collect():
+        assert r.t == cases[r.text], r.text
+
+
+def test_rounding_is_python_rounding(spark):
+    rnd = random.Random(3)
+    xs = [2.675, 0.125, 1.005, 2.5, -2.675, -0.5, 0.0, 1e-9, 123456.785] + [rnd.uniform(-999, 999) for _ in range(200)] + [rnd.randrange(10**5) / 1000 for _ in range(200)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for d in (0, 2, 4):
+        assert all(r.y == round(r.x, d) for r in df.select("x", T.round_exact("x", d).alias("y")).collect())

@@ -4,34 +4,68 @@ import contextlib
 import io
 import re
 
+import pytest
+
 import __spark_entry__ as E
+from textlab.operators import sections as SEC
+from textlab.operators import segment as S
+from textlab.sources import lexicon
+from textlab.sources import tables as src
 
 SF = "/root/testdata/sf0.001"
 
 
-def plan(spark, name) -> str:
+def text_of(df) -> str:
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
-        E.queries()[name](spark, SF).explain("formatted")
+        df.explain("formatted")
     return buf.getvalue()
 
 
+def plan(spark, name) -> str:
+    return text_of(E.queries()[name](spark, SF))
+
+
 def exchanges(p: str) -> list[str]:
     return re.findall(r"Arguments: (hashpartitioning\([^)]*\)|rangepartitioning\([^)]*\)|SinglePartition)", p)
 
 
+@pytest.fixture
+def large_input(monkeypatch):
+    """Scans that count as large: no dealing out of small files."""
+    monkeypatch.setattr(src, "SPLIT_BYTES", 1)
+
+
 def test_doc_stats_one_exchange_no_inferred_filter(spark):
     p = plan(spark, "doc_stats")
-    # only the scan's repartition by doc_id; statistics are row expressions
+    # only the small scan's repartition by doc_id; statistics are row expressions
     assert len(exchanges(p)) <= 1
     assert "Condition : (size(" not in p and "Condition : ((size(" not in p
 
 
-def test_sections_window_reuses_doc_partitioning(spark):
-    p = plan(spark, "sections")
-    ex = exchanges(p)
-    assert len(ex) <= 1 and all("doc_id" in e for e in ex)
-    assert "Window" in p
+@pytest.mark.parametrize("name", ["sentences", "tokens", "eval_tokens", "doc_stats", "sections", "next_section", "text_cleanup", "newline_sentences"])
+def test_row_operators_need_no_exchange_on_large_inputs(spark, large_input, name):
+    p = plan(spark, name)
+    assert exchanges(p) == [] and "Window" not in p
+
+
+def test_sections_have_no_window(spark):
+    p = text_of(SEC.sections(src.read_table(spark, SF, "documents")))
+    assert "Window" not in p and exchanges(p) == []
+
+
+def test_partitions_follow_the_size(spark, monkeypatch):
+    docs = src.read_table(spark, SF, "documents")
+    assert src.partitions_for(docs) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(src, "SPLIT_BYTES", 10_000)
+    assert src.partitions_for(docs) > 50
+
+
+def test_document_table_shuffles_documents_not_tokens(spark):
+    p = text_of(S.document_table(src.documents(spark, SF, clustered=True), lexicon.builtin_lemmas(spark)))
+    keyed = [e for e in exchanges(p) if e.startswith("hashpartitioning")]
+    assert sum("doc_id" in e for e in keyed) == 1 and len(keyed) == 2  # the other one is the dictionary's own
+    assert "BroadcastHashJoin" in p
 
 
 def test_ngram_counts_not_shuffled_by_gram(spark):
@@ -43,5 +77,10 @@ def test_ngram_counts_not_shuffled_by_gram(spark):
 
 
 def test_vocab_partial_aggregation(spark):
-    p = plan(spark, "vocab")
-    assert "partial_count" in p
+    assert "partial_count" in plan(spark, "vocab")
+
+
+def test_vocabulary_numbering_has_no_single_task_window(spark):
+    """Only the starts of the ranges (one row each) meet in one task."""
+    p = plan(spark, "vocab_ids")
+    assert "cnt" not in " ".join(re.findall(r"\(\d+\) Window\n.*?\n\n", p, re.S)).replace("count", "")

@@ -15,11 +15,14 @@ import re
 # Fixed values
 # ---------------------------------------------------------------------------
 
-# Private-use code points used as in-text markers.  They never occur in the
-# corpus text; the sentence marker separates sentences inside one document
-# string, the abbreviation marker stands for a protected full stop.
+# Private-use code points used as in-text markers: the sentence marker
+# separates sentences inside one document string, the abbreviation marker
+# stands for a protected full stop.  Texts that hold one of them (or the
+# escape character) are escaped on the way in and restored on the way out.
 SENT_MARK = "\ue000"
 ABBR_MARK = "\ue001"
+ESCAPE = "\ue002"
+ESCAPED = [(ESCAPE, ESCAPE + "\ue003"), (SENT_MARK, ESCAPE + "\ue004"), (ABBR_MARK, ESCAPE + "\ue005")]
 GRAM_SEP = "\u0001"          # joins the tokens of one n-gram
 
 # Python's str.isspace() set (what str.strip / str.split use).
@@ -80,19 +83,20 @@ ALL_METRICS = [
     "Nov. (n=1)", "Nov. (n=2)",
 ]
 
-# Corpus report rows, in order, with their display format.
+# Corpus report rows, in order, with their display format (P7) and the
+# statistic behind them.
 CORPUS_REPORT_ROWS = [
-    ("Docs", "int"),
-    ("Tokens", "int"),
-    ("Sentences", "int"),
-    ("Types (raw)", "int"),
-    ("Types (lemmas)", "int"),
-    ("Avg. text length (words)", "int"),
-    ("Avg. text length (sents)", "int"),
-    ("Avg. TTR", "float"),
-    ("Avg. Flesch-Reading Ease", "float"),
-    ("Avg. word length", "float"),
-    ("Avg. sent length", "int"),
+    ("Docs", "int", "docs"),
+    ("Tokens", "int", "tokens"),
+    ("Sentences", "int", "sentences"),
+    ("Types (raw)", "int", "types_raw"),
+    ("Types (lemmas)", "int", "types_lemmas"),
+    ("Avg. text length (words)", "int", "avg_words"),
+    ("Avg. text length (sents)", "int", "avg_sents"),
+    ("Avg. TTR", "float", "avg_ttr"),
+    ("Avg. Flesch-Reading Ease", "float", "avg_fre"),
+    ("Avg. word length", "float", "avg_word_len"),
+    ("Avg. sent length", "int", "avg_sent_len"),
 ]
 
 # ---------------------------------------------------------------------------
@@ -113,6 +117,7 @@ SEP = "[" + WS_CLASS_BODY + _cp(ord(SENT_MARK)) + "]"
 
 # ASCII punctuation + ASCII digits, as a class body (0x21-0x40, 0x5B-0x60, 0x7B-0x7E)
 SPECIAL_CLASS_BODY = "!-@\\[-`{-~"
+SPECIAL_CHARS = "".join(chr(c) for c in [*range(0x21, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
 SPECIAL_ONLY = "^[" + SPECIAL_CLASS_BODY + "]*$"
 
 
@@ -144,13 +149,16 @@ COLLAPSE_RULE = (WS + "*" + SENT_MARK + SEP + "*", SENT_MARK)
 # a sentence.  Applied in order.
 END = "(" + SENT_MARK + "|$)"
 TOKEN_RULES = [
-    # punctuation, brackets and double quotes become tokens of their own
-    (r'([;@#$%&?!*\]\[(){}<>"])', r" \1 "),
+    # straight double quotes become `` (opening) or '' (closing)
+    ("(^|[" + WS_CLASS_BODY + _cp(ord(SENT_MARK)) + "(\\[{<])\"", r"\1 `` "),
+    ('"', " '' "),
+    # punctuation, brackets and other quotes become tokens of their own
+    ("([;@#$%&?!*\\]\\[(){}<>«»‹›„“”‚‘’])", r" \1 "),
     (r"([:,])([^0-9])", r" \1 \2"),
     (r"([:,])" + END, r" \1 \2"),
     (r"(\.\.+)", r" \1 "),
     (r"(--)", r" \1 "),
-    (r"([^.])(\.)([\])}>\"' ]*)" + WS + "*" + END, r"\1 \2 \3\4"),
+    (r"([^.])(\.)([\])}>\"'»›“”’ ]*)" + WS + "*" + END, r"\1 \2 \3\4"),
 ]
 # Applied after padding the text with one space on each side.
 CONTRACTION_RULES = [
@@ -158,6 +166,24 @@ CONTRACTION_RULES = [
     (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T)([ " + SENT_MARK + "])", r"\1 \2 \3"),
 ]
 
+# Words that are split in two (fixed values), in any letter case.
+JOINED_WORDS = [("can", "not"), ("gon", "na"), ("got", "ta"), ("wan", "na"), ("gim", "me"), ("lem", "me"), ("d", "'ye"), ("more", "'n"), ("'t", "is"), ("'t", "was")]
+ANY_JOINED_WORD = "(" + "|".join(_case_insensitive(a + b) for a, b in JOINED_WORDS) + ")"
+
+
+def _joined_word_rules() -> list[tuple[str, str]]:
+    """Three words per rule (replacements have nine groups); each rule twice, because neighbours share a space."""
+    rules = []
+    for i in range(0, len(JOINED_WORDS), 3):
+        part = JOINED_WORDS[i:i + 3]
+        words = "|".join(f"({_case_insensitive(a)})({_case_insensitive(b)})" for a, b in part)
+        first, second = ("".join(f"\\{2 + 2 * k + j}" for k in range(len(part))) for j in (0, 1))
+        rules.append(("([ " + SENT_MARK + "])(?:" + words + ")([ " + SENT_MARK + "])", f"\\1{first} {second}\\{2 + 2 * len(part)}"))
+    return rules * 2
+
+
+JOINED_WORD_RULES = _joined_word_rules()
+
 # 13a tokenisation (BLEU / SARI), after newline handling and entity unescape.
 TOKEN_13A_RULES = [
     (r"([{-~\[-` -&(-+:-@/])", r" \1 "),

@@ -36,6 +36,34 @@ def replace_literal(col: ColumnOrName, search: str, repl: str) -> Column:
     return F.replace(_c(col), F.lit(search), F.lit(repl))
 
 
+def _holds_marker(col: Column) -> Column:
+    return F.contains(col, F.lit(R.SENT_MARK)) | F.contains(col, F.lit(R.ABBR_MARK)) | F.contains(col, F.lit(R.ESCAPE))
+
+
+def escape_markers(col: ColumnOrName) -> Column:
+    """Marker characters of the text itself -> escape sequences (only where there are any)."""
+    t = out = _c(col)
+    for a, b in R.ESCAPED:
+        out = replace_literal(out, a, b)
+    return F.when(_holds_marker(t), out).otherwise(t)
+
+
+def restore_markers(col: ColumnOrName) -> Column:
+    out = _c(col)
+    for a, b in reversed(R.ESCAPED):
+        out = replace_literal(out, b, a)
+    return out
+
+
+def let(value: ColumnOrName, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(_c(value)), use), F.lit(0))
+
+
+def _restored(items: Column, marked: Column) -> Column:
+    return F.when(F.contains(marked, F.lit(R.ESCAPE)), F.transform(items, restore_markers)).otherwise(items)
+
+
 # --------------------------------------------------------------------------
 # Scalar clean-up
 # --------------------------------------------------------------------------
@@ -47,9 +75,12 @@ def strip(col: ColumnOrName) -> Column:
 
 
 def clean_token(col: ColumnOrName) -> Column:
-    """Tokens of 2+ chars made only of ASCII punctuation/digits -> <SPECIAL>."""
+    """Tokens of 0 or 2+ chars made only of ASCII punctuation/digits -> <SPECIAL>.
+
+    Trimming these characters leaves nothing exactly when there are no others.
+    """
     t = _c(col)
-    return F.when((F.length(t) != 1) & t.rlike(R.SPECIAL_ONLY), F.lit(R.SPECIAL_TOKEN)).otherwise(t)
+    return F.when((F.btrim(t, F.lit(R.SPECIAL_CHARS)) == "") & (F.length(t) != 1), F.lit(R.SPECIAL_TOKEN)).otherwise(t)
 
 
 def cleanup_punctuation(col: ColumnOrName) -> Column:
@@ -126,9 +157,11 @@ def mark_sentences(
 
     Mask abbreviations and enumerations, mark paragraph breaks and sentence
     ends, collapse whitespace around markers, trim, unmask.  The result has
-    no empty sentence unless the whole text is blank.
+    no empty sentence unless the whole text is blank.  Marker characters of
+    the text stay escaped until :func:`sentence_array` or :func:`token_array`.
     """
-    t = mask_abbreviations(text, lang, abbreviations) if lang is not None else _c(text)
+    t = escape_markers(text)
+    t = mask_abbreviations(t, lang, abbreviations) if lang is not None else t
     if enums:
         t = enum_mask(t)
     if paragraphs:
@@ -175,20 +208,76 @@ def explode_rows(df, arr: ColumnOrName, value: str, pos: str | None = None, keep
 
 def sentence_array(marked: ColumnOrName) -> Column:
     """Sentences of a marked document (already trimmed, none empty)."""
-    return split_nonempty(marked, R.SENT_MARK)
+    return let(marked, lambda m: _restored(split_nonempty(m, R.SENT_MARK), m))
 
 
 def token_string(marked: ColumnOrName) -> Column:
-    """Apply the tokenisation rules to a sentence or a marked document."""
+    """Apply the tokenisation rules to an escaped sentence or a marked document."""
     t = apply_rules(marked, R.TOKEN_RULES)
     t = F.concat(F.lit(" "), t, F.lit(" "))
+    # few texts hold a joined word: the others skip these rules
+    joined = _c(marked).rlike(R.ANY_JOINED_WORD)
+    t = F.when(joined, apply_rules(t, R.JOINED_WORD_RULES)).otherwise(t)
     return apply_rules(t, R.CONTRACTION_RULES)
 
 
 def token_array(marked: ColumnOrName) -> Column:
-    """Word tokens of a sentence or of a whole marked document."""
-    trimmed = F.btrim(token_string(marked), F.lit(R.WS_CHARS + R.SENT_MARK))
-    return split_nonempty(trimmed, R.SEP + "+")
+    """Word tokens of a whole marked document (as :func:`mark_sentences` returns it)."""
+    def tokens(m: Column) -> Column:
+        trimmed = F.btrim(token_string(m), F.lit(R.WS_CHARS + R.SENT_MARK))
+        return _restored(split_nonempty(trimmed, R.SEP + "+"), m)
+
+    return let(marked, tokens)
+
+
+def sentence_tokens(sentence: ColumnOrName) -> Column:
+    """Word tokens of one plain sentence."""
+    return token_array(escape_markers(sentence))
+
+
+def nested_tokens(marked: ColumnOrName) -> Column:
+    """The tokens of each sentence of a marked document; the rules run once over the document."""
+    def nested(m: Column) -> Column:
+        trimmed = F.btrim(token_string(m), F.lit(R.WS_CHARS + R.SENT_MARK))
+        parts = F.transform(split_nonempty(trimmed, R.SENT_MARK),
+                            lambda s: split_nonempty(F.btrim(s, F.lit(R.WS_CHARS)), R.WS + "+"))
+        return F.when(F.contains(m, F.lit(R.ESCAPE)), F.transform(parts, lambda p: F.transform(p, restore_markers))).otherwise(parts)
+
+    return let(marked, nested)
+
+
+def running_starts(sizes: ColumnOrName) -> Column:
+    """For an array of sizes the array of start offsets (0, s0, s0 + s1, ...), one more than sizes."""
+    zero = F.array(F.lit(0))
+    return F.aggregate(_c(sizes), zero, lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s)))
+
+
+def round_exact(col: ColumnOrName, digits: int) -> Column:
+    """Round a double as Python does: half to even, on its exact binary value
+    (2.675 is below the tie and gives 2.67).  NULL stays NULL.
+
+    The fraction is cut into two 30-bit integers, so all digits that decide are
+    exact integers.
+    """
+    def rounded(x: Column) -> Column:
+        whole = F.floor(F.abs(x))
+        high = (F.abs(x) - whole) * float(1 << 30)
+        low = (high - F.floor(high)) * float(1 << 30)
+        unit = F.lit(1 << 60).cast("decimal(20,0)")
+        parts = (F.floor(high).cast("decimal(20,0)") * F.lit(1 << 30).cast("decimal(11,0)") + F.floor(low).cast("decimal(20,0)")).cast("decimal(20,0)")
+
+        def place(n: Column) -> Column:
+            q = F.floor(n / unit).cast("decimal(20,0)")
+            # decimal division rounds: correct the quotient by its exact remainder
+            q = F.when(q * unit > n, q - 1).otherwise(q).cast("decimal(20,0)")
+            twice = (n - q * unit) * 2
+            odd = F.pmod(q + (whole.cast("decimal(20,0)") if digits == 0 else F.lit(0)), F.lit(2)) == 1
+            up = (twice > unit) | ((twice == unit) & odd)
+            return (whole.cast("double") * float(10 ** digits) + q.cast("double") + F.when(up, 1.0).otherwise(0.0)) / float(10 ** digits) * F.signum(x)
+
+        return let((parts * F.lit(10 ** digits).cast("decimal(6,0)")).cast("decimal(30,0)"), place)
+
+    return F.when(_c(col).isNotNull(), let(_c(col).cast("double"), rounded))
 
 
 def rouge_tokens(col: ColumnOrName) -> Column:

@@ -14,44 +14,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
+from ..sources.tables import cluster
 
 PAD_ID = 0
 UNK_ID = 1
 FIRST_ID = 2
 IGNORE_ID = -100
 SPECIAL_IDS = (PAD_ID, UNK_ID)
-DEFAULT_VOCAB_SIZE = 50_000
+
+
+PAIR = ["split", "pair_id"]
 
 
 def pair_tokens(pairs: DataFrame, prefix: str = "", lang: str = "en") -> DataFrame:
-    """(split, pair_id, src, tgt) token arrays; P1 prepends ``prefix`` to the source."""
+    """(split, pair_id, src, tgt) token arrays, clustered by pair; P1 prepends ``prefix`` to the source."""
+    p = cluster(pairs.select(*PAIR, "source", "target"), *PAIR)
     src = F.concat(F.lit(prefix), F.col("source")) if prefix else F.col("source")
-    return pairs.select(
-        "split", "pair_id",
+    return p.select(
+        *PAIR,
         T.token_array(T.mark_sentences(src, F.lit(lang))).alias("src"),
         T.token_array(T.mark_sentences("target", F.lit(lang))).alias("tgt"),
     )
 
 
-def vocab_ids(toks: DataFrame, max_size: int = DEFAULT_VOCAB_SIZE, split: str = "train") -> DataFrame:
-    """(token, id, cnt) for the ``max_size`` most frequent training tokens.
+def vocab_ids(toks: DataFrame, max_size: int | None = None, split: str = "train") -> DataFrame:
+    """(token, id, cnt), ids in order of count (descending), then token.
 
-    The top-k is a distributed TakeOrderedAndProject; only those k rows
-    are numbered, in one small task.
+    All training tokens get an id unless the caller asks for the
+    ``max_size`` most frequent.  The numbering is distributed: the counts are
+    sorted by ranges, each range numbers its rows, and the sizes of the ranges before it
+    (one row per range) are added.
     """
     t = toks.where(F.col("split") == split)
     words = T.explode_rows(t, F.concat("src", "tgt"), "token")
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
-    top = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(max_size)
-    w = Window.orderBy(F.desc("cnt"), F.asc("token"))
-    return top.select("token", (F.row_number().over(w) + FIRST_ID - 1).cast("int").alias("id"), "cnt")
-
-
-def _lookup(x: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Token -> id by a broadcast join; the vocabulary is bounded by max_size."""
-    v = F.broadcast(vocab.select(F.col("token").alias("_v_token"), F.col("id").alias("_v_id")))
-    j = x.join(v, x["token"] == v["_v_token"], "left")
-    return j.select(*[c for c in x.columns], F.coalesce(F.col("_v_id"), F.lit(UNK_ID)).alias("id"))
+    order = [F.desc("cnt"), F.asc("token")]
+    if max_size is not None:
+        counts = counts.orderBy(*order).limit(max_size)
+    ranges = int(toks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = counts.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(
+        "token", "cnt", F.spark_partition_id().alias("part"),
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("pos"))
+    local = materialize(local, "vocab-ranges")  # the ranges must not be drawn twice
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = local.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return local.join(starts, "part").select("token", (F.col("start") + F.col("pos") + FIRST_ID).cast("int").alias("id"), "cnt")
 
 
 def encode(toks: DataFrame, vocab: DataFrame, max_source_length: int = 1024, max_target_length: int = 128,
@@ -60,28 +68,24 @@ def encode(toks: DataFrame, vocab: DataFrame, max_source_length: int = 1024, max
 
     Train labels use ``max_target_length``; val and test use
     ``val_max_target_length`` (default: the same).  Tokens are truncated
-    before the lookup, so no work is spent on dropped positions.
+    before the lookup (J5, a join whose strategy the optimizer picks by the
+    vocabulary's size), so no work is spent on dropped positions.
     """
     val_max = max_target_length if val_max_target_length is None else val_max_target_length
     tgt_max = F.when(F.col("split") == "train", F.lit(max_target_length)).otherwise(F.lit(val_max))
-    sides = toks.select(
-        "split", "pair_id",
-        F.inline(F.array(
-            F.struct(F.lit("input_ids").alias("side"), F.slice("src", 1, max_source_length).alias("t")),
-            F.struct(F.lit("labels").alias("side"), F.slice("tgt", F.lit(1), tgt_max).alias("t")),
-        )),
-    )
-    x = sides.select("split", "pair_id", "side", F.posexplode_outer("t").alias("pos", "token"))
-    ids = _lookup(x, vocab)
-    item = F.when(F.col("token").isNotNull(), F.struct("pos", "id"))
-    folded = ids.groupBy("split", "pair_id", "side").agg(F.array_sort(F.collect_list(item)).alias("_s"))
-    out = folded.groupBy("split", "pair_id").agg(
-        F.first(F.when(F.col("side") == "input_ids", F.col("_s.id")), ignorenulls=True).alias("input_ids"),
-        F.first(F.when(F.col("side") == "labels", F.col("_s.id")), ignorenulls=True).alias("labels"),
-    )
-    empty = F.array().cast("array<int>")
-    return out.select("split", "pair_id", F.coalesce("input_ids", empty).alias("input_ids"),
-                      F.coalesce("labels", empty).alias("labels"))
+
+    def tagged(side, tokens):
+        return F.transform(tokens, lambda t, p: F.struct(F.lit(side).alias("side"), p.alias("pos"), t.alias("token")))
+
+    x = toks.select(*PAIR, F.inline_outer(F.concat(tagged("i", F.slice("src", 1, max_source_length)),
+                                                   tagged("l", F.slice("tgt", F.lit(1), tgt_max)))))
+    ids = x.join(vocab.select("token", "id"), "token", "left")
+
+    def fold(side):
+        item = F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
+        return F.array_sort(F.collect_list(F.when(F.col("side") == side, item))).getField("id")
+
+    return ids.groupBy(*PAIR).agg(fold("i").alias("input_ids"), fold("l").alias("labels"))
 
 
 def pad(ids, length: int) -> F.Column:
@@ -113,7 +117,7 @@ def decode(df: DataFrame, ids_col: str, vocab: DataFrame, keys=("split", "pair_i
     keys = list(keys)
     x = df.select(*keys, F.posexplode_outer(ids_col).alias("pos", "id"))
     x = x.withColumn("id", F.when(F.col("id") == IGNORE_ID, F.lit(PAD_ID)).otherwise(F.col("id")))
-    v = F.broadcast(vocab.select(F.col("id").alias("_v_id"), F.col("token").alias("_v_token")))
+    v = vocab.select(F.col("id").alias("_v_id"), F.col("token").alias("_v_token"))
     j = x.join(v, x["id"] == v["_v_id"], "left")
     item = F.when(F.col("id").isNotNull() & ~F.col("id").isin(*SPECIAL_IDS), F.struct("pos", F.col("_v_token").alias("t")))
     folded = j.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_s"))

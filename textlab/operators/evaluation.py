@@ -1,95 +1,107 @@
 """Evaluation of system outputs against references.
 
-Input: eval(system, pair_id, orig, ref, sys).  One n-gram count table
-(J3) serves ROUGE-1/2, BLEU and SARI: every (kind, n, side) n-gram list of
-a row is exploded, and one aggregate by (system, pair_id, kind, n, gram)
-gives the counts on the three sides.  The eval rows are clustered by
-pair_id first, so that aggregate (and the one per pair after it) runs
+Input: an :class:`Eval`, one row per pair (split, pair_id, orig, ref) with one
+column per system (y0, y1, ...).  What belongs to the pair (tokens and n-grams
+of orig and ref) is therefore computed once, however many systems there are.
+
+One n-gram count table (J3) serves ROUGE-1/2, BLEU and SARI: the n-gram lists
+that the wanted metrics need are exploded, and one aggregate by (split, pair_id,
+kind, n, gram) counts orig, ref and every system.  The rows are clustered by
+(split, pair_id) first, so that aggregate (and the one per pair after it) runs
 without an exchange; only the tiny per-system results are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..sources.tables import cluster
 from . import stats as A
 
-ORIG, REF, SYS = 0, 1, 2
+PAIR = ("split", "pair_id")
+ORIG, REF, FIRST_SYS = 0, 1, 2
+KINDS = ("rouge", "bleu", "sari")
 ROUGE_ORDERS = (1, 2)
 BLEU_ORDERS = (1, 2, 3, 4)
+SARI_PARTS = ("add_sys", "add_ref", "add_ok", "keep_sys", "keep_ref", "keep_ok", "del_sys", "del_ref", "del_ok")
+PAIR_STATS = ("hits", "sys_total", "ref_total", *SARI_PARTS)
 
 
-def cluster_by_pair(ev: DataFrame) -> DataFrame:
-    """Hash-partition eval rows by pair_id: one shuffle of the texts instead
-    of one of the (much larger) n-gram rows."""
-    from ..sources.tables import parallelism
-    return ev.repartition(parallelism(ev.sparkSession), "pair_id")
+class Eval(NamedTuple):
+    """rows(split, pair_id, orig, ref, y0, y1, ...) and the names of the systems behind the y columns."""
 
+    rows: DataFrame
+    systems: tuple[str, ...]
 
-def _token_columns(ev: DataFrame) -> DataFrame:
-    return ev.select(
-        "system", "pair_id",
-        T.rouge_tokens("ref").alias("r_ref"),
-        T.rouge_tokens("sys").alias("r_sys"),
-        T.tokens_13a("ref").alias("b_ref"),
-        T.tokens_13a("sys").alias("b_sys"),
-        T.tokens_13a("orig", lowercase=True).alias("s_orig"),
-        T.tokens_13a("ref", lowercase=True).alias("s_ref"),
-        T.tokens_13a("sys", lowercase=True).alias("s_sys"),
-    )
+    def clustered(self) -> Eval:
+        """Hash-partitioned by pair: one shuffle of the texts instead of one of the much larger n-gram rows."""
+        return Eval(cluster(self.rows, *PAIR), self.systems)
+
+    def long(self) -> DataFrame:
+        """(system, split, pair_id, orig, ref, sys)."""
+        return self.rows.select(*PAIR, "orig", "ref", F.inline(F.array(*[
+            F.struct(F.lit(name).alias("system"), F.col(f"y{i}").alias("sys")) for i, name in enumerate(self.systems)
+        ]))).select("system", *PAIR, "orig", "ref", "sys")
+
+    def per_system(self, make) -> F.Column:
+        """An array with one struct (system, *make(i)) per system."""
+        return F.array(*[F.struct(F.lit(name).alias("system"), *make(i)) for i, name in enumerate(self.systems)])
 
 
-def ngram_counts(ev: DataFrame, clustered: bool = False) -> DataFrame:
-    """(system, pair_id, kind, n, gram, c_orig, c_ref, c_sys).
+def _orders(kind: str) -> tuple[int, ...]:
+    return ROUGE_ORDERS if kind == "rouge" else BLEU_ORDERS
 
-    Every (system, pair_id, kind, n) also has one row with a NULL gram and
-    zero counts, so pairs without n-grams still take part in the means.
-    ``clustered``: the rows are already hash-partitioned by pair_id.
+
+def ngram_counts(ev: Eval, kinds: Sequence[str] = KINDS, orders: Sequence[int] | None = None) -> DataFrame:
+    """(split, pair_id, kind, n, gram, c_orig, c_ref, c0, c1, ...).
+
+    Every (pair, kind, n) also has one row with a NULL gram and zero counts,
+    so pairs without n-grams still take part in the means.  ``ev`` should be
+    clustered by pair.
     """
-    toks = _token_columns(ev if clustered else cluster_by_pair(ev))
-    specs = []
-    for n in ROUGE_ORDERS:
-        specs += [("rouge", n, REF, "r_ref"), ("rouge", n, SYS, "r_sys")]
-    for n in BLEU_ORDERS:
-        specs += [("bleu", n, REF, "b_ref"), ("bleu", n, SYS, "b_sys")]
-        specs += [("sari", n, ORIG, "s_orig"), ("sari", n, REF, "s_ref"), ("sari", n, SYS, "s_sys")]
-    arr = F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.lit(n).alias("n"), F.lit(side).alias("side"), T.ngrams(c, n).alias("g"))
-        for k, n, side, c in specs
+    make = {"rouge": lambda c: T.rouge_tokens(c), "bleu": lambda c: T.tokens_13a(c), "sari": lambda c: T.tokens_13a(c, lowercase=True)}
+    texts = ["orig", "ref", *[f"y{i}" for i in range(len(ev.systems))]]
+    specs = [(kind, side, name) for kind in kinds for side, name in enumerate(texts) if not (side == ORIG and kind != "sari")]
+    toks = ev.rows.select(*PAIR, *[make[kind](name).alias(f"{kind}_{name}") for kind, _, name in specs])
+    lists = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.lit(side).alias("side"), T.ngrams(f"{kind}_{name}", n).alias("g"))
+        for kind, side, name in specs for n in (orders or _orders(kind))
     ])
-    lists = toks.select("system", "pair_id", F.inline(arr))
-    grams = lists.select("system", "pair_id", "kind", "n", "side", F.explode_outer("g").alias("gram"))
+    grams = toks.select(*PAIR, F.inline(lists)).select(*PAIR, "kind", "n", "side", F.explode_outer("g").alias("gram"))
     has = F.col("gram").isNotNull()
-    return grams.groupBy("system", "pair_id", "kind", "n", "gram").agg(
-        F.count_if(has & (F.col("side") == ORIG)).alias("c_orig"),
-        F.count_if(has & (F.col("side") == REF)).alias("c_ref"),
-        F.count_if(has & (F.col("side") == SYS)).alias("c_sys"),
-    )
 
+    def count(side: int):
+        return F.count_if(has & (F.col("side") == side))
 
-def pair_order_stats(counts: DataFrame) -> DataFrame:
-    """Per (system, pair_id, kind, n): clipped hits, totals and SARI parts."""
-    o, r, s = F.col("c_orig"), F.col("c_ref"), F.col("c_sys")
-    d_s, d_r = F.greatest(o - s, F.lit(0)), F.greatest(o - r, F.lit(0))
-    return counts.groupBy("system", "pair_id", "kind", "n").agg(
-        F.sum(F.least(s, r)).alias("hits"),
-        F.sum(s).alias("sys_total"),
-        F.sum(r).alias("ref_total"),
-        F.count_if((s > 0) & (o == 0)).alias("add_sys"),
-        F.count_if((r > 0) & (o == 0)).alias("add_ref"),
-        F.count_if((s > 0) & (r > 0) & (o == 0)).alias("add_ok"),
-        F.sum(F.least(o, s)).alias("keep_sys"),
-        F.sum(F.least(o, r)).alias("keep_ref"),
-        F.sum(F.least(o, s, r)).alias("keep_ok"),
-        F.sum(d_s).alias("del_sys"),
-        F.sum(d_r).alias("del_ref"),
-        F.sum(F.least(d_s, d_r)).alias("del_ok"),
-    )
+    return grams.groupBy(*PAIR, "kind", "n", "gram").agg(
+        count(ORIG).alias("c_orig"), count(REF).alias("c_ref"), *[count(FIRST_SYS + i).alias(f"c{i}") for i in range(len(ev.systems))])
+
+
+def pair_order_stats(counts: DataFrame, ev: Eval) -> DataFrame:
+    """(system, split, pair_id, kind, n): clipped hits, totals and SARI parts."""
+    o, r = F.col("c_orig"), F.col("c_ref")
+    aggs = []
+    for i in range(len(ev.systems)):
+        s = F.col(f"c{i}")
+        d_s, d_r = F.greatest(o - s, F.lit(0)), F.greatest(o - r, F.lit(0))
+        parts = {
+            "hits": F.sum(F.least(s, r)), "sys_total": F.sum(s), "ref_total": F.sum(r),
+            "add_sys": F.count_if((s > 0) & (o == 0)), "add_ref": F.count_if((r > 0) & (o == 0)),
+            "add_ok": F.count_if((s > 0) & (r > 0) & (o == 0)),
+            "keep_sys": F.sum(F.least(o, s)), "keep_ref": F.sum(F.least(o, r)), "keep_ok": F.sum(F.least(o, s, r)),
+            "del_sys": F.sum(d_s), "del_ref": F.sum(d_r), "del_ok": F.sum(F.least(d_s, d_r)),
+        }
+        aggs += [parts[c].alias(f"{c}_{i}") for c in PAIR_STATS]
+    wide = counts.groupBy(*PAIR, "kind", "n").agg(*aggs)
+    rows = wide.select(*PAIR, "kind", "n", F.inline(ev.per_system(lambda i: [F.col(f"{c}_{i}").alias(c) for c in PAIR_STATS])))
+    return rows.select("system", *PAIR, "kind", "n", *PAIR_STATS)
 
 
 def _f1(p, r):
@@ -100,61 +112,18 @@ def _safe_div(a, b):
     return F.when(b > 0, a.cast("double") / b.cast("double")).otherwise(F.lit(0.0))
 
 
-def rouge_n(stats: DataFrame) -> DataFrame:
-    """(system, n, precision, recall, fmeasure): means over pairs x100."""
-    x = stats.where(F.col("kind") == "rouge").select(
-        "system", "n",
-        (F.col("hits") / F.greatest(F.col("sys_total"), F.lit(1))).alias("p"),
-        (F.col("hits") / F.greatest(F.col("ref_total"), F.lit(1))).alias("r"),
-    ).withColumn("f", _f1(F.col("p"), F.col("r")))
-    return x.groupBy("system", "n").agg(
-        (F.avg("p") * 100).alias("precision"), (F.avg("r") * 100).alias("recall"), (F.avg("f") * 100).alias("fmeasure"))
-
-
-def bleu(stats: DataFrame) -> DataFrame:
-    """Corpus BLEU per system (pooled counts, exp smoothing, brevity penalty)."""
-    b = stats.where(F.col("kind") == "bleu").groupBy("system").agg(
-        *[F.sum(F.when(F.col("n") == n, F.col("hits"))).alias(f"c{n}") for n in BLEU_ORDERS],
-        *[F.sum(F.when(F.col("n") == n, F.col("sys_total"))).alias(f"t{n}") for n in BLEU_ORDERS],
-        F.sum(F.when(F.col("n") == 1, F.col("ref_total"))).alias("ref_len"),
-    )
-    logs, k = [], F.lit(0)
-    for n in BLEU_ORDERS:
-        c, t = F.col(f"c{n}"), F.col(f"t{n}")
-        k = k + F.when((t > 0) & (c == 0), 1).otherwise(0)
-        p = F.when(t == 0, F.lit(0.0)).when(c > 0, 100.0 * c / t).otherwise(100.0 / (F.pow(F.lit(2.0), k) * t))
-        logs.append(F.when(p > 0, F.log(p)).otherwise(F.lit(-9999999999.0)))
-    sys_len, ref_len = F.col("t1"), F.col("ref_len")
-    bp = F.when(sys_len >= ref_len, F.lit(1.0)).when(sys_len > 0, F.exp(1 - ref_len / sys_len)).otherwise(F.lit(0.0))
-    score = bp * F.exp(reduce(lambda a, x: a + x, logs) / len(BLEU_ORDERS))
-    return b.select("system", score.alias("bleu"))
-
-
-def sari(stats: DataFrame) -> DataFrame:
-    """Corpus SARI per system, with its add/keep/delete parts (x100)."""
-    s = stats.where(F.col("kind") == "sari").groupBy("system", "n").agg(
-        *[F.sum(c).alias(c) for c in ("add_sys", "add_ref", "add_ok", "keep_sys", "keep_ref", "keep_ok",
-                                      "del_sys", "del_ref", "del_ok")])
-
-    def op_f1(op):
-        return _f1(_safe_div(F.col(f"{op}_ok"), F.col(f"{op}_sys")), _safe_div(F.col(f"{op}_ok"), F.col(f"{op}_ref")))
-
-    per_n = s.select("system", op_f1("add").alias("add"), op_f1("keep").alias("keep"), op_f1("del").alias("del"))
-    per_sys = per_n.groupBy("system").agg(
-        (F.avg("add") * 100).alias("sari_add"), (F.avg("keep") * 100).alias("sari_keep"),
-        (F.avg("del") * 100).alias("sari_del"))
-    return per_sys.select("*", ((F.col("sari_add") + F.col("sari_keep") + F.col("sari_del")) / 3).alias("sari"))
-
-
-SARI_PARTS = ("add_sys", "add_ref", "add_ok", "keep_sys", "keep_ref", "keep_ok", "del_sys", "del_ref", "del_ok")
+def _mean(cols):
+    return reduce(lambda a, x: a + x, cols) / len(cols)
 
 
 def ngram_metrics(stats: DataFrame) -> DataFrame:
     """ROUGE-1/2 (P, R, F), BLEU and SARI for every system from ONE
     aggregation of the per-(pair, kind, n) statistics.
 
-    Columns: system, r{n}_p, r{n}_r, r{n}_f, bleu, sari_add, sari_keep,
-    sari_del, sari.
+    Columns: system, r{n}_p, r{n}_r, r{n}_f (means over pairs x100), bleu
+    (pooled counts, exp smoothing, brevity penalty), sari_add, sari_keep,
+    sari_del, sari (pooled counts).  Metrics of kinds that are not in
+    ``stats`` are NULL or zero: select what was counted.
     """
     kind, n = F.col("kind"), F.col("n")
     aggs = []
@@ -162,58 +131,66 @@ def ngram_metrics(stats: DataFrame) -> DataFrame:
         on = (kind == "rouge") & (n == k)
         p = F.col("hits") / F.greatest(F.col("sys_total"), F.lit(1))
         r = F.col("hits") / F.greatest(F.col("ref_total"), F.lit(1))
-        aggs += [F.avg(F.when(on, p)).alias(f"r{k}_p"), F.avg(F.when(on, r)).alias(f"r{k}_r"),
-                 F.avg(F.when(on, _f1(p, r))).alias(f"r{k}_f")]
+        aggs += [F.avg(F.when(on, x) * 100).alias(f"r{k}_{c}") for c, x in (("p", p), ("r", r), ("f", _f1(p, r)))]
     for k in BLEU_ORDERS:
         on = (kind == "bleu") & (n == k)
         aggs += [F.sum(F.when(on, F.col("hits"))).alias(f"c{k}"), F.sum(F.when(on, F.col("sys_total"))).alias(f"t{k}")]
-        on_s = (kind == "sari") & (n == k)
-        aggs += [F.sum(F.when(on_s, F.col(c))).alias(f"{c}{k}") for c in SARI_PARTS]
+        aggs += [F.sum(F.when((kind == "sari") & (n == k), F.col(c))).alias(f"{c}{k}") for c in SARI_PARTS]
     aggs.append(F.sum(F.when((kind == "bleu") & (n == 1), F.col("ref_total"))).alias("ref_len"))
     g = stats.groupBy("system").agg(*aggs)
 
-    logs, k_smooth = [], F.lit(0)
+    logs, zero_orders = [], F.lit(0)
     for k in BLEU_ORDERS:
         c, t = F.col(f"c{k}"), F.col(f"t{k}")
-        k_smooth = k_smooth + F.when((t > 0) & (c == 0), 1).otherwise(0)
-        p = F.when(t == 0, F.lit(0.0)).when(c > 0, 100.0 * c / t).otherwise(100.0 / (F.pow(F.lit(2.0), k_smooth) * t))
+        zero_orders = zero_orders + F.when((t > 0) & (c == 0), 1).otherwise(0)
+        p = F.when(t == 0, F.lit(0.0)).when(c > 0, 100.0 * c / t).otherwise(100.0 / (F.pow(F.lit(2.0), zero_orders) * t))
         logs.append(F.when(p > 0, F.log(p)).otherwise(F.lit(-9999999999.0)))
     sys_len, ref_len = F.col("t1"), F.col("ref_len")
-    bp = F.when(sys_len >= ref_len, F.lit(1.0)).when(sys_len > 0, F.exp(1 - ref_len / sys_len)).otherwise(F.lit(0.0))
-    bleu_score = bp * F.exp(reduce(lambda a, x: a + x, logs) / len(BLEU_ORDERS))
+    penalty = F.when(sys_len >= ref_len, F.lit(1.0)).when(sys_len > 0, F.exp(1 - ref_len / sys_len)).otherwise(F.lit(0.0))
 
     def op_mean(op):
-        f1s = [_f1(_safe_div(F.col(f"{op}_ok{k}"), F.col(f"{op}_sys{k}")),
-                   _safe_div(F.col(f"{op}_ok{k}"), F.col(f"{op}_ref{k}"))) for k in BLEU_ORDERS]
-        return reduce(lambda a, x: a + x, f1s) / len(BLEU_ORDERS) * 100
+        return 100 * _mean([_f1(_safe_div(F.col(f"{op}_ok{k}"), F.col(f"{op}_sys{k}")),
+                                _safe_div(F.col(f"{op}_ok{k}"), F.col(f"{op}_ref{k}"))) for k in BLEU_ORDERS])
 
     out = g.select(
-        "system",
-        *[(F.col(f"r{k}_{x}") * 100).alias(f"r{k}_{x}") for k in ROUGE_ORDERS for x in ("p", "r", "f")],
-        bleu_score.alias("bleu"),
+        "system", *[f"r{k}_{x}" for k in ROUGE_ORDERS for x in ("p", "r", "f")],
+        (penalty * F.exp(_mean(logs))).alias("bleu"),
         op_mean("add").alias("sari_add"), op_mean("keep").alias("sari_keep"), op_mean("del").alias("sari_del"),
     )
-    return out.withColumn("sari", (F.col("sari_add") + F.col("sari_keep") + F.col("sari_del")) / 3)
+    return out.withColumn("sari", _mean([F.col("sari_add"), F.col("sari_keep"), F.col("sari_del")]))
+
 
+def rouge_n(ev: Eval, n: int) -> DataFrame:
+    """(system, precision, recall, fmeasure); only ROUGE n-grams of order n are counted."""
+    m = ngram_metrics(pair_order_stats(ngram_counts(ev, ("rouge",), (n,)), ev))
+    return m.select("system", F.col(f"r{n}_p").alias("precision"), F.col(f"r{n}_r").alias("recall"), F.col(f"r{n}_f").alias("fmeasure"))
 
-def surface_stats(ev: DataFrame) -> DataFrame:
+
+def bleu(ev: Eval) -> DataFrame:
+    """(system, bleu)."""
+    return ngram_metrics(pair_order_stats(ngram_counts(ev, ("bleu",)), ev)).select("system", "bleu")
+
+
+def sari(ev: Eval) -> DataFrame:
+    """(system, sari_add, sari_keep, sari_del, sari)."""
+    m = ngram_metrics(pair_order_stats(ngram_counts(ev, ("sari",)), ev))
+    return m.select("system", "sari_add", "sari_keep", "sari_del", "sari")
+
+
+def surface_stats(ev: Eval) -> DataFrame:
     """Per system means of |x|_w, |x|_s, |y|_w, |y|_s, CMP_w, CMP_s and
-    surface-token novelty n=1,2 (x100)."""
-    t = ev.select(
-        "system",
-        T.token_array(T.plain_marked_sentences("orig")).alias("xt"),
-        T.token_array(T.plain_marked_sentences("sys")).alias("yt"),
-        F.size(T.sentence_array(T.plain_marked_sentences("orig"))).alias("xs"),
-        F.size(T.sentence_array(T.plain_marked_sentences("sys"))).alias("ys"),
-    )
-    t = A.with_novelty(t, "xt", "yt", (1, 2))
-    per = t.select(
-        "system",
-        F.size("xt").alias("xw"), F.size("yt").alias("yw"), "xs", "ys",
-        T.ratio(F.size("yt"), F.size("xt")).alias("cmp_w"),
-        T.ratio("ys", "xs").alias("cmp_s"),
-        (F.col("nov_1") * 100).alias("nov_1"), (F.col("nov_2") * 100).alias("nov_2"),
-    )
+    surface-token novelty n=1,2 (x100).  Each text is split and cleaned once."""
+    names = ["orig", *[f"y{i}" for i in range(len(ev.systems))]]
+    marked = ev.rows.select(*[T.plain_marked_sentences(c).alias(c) for c in names])
+    sized = marked.select(*[F.size(T.sentence_array(c)).alias(f"s_{c}") for c in names], *[T.token_array(c).alias(f"t_{c}") for c in names])
+    clean = sized.select(*[f"s_{c}" for c in names], *[F.size(f"t_{c}").alias(f"w_{c}") for c in names],
+                         *[T.clean_tokens(f"t_{c}").alias(f"c_{c}") for c in names])
+    per = clean.select(F.inline(ev.per_system(lambda i: [
+        F.col("w_orig").alias("xw"), F.col("s_orig").alias("xs"), F.col(f"w_y{i}").alias("yw"), F.col(f"s_y{i}").alias("ys"),
+        T.ratio(f"w_y{i}", "w_orig").alias("cmp_w"), T.ratio(f"s_y{i}", "s_orig").alias("cmp_s"),
+        (T.novelty("c_orig", f"c_y{i}", 1, clean=False) * 100).alias("nov_1"),
+        (T.novelty("c_orig", f"c_y{i}", 2, clean=False) * 100).alias("nov_2"),
+    ])))
     return per.groupBy("system").agg(
         F.avg("xw").alias("x_w"), F.avg("xs").alias("x_s"), F.avg("yw").alias("y_w"), F.avg("ys").alias("y_s"),
         F.avg("cmp_w").alias("cmp_w"), F.avg("cmp_s").alias("cmp_s"),
@@ -226,25 +203,24 @@ def _long(df: DataFrame, mapping: list[tuple[str, str]]) -> DataFrame:
     return df.select("system", F.inline(arr))
 
 
-def metric_table(ev: DataFrame, with_lsum: bool = False, clustered: bool = False) -> DataFrame:
+def metric_table(ev: Eval, with_lsum: bool = False, surface: bool = True) -> DataFrame:
     """Long (system, metric, value) for all systems in one job.
 
-    The eval rows are clustered by pair_id once; the n-gram, surface and
-    LCS branches all start from that partitioning.
+    The rows are clustered by pair once; the n-gram, surface and LCS
+    branches all start from that partitioning.
     """
-    ev = ev if clustered else cluster_by_pair(ev)
-    gram = ngram_metrics(pair_order_stats(ngram_counts(ev, clustered=True)))
+    ev = ev.clustered()
+    gram = ngram_metrics(pair_order_stats(ngram_counts(ev), ev))
     mapping = []
     for k in ROUGE_ORDERS:
         mapping += [(f"R-{k}", f"r{k}_f"), (f"R-{k}_p", f"r{k}_p"), (f"R-{k}_r", f"r{k}_r")]
     mapping += [("BLEU", "bleu"), ("SARI", "sari")]
-    parts = [
-        _long(gram, mapping),
-        _long(surface_stats(ev), [
+    parts = [_long(gram, mapping)]
+    if surface:
+        parts.append(_long(surface_stats(ev), [
             ("|x|_w", "x_w"), ("|x|_s", "x_s"), ("|y|_w", "y_w"), ("|y|_s", "y_s"),
             ("CMP_w", "cmp_w"), ("CMP_s", "cmp_s"), ("Nov. (n=1)", "nov_1"), ("Nov. (n=2)", "nov_2"),
-        ]),
-    ]
+        ]))
     if with_lsum:
         from .lcs import rouge_lsum
         parts.append(_long(rouge_lsum(ev), [("R-L", "fmeasure"), ("R-L_p", "precision"), ("R-L_r", "recall")]))
@@ -252,10 +228,11 @@ def metric_table(ev: DataFrame, with_lsum: bool = False, clustered: bool = False
 
 
 def metric_report(metrics: DataFrame, names: list[str], precision: int | None = None) -> DataFrame:
-    """Systems as rows, the chosen metrics as columns in order."""
+    """Systems as rows, the chosen metrics as columns in order;
+    with ``precision`` rounded as Python formats them."""
     unknown = [m for m in names if m not in R.ALL_METRICS]
     if unknown:
         raise ValueError(f"unknown metrics: {unknown}")
-    value = F.col("value") if precision is None else F.round("value", precision)
+    value = F.col("value") if precision is None else T.round_exact("value", precision)
     sel = metrics.where(F.col("metric").isin(names))
     return sel.groupBy("system").pivot("metric", names).agg(F.first(value))

@@ -1,10 +1,10 @@
-"""ROUGE-Lsum (summary-level LCS) with one Arrow UDF.
+"""ROUGE-Lsum (summary-level LCS).
 
-Per evaluation row the reference text and the system text are split into
-sentences (T8, then on newlines), each tokenised like ROUGE-1.  For every
-reference sentence the LCS against each candidate sentence is found, the
-reference positions on those LCS paths are united, and the united tokens
-are clipped by the candidate's token counts:
+The reference text and the system text are split into sentences (T8, then on
+newlines), each tokenised like ROUGE-1.  For every reference sentence the
+LCS against each candidate sentence is found, the reference positions on
+those LCS paths are united, and the united tokens are clipped by the
+candidate's token counts:
 
     hits = sum_t min(union_t, count_sys_t)     (union_t <= count_ref_t)
     P = hits / |sys tokens|, R = hits / |ref tokens|, F = 2PR / (P + R)
@@ -13,14 +13,20 @@ The backtrack follows the usual order: match when tokens are equal, else
 step left when the left cell is strictly larger, else up.  It decides which
 positions enter the union, so it is kept exactly.
 
-Kernel: all candidate sentences are concatenated; one DP row is one NumPy
-step over all of them (a segmented prefix maximum), and the backtrack walks
-every candidate sentence in lockstep.  Candidate sentences are processed in
-chunks so one table never exceeds MAX_CELLS cells.
+One row per reference sentence: an Arrow kernel returns the united tokens,
+counting and clipping are an aggregate by (pair, system, token).  In the kernel
+one DP row is one NumPy step over all candidate sentences (a segmented
+prefix maximum) and the backtrack walks every candidate sentence in
+lockstep.  Of the table only every B-th row is kept; the rows between two
+kept ones are computed again when the backtrack reaches them, and
+candidates are processed in chunks, so at most MAX_CELLS cells exist at a time
+(or 2 sqrt(m) rows of one candidate sentence that is longer than that).
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,116 +35,82 @@ from pyspark.sql import types as Ty
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as T
+from .evaluation import PAIR, Eval
+
+MAX_CELLS = 4_000_000
 
-MAX_CELLS = 16_000_000
 
+def _row(prev: np.ndarray, eq: np.ndarray, first: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    diag = np.empty_like(prev)
+    diag[1:] = prev[:-1]
+    diag[first] = 0
+    return np.maximum.accumulate(np.maximum(prev, diag + eq) + offset) - offset
 
-def _union_hits(refs: np.ndarray, ref_lens: np.ndarray, can: np.ndarray, starts: np.ndarray,
-                lens: np.ndarray) -> np.ndarray:
-    """(R, M) booleans: reference position on the LCS path with any candidate.
 
-    ``refs`` holds R reference sentences padded with -1 to M tokens; ``can``
-    the candidate sentences concatenated (segment starts/lengths given).
-    All R x n DP cells of one row index advance in one NumPy step; the
-    backtrack walks all R x S (reference, candidate) paths in lockstep.
-    """
-    n_ref, m = refs.shape
-    n = len(can)
-    seg = np.repeat(np.arange(len(lens)), lens)
+def _chunk_hits(ref: np.ndarray, can: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Booleans: reference position on the LCS path with any candidate sentence of the chunk."""
+    m, n = len(ref), len(can)
+    block = max(1, math.isqrt(m))
     first = np.zeros(n, dtype=bool)
     first[starts] = True
-    offset = (seg.astype(np.int64) * (m + 1))[None, :]
-    table = np.zeros((m + 1, n_ref, n), dtype=np.int32)
+    offset = np.repeat(np.arange(len(lens), dtype=np.int64) * (m + 1), lens)
+    kept = {0: np.zeros(n, dtype=np.int64)}
+    row = kept[0]
     for i in range(1, m + 1):
-        prev = table[i - 1]
-        eq = (refs[:, i - 1][:, None] == can[None, :]).astype(np.int32)
-        diag = np.zeros_like(prev)
-        diag[:, 1:] = prev[:, :-1]
-        diag[:, first] = 0
-        cand = np.maximum(prev, diag + eq)
-        table[i] = np.maximum.accumulate(cand + offset, axis=1) - offset
-    # one path per (reference sentence, candidate sentence)
-    k = np.repeat(np.arange(n_ref), len(lens))
-    st = np.tile(starts, n_ref)
-    i = ref_lens[k].astype(np.int64)
-    j = np.tile(lens, n_ref).astype(np.int64)
-    hit = np.zeros((n_ref, m), dtype=bool)
-    while True:
-        act = np.nonzero((i > 0) & (j > 0))[0]
-        if len(act) == 0:
-            break
-        ka, ia, ja = k[act], i[act], j[act]
-        col = st[act] + ja - 1
-        match = refs[ka, ia - 1] == can[col]
-        hit[ka[match], ia[match] - 1] = True
-        left = np.where(ja > 1, table[ia, ka, np.maximum(col - 1, 0)], 0)
-        up = table[ia - 1, ka, col]
-        go_left = ~match & (left > up)
-        go_up = ~match & ~go_left
-        i[act] = ia - match - go_up
-        j[act] = ja - match - go_left
+        row = _row(row, ref[i - 1] == can, first, offset)
+        if i % block == 0:
+            kept[i] = row
+    hit = np.zeros(m, dtype=bool)
+    i, j = np.full(len(lens), m, dtype=np.int64), lens.astype(np.int64)
+    for low in range((m - 1) // block * block, -1, -block):  # rows low .. low + block
+        rows = [kept[low]]
+        for k in range(low + 1, min(low + block, m) + 1):
+            rows.append(_row(rows[-1], ref[k - 1] == can, first, offset))
+        table = np.stack(rows)
+        while len(act := np.flatnonzero((i > low) & (j > 0))):
+            ia, ja = i[act], j[act]
+            col = starts[act] + ja - 1
+            match = ref[ia - 1] == can[col]
+            hit[ia[match] - 1] = True
+            left = np.where(ja > 1, table[ia - low, np.maximum(col - 1, 0)], 0)
+            go_left = ~match & (left > table[ia - 1 - low, col])
+            i[act] = ia - (match | ~go_left)
+            j[act] = ja - (match | go_left)
     return hit
 
 
-def _chunks(sizes: np.ndarray, budget: int) -> list[tuple[int, int]]:
-    """Consecutive ranges whose total size stays within budget (>= 1 item)."""
+def chunks(lens: np.ndarray, rows: int) -> list[tuple[int, int]]:
+    """Consecutive candidate ranges with rows * tokens <= MAX_CELLS (at least one sentence each)."""
     out, k = [], 0
-    while k < len(sizes):
-        total, e = 0, k
-        while e < len(sizes) and (e == k or total + sizes[e] <= budget):
-            total += sizes[e]
+    while k < len(lens):
+        e, total = k + 1, int(lens[k])
+        while e < len(lens) and (total + int(lens[e])) * rows <= MAX_CELLS:
+            total += int(lens[e])
             e += 1
         out.append((k, e))
         k = e
     return out
 
 
-def lsum_counts(ref_sents, sys_sents) -> tuple[int, int, int]:
-    """(hits, |ref tokens|, |sys tokens|) for one pair of sentence lists."""
-    refs = [list(s) for s in (ref_sents if ref_sents is not None else []) if s is not None and len(s)]
-    cans = [list(s) for s in (sys_sents if sys_sents is not None else []) if s is not None and len(s)]
-    m = sum(len(s) for s in refs)
-    n = sum(len(s) for s in cans)
-    if m == 0 or n == 0:
-        return 0, m, n
-    vocab: dict[str, int] = {}
-    code = lambda toks: np.array([vocab.setdefault(t, len(vocab)) for t in toks], dtype=np.int64)
-    cans_c = [code(s) for s in cans]
-    refs_c = [code(s) for s in refs]
-    sys_counts = np.bincount(np.concatenate(cans_c), minlength=len(vocab))
-    can_lens = np.array([len(c) for c in cans_c], dtype=np.int64)
-    ref_lens = np.array([len(r) for r in refs_c], dtype=np.int64)
-    max_m = int(ref_lens.max())
-    hit_all = [np.zeros(len(r), dtype=bool) for r in refs_c]
-    # candidate chunks: one reference row of the table stays within budget
-    for c0, c1 in _chunks(can_lens, max(1, MAX_CELLS // (max_m + 1))):
-        lens = can_lens[c0:c1]
-        starts = np.concatenate(([0], np.cumsum(lens)[:-1])).astype(np.int64)
-        can = np.concatenate(cans_c[c0:c1])
-        # reference chunks: (longest + 1) x sentences x candidates within budget
-        per_ref = (ref_lens + 1) * len(can)
-        for r0, r1 in _chunks(per_ref, MAX_CELLS):
-            rl = ref_lens[r0:r1]
-            padded = np.full((r1 - r0, int(rl.max())), -1, dtype=np.int64)
-            for q, r in enumerate(refs_c[r0:r1]):
-                padded[q, :len(r)] = r
-            hit = _union_hits(padded, rl, can, starts, lens)
-            for q in range(r1 - r0):
-                hit_all[r0 + q] |= hit[q, :rl[q]]
-    union_counts = np.zeros(len(vocab), dtype=np.int64)
-    for r, h in zip(refs_c, hit_all):
-        np.add.at(union_counts, r[h], 1)
-    hits = int(np.minimum(union_counts, sys_counts).sum())
-    return hits, m, n
-
-
-LSUM_TYPE = Ty.StructType([Ty.StructField(c, Ty.LongType()) for c in ("hits", "m", "n")])
-
-
-@pandas_udf(LSUM_TYPE)
-def _lsum_udf(ref: pd.Series, sys: pd.Series) -> pd.DataFrame:
-    out = [lsum_counts(a, b) for a, b in zip(ref, sys)]
-    return pd.DataFrame(out, columns=["hits", "m", "n"])
+def union_tokens(ref: list[str], cans: list[list[str]]) -> list[str]:
+    """The tokens of one reference sentence on its LCS path with any candidate sentence."""
+    vocab = {t: k for k, t in enumerate({t for c in cans for t in c})}
+    kept = [t for t in ref if t in vocab]  # tokens of no candidate are on no path and do not change one
+    if not kept:
+        return []
+    codes = np.array([vocab[t] for t in kept], dtype=np.int64)
+    cans_c = [np.array([vocab[t] for t in c], dtype=np.int64) for c in cans if len(c)]
+    lens = np.array([len(c) for c in cans_c], dtype=np.int64)
+    hit = np.zeros(len(codes), dtype=bool)
+    for a, b in chunks(lens, 2 * math.isqrt(len(codes)) + 2):
+        starts = np.concatenate(([0], np.cumsum(lens[a:b])[:-1])).astype(np.int64)
+        hit |= _chunk_hits(codes, np.concatenate(cans_c[a:b]), starts, lens[a:b])
+    return [t for t, h in zip(kept, hit) if h]
+
+
+@pandas_udf(Ty.ArrayType(Ty.StringType()))
+def _union(ref: pd.Series, cans: pd.Series) -> pd.Series:
+    return pd.Series([union_tokens(list(r), [list(c) for c in cs]) for r, cs in zip(ref, cans)], dtype=object)
 
 
 def lsum_sentences(col) -> Column:
@@ -149,13 +121,25 @@ def lsum_sentences(col) -> Column:
     return F.transform(pieces, lambda s: T.rouge_tokens(s))
 
 
-def rouge_lsum(ev: DataFrame) -> DataFrame:
-    """(system, precision, recall, fmeasure): means over pairs x100."""
-    x = ev.select("system", _lsum_udf(lsum_sentences("ref"), lsum_sentences("sys")).alias("c"))
-    p = F.when(F.col("c.n") > 0, F.col("c.hits") / F.col("c.n")).otherwise(F.lit(0.0))
-    r = F.when(F.col("c.m") > 0, F.col("c.hits") / F.col("c.m")).otherwise(F.lit(0.0))
-    per = x.select("system", p.alias("p"), r.alias("r"))
-    per = per.withColumn("f", F.when(F.col("p") + F.col("r") > 0,
-                                     2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(F.lit(0.0)))
-    return per.groupBy("system").agg((F.avg("p") * 100).alias("precision"), (F.avg("r") * 100).alias("recall"),
-                                     (F.avg("f") * 100).alias("fmeasure"))
+def rouge_lsum(ev: Eval) -> DataFrame:
+    """(system, precision, recall, fmeasure): means over pairs x100.  ``ev`` should be clustered by pair."""
+    names = ["ref", *[f"y{i}" for i in range(len(ev.systems))]]
+    sents = ev.rows.select(*PAIR, *[lsum_sentences(c).alias(c) for c in names])
+    per = sents.select(*PAIR, F.col("ref").alias("refs"), F.inline(ev.per_system(lambda i: [F.col(f"y{i}").alias("cans")])))
+    # a row per reference sentence (pos -1: no sentence); the candidate's tokens are counted at the first
+    rows = per.select(*PAIR, "system", "cans", F.posexplode_outer("refs").alias("pos", "ref"))
+    united = rows.select(*PAIR, "system", F.coalesce("pos", F.lit(0)).alias("pos"), "cans", F.coalesce("ref", F.array().cast("array<string>")).alias("ref"))
+    united = united.select(*PAIR, "system", "pos", F.when(F.col("pos") == 0, F.flatten("cans")).alias("can"), "ref", _union("ref", "cans").alias("union"))
+    tagged = F.concat(
+        F.transform(F.coalesce("can", F.array().cast("array<string>")), lambda t: F.struct(F.lit("c").alias("side"), t.alias("t"))),
+        F.transform("ref", lambda t: F.struct(F.lit("r").alias("side"), t.alias("t"))),
+        F.transform("union", lambda t: F.struct(F.lit("u").alias("side"), t.alias("t"))),
+    )
+    tokens = united.select(*PAIR, "system", F.explode_outer(tagged).alias("x")).select(*PAIR, "system", "x.side", "x.t")
+    counts = tokens.groupBy(*PAIR, "system", "t").agg(*[F.count_if(F.col("side") == s).alias(s) for s in "cru"])
+    pairs = counts.groupBy(*PAIR, "system").agg(F.sum(F.least("u", "c")).alias("hits"), F.sum("r").alias("m"), F.sum("c").alias("n"))
+    p = F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(F.lit(0.0))
+    r = F.when(F.col("m") > 0, F.col("hits") / F.col("m")).otherwise(F.lit(0.0))
+    f = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(F.lit(0.0))
+    scored = pairs.select("system", p.alias("p"), r.alias("r")).withColumn("f", f)
+    return scored.groupBy("system").agg((F.avg("p") * 100).alias("precision"), (F.avg("r") * 100).alias("recall"), (F.avg("f") * 100).alias("fmeasure"))

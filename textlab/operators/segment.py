@@ -1,26 +1,19 @@
 """Documents to sentences, tokens and lemmas.
 
-Segmentation is a chain of regular expressions on one column, so it stays
-in whole-stage codegen and needs no shuffle: a document's sentences and
-tokens are generated in the task that reads the document.
+Segmentation is a chain of regular expressions on one column: a document's
+sentences and tokens are generated in the task that reads the document,
+without a shuffle.  Only lemmas need a join, on (lang, token).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Row count above which a lemma dictionary is joined with a shuffle instead
-# of being broadcast.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def with_marked(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """Add ``marked``: the document with SENT_MARK between sentences."""
-    return docs.withColumn("marked", T.mark_sentences(text, lang))
-
 
 def with_arrays(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
     """Add ``sents`` and ``toks`` arrays (one row per document, no explode)."""
@@ -37,31 +30,28 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     return T.explode_rows(docs, F.split(F.col(text), "\n\n"), "paragraph", "para_idx", keep=("doc_id",))
 
 
-def sentences(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
+def sentences(docs: DataFrame, text: str = "text", lang: str | None = "lang", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """T4/T5: (doc_id, sent_idx, sent); sent_idx is dense from 0."""
     sents = T.sentence_array(T.mark_sentences(text, lang))
-    return T.explode_rows(docs, sents, "sent", "sent_idx", keep=("doc_id",))
+    return T.explode_rows(docs, sents, "sent", "sent_idx", keep=tuple(keep))
 
 
-def tokens(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
+def tokens(docs: DataFrame, text: str = "text", lang: str | None = "lang", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """(doc_id, sent_idx, tok_idx, token), tokenising each sentence."""
-    sents = sentences(docs.select("doc_id", text, *([lang] if lang else [])), text, lang)
-    return T.explode_rows(sents, T.token_array("sent"), "token", "tok_idx", keep=("doc_id", "sent_idx"))
+    sents = sentences(docs, text, lang, keep)
+    return T.explode_rows(sents, T.sentence_tokens("sent"), "token", "tok_idx", keep=(*keep, "sent_idx"))
 
 
 def lemma_join(toks: DataFrame, lemma_dict: DataFrame | None, lang: str = "lang") -> DataFrame:
     """Add ``lemma`` by a lookup join on (lang, token).
 
     A dictionary lemma of ``--`` keeps the token; tokens without an entry
-    keep themselves.  The dictionary is broadcast only when its row count is
-    within BROADCAST_MAX_ROWS; larger ones are joined with a shuffle.
+    keep themselves.  There is one path for dictionaries of any size: whether the
+    dictionary is broadcast is left to the optimizer's size check.
     """
     if lemma_dict is None:
         return toks.withColumn("lemma", F.col("token"))
-    d = lemma_dict.select(F.col("lang").alias("_l_lang"), F.col("token").alias("_l_token"), F.col("lemma").alias("_l_lemma"))
-    d = d.dropDuplicates(["_l_lang", "_l_token"])
-    if d.count() <= BROADCAST_MAX_ROWS:
-        d = F.broadcast(d)
+    d = lemma_dict.groupBy(F.col("lang").alias("_l_lang"), F.col("token").alias("_l_token")).agg(F.min("lemma").alias("_l_lemma"))
     joined = toks.join(d, (toks[lang] == d["_l_lang"]) & (toks["token"] == d["_l_token"]), "left")
     lemma = F.coalesce(F.nullif(F.col("_l_lemma"), F.lit("--")), F.col("token"))
     return joined.select(*toks.columns, lemma.alias("lemma"))
@@ -69,24 +59,49 @@ def lemma_join(toks: DataFrame, lemma_dict: DataFrame | None, lang: str = "lang"
 
 def lemmas(docs: DataFrame, lemma_dict: DataFrame | None, text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, sent_idx, tok_idx, token, lemma)."""
-    sents = sentences(docs.select("doc_id", text, lang), text, lang).join(docs.select("doc_id", lang), "doc_id")
-    toks = T.explode_rows(sents, T.token_array("sent"), "token", "tok_idx", keep=("doc_id", lang, "sent_idx"))
+    toks = tokens(docs, text, lang, keep=("doc_id", lang))
     return lemma_join(toks, lemma_dict, lang).select("doc_id", "sent_idx", "tok_idx", "token", "lemma")
 
 
-def document_table(docs: DataFrame, lemma_dict: DataFrame | None = None, lang: str = "lang") -> DataFrame:
-    """Nested view (doc_id, sents, sents_tokenized, sents_lemmatized)."""
-    lem = lemmas(docs, lemma_dict, lang=lang)
-    per_sent = lem.groupBy("doc_id", "sent_idx").agg(
-        F.array_sort(F.collect_list(F.struct("tok_idx", "token", "lemma"))).alias("t"))
-    sents = sentences(docs, lang=lang)
-    per_sent = per_sent.join(sents, ["doc_id", "sent_idx"])
-    per_doc = per_sent.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("sent_idx", "sent", "t"))).alias("s"))
-    return per_doc.select(
-        "doc_id",
-        F.col("s.sent").alias("sents"),
-        F.transform("s", lambda x: x["t"]["token"]).alias("sents_tokenized"),
-        F.transform("s", lambda x: x["t"]["lemma"]).alias("sents_lemmatized"),
+def fold_lemmas(rows: DataFrame, lemma_dict: DataFrame | None, keys: Sequence[str], arrays: Sequence[str],
+                item: Sequence[Column], lang: str = "lang") -> DataFrame:
+    """T10 for token arrays: each of ``arrays`` becomes an array of structs of
+    ``item`` (columns of token and lemma), in token order.
+
+    All arrays of a row are exploded together, joined with the dictionary
+    and folded by ``keys``.  Rows should be clustered by ``keys`` (then the
+    fold needs no exchange); two rows with one key are an error.
+    """
+    keys, arrays = list(keys), list(arrays)
+    carry = [c for c in rows.columns if c not in keys and c not in arrays]
+
+    def tag(k: int):
+        return lambda t, p: F.struct(F.lit(k).alias("k"), p.alias("p"), t.alias("token"))
+
+    tagged = F.concat(*[F.transform(a, tag(k)) for k, a in enumerate(arrays)])
+    flat = rows.select(*keys, *carry, F.posexplode_outer(tagged).alias("_pos", "x"))
+    flat = flat.select(*keys, *carry, "_pos", "x.k", "x.p", "x.token")
+    lem = lemma_join(flat, lemma_dict, lang)
+    folded = lem.groupBy(*keys).agg(
+        F.count_if(F.coalesce(F.col("_pos"), F.lit(0)) == 0).alias("_rows"),
+        *[F.first(c).alias(c) for c in carry],
+        *[F.array_sort(F.collect_list(F.when(F.col("k") == k, F.struct(F.col("p").alias("_p"), *item)))).alias(a) for k, a in enumerate(arrays)],
     )
+    one = F.when(F.col("_rows") > 1, F.raise_error(F.lit("two rows share a key: " + ", ".join(keys))).cast("boolean"))
+    return folded.where(one.isNull()).drop("_rows")
+
 
+def document_table(docs: DataFrame, lemma_dict: DataFrame | None = None, lang: str = "lang") -> DataFrame:
+    """Nested view (doc_id, sents, sents_tokenized, sents_lemmatized).
+
+    The token chain runs once over the marked document and is then cut at
+    the sentence marks.  Blank documents have empty arrays.  ``docs`` should be clustered by doc_id.
+    """
+    marked = docs.select("doc_id", lang, T.mark_sentences("text", lang).alias("m"))
+    nested = marked.select("doc_id", lang, T.sentence_array("m").alias("sents"), T.nested_tokens("m").alias("sents_tokenized"))
+    nested = nested.withColumn("flat", F.flatten("sents_tokenized"))
+    folded = fold_lemmas(nested, lemma_dict, ["doc_id"], ["flat"], [F.col("lemma")], lang)
+    sizes = F.transform("sents_tokenized", lambda s: F.size(s))
+    folded = folded.select("doc_id", "sents", "sents_tokenized", F.col("flat.lemma").alias("flat"), T.running_starts(sizes).alias("starts"))
+    cut = F.transform("sents_tokenized", lambda s, i: F.slice(F.col("flat"), F.get("starts", i) + 1, F.size(s)))
+    return folded.select("doc_id", "sents", "sents_tokenized", cut.alias("sents_lemmatized"))

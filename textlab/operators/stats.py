@@ -12,9 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import json
-
-from ..functions import rules as R
 from ..functions import text as T
 from . import segment as S
 
@@ -28,88 +25,43 @@ def vocab(docs: DataFrame, by: Sequence[str] = ("lang",), clean: bool = True) ->
     return toks.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-# Dictionaries up to this many entries are applied as a map inside the row.
-# A map literal is searched linearly per lookup, so only tiny dictionaries
-# go this way; larger ones use the (size-checked) broadcast join.
-LEMMA_MAP_MAX = 64
-
-
-def lemma_map(lemma_dict: DataFrame) -> F.Column | None:
-    """A (lang SEP token) -> lemma map literal, or None when the dictionary
-    has more than LEMMA_MAP_MAX entries (checked with a count first)."""
-    d = lemma_dict.select(F.concat_ws(R.GRAM_SEP, "lang", "token").alias("k"), "lemma").dropDuplicates(["k"])
-    if d.count() > LEMMA_MAP_MAX:
-        return None
-    entries = {r.k: r.lemma for r in d.collect()}
-    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+def text_measures(toks: str, n_sents: str, lang: str) -> dict[str, F.Column]:
+    """What is computed from the raw tokens of one text."""
+    return {
+        "n_tokens": F.size(toks).cast("bigint"),
+        "sum_token_len": F.length(F.array_join(toks, "")).cast("bigint"),
+        "fre": T.flesch(toks, n_sents, lang),
+    }
 
 
-def lemma_arrays(arr: DataFrame, lemma_dict: DataFrame | None, keys: Sequence[str]) -> DataFrame:
-    """T10 on token arrays: add ``lemmas`` aligned with ``toks``.
-
-    Without a dictionary lemmas are the tokens.  A small dictionary (count
-    checked) is a map looked up inside the row: no explode, no join.  A
-    large one is joined: tokens are exploded with their position, looked up
-    by the (size-checked) join and folded back in order; the fold groups by
-    the row's own keys, which the upstream partitioning satisfies.
-    """
-    if lemma_dict is None:
-        return arr.withColumn("lemmas", F.col("toks"))
-    m = lemma_map(lemma_dict)
-    if m is not None:
-        look = F.transform("toks", lambda t: F.coalesce(
-            F.nullif(F.element_at(m, F.concat_ws(R.GRAM_SEP, F.col("lang"), t)), F.lit("--")), t))
-        return arr.withColumn("lemmas", look)
-    keys = list(keys)
-    carry = [c for c in arr.columns if c not in keys and c != "toks"]
-    ex = arr.select(*keys, *carry, F.posexplode_outer("toks").alias("pos", "token"))
-    lem = S.lemma_join(ex, lemma_dict)
-    item = F.when(F.col("token").isNotNull(), F.struct("pos", "token", "lemma"))
-    folded = lem.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in carry],
-        F.array_sort(F.collect_list(item)).alias("_t"),
-    )
-    return folded.select(*keys, *carry, F.col("_t.token").alias("toks"), F.col("_t.lemma").alias("lemmas"))
+def clean_pair() -> list[F.Column]:
+    """Of a looked-up token: the cleaned token ``t`` and the cleaned lemma ``l``."""
+    return [T.clean_token("token").alias("t"), T.clean_token("lemma").alias("l")]
 
 
 def doc_table(docs: DataFrame, lemma_dict: DataFrame | None = None, keys: Sequence[str] = ("doc_id", "lang")) -> DataFrame:
-    """A3-A8 per document plus its token/lemma arrays and distinct types.
+    """A3-A8 per document plus its distinct types.
 
     Columns: keys..., n_tokens, n_sents, sum_token_len, avg_token_len,
-    avg_sent_len, ttr, fre, toks, lemmas, types (distinct cleaned tokens),
-    lemma_types (distinct cleaned lemmas).
+    avg_sent_len, ttr, fre, types (distinct cleaned tokens), lemma_types
+    (distinct cleaned lemmas).  With a dictionary ``docs`` should be clustered by the keys.
     """
     keys = list(keys)
     arr = S.with_arrays(docs.select(*keys, "text") if "lang" in keys else docs.select(*keys, "lang", "text"))
-    arr = arr.select(*keys, *([] if "lang" in keys else ["lang"]), F.size("sents").cast("bigint").alias("n_sents"), "toks")
-    arr = lemma_arrays(arr, lemma_dict, keys)
-    n_tok = F.size("toks").cast("bigint")
-    base = arr.select(
-        *keys,
-        n_tok.alias("n_tokens"),
-        "n_sents",
-        F.length(F.array_join("toks", "")).cast("bigint").alias("sum_token_len"),
-        T.flesch("toks", "n_sents", "lang").alias("fre"),
-        "toks",
-        "lemmas",
-        F.array_distinct(T.clean_tokens("toks")).alias("types"),
-        *([] if lemma_dict is None else [F.array_distinct(T.clean_tokens("lemmas")).alias("lemma_types")]),
-    )
-    if lemma_dict is None:          # lemmas are the tokens: same types, computed once
-        base = base.withColumn("lemma_types", F.col("types"))
+    lang = [] if "lang" in keys else ["lang"]
+    arr = arr.select(*keys, *lang, F.size("sents").cast("bigint").alias("n_sents"), "toks")
+    base = arr.select(*keys, *lang, "n_sents", "toks", *[c.alias(n) for n, c in text_measures("toks", "n_sents", "lang").items()])
+    if lemma_dict is None:  # lemmas are the tokens: cleaned once, no fold
+        base = base.withColumn("types", F.array_distinct(T.clean_tokens("toks"))).withColumn("lemma_types", F.col("types"))
+    else:
+        folded = S.fold_lemmas(base.withColumn("_lang", F.col("lang")), lemma_dict, keys, ["toks"], clean_pair(), "_lang")
+        base = folded.withColumns({"types": F.array_distinct("toks.t"), "lemma_types": F.array_distinct("toks.l")})
     return base.select(
-        *keys,
-        "n_tokens",
-        "n_sents",
-        "sum_token_len",
+        *keys, "n_tokens", "n_sents", "sum_token_len",
         F.try_divide(F.col("sum_token_len").cast("double"), F.col("n_tokens").cast("double")).alias("avg_token_len"),
         F.try_divide(F.col("n_tokens").cast("double"), F.col("n_sents").cast("double")).alias("avg_sent_len"),
         F.try_divide(F.size("lemma_types").cast("double"), F.col("n_tokens").cast("double")).alias("ttr"),
-        "fre",
-        "toks",
-        "lemmas",
-        "types",
-        "lemma_types",
+        "fre", "types", "lemma_types",
     )
 
 
@@ -126,10 +78,12 @@ def type_counts(table: DataFrame, by: Sequence[str]) -> DataFrame:
     are de-duplicated with a partial aggregate before the shuffle.
     """
     by = list(by)
-    t = T.explode_rows(table, "types", "t", keep=tuple(by)).withColumn("kind", F.lit("raw"))
-    l = T.explode_rows(table, "lemma_types", "t", keep=tuple(by)).withColumn("kind", F.lit("lemma"))
-    dedup = t.unionByName(l).distinct()
-    return dedup.groupBy(*by).agg(
+
+    def tagged(col, kind):
+        return F.transform(col, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("t")))
+
+    rows = table.select(*by, F.inline_outer(F.concat(tagged("types", "raw"), tagged("lemma_types", "lemma"))))
+    return rows.distinct().groupBy(*by).agg(
         F.count_if(F.col("kind") == "raw").alias("types_raw"),
         F.count_if(F.col("kind") == "lemma").alias("types_lemmas"),
     )
@@ -146,19 +100,19 @@ def corpus_stats(table: DataFrame, by: Sequence[str]) -> DataFrame:
     """
     by = list(by)
     num = ["n_tokens", "n_sents", "sum_token_len", "ttr", "fre"]
-    fields = [F.col(c).cast("double").alias(c) for c in num]
-    nulls = [F.lit(None).cast("double").alias(c) for c in num]
-    doc_row = F.array(F.struct(F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("t"), *fields))
+    values = F.struct(*[F.col(c).cast("double").alias(c) for c in num])
+    none = F.lit(None).cast("struct<" + ",".join(f"{c}:double" for c in num) + ">")
+    doc_row = F.array(F.struct(F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("t"), values.alias("v")))
 
-    def type_rows(col, kind):
-        return F.transform(col, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("t"), *nulls))
+    def type_rows(col, kind):  # narrow: no values
+        return F.transform(col, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("t"), none.alias("v")))
 
     rows = table.select(*by, F.inline(F.concat(doc_row, type_rows("types", "raw"), type_rows("lemma_types", "lemma"))))
     g1 = rows.groupBy(*by, "kind", "t").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(c).alias(f"s_{c}") for c in num],
-        F.count("ttr").alias("c_ttr"),
-        F.count("fre").alias("c_fre"),
+        *[F.sum(f"v.{c}").alias(f"s_{c}") for c in num],
+        F.count("v.ttr").alias("c_ttr"),
+        F.count("v.fre").alias("c_fre"),
     )
     is_doc = F.col("kind") == "doc"
 

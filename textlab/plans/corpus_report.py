@@ -1,8 +1,8 @@
 """A23 paired corpus report (with A9-A14, P6, P7).
 
-pairs(pair_id, source, target[, lang]) -> one row per side and pair with the
-document statistics -> aggregates by side; novelty and compression from the
-two sides of each pair.  All sides of one pair live in the pair's partition.
+pairs(split, pair_id, source, target[, lang]) -> one row per pair with the
+tokens and lemmas of both sides -> "doc", "pair" and "type" rows -> aggregates
+by side.  Splits are stacked: a pair is known by (split, pair_id).
 """
 
 from __future__ import annotations
@@ -12,210 +12,130 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..operators import segment as S
 from ..operators import stats as A
+from ..sources.tables import cluster
 
-STAT_COLUMNS = [
-    ("Docs", "docs"),
-    ("Tokens", "tokens"),
-    ("Sentences", "sentences"),
-    ("Types (raw)", "types_raw"),
-    ("Types (lemmas)", "types_lemmas"),
-    ("Avg. text length (words)", "avg_words"),
-    ("Avg. text length (sents)", "avg_sents"),
-    ("Avg. TTR", "avg_ttr"),
-    ("Avg. Flesch-Reading Ease", "avg_fre"),
-    ("Avg. word length", "avg_word_len"),
-    ("Avg. sent length", "avg_sent_len"),
-]
-
-
-def side_table(pairs: DataFrame, lemma_dict: DataFrame | None = None, default_lang: str = "en") -> DataFrame:
-    """(pair_id, side, lang, statistics..., toks, lemmas) for source and target."""
-    lang = F.col("lang") if "lang" in pairs.columns else F.lit(default_lang)
-    p = pairs.select("pair_id", lang.alias("lang"), "source", "target")
-    sides = F.array(
-        F.struct(F.lit("source").alias("side"), F.col("source").alias("text")),
-        F.struct(F.lit("target").alias("side"), F.col("target").alias("text")),
-    )
-    docs = p.select("pair_id", "lang", F.inline(sides))
-    return A.doc_table(docs, lemma_dict, keys=("pair_id", "side", "lang"))
-
-
-def pair_measures(table: DataFrame) -> DataFrame:
-    """Per pair: novelty n=1..3 of target lemmas vs source lemmas, compression."""
-    def pick(side: str, col: str):
-        return F.first(F.when(F.col("side") == side, F.col(col)), ignorenulls=True)
+STAT_COLUMNS = [(name, column) for name, _, column in R.CORPUS_REPORT_ROWS]
+PAIR = ["split", "pair_id"]
+SIDES = (("source", "s"), ("target", "t"))
+NUM = ["n_tokens", "n_sents", "sum_token_len", "ttr", "fre", "nov_1", "nov_2", "nov_3", "cmp"]
 
-    per_pair = table.groupBy("pair_id").agg(
-        pick("source", "lemmas").alias("src_lemmas"),
-        pick("target", "lemmas").alias("tgt_lemmas"),
-        pick("source", "n_tokens").alias("src_n"),
-        pick("target", "n_tokens").alias("tgt_n"),
-    )
-    measured = A.with_novelty(per_pair, "src_lemmas", "tgt_lemmas", (1, 2, 3))
-    return measured.select("pair_id", "nov_1", "nov_2", "nov_3", A.compression("src_n", "tgt_n").alias("cmp"))
 
+def pair_table(pairs: DataFrame, lemma_dict: DataFrame | None = None, default_lang: str = "en") -> DataFrame:
+    """One row per pair: for both sides (s_, t_) the measures n_tokens, n_sents,
+    sum_token_len, fre and the arrays raw (cleaned tokens) and lem (cleaned
+    lemmas); novelty nov_1..nov_3 of target against source lemmas; cmp.
 
-NUM = ["n_tokens", "n_sents", "sum_token_len", "ttr", "fre", "nov_1", "nov_2", "nov_3", "cmp"]
+    The pairs are clustered by (split, pair_id) once, as texts; the fold of
+    the looked-up tokens then needs no exchange.
+    """
+    lang = F.col("lang") if "lang" in pairs.columns else F.lit(default_lang)
+    p = cluster(pairs.select(*PAIR, lang.alias("lang"), "source", "target"), *PAIR)
+    marked = p.select(*PAIR, "lang", *[T.mark_sentences(side, "lang").alias(x) for side, x in SIDES])
+    arr = marked.select(*PAIR, "lang", *[c for _, x in SIDES for c in (
+        F.size(T.sentence_array(x)).cast("bigint").alias(f"{x}_n_sents"), T.token_array(x).alias(f"{x}_toks"))])
+    measured = arr.select("*", *[c.alias(f"{x}_{n}") for _, x in SIDES
+                                 for n, c in A.text_measures(f"{x}_toks", f"{x}_n_sents", "lang").items()])
+    folded = S.fold_lemmas(measured, lemma_dict, PAIR, [f"{x}_toks" for _, x in SIDES], A.clean_pair())
+    clean = folded.select("*", *[c for _, x in SIDES for c in (
+        F.col(f"{x}_toks.t").alias(f"{x}_raw"), F.col(f"{x}_toks.l").alias(f"{x}_lem"))]).drop(*[f"{x}_toks" for _, x in SIDES])
+    out = A.with_novelty(clean, "s_lem", "t_lem", (1, 2, 3), clean=False)
+    return out.withColumn("cmp", A.compression("s_n_tokens", "t_n_tokens"))
+
+
+def _rows(table: DataFrame) -> DataFrame:
+    """(side, kind, t, v): a "doc" row per side and a "pair" row with their values, narrow rows per type."""
+    def row(side, kind, values):
+        v = F.struct(*[values.get(c, F.lit(None)).cast("double").alias(c) for c in NUM])
+        return F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("t"), v.alias("v"))
+
+    none = F.lit(None).cast("struct<" + ",".join(f"{c}:double" for c in NUM) + ">")
+
+    def types(side, kind, col):
+        return F.transform(F.array_distinct(col), lambda t: F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), t.alias("t"), none.alias("v")))
+
+    docs = []
+    for side, x in SIDES:
+        ttr = F.try_divide(F.size(F.array_distinct(f"{x}_lem")).cast("double"), F.col(f"{x}_n_tokens").cast("double"))
+        docs.append(row(side, "doc", {"ttr": ttr, **{c: F.col(f"{x}_{c}") for c in ("n_tokens", "n_sents", "sum_token_len", "fre")}}))
+    docs.append(row("target", "pair", {c: F.col(c) for c in ("nov_1", "nov_2", "nov_3", "cmp")}))
+    return table.select(F.inline(F.concat(F.array(*docs), *[types(side, kind, f"{x}_{c}") for side, x in SIDES for kind, c in (("raw", "raw"), ("lemma", "lem"))])))
 
 
-def _side_arrays(p: DataFrame, lemma_dict: DataFrame | None) -> DataFrame:
-    """Per pair: sentence counts, tokens and lemmas of both sides (one row)."""
-    staged = p.select("pair_id", "lang",
-                      T.mark_sentences("source", "lang").alias("s_m"), T.mark_sentences("target", "lang").alias("t_m"))
-    arr = staged.select(
-        "pair_id", "lang",
-        F.size(T.sentence_array("s_m")).cast("bigint").alias("s_ns"), T.token_array("s_m").alias("s_toks"),
-        F.size(T.sentence_array("t_m")).cast("bigint").alias("t_ns"), T.token_array("t_m").alias("t_toks"),
-    )
-    m = A.lemma_map(lemma_dict) if lemma_dict is not None else None
-
-    def lem(col):
-        if m is None:
-            return F.col(col)
-        return F.transform(col, lambda t: F.coalesce(
-            F.nullif(F.element_at(m, F.concat_ws(R.GRAM_SEP, F.col("lang"), t)), F.lit("--")), t))
-
-    return arr.select("*", lem("s_toks").alias("s_lem"), lem("t_toks").alias("t_lem"))
-
-
-def _one_pass_report(pairs: DataFrame, lemma_dict: DataFrame) -> DataFrame:
-    """A23 in one scan: each pair row emits one "doc" row per side, one
-    "pair" row (novelty, compression) and one row per distinct type; a
-    first aggregate by (side, kind, type) de-duplicates types and pre-sums,
-    a second by side finishes."""
-    lang = F.col("lang") if "lang" in pairs.columns else F.lit("en")
-    p = pairs.select("pair_id", lang.alias("lang"), "source", "target")
-    arr = _side_arrays(p, lemma_dict)
-    arr = A.with_novelty(arr, "s_lem", "t_lem", (1, 2, 3))
-
-    def dbl(c):
-        return c.cast("double")
-
-    def doc_row(side, x):
-        n_tok = F.size(f"{x}_toks")
-        vals = {
-            "n_tokens": dbl(n_tok), "n_sents": dbl(F.col(f"{x}_ns")),
-            "sum_token_len": dbl(F.length(F.array_join(f"{x}_toks", ""))),
-            "ttr": F.try_divide(dbl(F.size(F.array_distinct(T.clean_tokens(f"{x}_lem")))), dbl(n_tok)),
-            "fre": T.flesch(f"{x}_toks", f"{x}_ns", "lang"),
-        }
-        return F.struct(F.lit(side).alias("side"), F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("t"),
-                        *[(vals[c] if c in vals else F.lit(None).cast("double")).alias(c) for c in NUM])
-
-    pair_vals = {"nov_1": F.col("nov_1"), "nov_2": F.col("nov_2"), "nov_3": F.col("nov_3"),
-                 "cmp": A.compression(F.size("s_toks"), F.size("t_toks"))}
-    pair_row = F.struct(F.lit("target").alias("side"), F.lit("pair").alias("kind"), F.lit(None).cast("string").alias("t"),
-                        *[(pair_vals[c] if c in pair_vals else F.lit(None).cast("double")).alias(c) for c in NUM])
-
-    def type_rows(side, kind, col):
-        nulls = [F.lit(None).cast("double").alias(c) for c in NUM]
-        return F.transform(F.array_distinct(T.clean_tokens(col)), lambda v: F.struct(
-            F.lit(side).alias("side"), F.lit(kind).alias("kind"), v.alias("t"), *nulls))
-
-    rows = arr.select(F.inline(F.concat(
-        F.array(doc_row("source", "s"), doc_row("target", "t"), pair_row),
-        type_rows("source", "raw", "s_toks"), type_rows("source", "lemma", "s_lem"),
-        type_rows("target", "raw", "t_toks"), type_rows("target", "lemma", "t_lem"),
-    )))
+def corpus_report(pairs: DataFrame, lemma_dict: DataFrame | None = None) -> DataFrame:
+    """(ord, statistic, source, target) as doubles, in report order, in one pass."""
+    rows = _rows(pair_table(pairs, lemma_dict))
     g1 = rows.groupBy("side", "kind", "t").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in NUM],
-        *[F.count(c).alias(f"c_{c}") for c in ("ttr", "fre", "cmp")])
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"v.{c}").alias(f"s_{c}") for c in NUM],
+        *[F.count(f"v.{c}").alias(f"c_{c}") for c in ("ttr", "fre", "cmp")])
     kind = F.col("kind")
 
-    def ksum(k, c):
+    def total(k, c):
         return F.sum(F.when(kind == k, F.col(c)))
 
     g2 = g1.groupBy("side").agg(
-        ksum("doc", "n").alias("docs"),
-        ksum("doc", "s_n_tokens").alias("tokens"), ksum("doc", "s_n_sents").alias("sentences"),
-        ksum("doc", "s_sum_token_len").alias("sum_len"),
-        ksum("doc", "s_ttr").alias("sum_ttr"), ksum("doc", "c_ttr").alias("n_ttr"),
-        ksum("doc", "s_fre").alias("sum_fre"), ksum("doc", "c_fre").alias("n_fre"),
+        total("doc", "n").alias("docs"),
+        total("doc", "s_n_tokens").alias("tokens"), total("doc", "s_n_sents").alias("sentences"),
+        total("doc", "s_sum_token_len").alias("sum_len"),
+        total("doc", "s_ttr").alias("sum_ttr"), total("doc", "c_ttr").alias("n_ttr"),
+        total("doc", "s_fre").alias("sum_fre"), total("doc", "c_fre").alias("n_fre"),
         F.count_if(kind == "raw").alias("types_raw"), F.count_if(kind == "lemma").alias("types_lemmas"),
-        ksum("pair", "n").alias("pairs"), ksum("pair", "s_nov_1").alias("nov_1"),
-        ksum("pair", "s_nov_2").alias("nov_2"), ksum("pair", "s_nov_3").alias("nov_3"),
-        ksum("pair", "s_cmp").alias("sum_cmp"), ksum("pair", "c_cmp").alias("n_cmp"),
+        total("pair", "n").alias("pairs"), *[total("pair", f"s_nov_{k}").alias(f"nov_{k}") for k in (1, 2, 3)],
+        total("pair", "s_cmp").alias("sum_cmp"), total("pair", "c_cmp").alias("n_cmp"),
     )
-    div = F.try_divide
+
+    def div(a, b):
+        return F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+
     stats = g2.select(
         "side", "docs", "tokens", "sentences", "types_raw", "types_lemmas",
-        div(F.col("tokens"), dbl(F.col("docs"))).alias("avg_words"),
-        div(F.col("sentences"), dbl(F.col("docs"))).alias("avg_sents"),
-        div(F.col("sum_ttr"), dbl(F.col("n_ttr"))).alias("avg_ttr"),
-        div(F.col("sum_fre"), dbl(F.col("n_fre"))).alias("avg_fre"),
-        div(F.col("sum_len"), F.col("tokens")).alias("avg_word_len"),
-        div(F.col("tokens"), F.col("sentences")).alias("avg_sent_len"),
-        *[(div(F.col(f"nov_{k}"), dbl(F.col("pairs"))) * 100).alias(f"nov_{k}") for k in (1, 2, 3)],
-        div(F.col("sum_cmp"), dbl(F.col("n_cmp"))).alias("cmp"),
+        div("tokens", "docs").alias("avg_words"), div("sentences", "docs").alias("avg_sents"),
+        div("sum_ttr", "n_ttr").alias("avg_ttr"), div("sum_fre", "n_fre").alias("avg_fre"),
+        div("sum_len", "tokens").alias("avg_word_len"), div("tokens", "sentences").alias("avg_sent_len"),
+        *[(div(f"nov_{k}", "pairs") * 100).alias(f"nov_{k}") for k in (1, 2, 3)], div("sum_cmp", "n_cmp").alias("cmp"),
     )
     n = len(STAT_COLUMNS)
     entries = [(i, name, c) for i, (name, c) in enumerate(STAT_COLUMNS)]
     entries += [(n + k, f"Novelty (n={k + 1})", f"nov_{k + 1}") for k in range(3)] + [(n + 3, "CMP", "cmp")]
-    stack = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(name).alias("statistic"), dbl(F.col(c)).alias("value"))
-                      for i, name, c in entries])
-    long = stats.select("side", F.inline(stack))
+    long = stats.select("side", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("ord"), F.lit(name).alias("statistic"), F.col(c).cast("double").alias("value")) for i, name, c in entries])))
+    side = F.col("side")
     return long.groupBy("ord", "statistic").agg(
-        F.first(F.when((F.col("side") == "source") & (F.col("ord") < n), F.col("value")), ignorenulls=True).alias("source"),
-        F.first(F.when(F.col("side") == "target", F.col("value")), ignorenulls=True).alias("target"),
+        F.max(F.when((side == "source") & (F.col("ord") < n), F.col("value"))).alias("source"),
+        F.max(F.when(side == "target", F.col("value"))).alias("target"),
     )
 
 
-def corpus_report(pairs: DataFrame, lemma_dict: DataFrame | None = None) -> DataFrame:
-    """(ord, statistic, source, target) as doubles, in report order.
+def corpus_novelty(pairs: DataFrame, lemma_dict: DataFrame | None = None) -> DataFrame:
+    """Mean novelty n=1..3 in percent, and the line "a/b/c%"."""
+    m = pair_table(pairs, lemma_dict).agg(*[(F.avg(f"nov_{n}") * 100).alias(f"nov_{n}") for n in (1, 2, 3)])
+    return m.select("*", _novelty_line(*[F.col(f"nov_{n}") for n in (1, 2, 3)]).alias("novelty"))
 
-    One pass when the lemma dictionary is small enough for an in-row map
-    (or absent); otherwise the side table with a lemma join is aggregated
-    twice (statistics, pair measures).
-    """
-    if lemma_dict is None or A.lemma_map(lemma_dict) is not None:
-        return _one_pass_report(pairs, lemma_dict)
-    table = side_table(pairs, lemma_dict)
-    stats = A.corpus_stats(table, ["side"])
-    stack = F.array(*[
-        F.struct(F.lit(i).alias("ord"), F.lit(name).alias("statistic"), F.col(c).cast("double").alias("value"))
-        for i, (name, c) in enumerate(STAT_COLUMNS)
-    ])
-    long = stats.select("side", F.inline(stack))
-    wide = long.groupBy("ord", "statistic").agg(
-        F.first(F.when(F.col("side") == "source", F.col("value")), ignorenulls=True).alias("source"),
-        F.first(F.when(F.col("side") == "target", F.col("value")), ignorenulls=True).alias("target"),
-    )
-    m = pair_measures(table).agg(
-        *[(F.avg(f"nov_{n}") * 100).alias(f"nov_{n}") for n in (1, 2, 3)],
-        F.avg("cmp").alias("cmp"),
-    )
-    n = len(STAT_COLUMNS)
-    extra = F.array(
-        *[F.struct(F.lit(n + k).alias("ord"), F.lit(f"Novelty (n={k + 1})").alias("statistic"),
-                   F.col(f"nov_{k + 1}").alias("value")) for k in range(3)],
-        F.struct(F.lit(n + 3).alias("ord"), F.lit("CMP").alias("statistic"), F.col("cmp").alias("value")),
-    )
-    tail = m.select(F.inline(extra)).select(
-        "ord", "statistic", F.lit(None).cast("double").alias("source"), F.col("value").alias("target"))
-    return wide.unionByName(tail)
+
+def _novelty_line(*values):
+    return F.concat(F.concat_ws("/", *[T.round_exact(v, 0).cast("bigint").cast("string") for v in values]), F.lit("%"))
 
 
 def format_report(report: DataFrame) -> DataFrame:
-    """Display strings (thousands separator / 2 decimals, half-even),
-    novelty as "n1/n2/n3%", CMP with 2 decimals, missing cells empty."""
-    kinds = dict(R.CORPUS_REPORT_ROWS)
-    int_rows = [k for k, v in kinds.items() if v == "int"]
-
-    def fmt(c):
-        as_int = F.format_number(F.bround(c, 0), 0)
-        as_float = F.format_string("%.2f", F.bround(c, 2))
-        return F.coalesce(F.when(F.col("statistic").isin(int_rows), as_int).otherwise(as_float), F.lit(""))
-
-    stats = report.where(F.col("ord") < len(STAT_COLUMNS)).select(
-        "ord", "statistic", fmt(F.col("source")).alias("Source"), fmt(F.col("target")).alias("Target"))
-    nov = report.where(F.col("statistic").startswith("Novelty")).agg(
-        F.concat(F.array_join(F.array_sort(F.collect_list(F.struct(
-            "ord", F.bround("target", 0).cast("bigint").cast("string").alias("v")))).getField("v"), "/"),
-            F.lit("%")).alias("Target"))
-    nov = nov.select(F.lit(len(STAT_COLUMNS)).alias("ord"), F.lit("Novelty").alias("statistic"),
-                     F.lit("").alias("Source"), "Target")
-    cmp = report.where(F.col("statistic") == "CMP").select(
-        F.lit(len(STAT_COLUMNS) + 1).alias("ord"), "statistic", F.lit("").alias("Source"),
-        F.bround("target", 2).cast("string").alias("Target"))
-    return stats.unionByName(nov).unionByName(cmp)
+    """Display strings, rounded as Python formats them (thousands separator
+    / 2 decimals), novelty as "n1/n2/n3%", CMP with 2 decimals, missing
+    cells empty."""
+    int_rows = [name for name, kind, _ in R.CORPUS_REPORT_ROWS if kind == "int"]
+    n = len(STAT_COLUMNS)
+
+    def two(c):
+        return F.format_string("%.2f", T.round_exact(c, 2))
+
+    def cell(c):
+        whole = F.format_number(T.round_exact(c, 0), 0)
+        return F.when(F.col(c).isNull(), "").when(F.col("statistic").isin(int_rows), whole).otherwise(two(c))
+
+    stats = report.where(F.col("ord") < n).select("ord", "statistic", cell("source").alias("Source"), cell("target").alias("Target"))
+    pick = lambda name: F.max(F.when(F.col("statistic") == name, F.col("target")))
+    tail = report.agg(*[pick(f"Novelty (n={k})").alias(f"n{k}") for k in (1, 2, 3)], pick("CMP").alias("cmp"))
+    tail = tail.select(F.inline(F.array(
+        F.struct(F.lit(n).alias("ord"), F.lit("Novelty").alias("statistic"), F.lit("").alias("Source"), _novelty_line(F.col("n1"), F.col("n2"), F.col("n3")).alias("Target")),
+        F.struct(F.lit(n + 1).alias("ord"), F.lit("CMP").alias("statistic"), F.lit("").alias("Source"), two("cmp").alias("Target")),
+    )))
+    return stats.unionByName(tail)

@@ -40,7 +40,7 @@ sents AS (
 TOKENS = f"""
 {SENTENCES.strip()},
 sent_t AS (
-  SELECT doc_id, lang, sent_idx, {X.token_array('sent')} AS toks FROM sents
+  SELECT doc_id, lang, sent_idx, {X.sentence_tokens('sent')} AS toks FROM sents
 ),
 toks AS (
   SELECT doc_id, lang, sent_idx, unnest(range(0, len(toks))) AS tok_idx, unnest(toks) AS token FROM sent_t
@@ -255,11 +255,14 @@ __all__ = ["oracle_sql", "ORACLE", "R", "PAIR_STRIDE"]
 # ---------------------------------------------------------------- pairs, novelty, report
 
 PAIRS = f"""
+turns AS (
+  SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+),
 pairs AS (
-  SELECT CASE u.conv_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split,
-         u.conv_id * {PAIR_STRIDE} + u.turn AS pair_id, 'en' AS lang, u.text AS source, a.text AS target
-  FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant'
+  SELECT CASE conv_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split,
+         conv_id * {PAIR_STRIDE} + turn AS pair_id, 'en' AS lang, text AS source, next_text AS target
+  FROM turns WHERE role = 'user' AND next_role = 'assistant'
 )"""
 
 DOC_PAIRS = f"""
@@ -408,40 +411,52 @@ def _():
 
 @oracle("corpus_report_formatted")
 def _():
-    ints = ", ".join(f"'{k}'" for k, v in R.CORPUS_REPORT_ROWS if v == "int")
+    ints = ", ".join(X.q(name) for name, kind, _ in R.CORPUS_REPORT_ROWS if kind == "int")
 
-    def fmt(c):
-        return (f"coalesce(CASE WHEN statistic IN ({ints}) THEN format('{{:,.0f}}', round_even({c}, 0)) "
-                f"ELSE format('{{:.2f}}', round_even({c}, 2)) END, '')")
+    def cell(c):
+        return (f"CASE WHEN {c} IS NULL THEN '' WHEN statistic IN ({ints}) THEN format('{{:,.0f}}', {c}) "
+                f"ELSE format('{{:.2f}}', {c}) END")
     return corpus_report_sql(PAIRS) + f"""
-SELECT ord::BIGINT AS ord, statistic, {fmt('source')} AS "Source", {fmt('target')} AS "Target" FROM report WHERE ord < 11
+SELECT ord::BIGINT AS ord, statistic, {cell('source')} AS "Source", {cell('target')} AS "Target" FROM report WHERE ord < 11
 UNION ALL
-SELECT 11, 'Novelty', '', string_agg(round_even(target, 0)::BIGINT::VARCHAR, '/' ORDER BY ord) || '%'
+SELECT 11, 'Novelty', '', string_agg(format('{{:.0f}}', target), '/' ORDER BY ord) || '%'
 FROM report WHERE statistic LIKE 'Novelty%'
 UNION ALL
-SELECT 12, 'CMP', '', round_even(target, 2)::VARCHAR FROM report WHERE statistic = 'CMP'"""
+SELECT 12, 'CMP', '', format('{{:.2f}}', target) FROM report WHERE statistic = 'CMP'"""
 
 
 @oracle("corpus_novelty")
 def _():
     return corpus_report_sql(PAIRS) + """
 SELECT round(avg(nov_1) * 100, 6) AS nov_1, round(avg(nov_2) * 100, 6) AS nov_2, round(avg(nov_3) * 100, 6) AS nov_3,
-       round_even(avg(nov_1) * 100, 0)::BIGINT::VARCHAR || '/' || round_even(avg(nov_2) * 100, 0)::BIGINT::VARCHAR
-       || '/' || round_even(avg(nov_3) * 100, 0)::BIGINT::VARCHAR || '%' AS novelty
+       format('{:.0f}/{:.0f}/{:.0f}%', avg(nov_1) * 100, avg(nov_2) * 100, avg(nov_3) * 100) AS novelty
 FROM per_pair"""
 
 
 # ---------------------------------------------------------------- evaluation
 
+def _line(expr: str) -> str:
+    return X.strip(f"regexp_replace({expr}, '\\r\\n|\\r|\\n', ' ', 'g')")
+
+
 EVAL = f"""
 {PAIRS.strip()},
 ev AS (
-  SELECT 'identity' AS system, pair_id, source AS orig, target AS ref, source AS sys FROM pairs
-  UNION ALL SELECT 'gold', pair_id, source, target, target FROM pairs
-  UNION ALL SELECT 'lead3', pair_id, source, target,
+  SELECT 'identity' AS system, split, pair_id, source AS orig, target AS ref, source AS sys FROM pairs
+  UNION ALL SELECT 'gold', split, pair_id, source, target, target FROM pairs
+  UNION ALL SELECT 'lead3', split, pair_id, source, target,
          array_to_string({X.sentence_array(X.plain_marked('source'))}[1:3], ' ') FROM pairs
 )"""
 
+# the same, written to line files and read back
+EVAL_LINES = f"""
+{EVAL.strip().replace('ev AS (', 'ev0 AS (')},
+ev AS (
+  SELECT system, '' AS split, row_number() OVER (PARTITION BY system ORDER BY pair_id) - 1 AS pair_id,
+         {_line('orig')} AS orig, {_line('ref')} AS ref, {_line('sys')} AS sys
+  FROM ev0
+)"""
+
 
 def _gram_specs() -> list[tuple[str, int, int, str]]:
     specs = []
@@ -453,10 +468,9 @@ def _gram_specs() -> list[tuple[str, int, int, str]]:
     return specs
 
 
-EVAL_STATS = f"""
-{EVAL.strip()},
+STATS = f"""
 tk AS (
-  SELECT system, pair_id,
+  SELECT system, split, pair_id,
          {X.rouge_tokens('ref')} AS r_ref, {X.rouge_tokens('sys')} AS r_sys,
          {X.tokens_13a('ref')} AS b_ref, {X.tokens_13a('sys')} AS b_sys,
          {X.tokens_13a('orig', True)} AS s_orig, {X.tokens_13a('ref', True)} AS s_ref,
@@ -464,23 +478,23 @@ tk AS (
   FROM ev
 ),
 gl AS (
-  {" UNION ALL ".join(f"SELECT system, pair_id, '{k}' AS kind, {n} AS n, {side} AS side, {X.ngrams(c, n, 'v')} AS lst FROM tk"
+  {" UNION ALL ".join(f"SELECT system, split, pair_id, '{k}' AS kind, {n} AS n, {side} AS side, {X.ngrams(c, n, 'v')} AS lst FROM tk"
                      for k, n, side, c in _gram_specs())}
 ),
 gx AS (
-  SELECT system, pair_id, kind, n, side,
+  SELECT system, split, pair_id, kind, n, side,
          unnest(CASE WHEN len(lst) = 0 THEN [NULL::VARCHAR] ELSE lst END) AS gram
   FROM gl
 ),
 counts AS (
-  SELECT system, pair_id, kind, n, gram,
+  SELECT system, split, pair_id, kind, n, gram,
          count(*) FILTER (WHERE gram IS NOT NULL AND side = 0) AS c_orig,
          count(*) FILTER (WHERE gram IS NOT NULL AND side = 1) AS c_ref,
          count(*) FILTER (WHERE gram IS NOT NULL AND side = 2) AS c_sys
-  FROM gx GROUP BY system, pair_id, kind, n, gram
+  FROM gx GROUP BY system, split, pair_id, kind, n, gram
 ),
 st AS (
-  SELECT system, pair_id, kind, n,
+  SELECT system, split, pair_id, kind, n,
          sum(least(c_sys, c_ref)) AS hits, sum(c_sys) AS sys_total, sum(c_ref) AS ref_total,
          count(*) FILTER (WHERE c_sys > 0 AND c_orig = 0) AS add_sys,
          count(*) FILTER (WHERE c_ref > 0 AND c_orig = 0) AS add_ref,
@@ -489,7 +503,7 @@ st AS (
          sum(least(c_orig, c_sys, c_ref)) AS keep_ok,
          sum(greatest(c_orig - c_sys, 0)) AS del_sys, sum(greatest(c_orig - c_ref, 0)) AS del_ref,
          sum(least(greatest(c_orig - c_sys, 0), greatest(c_orig - c_ref, 0))) AS del_ok
-  FROM counts GROUP BY system, pair_id, kind, n
+  FROM counts GROUP BY system, split, pair_id, kind, n
 ),
 rouge AS (
   SELECT system, n, avg(p) * 100 AS precision, avg(r) * 100 AS recall,
@@ -570,12 +584,95 @@ metrics AS (
       ("CMP_s", "cmp_s"), ("Nov. (n=1)", "nov_1"), ("Nov. (n=2)", "nov_2")])}
 )"""
 
+EVAL_STATS = f"{EVAL.strip()},\n{STATS.strip()}"
+
+
+def _pieces(text: str) -> str:
+    """ROUGE-Lsum token lists: sentences, split on newlines, empty pieces dropped."""
+    lines = f"flatten(list_transform({X.sentence_array(X.plain_marked(text))}, lambda s: string_split(s, chr(10))))"
+    return f"list_transform(list_filter({lines}, lambda p: length(p) > 0), lambda p: {X.rouge_tokens('p')})"
+
+
+# CTEs (recursive) from ev to lsum(system, precision, recall, fmeasure): the
+# LCS table of each (reference sentence, candidate sentence) row by row, then
+# the walk back through it.
+LSUM = f"""
+ls AS (SELECT system, split, pair_id, {_pieces('ref')} AS refs, {_pieces('sys')} AS cans FROM ev),
+lr AS (SELECT system, split, pair_id, cans, unnest(range(1, len(refs) + 1)) AS ri, unnest(refs) AS rt FROM ls),
+lq0 AS (SELECT system, split, pair_id, ri, rt, unnest(cans) AS ct FROM lr),
+lq AS (
+  SELECT row_number() OVER () AS k, * FROM (SELECT DISTINCT rt, ct FROM lq0 WHERE len(rt) > 0 AND len(ct) > 0)
+),
+dp AS MATERIALIZED (
+  SELECT k, 0 AS i, list_transform(range(0, len(ct) + 1), lambda z: 0) AS cells FROM lq
+  UNION ALL
+  SELECT k, i + 1, list_transform(range(1, len(cells) + 1), lambda j: list_max(best[1:j])) FROM (
+    SELECT dp.k, dp.i, dp.cells, list_transform(range(1, len(dp.cells) + 1), lambda j:
+             CASE WHEN j = 1 THEN 0 WHEN lq.rt[dp.i + 1] = lq.ct[j - 1] THEN greatest(dp.cells[j], dp.cells[j - 1] + 1)
+                  ELSE greatest(dp.cells[j], dp.cells[j - 1]) END) AS best
+    FROM dp JOIN lq ON dp.k = lq.k WHERE dp.i < len(lq.rt)
+  )
+),
+walk AS (
+  SELECT k, len(rt) AS i, len(ct) AS j, []::BIGINT[] AS hit FROM lq
+  UNION ALL
+  SELECT k, CASE WHEN m OR NOT go_left THEN i - 1 ELSE i END, CASE WHEN m OR go_left THEN j - 1 ELSE j END,
+         CASE WHEN m THEN list_append(hit, i) ELSE hit END
+  FROM (
+    SELECT w.k, w.i, w.j, w.hit, lq.rt[w.i] = lq.ct[w.j] AS m, here.cells[w.j] > above.cells[w.j + 1] AS go_left
+    FROM walk w JOIN lq ON w.k = lq.k JOIN dp here ON w.k = here.k AND w.i = here.i
+         JOIN dp above ON w.k = above.k AND w.i = above.i + 1
+    WHERE w.i > 0 AND w.j > 0
+  )
+),
+hits AS (SELECT k, hit FROM walk WHERE i = 0 OR j = 0),
+united AS (
+  SELECT DISTINCT q.system, q.split, q.pair_id, q.ri, q.rt, unnest(h.hit) AS pos
+  FROM lq0 q JOIN lq ON q.rt = lq.rt AND q.ct = lq.ct JOIN hits h ON lq.k = h.k
+),
+u_t AS (SELECT system, split, pair_id, rt[pos] AS t, count(*) AS u FROM united GROUP BY ALL),
+c_t AS (
+  SELECT system, split, pair_id, t, count(*) AS c FROM (SELECT system, split, pair_id, unnest(flatten(cans)) AS t FROM ls) GROUP BY ALL
+),
+l_hits AS (
+  SELECT system, split, pair_id, sum(least(u, c)) AS hits FROM u_t JOIN c_t USING (system, split, pair_id, t) GROUP BY ALL
+),
+l_pr AS (
+  SELECT system, CASE WHEN n > 0 THEN h / n ELSE 0.0 END AS p, CASE WHEN m > 0 THEN h / m ELSE 0.0 END AS r FROM (
+    SELECT ls.system, coalesce(hits, 0)::DOUBLE AS h, len(flatten(cans)) AS n, len(flatten(refs)) AS m
+    FROM ls LEFT JOIN l_hits x ON ls.system = x.system AND ls.split = x.split AND ls.pair_id = x.pair_id
+  )
+),
+lsum AS (
+  SELECT system, avg(p) * 100 AS precision, avg(r) * 100 AS recall,
+         avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END) * 100 AS fmeasure
+  FROM l_pr GROUP BY system
+),
+all_metrics AS (
+  SELECT system, metric, value FROM metrics
+  UNION ALL SELECT system, 'R-L', fmeasure FROM lsum
+  UNION ALL SELECT system, 'R-L_p', precision FROM lsum
+  UNION ALL SELECT system, 'R-L_r', recall FROM lsum
+)"""
+
 REPORT_METRICS = ["R-1", "R-2", "BLEU", "SARI", "|y|_w", "CMP_w", "Nov. (n=1)", "Nov. (n=2)"]
 
 
 @oracle("eval_table")
 def _():
-    return f"WITH {EVAL.strip()}\nSELECT system, pair_id, orig, ref, sys FROM ev"
+    return f"WITH {EVAL_LINES.strip()}\nSELECT system, pair_id::BIGINT AS line_no, orig, ref, sys FROM ev"
+
+
+@oracle("rouge_lsum")
+def _():
+    return (f"WITH RECURSIVE {EVAL_STATS.strip()},\n{LSUM.strip()}\nSELECT system, round(precision, 6) AS precision, "
+            f"round(recall, 6) AS recall, round(fmeasure, 6) AS fmeasure FROM lsum")
+
+
+@oracle("evaluate_runs")
+def _():
+    return (f"WITH RECURSIVE {EVAL_LINES.strip()},\n{STATS.strip()},\n{LSUM.strip()}\n"
+            f"SELECT system, metric, round(value, 6) AS value FROM all_metrics")
 
 
 @oracle("rouge_1")
@@ -614,7 +711,7 @@ def _():
 
 @oracle("metric_report")
 def _():
-    cols = ", ".join(f"round(any_value(value) FILTER (WHERE metric = {X.q(m)}), 2) AS \"{m}\"" for m in REPORT_METRICS)
+    cols = ", ".join(f"format('{{:.2f}}', any_value(value) FILTER (WHERE metric = {X.q(m)}))::DOUBLE AS \"{m}\"" for m in REPORT_METRICS)
     return f"WITH {EVAL_STATS.strip()}\nSELECT system, {cols} FROM metrics GROUP BY system"
 
 
@@ -697,7 +794,6 @@ vc AS (
 ),
 vocab AS (
   SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) + 1)::INTEGER AS id, cnt FROM vc
-  QUALIFY row_number() OVER (ORDER BY cnt DESC, token) <= 50000
 ),
 sx AS (
   SELECT split, pair_id, 'input_ids' AS side, unnest(range(0, len(s))) AS pos, unnest(s) AS token
@@ -772,10 +868,6 @@ def _():
 
 # ---------------------------------------------------------------- sources and sinks
 
-def _line(expr: str) -> str:
-    return X.strip(f"regexp_replace({expr}, '\\r\\n|\\r|\\n', ' ', 'g')")
-
-
 @oracle("read_lines")
 def _():
     return f"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS line_no, {_line('text')} AS line FROM documents"
@@ -813,20 +905,31 @@ def _():
 
 @oracle("alignment_check")
 def _():
-    return f"""WITH {RUNS.strip()}
-SELECT system, (SELECT count(*) FROM pairs) AS n_orig, (SELECT count(*) FROM pairs) AS n_ref,
-       count(*) AS n_sys, count(*) = (SELECT count(*) FROM pairs) AS aligned
-FROM runs GROUP BY system"""
+    return f"""WITH {RUNS.strip()},
+given AS (
+  SELECT system FROM runs UNION ALL SELECT 'short' FROM pairs WHERE pair_id % 5 <> 0
+)
+SELECT system, (SELECT count(source) FROM pairs) AS n_orig, (SELECT count(target) FROM pairs) AS n_ref,
+       count(*) AS n_sys, count(*) = (SELECT count(source) FROM pairs) AND count(*) = (SELECT count(target) FROM pairs) AS aligned
+FROM given GROUP BY system"""
 
 
-@oracle("clean_predictions")
+@oracle("convert_splits")
 def _():
-    lead = "array_to_string(" + X.sentence_array(X.plain_marked('source')) + "[1:3], ' ')"
     return f"""WITH {PAIRS.strip()}
-SELECT (row_number() OVER (ORDER BY pair_id) - 1)::BIGINT AS line_no, {_line(X.cleanup(X.strip(lead)))} AS line
+SELECT split, (row_number() OVER (PARTITION BY split ORDER BY pair_id) - 1)::BIGINT AS line_no,
+       {_line('source')} AS source, {_line('target')} AS target
 FROM pairs"""
 
 
+@oracle("clean_predictions")
+def _():
+    return f"""WITH {EVAL.strip()}
+SELECT system, (row_number() OVER (PARTITION BY system ORDER BY pair_id) - 1)::BIGINT AS line_no,
+       {_line(X.cleanup(X.strip('sys')))} AS line
+FROM ev"""
+
+
 @oracle("document_table")
 def _():
     return f"""
@@ -841,10 +944,11 @@ ps AS (
   FROM tl GROUP BY doc_id, sent_idx
 ),
 pd AS (
-  SELECT s.doc_id, s.sent_idx, s.sent, ps.tks, ps.lms FROM sents s JOIN ps ON s.doc_id = ps.doc_id AND s.sent_idx = ps.sent_idx
+  SELECT d.doc_id, s.sent_idx, s.sent, ps.tks, ps.lms
+  FROM documents d LEFT JOIN sents s ON d.doc_id = s.doc_id LEFT JOIN ps ON s.doc_id = ps.doc_id AND s.sent_idx = ps.sent_idx
 )
-SELECT doc_id, count(*)::BIGINT AS n_sents, string_agg(sent, chr(1) ORDER BY sent_idx) AS sents,
-       string_agg(tks, chr(1) ORDER BY sent_idx) AS tokens, string_agg(lms, chr(1) ORDER BY sent_idx) AS lemmas
+SELECT doc_id, count(sent_idx)::BIGINT AS n_sents, coalesce(string_agg(sent, chr(1) ORDER BY sent_idx), '') AS sents,
+       coalesce(string_agg(tks, chr(1) ORDER BY sent_idx), '') AS tokens, coalesce(string_agg(lms, chr(1) ORDER BY sent_idx), '') AS lemmas
 FROM pd GROUP BY doc_id"""
 
 
@@ -860,14 +964,36 @@ def _():
 
 @oracle("saved_metrics")
 def _():
-    return f"WITH {EVAL_STATS.strip()}\nSELECT 'test' AS prefix, system, metric, round(value, 6) AS value FROM metrics"
+    return (f"WITH {EVAL_STATS.strip()}\nSELECT 'test' AS prefix, system, metric, round(value, 6) AS value FROM metrics\n"
+            f"UNION ALL SELECT 'test', system, 'test_samples', count(*)::DOUBLE FROM ev GROUP BY system")
+
+
+@oracle("decoded_metrics")
+def _():
+    from .queries import PREDICTED_TOKENS, TRAINING_METRICS
+
+    def text(arr):
+        return f"array_to_string(list_filter({arr}, lambda z: z IS NOT NULL), ' ')"
+
+    names = ", ".join(X.q(m) for m in TRAINING_METRICS)
+    return f"""WITH RECURSIVE {encode_sql().strip()},
+ev AS (
+  SELECT 'decoded' AS system, e.split, e.pair_id, {text('e.input_dec')} AS orig,
+         {text("coalesce(l.dec, []::VARCHAR[])")} AS ref, {text(f"e.input_dec[1:{PREDICTED_TOKENS}]")} AS sys
+  FROM enc e LEFT JOIN ids l ON e.pair_id = l.pair_id AND l.side = 'labels'
+),
+{STATS.strip()},
+{LSUM.strip()}
+SELECT system, metric, format('{{:.4f}}', value)::DOUBLE AS value FROM all_metrics WHERE metric IN ({names})
+UNION ALL
+SELECT 'decoded', 'gen_len', format('{{:.4f}}', avg(len(input_ids[1:{PREDICTED_TOKENS}])))::DOUBLE FROM enc"""
 
 
 # ---------------------------------------------------------------- further inventory keys
 
 def _marked_all_langs(text: str) -> str:
     words = R.EXTRA_ABBREVIATIONS["de"]
-    t = X.rx(text, R.abbreviation_rule(list(words)))
+    t = X.rx(X.escape_markers(text), R.abbreviation_rule(list(words)))
     t = X.enum_mask(t)
     t = X.rep(t, *R.PARAGRAPH_RULE)
     t = X.rx(t, R.BOUNDARY_RULE)
@@ -892,7 +1018,7 @@ def _():
     cols = ", ".join(f"{c}::BIGINT AS {c}" for c in (
         "hits", "sys_total", "ref_total", "add_sys", "add_ref", "add_ok", "keep_sys", "keep_ref", "keep_ok",
         "del_sys", "del_ref", "del_ok"))
-    return f"WITH {EVAL_STATS.strip()}\nSELECT system, pair_id, kind, n::BIGINT AS n, {cols} FROM st"
+    return f"WITH {EVAL_STATS.strip()}\nSELECT system, split, pair_id, kind, n::BIGINT AS n, {cols} FROM st"
 
 
 @oracle("novel_ngrams")

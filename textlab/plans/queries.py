@@ -7,7 +7,6 @@ results compare with the DuckDB oracle (:mod:`textlab.plans.oracle`).
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -148,7 +147,7 @@ def q_doc_stats(spark, sf):
 
 @query("doc_stats_lemmas")
 def q_doc_stats_lemmas(spark, sf):
-    return A.doc_table(src.documents(spark, sf), lexicon.builtin_lemmas(spark)).select(*_doc_stats_cols())
+    return A.doc_table(src.documents(spark, sf, clustered=True), lexicon.builtin_lemmas(spark)).select(*_doc_stats_cols())
 
 
 @query("flesch")
@@ -167,13 +166,13 @@ def _corpus_cols(by):
 
 @query("corpus_stats")
 def q_corpus_stats(spark, sf):
-    t = A.doc_table(src.documents(spark, sf), lexicon.builtin_lemmas(spark))
+    t = A.doc_table(src.documents(spark, sf, clustered=True), lexicon.builtin_lemmas(spark))
     return A.corpus_stats(t, ["lang"]).select(*_corpus_cols(["lang"]))
 
 
 @query("type_counts")
 def q_type_counts(spark, sf):
-    t = A.doc_table(src.documents(spark, sf), lexicon.builtin_lemmas(spark))
+    t = A.doc_table(src.documents(spark, sf, clustered=True), lexicon.builtin_lemmas(spark))
     return A.type_counts(t, ["lang"]).select(
         "lang", F.col("types_raw").cast("bigint").alias("types_raw"),
         F.col("types_lemmas").cast("bigint").alias("types_lemmas"))
@@ -255,11 +254,8 @@ def q_corpus_report_formatted(spark, sf):
 
 @query("corpus_novelty")
 def q_corpus_novelty(spark, sf):
-    t = CR.side_table(src.conversation_pairs(spark, sf), lexicon.builtin_lemmas(spark))
-    m = CR.pair_measures(t).agg(*[(F.avg(f"nov_{n}") * 100).alias(f"nov_{n}") for n in (1, 2, 3)])
-    label = F.concat(F.concat_ws("/", *[F.bround(f"nov_{n}", 0).cast("bigint").cast("string") for n in (1, 2, 3)]),
-                     F.lit("%"))
-    return m.select(*[r6(F.col(f"nov_{n}")).alias(f"nov_{n}") for n in (1, 2, 3)], label.alias("novelty"))
+    m = CR.corpus_novelty(src.conversation_pairs(spark, sf), lexicon.builtin_lemmas(spark))
+    return m.select(*[r6(F.col(f"nov_{n}")).alias(f"nov_{n}") for n in (1, 2, 3)], "novelty")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -268,24 +264,14 @@ def q_corpus_novelty(spark, sf):
 REPORT_METRICS = ["R-1", "R-2", "BLEU", "SARI", "|y|_w", "CMP_w", "Nov. (n=1)", "Nov. (n=2)"]
 
 
-def _eval(spark, sf):
-    """Eval rows of the conversation pairs: clustered by pair_id (the pairs'
-    join is keyed and partitioned by it)."""
-    return src.eval_table(src.conversation_pairs(spark, sf))
-
-
-def _stats(spark, sf):
-    return EV.pair_order_stats(EV.ngram_counts(_eval(spark, sf), clustered=True))
-
-
-@query("eval_table")
-def q_eval_table(spark, sf):
-    return _eval(spark, sf)
+def _eval(spark, sf) -> EV.Eval:
+    """The conversation pairs with the outputs of the stand-in systems."""
+    return EV.Eval(src.stand_in_outputs(src.conversation_pairs(spark, sf)), src.STAND_IN_SYSTEMS)
 
 
 def _rouge(n):
     def fn(spark, sf):
-        r = EV.rouge_n(_stats(spark, sf)).where(F.col("n") == n)
+        r = EV.rouge_n(_eval(spark, sf).clustered(), n)
         return r.select("system", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "fmeasure")])
     return fn
 
@@ -296,31 +282,31 @@ query("rouge_2")(_rouge(2))
 
 @query("bleu")
 def q_bleu(spark, sf):
-    return EV.bleu(_stats(spark, sf)).select("system", r6(F.col("bleu")).alias("bleu"))
+    return EV.bleu(_eval(spark, sf).clustered()).select("system", r6(F.col("bleu")).alias("bleu"))
 
 
 @query("sari")
 def q_sari(spark, sf):
-    s = EV.sari(_stats(spark, sf))
+    s = EV.sari(_eval(spark, sf).clustered())
     return s.select("system", *[r6(F.col(c)).alias(c) for c in ("sari_add", "sari_keep", "sari_del", "sari")])
 
 
 @query("surface_stats")
 def q_surface_stats(spark, sf):
-    s = EV.surface_stats(_eval(spark, sf))
+    s = EV.surface_stats(_eval(spark, sf).clustered())
     return s.select("system", *[r6(F.col(c)).alias(c)
                                 for c in ("x_w", "x_s", "y_w", "y_s", "cmp_w", "cmp_s", "nov_1", "nov_2")])
 
 
 @query("metric_means")
 def q_metric_means(spark, sf):
-    m = EV.metric_table(_eval(spark, sf), clustered=True)
+    m = EV.metric_table(_eval(spark, sf))
     return m.select("system", "metric", r6(F.col("value")).alias("value"))
 
 
 @query("metric_report")
 def q_metric_report(spark, sf):
-    return EV.metric_report(EV.metric_table(_eval(spark, sf), clustered=True), REPORT_METRICS, precision=2)
+    return EV.metric_report(EV.metric_table(_eval(spark, sf)), REPORT_METRICS, precision=2)
 
 
 # ---------------------------------------------------------------- sections, clean-up
@@ -339,7 +325,7 @@ def q_sections_preamble(spark, sf):
 
 @query("next_section")
 def q_next_section(spark, sf):
-    return SEC.next_section(SEC.sections(src.documents(spark, sf)))
+    return SEC.next_section(src.documents(spark, sf))
 
 
 @query("strip_text")
@@ -428,7 +414,7 @@ def _doc_lines(spark, sf):
     """Write the documents as a line file (doc_id order) and read it back."""
     path = IO.scratch(spark, "doc-lines")
     IO.write_lines(src.read_table(spark, sf, "documents"), path, "text", "doc_id")
-    return IO.read_lines(spark, path, per_dir=True)
+    return IO.read_lines(spark, path)
 
 
 @query("read_lines")
@@ -444,69 +430,101 @@ def q_pair_lines(spark, sf):
     tgt_path = IO.scratch(spark, "tgt-lines")
     tgt = src.document_pairs(spark, sf).where(F.pmod("pair_id", F.lit(10)) != 9)
     IO.write_lines(tgt, tgt_path, "target", "pair_id")
-    return IO.pair_lines(src_lines, IO.read_lines(spark, tgt_path, per_dir=True))
+    return IO.pair_lines(src_lines, IO.read_lines(spark, tgt_path))
+
+
+def _split_line_files(spark, sf):
+    """The pairs as line files {split}.source and {split}.target."""
+    pairs = src.conversation_pairs(spark, sf)
+    base = IO.scratch(spark, "line-splits")
+    for split in IO.SPLITS:
+        part = pairs.where(F.col("split") == split)
+        for side in ("source", "target"):
+            IO.write_lines(part, f"{base}/{split}.{side}", side, "pair_id")
+    return base
+
+
+@query("convert_splits")
+def q_convert_splits(spark, sf):
+    """The line files of three splits converted to JSON lines and read back."""
+    base = _split_line_files(spark, sf)
+    IO.convert_splits(spark, {s: f"{base}/{s}.source" for s in IO.SPLITS}, {s: f"{base}/{s}.target" for s in IO.SPLITS}, f"{base}/json")
+    line_no = IO.Ty.StructType([IO.Ty.StructField("pair_id", IO.Ty.LongType(), True)])
+    back = IO.read_splits(spark, {s: f"{base}/json/{s}.json" for s in IO.SPLITS}, line_no)
+    return back.select("split", F.col("pair_id").alias("line_no"), "source", "target")
+
+
+_PAIR_ID = IO.Ty.StructType([IO.Ty.StructField("pair_id", IO.Ty.LongType(), True)])
 
 
 @query("jsonl_roundtrip")
 def q_jsonl_roundtrip(spark, sf):
-    """Pairs written as JSON lines partitioned by split, read back
-    with an explicit schema."""
+    """S3: pairs written as JSON lines, read back with an explicit schema."""
     path = IO.scratch(spark, "jsonl")
-    IO.write_jsonl(src.conversation_pairs(spark, sf), path, partition_by="split")
-    extra = IO.Ty.StructType([IO.Ty.StructField("pair_id", IO.Ty.LongType(), True)])
-    back = spark.read.schema(IO.Ty.StructType(list(extra.fields) + list(IO.PAIR_SCHEMA.fields)
-                                              + [IO.Ty.StructField("split", IO.Ty.StringType(), True)])).json(path)
-    return back.select("split", "pair_id", "source", "target")
+    IO.write_jsonl(src.conversation_pairs(spark, sf), path)
+    fields = IO.Ty.StructType([IO.Ty.StructField("split", IO.Ty.StringType(), True), *_PAIR_ID.fields])
+    return IO.read_jsonl(spark, path, fields).select("split", "pair_id", "source", "target")
 
 
 @query("corpus_union")
 def q_corpus_union(spark, sf):
     """The three split files read by name and concatenated."""
     path = IO.scratch(spark, "splits")
-    IO.write_jsonl(src.conversation_pairs(spark, sf), path, partition_by="split")
-    extra = IO.Ty.StructType([IO.Ty.StructField("pair_id", IO.Ty.LongType(), True)])
-    parts = [IO.read_jsonl(spark, os.path.join(path, f"split={s}"), extra).withColumn("split", F.lit(s))
-             for s in ("train", "val", "test")]
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
+    pairs = src.conversation_pairs(spark, sf)
+    for split in IO.SPLITS:
+        IO.write_jsonl(pairs.where(F.col("split") == split).drop("split"), f"{path}/{split}.jsonl")
+    out = IO.read_splits(spark, {s: f"{path}/{s}.jsonl" for s in IO.SPLITS}, _PAIR_ID)
     return out.select("split", "pair_id", "source", "target")
 
 
 def _written_runs(spark, sf):
-    """Prediction files of the three systems, one directory per system."""
-    ev = src.eval_table(src.conversation_pairs(spark, sf))
+    """Line files of the originals, references and the stand-in systems' predictions, one folder per system."""
+    ev = src.stand_in_outputs(src.conversation_pairs(spark, sf))
     base = IO.scratch(spark, "runs")
-    for system in ("identity", "gold", "lead3"):
-        IO.write_lines(ev.where(F.col("system") == system), os.path.join(base, system), "sys", "pair_id")
-    IO.write_lines(ev.where(F.col("system") == "identity"), os.path.join(base, "orig"), "orig", "pair_id")
-    IO.write_lines(ev.where(F.col("system") == "identity"), os.path.join(base, "refs"), "ref", "pair_id")
+    for name, col in [("orig", "orig"), ("refs", "ref"), *[(n, f"y{i}") for i, n in enumerate(src.STAND_IN_SYSTEMS)]]:
+        IO.write_lines(ev, f"{base}/{name}/predictions_test.txt", col, "pair_id")
     return base
 
 
+def _run_paths(base):
+    return [f"{base}/{s}/predictions_test.txt" for s in src.STAND_IN_SYSTEMS]
+
+
+def _eval_from_files(spark, sf) -> EV.Eval:
+    base = _written_runs(spark, sf)
+    return IO.eval_files(spark, f"{base}/orig/predictions_test.txt", f"{base}/refs/predictions_test.txt", _run_paths(base))
+
+
 @query("load_runs")
 def q_load_runs(spark, sf):
-    base = _written_runs(spark, sf)
-    return IO.load_runs(spark, [os.path.join(base, s) for s in ("identity", "gold", "lead3")])
+    return IO.load_runs(spark, _run_paths(_written_runs(spark, sf)))
 
 
 @query("alignment_check")
 def q_alignment_check(spark, sf):
+    """S8 on the written files, with one run that lacks the last fifth of its lines."""
     base = _written_runs(spark, sf)
-    runs = IO.load_runs(spark, [os.path.join(base, s) for s in ("identity", "gold", "lead3")])
-    orig = IO.read_lines(spark, os.path.join(base, "orig"), per_dir=True)
-    ref = IO.read_lines(spark, os.path.join(base, "refs"), per_dir=True)
-    return IO.alignment_check(orig, ref, runs)
+    short = src.stand_in_outputs(src.conversation_pairs(spark, sf)).where(F.pmod("pair_id", F.lit(5)) != 0)
+    IO.write_lines(short, f"{base}/short/predictions_test.txt", "y0", "pair_id")
+    runs = IO.load_runs(spark, [*_run_paths(base), f"{base}/short/predictions_test.txt"])
+    lines = [IO.read_lines(spark, f"{base}/{n}/predictions_test.txt") for n in ("orig", "refs")]
+    return IO.alignment_counts(*lines, runs)
+
+
+@query("eval_table")
+def q_eval_table(spark, sf):
+    """Originals, references and runs read from files and joined by line."""
+    return _eval_from_files(spark, sf).long().select("system", F.col("pair_id").alias("line_no"), "orig", "ref", "sys")
 
 
 @query("clean_predictions")
 def q_clean_predictions(spark, sf):
-    """S9 + N5: lead3 outputs stripped, cleaned, written one per line, read back."""
-    ev = src.eval_table(src.conversation_pairs(spark, sf)).where(F.col("system") == "lead3")
-    cleaned = ev.select("pair_id", T.tokenization_cleanup(T.strip("sys")).alias("pred"))
-    path = IO.scratch(spark, "predictions")
-    IO.write_lines(cleaned, path, "pred", "pair_id")
-    return IO.read_lines(spark, path, per_dir=True).select("line_no", "line")
+    """S9 + N5: the outputs of all systems stripped, cleaned, written one per line, read back."""
+    ev = src.stand_in_outputs(src.conversation_pairs(spark, sf))
+    base = IO.scratch(spark, "predictions")
+    for i, name in enumerate(src.STAND_IN_SYSTEMS):
+        IO.write_lines(ev.select("pair_id", T.tokenization_cleanup(T.strip(f"y{i}")).alias("pred")), f"{base}/{name}/predictions_test.txt", "pred", "pair_id")
+    return IO.load_runs(spark, _run_paths(base)).select("system", "line_no", F.col("sys").alias("line"))
 
 
 # ---------------------------------------------------------------- ROUGE-Lsum, full evaluation, nested view
@@ -514,15 +532,14 @@ def q_clean_predictions(spark, sf):
 
 @query("rouge_lsum")
 def q_rouge_lsum(spark, sf):
-    """A18 (no SQL oracle: LCS backtracking; tested against brute force)."""
-    r = LCS.rouge_lsum(_eval(spark, sf))
+    r = LCS.rouge_lsum(_eval(spark, sf).clustered())
     return r.select("system", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "fmeasure")])
 
 
 @query("evaluate_runs")
 def q_evaluate_runs(spark, sf):
-    """All 19 metrics for every system in one job (long form)."""
-    m = EV.metric_table(_eval(spark, sf), with_lsum=True, clustered=True)
+    """All 19 metrics for every run, read from files, in one job (long form)."""
+    m = EV.metric_table(_eval_from_files(spark, sf), with_lsum=True)
     return m.select("system", "metric", r6(F.col("value")).alias("value"))
 
 
@@ -530,7 +547,7 @@ def q_evaluate_runs(spark, sf):
 def q_document_table(spark, sf):
     """T11 nested view, flattened for comparison: sentences joined by a
     separator, tokens and lemmas joined by spaces within a sentence."""
-    d = S.document_table(src.documents(spark, sf), lexicon.builtin_lemmas(spark))
+    d = S.document_table(src.documents(spark, sf, clustered=True), lexicon.builtin_lemmas(spark))
     sep = "\u0001"
     return d.select(
         "doc_id",
@@ -543,13 +560,12 @@ def q_document_table(spark, sf):
 
 @query("encoded_sample")
 def q_encoded_sample(spark, sf):
-    """The first training row, encoded and decoded, written as JSON."""
+    """The first training row, encoded and decoded, written as JSON.  Only that row is encoded."""
     toks, v = _enc_inputs(spark, sf)
-    e = ENC.encode(toks, v, 1024, 128).where(F.col("split") == "train")
-    first = e.orderBy("pair_id").limit(1)
-    dec_in = ENC.decode(first, "input_ids", v, out="input_tokens")
-    dec_lab = ENC.decode(first, "labels", v, out="labels_tokens")
-    row = first.join(dec_in, ["split", "pair_id"]).join(dec_lab, ["split", "pair_id"])
+    first = toks.where(F.col("split") == "train").orderBy("pair_id").limit(1)
+    e = ENC.encode(first, v, 1024, 128)
+    row = e.join(ENC.decode(e, "input_ids", v, out="input_tokens"), ["split", "pair_id"]).join(
+        ENC.decode(e, "labels", v, out="labels_tokens"), ["split", "pair_id"])
     path = IO.scratch(spark, "batch-sample")
     row.write.mode("overwrite").json(path)
     back = spark.read.schema(row.schema).json(path)
@@ -559,28 +575,29 @@ def q_encoded_sample(spark, sf):
 
 @query("saved_metrics")
 def q_saved_metrics(spark, sf):
-    """Metric rows appended to a metrics table, read back."""
+    """Metric rows and the number of samples appended to a metrics table, read back."""
     path = IO.scratch(spark, "metrics")
-    m = EV.metric_table(_eval(spark, sf), clustered=True)
-    IO.save_metrics(m, path, "test")
+    ev = _eval(spark, sf)
+    IO.save_metrics(EV.metric_table(ev), path, "test", samples=ev.rows.count())
     back = spark.read.parquet(path)
     return back.select("prefix", "system", "metric", r6(F.col("value")).alias("value"))
 
 
+TRAINING_METRICS = ["R-1", "R-1_p", "R-1_r", "R-2", "R-2_p", "R-2_r", "R-L", "R-L_p", "R-L_r", "BLEU", "SARI"]
+PREDICTED_TOKENS = 40
+
+
 @query("decoded_metrics")
 def q_decoded_metrics(spark, sf):
-    """Metrics on decoded ids (inputs as the system output), rounded to 4."""
+    """The 12 training-time values on decoded ids (the first
+    PREDICTED_TOKENS input ids stand in for generated ones), rounded to 4."""
     toks, v = _enc_inputs(spark, sf)
-    e = ENC.encode(toks, v, 1024, 128)
-    ins = ENC.decode(e, "input_ids", v, out="orig")
-    labs = ENC.decode(e, "labels", v, out="ref")
-    ev = materialize(ins.join(labs, ["split", "pair_id"]).select(
-        F.lit("decoded").alias("system"), "pair_id", "orig", "ref", F.col("orig").alias("sys")), "decoded-eval")
-    m = EV.metric_table(ev, with_lsum=True).where(
-        F.col("metric").isin("R-1", "R-2", "R-L", "BLEU", "SARI"))
-    g = ENC.gen_len(e, "input_ids").select(F.lit("decoded").alias("system"), F.lit("gen_len").alias("metric"),
-                                           F.col("gen_len").alias("value"))
-    return m.unionByName(g).select("system", "metric", F.round("value", 4).alias("value"))
+    e = materialize(ENC.encode(toks, v, 1024, 128).withColumn("pred_ids", F.slice("input_ids", 1, PREDICTED_TOKENS)), "encoded")
+    texts = [ENC.decode(e, ids, v, out=out) for ids, out in (("input_ids", "orig"), ("labels", "ref"), ("pred_ids", "y0"))]
+    rows = materialize(texts[0].join(texts[1], ["split", "pair_id"]).join(texts[2], ["split", "pair_id"]), "decoded-eval")
+    m = EV.metric_table(EV.Eval(rows, ("decoded",)), with_lsum=True, surface=False).where(F.col("metric").isin(TRAINING_METRICS))
+    g = ENC.gen_len(e, "pred_ids").select(F.lit("decoded").alias("system"), F.lit("gen_len").alias("metric"), F.col("gen_len").alias("value"))
+    return m.unionByName(g).select("system", "metric", T.round_exact("value", 4).alias("value"))
 
 
 # ---------------------------------------------------------------- further inventory keys
@@ -600,10 +617,11 @@ def q_sentences_abbrev(spark, sf):
 @query("ngram_overlap")
 def q_ngram_overlap(spark, sf):
     """Per (system, pair, kind, n) clipped overlap, totals and SARI parts."""
-    st = _stats(spark, sf)
+    ev = _eval(spark, sf).clustered()
+    st = EV.pair_order_stats(EV.ngram_counts(ev), ev)
     cols = ["hits", "sys_total", "ref_total", "add_sys", "add_ref", "add_ok", "keep_sys", "keep_ref", "keep_ok",
             "del_sys", "del_ref", "del_ok"]
-    return st.select("system", "pair_id", "kind", F.col("n").cast("bigint").alias("n"),
+    return st.select("system", "split", "pair_id", "kind", F.col("n").cast("bigint").alias("n"),
                      *[F.col(c).cast("bigint").alias(c) for c in cols])
 
 

@@ -47,6 +47,22 @@ def cleanup(expr: str) -> str:
     return rx(expr, R.GERMAN_DECIMALS)
 
 
+def escape_markers(expr: str) -> str:
+    for a, b in R.ESCAPED:
+        expr = rep(expr, a, b)
+    return expr
+
+
+def restore_markers(expr: str) -> str:
+    for a, b in reversed(R.ESCAPED):
+        expr = rep(expr, b, a)
+    return expr
+
+
+def restored(items: str, marked: str) -> str:
+    return f"(CASE WHEN contains({marked}, {q(R.ESCAPE)}) THEN list_transform({items}, lambda rm: {restore_markers('rm')}) ELSE {items} END)"
+
+
 def enum_mask(expr: str) -> str:
     return rx(expr, R.ENUM_MASK)
 
@@ -65,7 +81,7 @@ def mask_abbreviations(text: str, lang: str | None) -> str:
 
 
 def mark_sentences(text: str, lang: str | None = None, enums: bool = True, paragraphs: bool = True) -> str:
-    t = mask_abbreviations(text, lang)
+    t = mask_abbreviations(escape_markers(text), lang)
     if enums:
         t = enum_mask(t)
     if paragraphs:
@@ -89,18 +105,23 @@ def split_nonempty(expr: str, pattern: str) -> str:
 
 
 def sentence_array(marked: str) -> str:
-    return split_nonempty(marked, R.SENT_MARK)
+    return restored(split_nonempty(marked, R.SENT_MARK), marked)
 
 
 def token_string(marked: str) -> str:
     t = rxs(marked, R.TOKEN_RULES)
     t = f"(' ' || {t} || ' ')"
+    t = rxs(t, R.JOINED_WORD_RULES)
     return rxs(t, R.CONTRACTION_RULES)
 
 
 def token_array(marked: str) -> str:
     trimmed = f"trim({token_string(marked)}, {q(R.WS_CHARS + R.SENT_MARK)})"
-    return split_nonempty(trimmed, R.SEP + "+")
+    return restored(split_nonempty(trimmed, R.SEP + "+"), marked)
+
+
+def sentence_tokens(sentence: str) -> str:
+    return token_array(escape_markers(sentence))
 
 
 def rouge_tokens(expr: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -34,26 +34,33 @@ def get_spark(master: str | None = None, app: str = "textlab", **conf: str) -> S
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session has none (local runs, tests) a fresh folder under
-    the system temp dir is created and registered.
+    Executors of a cluster do not see the driver's local folders, so a
+    session without the setting is an error there; only a local session (one
+    machine, as in tests) gets a fresh folder under the system temp dir.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # no SparkContext handle: the session conf is all we have
         sc = None
-    current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="textlab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    if sc and not sc.getCheckpointDir():
-        sc.setCheckpointDir(current)
-    return (sc.getCheckpointDir() if sc else None) or current
+    return current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the checkpoint folder for a written table."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "textlab", f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{checkpoint_dir(spark).rstrip('/')}/textlab/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Remove all written intermediates of this folder (when no result that reads them is needed any more)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/textlab")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df, name: str = "table"):

@@ -38,15 +38,14 @@ BUILTIN_LEMMAS = [
     ("es", "es", "ser"),
 ]
 
-SCHEMA = "lang string, token string, lemma string"
-
 
 def builtin_lemmas(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BUILTIN_LEMMAS, SCHEMA)
+    """As a VALUES relation, so that the optimizer knows how small it is (and broadcasts it)."""
+    return spark.sql(f"SELECT * FROM {lemma_values_sql()}")
 
 
 def lemma_values_sql() -> str:
-    """The same dictionary as a SQL VALUES list (for the oracle)."""
+    """The same dictionary as a SQL VALUES list (the oracle uses it too)."""
     def q(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in BUILTIN_LEMMAS)

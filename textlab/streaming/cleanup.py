@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as T
-from ..session import scratch_path
 
 
 def clean_prediction_stream(spark: SparkSession, input_dir: str) -> DataFrame:
@@ -23,10 +22,11 @@ def clean_prediction_stream(spark: SparkSession, input_dir: str) -> DataFrame:
                         T.tokenization_cleanup(T.strip("value")).alias("text"))
 
 
-def start_cleanup(spark: SparkSession, input_dir: str, output_dir: str, available_now: bool = True) -> StreamingQuery:
-    """Append cleaned lines to parquet; the checkpoint lives under the
-    session's checkpoint folder so a restarted query resumes."""
-    ckpt = scratch_path(spark, "stream-ckpt")
+def start_cleanup(spark: SparkSession, input_dir: str, output_dir: str, available_now: bool = True,
+                  checkpoint: str | None = None) -> StreamingQuery:
+    """Append cleaned lines to parquet.  The checkpoint belongs to the output
+    (by default a hidden folder in it), so a restarted query resumes."""
+    ckpt = checkpoint or f"{output_dir.rstrip('/')}/_cleanup_checkpoint"
     w = clean_prediction_stream(spark, input_dir).writeStream.format("parquet").option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w
     return w.outputMode("append").start(output_dir)
