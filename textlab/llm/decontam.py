@@ -44,6 +44,8 @@ STEPS_PER_CHAR = 1.6         # walk steps per byte of a class; the pointer moves
 TABLES, SAMPLES = 8, 10      # LSH tables per class, sampled steps per table
 MOST_WORDS = 8               # words that compete for an anchor
 SLICE_BYTES = 8 << 20
+GRAM = 4                     # bytes of a gram in the test before the exact verification
+TOGETHER = 300               # texts searched together
 CHUNK = 1 << 15              # windows walked together (fits the cache)
 SEED = 20_011
 
@@ -141,17 +143,21 @@ class ItemIndex:
         self.w = max(1, min([MOST_WORDS, *(t.count(b" ") + 1 >> 1 for _, t in self.items)]))
         keys, values = [], []
         self.used = 0
+        self.grams: list[list[bytes]] = []
         for n, (_, t) in enumerate(self.items):
+            self.grams.append([t[i:i + GRAM] for i in range(len(t) - GRAM + 1)])
             buf = np.frombuffer(t + bytes(8), np.uint8)
-            for at in anchors(buf[: len(t)], self.w):
-                rest = len(t) - int(at)
-                c = max((c for c, size in enumerate(CLASSES) if size <= rest), default=-1)
+            places = [(int(at), max((c for c, size in enumerate(CLASSES) if size <= len(t) - at), default=-1)) for at in anchors(buf[: len(t)], self.w)]
+            # the short class hits by chance most often: only for items with few longer windows
+            if sum(c > 0 for _, c in places) >= 2:
+                places = [p for p in places if p[1] > 0]
+            for at, c in places:
                 if c < 0:
                     continue
                 self.used = max(self.used, c + 1)
                 k = _WALK.keys(buf, np.array([at]))[c * TABLES:(c + 1) * TABLES, 0]
                 keys += k.tolist()
-                values += [(n, int(at))] * TABLES
+                values += [(n, at)] * TABLES
         self.table: dict[int, list[tuple[int, int]]] = {}
         for k, v in zip(keys, values):
             self.table.setdefault(k, []).append(v)
@@ -184,12 +190,22 @@ class ItemIndex:
                     if found is not None:
                         yield d, n, found
 
+    def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
+        """``hits`` over any number of texts, a few at a time."""
+        for lo in range(0, len(texts), TOGETHER):
+            for d, n, k in self.hits([normalise(t) for t in texts[lo:lo + TOGETHER]]):
+                yield lo + d, n, k
+
     def verify(self, text: bytes, at: int, n: int) -> int | None:
         item = self.items[n][1]
         most = int(self.ratio * len(item))
         window = text[max(0, at - most):at + len(item) + most]
         if item in window:
             return 0
+        # an edit destroys GRAM of the item's grams at most; all others are in the window
+        there = {window[i:i + GRAM] for i in range(len(window) - GRAM + 1)}
+        if sum(map(there.__contains__, self.grams[n])) < len(self.grams[n]) - most * GRAM:
+            return None
         k = distance(item, window)
         return k if k <= most else None
 
@@ -216,7 +232,7 @@ def leaks(docs: DataFrame, items: DataFrame, ratio: float = RATIO, id_col: str =
             x = index.value
             for b in batches:
                 ids, rows = b["doc_id"].to_pylist(), []
-                for d, n, k in x.hits([normalise(t) for t in b["t"].to_pylist()]):
+                for d, n, k in x.search(b["t"].to_pylist()):
                     rows.append((ids[d], x.items[n][0], k, len(x.items[n][1])))
                 cols = list(zip(*rows)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("doc_id").type), pa.array(cols[1], arrow_item), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())],
@@ -239,7 +255,7 @@ def _leaky(index):
     def leaky(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = np.zeros(len(texts), bool)
-            for d, _, _ in index.value.hits([normalise(t) for t in texts]):
+            for d, _, _ in index.value.search(texts.tolist()):
                 out[d] = True
             yield pd.Series(out)
 
