@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontam, lm, ngram_join, order_minhash, packing, pii, quality, sharding, suffix_dedup, token_counts
+from . import decontam, lm, ngram_join, oracle, order_minhash, packing, pii, quality, sharding, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_suffix_merge": oracle.repeated_bytes(), "op10_ngram_join": oracle.ngram_components()}
 
 
 def query(name: str):
