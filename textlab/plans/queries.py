@@ -435,7 +435,7 @@ def q_pair_lines(spark, sf):
 
 def _split_line_files(spark, sf):
     """The pairs as line files {split}.source and {split}.target."""
-    pairs = src.conversation_pairs(spark, sf)
+    pairs = materialize(src.conversation_pairs(spark, sf), "pairs")
     base = IO.scratch(spark, "line-splits")
     for split in IO.SPLITS:
         part = pairs.where(F.col("split") == split)
@@ -479,7 +479,7 @@ def q_corpus_union(spark, sf):
 
 def _written_runs(spark, sf):
     """Line files of the originals, references and the stand-in systems' predictions, one folder per system."""
-    ev = src.stand_in_outputs(src.conversation_pairs(spark, sf))
+    ev = materialize(src.stand_in_outputs(src.conversation_pairs(spark, sf)), "outputs")
     base = IO.scratch(spark, "runs")
     for name, col in [("orig", "orig"), ("refs", "ref"), *[(n, f"y{i}") for i, n in enumerate(src.STAND_IN_SYSTEMS)]]:
         IO.write_lines(ev, f"{base}/{name}/predictions_test.txt", col, "pair_id")
@@ -520,7 +520,7 @@ def q_eval_table(spark, sf):
 @query("clean_predictions")
 def q_clean_predictions(spark, sf):
     """S9 + N5: the outputs of all systems stripped, cleaned, written one per line, read back."""
-    ev = src.stand_in_outputs(src.conversation_pairs(spark, sf))
+    ev = materialize(src.stand_in_outputs(src.conversation_pairs(spark, sf)), "outputs")
     base = IO.scratch(spark, "predictions")
     for i, name in enumerate(src.STAND_IN_SYSTEMS):
         IO.write_lines(ev.select("pair_id", T.tokenization_cleanup(T.strip(f"y{i}")).alias("pred")), f"{base}/{name}/predictions_test.txt", "pred", "pair_id")
