@@ -77,6 +77,21 @@ def test_blocks_and_leaves_of_any_size(spark, monkeypatch):
     compare(spark, corpus(7))
 
 
+@pytest.mark.parametrize("part", [1_000_000, 7, 40])
+def test_components_in_parts_of_any_size(spark, monkeypatch, part):
+    monkeypatch.setattr(nj, "PART_EDGES", part)
+    rng = random.Random(part)
+    edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(20)] + [(200, i) for i in range(201, 230)]
+    rng.shuffle(edges)
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in edges:
+        if a != b:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = [(r.node, r.comp) for r in nj.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert len(got) == len(set(got)) and dict(got) == {x: find(x) for x in parent}
+
+
 def test_other_thresholds(spark):
     compare(spark, corpus(8, 150), k=5, num=80, den=100)
     compare(spark, corpus(8, 150), k=2, num=100, den=100)
@@ -103,6 +118,42 @@ def test_null_ids_and_repeated_rows(spark):
     assert nj.ngram_components(df.limit(0)).count() == 0
 
 
+def test_word_hashes_follow_the_contract():
+    """Equal words, equal hashes; only A-Z are folded; only six characters are spaces."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("aAbÉé \t\n\x0b\x0c\r\u00a0\u2003\x1c", k=rng.randint(0, 30))) for _ in range(400)]
+    known = {}
+    for t in texts:
+        words = t.encode().lower().split()
+        start, h = nj.word_hashes(t.encode().lower())
+        assert len(h) == len(words)
+        for w, x in zip(words, h.tolist()):
+            assert known.setdefault(w, x) == x
+    assert len(set(known.values())) == len(known)
+    for k in (1, 3):
+        assert [len(s) for s in nj.shingles(texts, k)] == [len(s) for s in sets_of(texts, k)]
+
+
+def test_bitmap_has_no_false_negatives(spark):
+    ids = spark.range(0, 5000, 7).withColumnRenamed("id", "rep")
+    got = {r.id for r in spark.range(5000).filter(common.id_filter(ids, "rep")("id")).collect()}
+    assert set(range(0, 5000, 7)) <= got and len(got) < 760
+
+
+def test_finer_points_bound_the_overlap():
+    rng = np.random.default_rng(4)
+    big = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1500, 2500, 5000, 9000)]
+    sets = big + [np.unique(np.append(s[rng.random(len(s)) > 0.1], rng.integers(0, 1 << 63, len(s) // 10).astype(np.uint64))) for s in big]
+    p = nj.Points([nj.point(s) for s in sets])
+    assert {len(f) for f in p.fine} >= {128, 256, 512, 1024} and [int(c.sum()) for c in p.coarse] == [len(s) for s in sets]
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets):
+            coarse = int(np.minimum(p.coarse[i], p.coarse[j]).sum())
+            assert len(np.intersect1d(s, t)) <= p.bound(i, j) <= coarse
+    n = np.array([len(s) for s in sets])
+    assert p.refine(np.arange(4), np.arange(4, 8), n, 70, 100).all()
+
+
 def test_tree_bound_loses_nothing():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 1 << 62, rng.integers(1, 200)).astype(np.uint64)) for _ in range(40)]
@@ -110,7 +161,7 @@ def test_tree_bound_loses_nothing():
         s = sets[rng.integers(0, 40)]
         sets.append(np.unique(np.append(s[rng.random(len(s)) > 0.08], rng.integers(0, 1 << 62, rng.integers(0, 9)).astype(np.uint64))))
     sets = [s for s in sets if len(s)]
-    tree = nj.CountRTree(np.stack([nj.point(s) for s in sets]).astype(np.int64), np.array([len(s) for s in sets]))
+    tree = nj.CountRTree(nj.Points([nj.point(s) for s in sets]).coarse, np.array([len(s) for s in sets]))
     found = {(int(a), int(b)) for i, j in tree.search(np.arange(len(sets)), 85, 100) for a, b in zip(i, j)}
     links = 0
     for i, s in enumerate(sets):

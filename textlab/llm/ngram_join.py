@@ -13,12 +13,16 @@ Texts are compared as sets of word shingles; two link when
   ``n - ceil(t n) + 1`` shingles, so nodes meet in the groups of these keys and
   no link is lost.  The order never changes a result, only the group sizes.
 * Groups above ``BLOCK`` nodes are cut into blocks that meet pairwise.
-* Two rounds keep big groups of near copies from being compared all with all.  In
-  round one a node meets its best neighbour in its leaf and the group's middle
-  point; exact verification of these pairs gives first components.  Round two
-  searches the trees for every surviving pair whose nodes are still in
-  different components, and verifies those.  A pair left out is
-  inside a component already, so the components are exact.
+* Two rounds keep big groups of near copies from being compared all with all.
+  Round one takes every ``FIRST``-th key (by hash): a node meets its best neighbour in its leaf and
+  the group's middle point; exact verification of these pairs gives first
+  components.  Round two takes all keys whose nodes are still in different
+  components, searches their trees for every surviving pair across
+  components, and verifies those.  A pair left out is inside a component
+  already, so the components are exact.
+* The sets for the verification are made again from the texts of the nodes that
+  need one; a bitmap of fixed size drops the other texts inside the scan (an
+  exact join follows).
 
 Shingles are 64-bit hashes, sets 128-bit hashes of them.
 
@@ -39,28 +43,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, words_of
+from .common import id_filter, materialize
 
-GROUPS = 32          # coordinates of a point
+GROUPS = 128         # coordinates of a point (large sets: more)
 LEAF = 32            # points in a leaf
 BLOCK = 4096         # nodes of a key group that one call compares
 SAMPLE_ROWS = 4000   # texts whose shingles decide what counts as frequent (order only)
 MOST_FREQUENT = 1 << 16
-WORD_TABLE = 1_000_000
+PART_EDGES = 1_000_000  # edges contracted by one task
+BIN_BYTES = 16 << 20  # sets verified in one call
+SETS = 2000          # sets of one cluster in a bin
+FIRST = 8            # share of the keys that round one uses
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-
-
-class _WordHash(dict):
-    def __missing__(self, w: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(w)
-        if len(self) >= WORD_TABLE:
-            self.clear()
-        self[w] = h
-        return h
-
-
-_WORDS = _WordHash()
+_LETTER = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\v\f\r")] = True
+_STEP = np.uint64(0xD6E8FEB86659FD93)  # 3 modulo 4
 
 
 def _finish(h: np.ndarray) -> np.ndarray:
@@ -68,30 +67,106 @@ def _finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    words = words_of(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < k:
-        return np.array([xxhash.xxh3_64_intdigest(b"short " + b" ".join(words))], np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n, s = len(h) - k + 1, np.zeros(len(h) - k + 1, np.uint64)
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n, _STEP)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of lower-cased UTF-8 text."""
+    b = np.frombuffer(data, np.uint8)
+    space = _SPACE[b]
+    begin = ~space
+    begin[1:] &= space[:-1]
+    start = np.flatnonzero(begin)
+    if not len(start):
+        return start, np.empty(0, np.uint64)
+    at = np.arange(start[0], len(b)) - start[np.cumsum(begin[start[0]:]) - 1]
+    value = _LETTER[b[start[0]:]] * _powers(int(at.max()) + 1)[at]
+    value[space[start[0]:]] = 0
+    return start, _finish(np.add.reduceat(value, start - start[0]))
+
+
+def shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    raw = [t.encode().lower() if t else b"" for t in texts]
+    start, h = word_hashes(b"\n".join(raw))
+    limits = np.searchsorted(start, np.cumsum([0] + [len(r) + 1 for r in raw]))
+    n = max(len(h) - k + 1, 0)
+    s = np.zeros(n, np.uint64)
     for j in range(k):
         s = (s ^ h[j:j + n]) * _MIX[j % 5] + _MIX[(j + 1) % 5]
-    return np.unique(_finish(s))
-
-
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<i4")
-
-
-def keys_of(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    n = len(s)
-    p = n - -(-num * n // den) + 1
-    order = _finish(s ^ _MIX[4])
-    hot = np.isin(s, frequent) if len(frequent) else np.zeros(n, bool)
-    return s[np.lexsort((order, hot))[:p]]
+    s = _finish(s)
+    out = []
+    for a, b in zip(limits[:-1].tolist(), limits[1:].tolist()):
+        if b - a >= k:
+            x = np.sort(s[a:b - k + 1])
+            out.append(x[np.append(True, x[1:] != x[:-1])])
+        elif b > a:
+            out.append(np.array([xxhash.xxh3_64_intdigest(b"short" + h[a:b].tobytes())], np.uint64))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
+
+
+def point(s: np.ndarray) -> bytes:
+    """Shingles per group, in the smallest integers that hold them (first byte: their size).
+
+    Large sets get more groups (16 shingles in one on average, a power of two of them), because
+    the bound is as tight as the groups are empty; modulo GROUPS they fold into a point of GROUPS coordinates.
+    """
+    groups = GROUPS
+    while groups * 16 < len(s):
+        groups *= 2
+    n = np.bincount((s >> np.uint64(24)).astype(np.int64) % groups, minlength=groups)
+    size = 1 if n.max() < 1 << 8 else 2 if n.max() < 1 << 16 else 4
+    return bytes([size]) + n.astype(f"<u{size}").tobytes()
+
+
+class Points:
+    """Points of GROUPS coordinates (rows of ``coarse``) and the finer ones they come from."""
+
+    def __init__(self, packed: list[bytes]):
+        self.fine = [np.frombuffer(p, f"<u{p[0]}", offset=1) for p in packed]
+        self.coarse = np.empty((len(packed), GROUPS), np.int32)
+        for i, f in enumerate(self.fine):
+            self.coarse[i] = f if len(f) == GROUPS else f.reshape(-1, GROUPS).sum(axis=0)
+        self.wide = np.fromiter((len(f) > GROUPS for f in self.fine), bool, len(packed))
+
+    def bound(self, i: int, j: int) -> int:
+        """Sum of coordinate minima at the finest grouping that both have."""
+        a, b = self.fine[i], self.fine[j]
+        g = min(len(a), len(b))
+        return int(np.minimum(a.reshape(-1, g).sum(axis=0, dtype=np.int64), b.reshape(-1, g).sum(axis=0, dtype=np.int64)).sum())
+
+    def refine(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which of the pairs (rows i, j) may still link by the finer points."""
+        keep = np.ones(len(i), bool)
+        for q in np.flatnonzero(self.wide[i] & self.wide[j]):
+            x, y = int(i[q]), int(j[q])
+            keep[q] = (num + den) * self.bound(x, y) >= num * int(n[x] + n[y])
+        return keep
+
+
+class KeyOrder:
+    """The order of all shingles: frequent ones last, then by hash."""
+
+    def __init__(self, frequent: np.ndarray):
+        self.frequent = np.sort(frequent)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.frequent >> np.uint64(44)).astype(np.int64)] = True
+
+    def keys(self, s: np.ndarray, num: int, den: int) -> np.ndarray:
+        n = len(s)
+        p = n - -(-num * n // den) + 1
+        rank = _finish(s ^ _MIX[4]) >> np.uint64(1)
+        at = np.flatnonzero(self.maybe[(s >> np.uint64(44)).astype(np.int64)])
+        if len(at):
+            pos = np.searchsorted(self.frequent, s[at])
+            at = at[self.frequent[np.minimum(pos, len(self.frequent) - 1)] == s[at]]
+            rank[at] |= np.uint64(1 << 63)
+        return s if p >= n else s[np.argpartition(rank, p - 1)[:p]]
 
 
 class CountRTree:
@@ -140,7 +215,7 @@ class CountRTree:
         return (num + den) * np.minimum(self.points[a], self.points[b]).sum(axis=-1) - num * (self.sizes[a] + self.sizes[b])
 
 
-_PAIRS = pa.schema([("x", pa.binary()), ("y", pa.binary()), ("kind", pa.int32()), ("slack", pa.int64())])
+_PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("kind", pa.int32()), ("slack", pa.int64())])
 
 
 def _group_pairs(points, sizes, comp, side, every: bool, num: int, den: int):
@@ -176,13 +251,12 @@ def _pair_maker(every: bool, num: int, den: int):
 
     def columns(t: pa.Table):
         t = t.combine_chunks()
-        node = t["node"].to_numpy(zero_copy_only=False)
-        points = np.frombuffer(b"".join(t["point"].to_pylist()), "<i4").reshape(-1, GROUPS).astype(np.int64)
-        comp = np.unique(t["comp"].to_numpy(zero_copy_only=False).astype("S16"), return_inverse=True)[1]
-        return node, points, t["n"].to_numpy().astype(np.int64), comp, t["side"].to_numpy()
+        node = t["node"].to_numpy()
+        return node, Points(t["point"].to_pylist()), t["n"].to_numpy().astype(np.int64), t["comp"].to_numpy(), t["side"].to_numpy()
 
     def process(t: pa.Table, starts: np.ndarray):
-        node, points, n, comp, side = columns(t)
+        node, packed, n, comp, side = columns(t)
+        points = packed.coarse
         ends = np.append(starts[1:], len(node))
         found = []
         two = starts[ends - starts == 2]
@@ -200,7 +274,9 @@ def _pair_maker(every: bool, num: int, den: int):
             j = np.concatenate([f[1] for f in found]).astype(np.int64)
             kind = np.concatenate([np.full(len(f[0]), f[2], np.int32) for f in found])
             v = np.concatenate([f[3] for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(node[i], pa.binary()), pa.array(node[j], pa.binary()), pa.array(kind), pa.array(v)], schema=_PAIRS)
+            keep = packed.refine(i, j, n, num, den)
+            i, j, kind, v = i[keep], j[keep], kind[keep], v[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(kind), pa.array(v)], schema=_PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -220,22 +296,57 @@ def _pair_maker(every: bool, num: int, den: int):
     return run
 
 
+def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over the edges of one part: each node with the smallest node it reaches there."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent[top] != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for b in batches:
+        for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist()):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            a, b_ = root(u), root(v)
+            if a != b_:
+                parent[max(a, b_)] = min(a, b_)
+    rows = [(x, root(x)) for x in parent]
+    rows = [r for r in rows if r[0] != r[1]]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.int64())], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of all nodes with an edge (a, b): alternating large and small stars."""
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    e, before = materialize(e, "edges"), None
+    """(node, comp) of all nodes with an edge (a, b); ``comp`` is the smallest node.
+
+    Parts of at most PART_EDGES edges are contracted to stars by themselves; as
+    long as there are several parts, a large-star and a small-star step bring
+    their stars together and the parts are contracted again.
+    """
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v")
+    before = None
     while True:
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        e = materialize(e, "edges")
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        parts = -(-now[0] // PART_EDGES)
+        if not now[0] or now == before:
+            break
+        stars = e.repartition(parts).mapInArrow(_local_stars, "u long, v long")
+        if parts == 1:
+            e = materialize(stars, "edges")
+            break
+        before, stars = now, materialize(stars, "edges")
+        both = stars.unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionAll(low.select("u", F.col("m").alias("v")))
-        e = materialize(small.distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
-            break
-        before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+        e = small.distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
 def frequent_shingles(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
@@ -246,87 +357,103 @@ def frequent_shingles(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
 
     def count(batches):
         for b in batches:
-            h, n = np.unique(np.concatenate([shingles(x, k) for x in b["t"].to_pylist()] or [np.empty(0, np.uint64)]), return_counts=True)
+            h, n = np.unique(np.concatenate([*shingles(b["t"].to_pylist(), k), np.empty(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     least = max(3, int(0.005 * min(total, SAMPLE_ROWS)))
     rows = sample.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+    return np.array([r[0] for r in rows], np.int64).view(np.uint64)
 
 
 def near_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, node, comp for every row; comp is null where nothing links by another text."""
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k, text_col))
+    order = spark.sparkContext.broadcast(KeyOrder(frequent_shingles(docs, k, text_col)))
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def features(batches):
-        hot = frequent.value
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, nodes, points, keys = b["doc_id"], [], [], [], []
-            for text in b["t"].to_pylist():
-                s = shingles(text, k)
-                sizes.append(len(s))
-                nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                points.append(point(s).tobytes())
-                keys.append(keys_of(s, hot, num, den).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                                             names=["doc_id", "n", "node", "point", "keys"])
+            for part in _slices(b):
+                sets = shingles(part["t"].to_pylist(), k)
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                     pa.array([point(s) for s in sets], pa.binary()),
+                     pa.array([order.value.keys(s, num, den).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "set", "point", "keys"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-    feats = materialize(src.mapInArrow(features, f"doc_id {kind}, n long, node binary, point binary, keys array<bigint>"), "shingle-keys")
-    nodes = feats.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("keys").alias("keys"))
-    nodes = materialize(nodes, "nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    keyed = keyed.withColumn("m", F.count("*").over(Window.partitionBy("key"))).filter("m >= 2")
-    # a group of m nodes is cut into s blocks; block pair (i, j) gets both
-    keyed = materialize(keyed.select("key", "node", F.ceil(F.col("m") / BLOCK).cast("int").alias("s")), "shared-keys")
-    part = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
-    cand = keyed.join(nodes.select("node", "n", "point"), "node")
-    cand = cand.withColumn("side", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    cand = cand.withColumn("block", F.least("side", "other").cast("long") * (1 << 31) + F.greatest("side", "other")).select("key", "block", "node", "side", "n", "point")
-
-    reps = keyed.select("node").distinct().join(nodes.select("node", "rep"), "node").select("rep").distinct()
-    texts = src.join(reps, src["doc_id"].eqNullSafe(reps["rep"]), "left_semi")
-
-    def whole_sets(batches):
-        for b in batches:
-            sets = [shingles(x, k) for x in b["t"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
+    feats = materialize(src.mapInArrow(features, f"doc_id {kind}, n long, set binary, point binary, keys array<bigint>"), "shingle-keys")
+    nodes = feats.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("keys").alias("keys"))
+    # a node's number is written with it, so it is the same wherever it is read
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keyed = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
+    by_size = Window.partitionBy("key").orderBy("n")
+    keyed = keyed.withColumn("m", F.count("*").over(Window.partitionBy("key"))).withColumn("low", F.lag("n").over(by_size)).withColumn("high", F.lead("n").over(by_size))
+    # linking sets differ in size by num / den at most: a row without such a neighbour has no partner here
+    fits = lambda a, b: F.col(a).cast("long") * den >= F.col(b).cast("long") * num
+    keyed = materialize(keyed.filter("m >= 2").filter(F.coalesce(fits("low", "n"), F.lit(False)) | F.coalesce(fits("n", "high"), F.lit(False))).select("node", "key", "m"), "shared-keys")
 
-    sets = materialize(texts.mapInArrow(whole_sets, "node binary, set binary").dropDuplicates(["node"]), "sets")
-
-    @F.pandas_udf("boolean")
-    def linked(a, b):
-        import pandas as pd
+    def candidates(c: DataFrame, every: bool) -> DataFrame:
+        """c: key, node, m, comp.  A group of m nodes is cut into blocks of about BLOCK; each two blocks meet."""
+        c = c.withColumn("s", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
+        c = c.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        c = c.withColumn("block", F.least("side", "other").cast("long") * (1 << 31) + F.greatest("side", "other"))
+        c = c.join(nodes.select("node", "n", "point"), "node").select("key", "block", "node", "side", "n", "point", "comp")
+        c = c.repartition("key", "block").sortWithinPartitions("key", "block")
+        found = c.mapInArrow(_pair_maker(every, num, den), "x long, y long, kind int, slack long")
+        if not every:
+            found = found.groupBy("x", "kind").agg(F.max_by("y", F.struct("slack", "y")).alias("y"))
+        return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
+    def check(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        known = {node: np.frombuffer(h, np.uint64) for node, h in zip(sets["node"].to_pylist(), sets["hashes"].to_pylist())}
         out = []
-        for s, t in zip(a, b):
-            s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+        for x, y in zip(pairs["x"].to_pylist(), pairs["y"].to_pylist()):
+            s, t = known[x], known[y]
             both = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(den * both >= num * (len(s) + len(t) - both))
-        return pd.Series(out, dtype=bool)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x")
-        p = p.join(sets.select(F.col("node").alias("y"), F.col("set").alias("sy")), "y")
-        return p.filter(linked("sx", "sy")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+            if den * both >= num * (len(s) + len(t) - both):
+                out.append((x, y))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    def candidates(c: DataFrame, every: bool) -> DataFrame:
-        c = c.select("key", "block", "node", "side", "n", "point", "comp")
-        c = c.repartition("key", "block").sortWithinPartitions("key", "block")
-        return c.mapInArrow(_pair_maker(every, num, den), "x binary, y binary, kind int, slack long")
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in _slices(b):
+                sets = shingles(part["t"].to_pylist(), k)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                                 names=["doc_id", "set", "hashes"])
 
-    one = candidates(cand.withColumn("comp", F.col("node")), False)
-    one = one.groupBy("x", "kind").agg(F.max_by("y", F.struct("slack", "y")).alias("y"))
-    one = materialize(one.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    first = materialize(verified(one), "links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that link.  Pairs that hang together are dealt to one bin, so a set travels
+        once; clusters of more than SETS nodes are cut into blocks that meet pairwise."""
+        pairs = materialize(pairs.select("x", "y"), "pairs")
+        cluster = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))).select("node", F.col("comp").alias("cluster"))
+        sizes = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / SETS).cast("int").alias("s"))
+        pairs = pairs.join(cluster.withColumnRenamed("node", "x"), "x").join(sizes, "cluster")
+        side = lambda c: F.pmod(F.xxhash64(c), F.col("s"))
+        where = F.xxhash64("cluster", F.least(side("x"), side("y")), F.greatest(side("x"), side("y")))
+        shingle_bytes = 8 * (nodes.agg(F.avg("n")).first()[0] or 0)
+        bins = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), cluster.count() * shingle_bytes // BIN_BYTES))
+        pairs = materialize(pairs.select("x", "y", F.pmod(where, F.lit(bins)).alias("bin")), "binned-pairs")
+        ends = pairs.select("bin", F.explode(F.array("x", "y")).alias("node")).distinct()
+        need = materialize(ends.join(nodes.select("node", "set", "rep"), "node"), "needed-sets")
+        texts = src.filter(id_filter(need, "rep")("doc_id")).mapInArrow(whole_sets, f"doc_id {kind}, set binary, hashes binary")
+        sets = texts.join(need, (texts["set"] == need["set"]) & texts["doc_id"].eqNullSafe(need["rep"])).select("bin", "node", "hashes")
+        links = pairs.groupBy("bin").cogroup(sets.groupBy("bin")).applyInArrow(check, "a long, b long")
+        return materialize(links, "links")
+
+    one = materialize(candidates(keyed.filter(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0).withColumn("comp", F.col("node")), False), "pairs")
+    first = verified(one)
     comp = components(first)
-    two = candidates(cand.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), True)
-    two = two.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(one, ["x", "y"], "left_anti")
-    more = materialize(verified(materialize(two, "pairs")), "links")
+    now = keyed.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    two = candidates(now.join(split, "key"), True).join(one, ["x", "y"], "left_anti")
+    more = verified(two)
     comp = components(first.unionAll(more)) if more.limit(1).count() else comp
-    return feats.select("doc_id", F.col("n").alias("n_shingles"), "node").join(comp, "node", "left")
+    return feats.select("doc_id", F.col("n").alias("n_shingles"), "set").join(nodes.select("set", "node"), "set", "left").drop("set").join(comp, "node", "left")
+
+
+def _slices(b: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, rows) for i in range(0, len(b), rows))
 
 
 def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
