@@ -195,6 +195,21 @@ def score(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text")
     return x.select(*back, F.col("q_score").alias("score"), (F.col("q_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules do not reject, with the same columns.
+
+    A plain filter would be pushed below the statistics, with a copy of them for every
+    rule that names them.  So the row is put into an array of one or none and taken out again.
+    """
+    s, names = statistics(F.col("q_text")), docs.columns
+    hold = [f"q_keep_{i}" for i in range(len(names))]
+    x = docs.select(*[F.col(k).alias(h) for k, h in zip(names, hold)], F.coalesce(F.col(text_col), F.lit("")).alias("q_text"))
+    x = x.select(*hold, *s["counts"]).select(*hold, *s["ratios"]).select(*hold, compile_score(model, s["names"]).alias("q_score"))
+    row = F.struct(F.lit(True).alias("q_good"), *hold)
+    x = x.select(F.inline_outer(F.when(F.col("q_score") >= THRESHOLD, F.array(row)))).filter("q_good IS NOT NULL")
+    return x.select(*[F.col(h).alias(k) for k, h in zip(names, hold)])
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     x = score(docs, fit(docs, labels, id_col, text_col), [id_col], text_col)
