@@ -26,8 +26,7 @@ ORACLE_SQL = None
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the rule ensemble does not reject."""
-    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, docs.columns).filter("predicted = 1").select(*docs.columns)
+    return quality.keep_good(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
