@@ -98,3 +98,23 @@ def test_slices_find_the_same(spark, monkeypatch):
     one = sorted((r.doc_id, r.item_id, r.distance) for r in decontam.leaks(docs, items).collect())
     monkeypatch.setattr(decontam, "SLICE_BYTES", 3000)
     assert sorted((r.doc_id, r.item_id, r.distance) for r in decontam.leaks(docs, items).collect()) == one
+
+
+def test_recall_at_the_limit(spark):
+    """Copies with as many edits as the limit allows, against brute force, for long and short items."""
+    rng = random.Random(11)
+    items = [(r.item_id, r.text) for r in common.read_table(spark, "/root/testdata/sf0.1", "benchmark").collect()]
+    texts = [r.text for r in common.read_documents(spark, "/root/testdata/sf0.001").collect() if r.text]
+    items += [(1000 + k, rng.choice(texts)[:n]) for k, n in enumerate([24, 25, 29, 30, 39, 40, 49, 60] * 25)]
+    share = {}
+    for kind, index in (("long", decontam.ItemIndex(items[:200], decontam.RATIO)), ("short", decontam.ItemIndex(items[200:], decontam.RATIO))):
+        for part in (0.06, 0.08, 0.1):
+            docs = []
+            for i, t in index.items:
+                t = t.decode(errors="replace")
+                docs.append(f"{rng.choice(texts)[:80]} {edited(rng, t, int(part * len(t.encode())))} {rng.choice(texts)[:40]}")
+            found = {(d, i) for d, i, _ in index.search(docs)}
+            want = [d for d, (_, t) in enumerate(index.items) if brute(t, decontam.normalise(docs[d])) <= 0.1 * len(t)]
+            assert len(want) > 100
+            share[part, kind] = np.mean([(d, d) in found for d in want])
+    assert min(share.values()) >= 0.9, share

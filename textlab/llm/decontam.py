@@ -2,16 +2,19 @@
 
 * Texts and items are compared lower-cased (A-Z) with white space collapsed, as UTF-8
   bytes (an edit is one byte).
-* Windows start at content anchors: in every run of ``w`` neighbouring words
-  the word with the smallest hash is an anchor, so an item and its copy in a
-  document have the same anchors wherever their words agree.
+* Windows of an item start at each of its bytes, windows of a document at every few bytes
+  (1 to 4, by class), wherever its words begin: a copy holds windows of both
+  sides at the same places, also in text without spaces.
 * One CGK random walk runs over each window: step ``j`` outputs the character
   under the pointer, and a random bit for (j, character) moves the pointer on.  A
   few edits shift the two walks against each other only until they fall into step
   again, so a small edit distance becomes a small Hamming distance of the outputs.
-* LSH tables sample output steps (``SAMPLES`` each).  An item window is stored in
-  the tables of the longest window class that fits into the item's rest; a
-  document window looks itself up in every class.
+* LSH tables sample output steps.  The class of an item (length of its walks) and its number of
+  tables follow from its length alone: the longest walks that find ``RECALL`` of random
+  copies with as many edits as the limit allows (``plan``, estimated on ``PLANTED`` copies).
+  A walk of n steps reads n bytes at most, so an exact copy is always found; the last class outputs
+  every byte of a window that any copy within 0.1 edits per byte must hold unchanged.
+* Hits whose window lacks too many of the item's grams are dropped, which loses none within the limit.
 * Each hit is verified exactly: the smallest edit distance between the item and
   any substring of the item-sized window of the document (bit-parallel), at most
   ``ratio`` of the item's length.
@@ -28,7 +31,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,13 +43,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 RATIO = 0.1                  # edits per byte of the item that still count as a leak
+RECALL = 0.98                # least recall at RATIO that the number of tables is derived from
 LEAST_ITEM = 24
-CLASSES = (24, 64, 160)      # window classes (bytes)
-STEPS_PER_CHAR = 1.6         # walk steps per byte of a class; the pointer moves every second step
-TABLES, SAMPLES = 8, 10      # LSH tables per class, sampled steps per table
-MOST_WORDS = 8               # words that compete for an anchor
-SLICE_BYTES = 8 << 20
+CLASSES = ((28, 4, 14), (24, 2, 16), (16, 1, 12), (8, 1, 8), (6, 1, 6))  # steps of a walk, bytes between windows of a document, sampled steps
+MOST_TABLES = 8              # LSH tables a class may need; the next class is used beyond that
+PLANTED = 400                # random copies that recall is estimated from
+SLICE_BYTES = 1 << 20        # an index holds some 100 bytes for each
 GRAM = 4                     # bytes of a gram in the test before the exact verification
+GRAM_BITS = 12
 TOGETHER = 300               # texts searched together
 CHUNK = 1 << 15              # windows walked together (fits the cache)
 SEED = 20_011
@@ -55,58 +61,77 @@ def normalise(text: str | None) -> bytes:
 
 
 class _Walk:
-    """The shared randomness of all walks and tables."""
+    """The shared randomness of the walks and tables of one class."""
 
-    def __init__(self):
-        rng = np.random.default_rng(SEED)
-        self.steps = [int(c * STEPS_PER_CHAR) for c in CLASSES]
-        self.moves = rng.integers(0, 2, (self.steps[-1], 256)).astype(np.intp)
+    def __init__(self, steps: int, samples: int):
+        rng = np.random.default_rng((SEED, steps))
+        self.moves = rng.integers(0, 2, (steps, 256)).astype(np.intp)
         self.value = rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-        self.word = rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
         self.at: dict[int, list[int]] = {}  # step -> tables that sample it
-        for c, n in enumerate(self.steps):
-            for t in range(TABLES):
-                for j in rng.choice(n, SAMPLES, replace=False):
-                    self.at.setdefault(int(j), []).append(c * TABLES + t)
-
-    def keys(self, buf: np.ndarray, starts: np.ndarray, classes: int = len(CLASSES)) -> np.ndarray:
-        """(tables, windows) LSH keys."""
-        out = np.zeros((len(CLASSES) * TABLES, len(starts)), np.uint64)
+        for t in range(MOST_TABLES):
+            for j in rng.choice(steps, samples, replace=False):
+                self.at.setdefault(int(j), []).append(t)
+
+    def keys(self, buf: np.ndarray, starts: np.ndarray, tables: int) -> np.ndarray:
+        """(tables, windows) LSH keys; a walk of n steps reads n bytes at most."""
+        out = np.zeros((tables, len(starts)), np.uint64)
         out += np.arange(1, len(out) + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
         factor, ptr = np.uint64(0xD6E8FEB86659FD93), starts.astype(np.intp)
-        for j in range(self.steps[classes - 1]):
+        for j, moves in enumerate(self.moves):
             c = buf.take(ptr, mode="clip")
             if j in self.at:
                 v = self.value.take(c)
                 for t in self.at[j]:
-                    out[t] *= factor
-                    out[t] += v
-            ptr += self.moves[j].take(c)
+                    if t < tables:
+                        out[t] *= factor
+                        out[t] += v
+            ptr += moves.take(c)
         return out
 
 
-_WALK = _Walk()
-
-
-def anchors(buf: np.ndarray, w: int) -> np.ndarray:
-    """Start positions of anchor words; ``buf`` holds words between single separators (<= 32)."""
-    sep = buf <= 32
-    start = np.flatnonzero(~sep & np.append(True, sep[:-1]))
-    if not len(start):
-        return start
-    word = np.maximum(np.cumsum(~sep & np.append(True, sep[:-1])) - 1, 0)
-    at = np.maximum(np.arange(len(buf)) - start[word], 0)
-    power = _POWERS[np.minimum(at, len(_POWERS) - 1)]
-    h = np.add.reduceat(np.where(sep, np.uint64(0), _WALK.word.take(buf) * power), start)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    if len(h) < w:
-        return start[[int(h.argmin())]]
-    best = np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1) + np.arange(len(h) - w + 1)
-    return start[np.unique(best)]
-
-
-_POWERS = np.cumprod(np.full(64, 0xC2B2AE3D27D4EB4F, np.uint64))
+_WALKS = [_Walk(steps, samples) for steps, _, samples in CLASSES]
+
+
+def _copy(rng: np.random.Generator, item: np.ndarray, edits: int) -> np.ndarray:
+    t = item.tolist()
+    for kind, c in zip(rng.integers(0, 3, edits), rng.integers(0, 256, edits).tolist()):
+        at = int(rng.integers(0, max(1, len(t))))
+        t[at:at + (kind != 2)] = [c] if kind else []
+    return np.array(t, np.uint8)
+
+
+@lru_cache(maxsize=None)
+def _plan(length: int, edits: int) -> tuple[int, int]:
+    """(class, tables) for items of ``length`` bytes: the longest class with at most MOST_TABLES tables that
+    finds RECALL of random copies with ``edits`` random edits at random places of a text; else the last class
+    with all tables."""
+    for k, (steps, stride, _) in enumerate(CLASSES):
+        if length < steps + stride - 1:
+            continue  # an exact copy would not hold a window for sure
+        rng = np.random.default_rng((SEED, length, edits))
+        item = rng.integers(0, 256, (PLANTED, length), dtype=np.uint8)
+        parts, who = [], []
+        for i in range(PLANTED):
+            parts += [rng.integers(0, 256, 64 + int(rng.integers(0, stride)), dtype=np.uint8), _copy(rng, item[i], edits)]
+            who.append(np.full(len(parts[-2]) + len(parts[-1]), i, np.uint64))
+        text, who = np.concatenate([*parts, np.zeros(64, np.uint8)]), np.concatenate(who)
+        place = np.arange(0, len(who), stride)
+        offset = (np.arange(PLANTED)[:, None] * length + np.arange(length - steps + 1)).ravel()
+        mix = np.uint64(0xC2B2AE3D27D4EB4F)
+        there = _WALKS[k].keys(text, place, MOST_TABLES) ^ who[place] * mix
+        here = _WALKS[k].keys(item.ravel(), offset, MOST_TABLES) ^ (offset // length).astype(np.uint64) * mix
+        found = np.zeros(PLANTED, bool)
+        for t in range(MOST_TABLES):
+            found[who[place[np.isin(there[t], here[t])]].astype(int)] = True
+            if found.mean() >= RECALL:
+                return k, t + 1
+    return len(CLASSES) - 1, MOST_TABLES
+
+
+def plan(length: int, ratio: float) -> tuple[int, int]:
+    """``_plan`` of an item at the limit; from 64 bytes on by the lower end of its band, with the edits rounded up."""
+    low = length if length < 64 else min(length // 32 * 32, 256)
+    return _plan(low, min(low, int(ratio * length) if low == length else math.ceil(ratio * low)))
 
 
 def distance(item: bytes, window: bytes) -> int:
@@ -134,61 +159,115 @@ def distance(item: bytes, window: bytes) -> int:
     return best
 
 
+def _gram_hash(buf: np.ndarray) -> np.ndarray:
+    """GRAM_BITS bits of the GRAM bytes from each place of ``buf`` on (all but its last GRAM - 1)."""
+    n, h = max(0, len(buf) - GRAM + 1), np.uint32(0)
+    for i in range(GRAM):
+        h = (h + buf[i:i + n].astype(np.uint32)) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    return (h & np.uint32((1 << GRAM_BITS) - 1)).astype(np.int32)
+
+
+class _Tables:
+    """LSH tables of the items of one class: sorted keys with the place of each in the joined items."""
+
+    def __init__(self, keys: np.ndarray, at: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], at[order].astype(np.int32)
+        self.shift = np.uint64(64 - min(27, max(10, len(keys).bit_length() + 5)))
+        self.bits = np.zeros(1 << 64 - int(self.shift), bool)
+        self.bits[(keys >> self.shift).astype(np.intp)] = True
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(column of ``keys``, place in the joined items) of all equal keys."""
+        col, at = [], []
+        for row in keys:
+            c = np.flatnonzero(self.bits.take((row >> self.shift).astype(np.intp)))
+            lo = np.searchsorted(self.keys, row[c])
+            n = np.searchsorted(self.keys, row[c], side="right") - lo
+            col.append(np.repeat(c, n))
+            at.append(self.at[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        return np.concatenate(col), np.concatenate(at)
+
+
 class ItemIndex:
-    """LSH tables of one slice of items."""
+    """LSH tables of one slice of items.  What is found of an item depends on that item alone."""
 
     def __init__(self, items: list[tuple], ratio: float):
         self.items = [(i, t) for i, t in ((i, normalise(t)) for i, t in items) if len(t) >= LEAST_ITEM]
         self.ratio = ratio
-        self.w = max(1, min([MOST_WORDS, *(t.count(b" ") + 1 >> 1 for _, t in self.items)]))
-        keys, values = [], []
-        self.used = 0
-        self.grams: list[list[bytes]] = []
-        for n, (_, t) in enumerate(self.items):
-            self.grams.append([t[i:i + GRAM] for i in range(len(t) - GRAM + 1)])
-            buf = np.frombuffer(t + bytes(8), np.uint8)
-            places = [(int(at), max((c for c, size in enumerate(CLASSES) if size <= len(t) - at), default=-1)) for at in anchors(buf[: len(t)], self.w)]
-            # the short class hits by chance most often: only for items with few longer windows
-            if sum(c > 0 for _, c in places) >= 2:
-                places = [p for p in places if p[1] > 0]
-            for at, c in places:
-                if c < 0:
-                    continue
-                self.used = max(self.used, c + 1)
-                k = _WALK.keys(buf, np.array([at]))[c * TABLES:(c + 1) * TABLES, 0]
-                keys += k.tolist()
-                values += [(n, at)] * TABLES
-        self.table: dict[int, list[tuple[int, int]]] = {}
-        for k, v in zip(keys, values):
-            self.table.setdefault(k, []).append(v)
-        self.bits = np.zeros(1 << 20, bool)
-        if keys:
-            self.bits[(np.array(keys, np.uint64) >> np.uint64(44)).astype(np.int64)] = True
+        self.size = np.array([len(t) for _, t in self.items], np.int64)
+        self.most = np.array([int(ratio * len(t)) for _, t in self.items], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        buf = np.frombuffer(b"".join(t for _, t in self.items) + bytes(GRAM), np.uint8)
+        self.grams = _gram_hash(buf)
+        plans = np.array([plan(len(t), ratio) for _, t in self.items]).reshape(-1, 2)
+        self.tables: dict[int, tuple[int, _Tables]] = {}
+        for k in np.unique(plans[:, 0]).tolist():
+            mine, steps = np.flatnonzero(plans[:, 0] == k), CLASSES[k][0]
+            keys, at = [], []
+            for n in mine.tolist():
+                places = np.arange(self.first[n], self.first[n] + self.size[n] - steps + 1)
+                x = _WALKS[k].keys(buf, places, int(plans[n, 1]))
+                keys.append(x.ravel())
+                at.append(np.tile(places, len(x)))
+            self.tables[k] = int(plans[mine, 1].max()), _Tables(np.concatenate(keys), np.concatenate(at))
 
     def hits(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """(text number, item number, edits) of a batch: candidates that pass the verification."""
+        """(text number, item number, edits) of a batch: candidates that pass the verification, with the
+        fewest edits of their places."""
         joined = b"\n".join(texts)
-        if not self.table or not joined:
+        if not self.items or not joined:
             return
         buf = np.frombuffer(joined + bytes(8), np.uint8)
         ends = np.cumsum([len(t) + 1 for t in texts])
-        start = anchors(buf[: len(joined)], self.w)
-        done: set[tuple] = set()  # reported pairs, and places that failed
-        for lo in range(0, len(start), CHUNK):
-            part = start[lo:lo + CHUNK]
-            keys = _WALK.keys(buf, part, self.used)[: self.used * TABLES]
-            row, col = np.nonzero(self.bits.take((keys >> np.uint64(44)).astype(np.int64)))
-            for r, c in zip(row.tolist(), col.tolist()):
-                for n, at in self.table.get(int(keys[r, c]), ()):
-                    p = int(part[c])
-                    d = int(np.searchsorted(ends, p, side="right"))
-                    place = p - int(ends[d] - len(texts[d]) - 1) - at
-                    if (d, n) in done or (d, n, place) in done:
+        begins = ends - [len(t) + 1 for t in texts]
+        best: dict[tuple[int, int], int] = {}
+        tried: set[tuple[int, int, int]] = set()  # item, place, text
+        grams = None
+        for k, (tables, held) in self.tables.items():
+            start = np.arange(0, len(joined), CLASSES[k][1])
+            for lo in range(0, len(start), CHUNK):
+                part = start[lo:lo + CHUNK]
+                col, at = held.find(_WALKS[k].keys(buf, part, tables))
+                if not len(col):
+                    continue
+                n = np.searchsorted(self.first, at, side="right") - 1
+                pair = np.unique(np.stack([n, part[col] - at + self.first[n], np.searchsorted(ends, part[col], side="right")]), axis=1)
+                if grams is None:
+                    grams = _gram_hash(buf)
+                n, place, d = pair[:, self.alike(grams, *pair, begins, ends)].tolist()
+                for i, p, j in zip(n, place, d):
+                    if (i, p, j) in tried or best.get((j, i)) == 0:
                         continue
-                    found = self.verify(texts[d], place, n)
-                    done.add((d, n, place) if found is None else (d, n))
+                    tried.add((i, p, j))
+                    found = self.verify(texts[j], p - int(begins[j]), i)
                     if found is not None:
-                        yield d, n, found
+                        best[j, i] = min(found, best.get((j, i), found))
+        for (j, i), found in best.items():
+            yield j, i, found
+
+    def alike(self, grams: np.ndarray, n: np.ndarray, place: np.ndarray, d: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Columns whose windows have enough of their item's grams: an edit destroys GRAM of them at
+        most, all others are in the window (hashes can only add some)."""
+        out, none = [], 1 << GRAM_BITS
+        lo = np.maximum(place - self.most[n], begins[d])
+        hi = np.minimum(place + self.size[n] + self.most[n], ends[d] - 1) - GRAM + 1
+        order, i = np.argsort(self.size[n], kind="stable"), 0
+        while i < len(order):
+            widest = int(self.size[n[order[min(len(order), i + 256) - 1]]] * 3)
+            c = order[i:i + max(1, min(256, (1 << 20) // widest))]
+            i += len(c)
+            there = np.zeros((len(c), none + 1), bool)
+            row = np.arange(len(c))[:, None]
+            w = lo[c, None] + np.arange(max(1, int((hi - lo)[c].max())))
+            there[row, np.where(w < hi[c, None], grams.take(w, mode="clip"), none)] = True
+            there[:, none] = False
+            size = self.size[n[c], None] - GRAM + 1
+            g = np.arange(int(size.max()))
+            has = there[row, np.where(g < size, self.grams.take(self.first[n[c], None] + g, mode="clip"), none)].sum(axis=1)
+            out.append(c[has >= size[:, 0] - self.most[n[c]] * GRAM])
+        return np.concatenate(out) if out else np.zeros(0, np.intp)
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
         """``hits`` over any number of texts, a few at a time."""
@@ -197,15 +276,10 @@ class ItemIndex:
                 yield lo + d, n, k
 
     def verify(self, text: bytes, at: int, n: int) -> int | None:
-        item = self.items[n][1]
-        most = int(self.ratio * len(item))
-        window = text[max(0, at - most):at + len(item) + most]
+        item, most = self.items[n][1], int(self.most[n])
+        window = text[max(0, at - most):max(0, at + len(item) + most)]
         if item in window:
             return 0
-        # an edit destroys GRAM of the item's grams at most; all others are in the window
-        there = {window[i:i + GRAM] for i in range(len(window) - GRAM + 1)}
-        if sum(map(there.__contains__, self.grams[n])) < len(self.grams[n]) - most * GRAM:
-            return None
         k = distance(item, window)
         return k if k <= most else None
 
