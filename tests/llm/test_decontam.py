@@ -118,3 +118,25 @@ def test_recall_at_the_limit(spark):
             assert len(want) > 100
             share[part, kind] = np.mean([(d, d) in found for d in want])
     assert min(share.values()) >= 0.9, share
+
+
+def test_short_items_are_found_exactly(spark):
+    """Exact copies of items from LEAST_ITEM to 60 bytes, whatever the place and whatever else is in the slice."""
+    rng = random.Random(12)
+    texts = [decontam.normalise(r.text).decode() for r in common.read_documents(spark, "/root/testdata/sf0.001").collect() if r.text]
+    items, docs = [], []
+    for size in range(24, 61):
+        for _ in range(5):
+            t = rng.choice([x for x in texts if len(x) > 200])
+            at = rng.randrange(len(t) - 100)
+            while len(cut := decontam.normalise(t[at:at + size])) != size:
+                t, at = rng.choice([x for x in texts if len(x) > 200]), rng.randrange(100)
+            items.append((len(items), cut.decode()))
+            docs.append(t[:at + size + rng.randrange(40)])
+    want = {(d, d) for d in range(len(items))}
+    for slice_ in (items, [*items, (999, "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3)]):
+        found = {(d, i) for d, i, k in decontam.ItemIndex(slice_, decontam.RATIO).search(docs) if k == 0}
+        assert want <= found, len(want - found)
+    for i, t in items[:40]:
+        alone = decontam.ItemIndex([(i, t)], decontam.RATIO)
+        assert (0, 0, 0) in set(alone.search([docs[i]]))
