@@ -140,3 +140,18 @@ def test_short_items_are_found_exactly(spark):
     for i, t in items[:40]:
         alone = decontam.ItemIndex([(i, t)], decontam.RATIO)
         assert (0, 0, 0) in set(alone.search([docs[i]]))
+
+
+def test_copies_inside_space_free_runs():
+    """Texts without spaces: exact copies and copies at half the limit inside a longer run."""
+    rng = random.Random(13)
+    signs = [chr(0x4E00 + 7 * i) for i in range(400)] + [chr(0x3042 + i) for i in range(40)]
+    run = lambda n: "".join(rng.choices(signs, k=n))
+    url = lambda n: "".join(rng.choices("abcdefghij0123456789/-_", k=n))
+    for make in (run, url):
+        items = [(i, make(rng.randint(24, 90))) for i in range(60)]
+        index = decontam.ItemIndex(items, decontam.RATIO)
+        exact = {(d, i) for d, i, k in index.search([make(rng.randint(1, 80)) + t + make(50) for _, t in items]) if k == 0}
+        assert exact == {(i, i) for i, _ in items}
+        near = {(d, i) for d, i, k in index.search([make(rng.randint(1, 80)) + edited(rng, t, len(t) // 30) + make(50) for _, t in items])}
+        assert len(near) >= 0.9 * len(items)
