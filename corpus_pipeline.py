@@ -30,10 +30,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by five-word shingles at 0.8."""
-    groups = ngram_join.ngram_components(docs, k=5, num=80, den=100)
-    copies = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One document, the one with the smallest id, of each group linked by five-word shingles at 0.8.
+
+    A document is an id and a text: other texts of the id stay.  Of several texts of the smallest id, one stays.
+    """
+    rows = docs.withColumn("text_hash", F.xxhash64("text"))
+    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("doc_id"), "text")
+    groups = ngram_join.ngram_components(keyed, k=5, num=80, den=100)
+    copies = groups.filter("component_id <> doc_id and not doc_id.no_id").select("doc_id.doc_id", "doc_id.text_hash").distinct()
+    return rows.join(copies, ["doc_id", "text_hash"], "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

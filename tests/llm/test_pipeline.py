@@ -118,3 +118,11 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_other_texts_of_a_copied_id_stay(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    data = [(1, a), (2, a + " more"), (2, b), (2, b), (3, None), (None, a), (None, "own text"), (5, b + " x"), (5, "short")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (3, None), (None, a), (None, "own text"), (5, "short")], key=str)
