@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import os
 import re
 
 import pytest
@@ -61,6 +62,26 @@ def test_partitions_follow_the_size(spark, monkeypatch):
     assert src.partitions_for(docs) > 50
 
 
+def repartitions(p: str) -> list[int]:
+    """Partition numbers of the exchanges that a plan fixes itself."""
+    return [int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", p)]
+
+
+@pytest.mark.parametrize("name", ["metric_means", "evaluate_runs", "corpus_report", "encode_pairs", "rouge_lsum"])
+def test_exchanges_follow_the_bytes_read(spark, monkeypatch, name):
+    """Sized by the files read, not by a join's estimate (the product of its sides): a
+    few tasks on small tables, and in proportion to the input."""
+    def largest(sf):
+        return max(repartitions(text_of(E.queries()[name](spark, sf))))
+
+    small, large = SF, SF.replace("0.001", "0.01")
+    assert largest(large) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(src, "SPLIT_BYTES", 2_000)
+    sizes = [os.path.getsize(f"{sf}/conversations.parquet") for sf in (small, large)]
+    growth = largest(large) / largest(small)
+    assert 0.3 * sizes[1] / sizes[0] < growth < 1.5 * sizes[1] / sizes[0]
+
+
 def test_document_table_shuffles_documents_not_tokens(spark):
     p = text_of(S.document_table(src.documents(spark, SF, clustered=True), lexicon.builtin_lemmas(spark)))
     keyed = [e for e in exchanges(p) if e.startswith("hashpartitioning")]

@@ -30,18 +30,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate (for a file scan: the bytes of the files); 0 if there is none."""
+def scan_bytes(df: DataFrame) -> int:
+    """Bytes of the files (and local rows) that ``df`` reads: the sum over the leaves of its plan.
+
+    The optimizer's estimate of a join is the product of its sides, so it is never asked for
+    more than a leaf; a leaf of unknown size counts nothing.
+    """
     try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     except AttributeError:  # sessions without a JVM handle
         return 0
-    return size if size < 1 << 60 else 0  # an unknown size is the largest number
+    return sum(s for s in sizes if s < 1 << 60)
 
 
 def partitions_for(df: DataFrame) -> int:
-    """Partitions for a shuffle of ``df``: from its size, at least the session's setting."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * plan_bytes(df) // SPLIT_BYTES))
+    """Partitions for a shuffle of ``df``: in proportion to the bytes it reads, at least the session's setting."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * scan_bytes(df) // SPLIT_BYTES))
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
@@ -53,7 +58,7 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     """
     spark = scan.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return scan.repartition(parts, key) if 0 < plan_bytes(scan) < parts * SPLIT_BYTES else scan
+    return scan.repartition(parts, key) if 0 < scan_bytes(scan) < parts * SPLIT_BYTES else scan
 
 
 def cluster(df: DataFrame, *keys: str) -> DataFrame:
