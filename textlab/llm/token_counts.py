@@ -1,13 +1,14 @@
 """Token counts by a compiled finite-state transducer.
 
 The tokenizer (a sentencepiece BPE model with identity normalisation) is
-compiled into a deterministic transducer whose transitions carry the number
-of tokens they emit.  No piece of the vocabulary holds a word-begin mark after
+compiled into a deterministic transducer (:class:`.bpe_machine.CountMachine`) that reads
+characters and whose transitions carry the number of tokens they emit; states are determinised when
+a text first needs them.  No piece of the vocabulary holds a word-begin mark after
 another character, and none holds a line feed (both are checked when the
-model is compiled), so the machine is back in its boundary state before each
+model is compiled), so the machine is back in its start state before each
 run of spaces and around each line feed.  The paths between two visits of
-that state are kept path-compressed: one transition per segment, compiled from the
-tokenizer the first time the segment is met (lazy determinisation).
+that state are kept path-compressed: one entry per segment, filled by
+running the machine over it.
 
 A text is read in chunks.  The state map of a chunk is ``(head, count,
 tail)``: what it reads before its first sure boundary and after its last one
@@ -16,7 +17,7 @@ compose associatively (``tail + head`` closes the seam), so chunks are counted
 independently and combined by a prefix scan of logarithmic depth.
 
 Edge cases: null and empty texts have 0 tokens and 0 bytes; very long texts
-are many chunks; the segment table is emptied when it holds ``TABLE_LIMIT``
+are many chunks; a segment table is emptied when it holds ``TABLE_LIMIT``
 segments (a memory bound; results do not change); extra columns are ignored; an
 empty table gives no rows.
 """
@@ -32,8 +33,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe_machine import CountMachine
+
 CHUNK = 1 << 16        # code points per chunk
-TABLE_LIMIT = 1_500_000  # segments kept per worker process
+TABLE_LIMIT = 500_000  # segments kept per table and worker process
+LONGEST_KEPT = 64      # characters of a segment that is kept
 _FIRST_CUT = re.compile(r"[^ ](?= )|.(?=\n)|\n", re.S)
 MARK = "▁"        # sentencepiece's word-begin mark, the same symbol as a space
 
@@ -47,18 +51,19 @@ class ChunkMap(NamedTuple):
     tail: str
 
 
-class _Emit(dict):
-    """Transitions out of the boundary state: segment -> emitted tokens."""
+class _Paths(dict):
+    """Paths of the machine from its start state back to it: segment -> emitted tokens."""
 
-    def __init__(self, encode, lead: str, minus: int):
+    def __init__(self, machine: CountMachine, lead: str):
         super().__init__()
-        self.encode, self.lead, self.minus = encode, lead, minus
+        self.machine, self.lead = machine, lead
 
     def __missing__(self, word: str) -> int:
-        n = len(self.encode(self.lead + word)) - self.minus
-        if len(self) >= TABLE_LIMIT:
-            self.clear()
-        self[word] = n
+        n = self.machine.count((self.lead + word).replace(" ", MARK))
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= TABLE_LIMIT:
+                self.clear()
+            self[word] = n
         return n
 
 
@@ -67,15 +72,18 @@ class CountTransducer:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        normal = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+        pieces = [sp.id_to_piece(i) for i in normal]
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
             raise ValueError("the vocabulary has pieces across word boundaries")
-        base = len(sp.encode("\n"))  # the leading mark and the line feed
-        self.line_feed = base - 1
-        self.one_space = len(sp.encode("a ")) - len(sp.encode("a"))
-        self.after_space = _Emit(sp.encode, "", 0)       # one space, then the word
-        self.after_feed = _Emit(sp.encode, "\n", base)   # the word alone
-        self.spaces = _Emit(sp.encode, "", 0)            # key: what follows the first of several spaces
+        # the best score merges first; a character outside the vocabulary falls back to its bytes
+        by_score = sorted(normal, key=sp.get_score, reverse=True)
+        machine = CountMachine({sp.id_to_piece(i): r for r, i in enumerate(by_score)}, lambda c: len(c.encode()))
+        self.line_feed = machine.count("\n")
+        self.one_space = machine.count(MARK)
+        self.after_space = _Paths(machine, MARK)     # one space, then the word
+        self.after_feed = _Paths(machine, "")        # the word alone
+        self.spaces = _Paths(machine, MARK)          # key: what follows the first of several spaces
 
     def count(self, s: str) -> int:
         """Tokens of ``s`` read from the boundary state to the boundary state."""
