@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontam, lm, ngram_join, oracle, order_minhash, packing, pii, quality, sharding, suffix_dedup, token_counts
+from . import (byte_bpe, decontam, fill_middle, lm, ngram_join, oracle, order_minhash, packing, periodic_runs, pii, quality, sharding, suffix_dedup,
+               token_counts)
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {"op7_suffix_merge": oracle.repeated_bytes(), "op10_ngram_join": oracle.ngram_components()}
@@ -74,6 +77,39 @@ def op10(spark, sf) -> DataFrame:
     return ngram_join.ngram_components(C.read_documents(spark, sf), k=4, num=85, den=100)
 
 
+@query("op11_wavelet_fim")
+def op11(spark, sf) -> DataFrame:
+    x = fill_middle.fill_in_middle(C.read_documents(spark, sf), seed=1, plain_percent=10, spm_percent=20)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return x.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def repeat_tail(key: str, words: list[bytes]) -> list[bytes]:
+    """In one text of ten the words from some place on repeat with some period; both follow from the id."""
+    h, n = zlib.crc32(key.encode()), len(words)
+    if h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query("op12_automaton_runs")
+def op12(spark, sf) -> DataFrame:
+    x = periodic_runs.periodic_runs(C.read_documents(spark, sf), rewrite=repeat_tail)
+    exponent = F.expr("(1000 * best.length) div best.period").alias("exponent_milli")
+    return x.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent,
+                    periodic_runs.runs_digest(F.col("runs")).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_transducer_bpe")
+def op13(spark, sf) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    x = byte_bpe.decode_documents(byte_bpe.encode_documents(C.read_documents(spark, sf), path, pattern), path, pattern)
+    return x.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), byte_bpe.ids_sha256(F.col("ids")).alias("ids_sha256"),
+                    F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(QUERIES)
 
