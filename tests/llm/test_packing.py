@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from textlab.llm import packing
+from textlab.session import materialize
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 TOK = Tokenizer.from_file(FILE)
@@ -95,3 +96,21 @@ def test_small_table_gives_the_same_ids(monkeypatch):
     monkeypatch.setattr(packing, "MARKED_LIMIT", 5)
     got = packing.encode(packing.WordIds(FILE), texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+
+
+def test_every_character_alone_before_a_mark_and_inside_a_word():
+    chars = [chr(c) for c in range(0x20000) if not (0xD800 <= c < 0xE000 or 0x4E00 <= c < 0x9F00 or 0xAC00 <= c < 0xD700)]
+    for lo in range(0, len(chars), 4096):
+        part = chars[lo:lo + 4096]
+        words = [w for c in part for w in (c, f"a{c}.,", f"a{c}b")]
+        want = [e.ids for e in TOK.encode_batch(words, add_special_tokens=False)]
+        got = packing.encode(packing.word_ids(FILE), words)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == want, hex(ord(part[0]))
+
+
+def test_repeated_rows_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 64 << 10)
+    df = spark.createDataFrame([(1, None)] * 2000, "doc_id long, text string").repartition(3)
+    rows = packing.pack_documents(materialize(df), FILE).collect()
+    groups = {r.sequence_id >> 32 for r in rows}
+    assert len(rows) == 2000 and len(groups) == -(-2000 * packing.ROW_BYTES // (64 << 10))

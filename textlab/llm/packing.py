@@ -5,9 +5,9 @@ capacities, in randomised groups of documents.
   of its white-space-separated words, one after another; each distinct word is
   encoded once per worker (the table is emptied at ``TABLE_LIMIT`` words, a
   memory bound that changes nothing).  A document's ids end with id 2.
-* Groups.  Documents are dealt at random (a hash of the id and of the text's
-  crc32, so that repeated ids spread) into groups of about ``GROUP_BYTES`` of
-  text; the number of groups follows the corpus, the size of a group does not.
+* Groups.  Rows are dealt at random (a hash of the row's place in its file or
+  table, so that repeated rows spread too) into groups of about ``GROUP_BYTES`` of
+  text and ``ROW_BYTES`` a row; the number of groups follows the corpus, the size of a group does not.
 * One group.  Whole multiples of ``capacity`` are cut off long documents and
   fill a sequence each.  The rests, longest first, go to the first
   sequence with room, which a tournament (max) tree of free capacities finds
@@ -38,6 +38,7 @@ TABLE_LIMIT = 1_500_000  # words kept per worker process,
 MARKED_LIMIT = 300_000   # as many of them with marks at the end
 TOGETHER = 128           # texts looked up together
 GROUP_BYTES = 8 << 20
+ROW_BYTES = 256           # of a group, for a row without text
 _ASCII_SPACES = re.compile(r"[\x20\x09\x0a\x0d]+")
 
 
@@ -53,13 +54,28 @@ class WordIds(dict):
         self.closes = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.marked = 0  # kept words with marks
+        self.last: dict[str, bool] = {}
 
     def one(self, word: str) -> bytes:
         return np.array(self.encoder.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def parts(self, word: str) -> tuple[str, str]:
+        """Letters and the marks after them, if they are tokens apart; else the whole word.
+
+        They are not where the tokenizer's normaliser turns the last letter into one with a
+        combining mark, which would belong to the marks.
+        """
+        m = _LETTERS_THEN_MARKS.fullmatch(word)
+        if not m:
+            return word, ""
+        c = m[1][-1]
+        if c not in self.last:
+            self.last[c] = self.encoder.normalizer.normalize_str(c)[-1:].isalpha()
+        return m.groups() if self.last[c] else (word, "")
+
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words not in the table: their letter parts are encoded all at once, which is a third of the cost of one by one."""
-        split = {w: m.groups() if (m := _LETTERS_THEN_MARKS.fullmatch(w)) else (w, "") for w in words}
+        split = {w: self.parts(w) for w in words}
         new = {part for parts in split.values() for part in parts if part and part not in self}
         letters = [w for w in new if w.isalpha()]
         if letters:
@@ -189,8 +205,11 @@ def pack(lengths: list[int], capacity: int = 4096) -> list[list[tuple[int, int,
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    total = docs.select(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``docs`` should come from files or a written table, whose rows keep their places when a task runs again.
+    """
+    total = docs.select(F.sum(F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
 
     @F.pandas_udf("binary")
@@ -200,7 +219,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, i
             yield pd.Series([_squeeze(ids) for ids in encode(words, batch.tolist())], dtype=object)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    group = F.pmod(F.xxhash64(F.lit("group"), F.col(id_col), F.crc32(text.cast("binary"))), F.lit(groups))
+    group = F.pmod(F.xxhash64(F.lit("group"), F.monotonically_increasing_id()), F.lit(groups))
     x = docs.select(F.col(id_col).alias("doc_id"), group.alias("grp"), ids_of(text).alias("ids"))
     kind = docs.schema[id_col].dataType.simpleString()
 
