@@ -23,8 +23,21 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-STATES = 200_000  # states kept per machine
-PAIRS = 300_000   # answers kept per machine: may two tokens stand side by side
+STATES = 100_000  # states kept per machine
+PAIRS = 150_000   # answers kept per machine: may two tokens stand side by side
+
+
+class Node(dict):
+    """Node of the vocabulary's trie: symbol -> node; the token that ends here, if any."""
+
+    __slots__ = ("token",)
+    __hash__ = object.__hash__
+
+    def __init__(self):
+        self.token = None
+
+    def __eq__(self, other):
+        return self is other
 
 
 class State(dict):
@@ -51,27 +64,22 @@ class Machine:
 
     def __init__(self, ranks: Mapping, whole: bool = False):
         self.ranks, self.whole = ranks, whole
-        self.child: dict[tuple[int, object], int] = {}
-        self.token: list = [None]
-        self.inner: list[bool] = [False]
+        self.root = Node()
         for t in ranks:
-            node = 0
+            node = self.root
             for symbol in t:
-                to = self.child.get((node, symbol))
+                to = node.get(symbol)
                 if to is None:
-                    to = self.child[node, symbol] = len(self.token)
-                    self.inner[node] = True
-                    self.token.append(None)
-                    self.inner.append(False)
+                    to = node[symbol] = Node()
                 node = to
-            self.token[node] = t
+            node.token = t
         self.pairs: dict = {}
         self.split: dict = {}
         self._clear()
 
     def _clear(self) -> None:
         self.states: dict[tuple, State] = {}
-        self.start = self._state(((0, None, self.nothing),), self.nothing)
+        self.start = self._state(((self.root, None, self.nothing),), self.nothing)
 
     def _state(self, starts: tuple, end) -> State:
         s = self.states.get((starts, end))
@@ -135,30 +143,33 @@ class Machine:
                 limit, b = right + 1, self.halves(b)[0]
 
     def step(self, state: State, symbol) -> tuple[State, object]:
-        starts, found, all_of_it = [], None, None
+        starts, found, all_of_it, known = [], None, None, self.pairs.get
         for node, last, owed in state.starts:
-            to = self.child.get((node, symbol))
+            to = node.get(symbol)
             if to is None:
                 continue
-            token = self.token[to]
+            token = to.token
             if token is not None:
-                if found is None and self.fits(last, token):
-                    found = token, self.plus(owed, token)
-                if self.whole and last is None:
+                if found is None:
+                    fits = known((last, token))
+                    if fits or fits is None and self.fits(last, token):
+                        found = token, self.plus(owed, token)
+                if last is None and self.whole:
                     all_of_it = token
-            if self.inner[to]:
+            if to:
                 starts.append((to, last, owed))
         if found is None:  # a symbol outside the vocabulary
             single = symbol if isinstance(symbol, str) else bytes((symbol,))
             found = single[:0], self.plus(state.starts[-1][2], single)
-        starts.append((0, *found))
-        end = starts[-1][2]
+        starts.append((self.root, *found))
+        out, end = self.nothing, found[1]
         if all_of_it is not None:
-            out, end = self.nothing, self.plus(self.nothing, all_of_it)
-        else:
+            end = self.plus(out, all_of_it)
+        elif starts[0][2]:  # a start that owes nothing keeps back all output
             out = self.common([owed for _, _, owed in starts])
-            starts = [(node, last, self.minus(owed, out)) for node, last, owed in starts]
-            end = self.minus(end, out)
+            if out:
+                starts = [(node, last, self.minus(owed, out)) for node, last, owed in starts]
+                end = self.minus(end, out)
         if len(self.states) >= STATES:
             self._clear()
         return self._state(tuple(starts), end), out

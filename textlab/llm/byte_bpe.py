@@ -17,7 +17,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .bpe_machine import TokenMachine
 
-PATHS = 300_000  # whole matches kept per worker
+PATHS = 150_000  # whole matches kept per worker
+TOGETHER = 1024  # ids that the decoder takes at once
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,11 +43,16 @@ def newer_characters() -> str:
     (their Unicode versions differ); for that engine they are neither."""
     import tiktoken
 
-    characters = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    points = np.r_[0:0xD800, 0xE000:0x110000].astype("<u4")
+    characters = points.tobytes().decode("utf-32-le")
     single = {bytes((b,)): b for b in range(256)}
-    e = tiktoken.Encoding("characters", pat_str=r"[\p{L}\p{N}]", mergeable_ranks=single, special_tokens={})
-    known = set(e.decode_bytes(e.encode_ordinary(characters)).decode())
-    here = "".join(c for c in regex.findall(r"[\p{L}\p{N}]", characters) if c not in known)
+    e = tiktoken.Encoding("characters", pat_str=r"[\p{L}\p{N}]+", mergeable_ranks=single, special_tokens={})
+    known = bytes(e.encode_ordinary(characters)).decode()
+    here = "".join(regex.findall(r"[\p{L}\p{N}]+", characters))
+    if known == here:
+        return ""
+    known = set(known)
+    here = "".join(c for c in here if c not in known)
     runs, first = [], 0
     for i in range(1, len(here) + 1):
         if i == len(here) or ord(here[i]) != ord(here[i - 1]) + 1:
@@ -74,40 +81,43 @@ class Splitter:
 
 
 class Utf8Decoder:
-    """Incremental decoder: feed bytes, get the text that is complete."""
+    """Incremental decoder: feed bytes, get the text that is complete; at most three bytes are held."""
 
-    #: lead bytes -> (bytes that follow, least and greatest first of them); fixed values of UTF-8.
-    LEADS = ([(b, 1, 0x80, 0xBF) for b in range(0xC2, 0xE0)] + [(0xE0, 2, 0xA0, 0xBF)] + [(b, 2, 0x80, 0xBF) for b in range(0xE1, 0xF0) if b != 0xED]
-             + [(0xED, 2, 0x80, 0x9F), (0xF0, 3, 0x90, 0xBF)] + [(b, 3, 0x80, 0xBF) for b in range(0xF1, 0xF4)] + [(0xF4, 3, 0x80, 0x8F)])
-
-    #: state (bytes still to come, least, greatest of the next) after a lead byte
-    AFTER = {b: (n, low, high) for b, n, low, high in LEADS}
-    READY = (0, 0, 0)
+    #: lead byte -> (bytes that follow, least and greatest first of them); fixed values of UTF-8.
+    LEADS = ({b: (1, 0x80, 0xBF) for b in range(0xC2, 0xE0)} | {b: (2, 0x80, 0xBF) for b in range(0xE0, 0xF0)} | {b: (3, 0x80, 0xBF) for b in range(0xF0, 0xF5)}
+             | {0xE0: (2, 0xA0, 0xBF), 0xED: (2, 0x80, 0x9F), 0xF0: (3, 0x90, 0xBF), 0xF4: (3, 0x80, 0x8F)})
 
     def __init__(self) -> None:
-        self.state, self.held = self.READY, b""
+        self.held = b""
+
+    @classmethod
+    def open_bytes(cls, data: bytes) -> int:
+        """How many of the last bytes begin a character that is not complete yet.
+
+        Walks the states of the last lead byte: each following byte must lie in the range that is
+        allowed there, and the character must need more.
+        """
+        for back in range(1, min(3, len(data)) + 1):
+            lead = cls.LEADS.get(data[-back])
+            if lead:
+                follow, low, high = lead
+                for b in data[len(data) - back + 1:]:
+                    if not low <= b <= high:
+                        return 0
+                    follow, low, high = follow - 1, 0x80, 0xBF
+                return back if follow else 0
+            if not 0x80 <= data[-back] <= 0xBF:
+                return 0
+        return 0
 
     def feed(self, data: bytes) -> str:
-        if not self.held and data.isascii():
-            return data.decode("ascii")
-        self.held += data
-        state, done = self.state, 0  # done: end of the last complete character
-        for i in range(len(self.held) - len(data), len(self.held)):
-            b = self.held[i]
-            need, low, high = state
-            if need and low <= b <= high:
-                state = (need - 1, 0x80, 0xBF) if need > 1 else self.READY
-            else:  # a new character (after a broken one, if one was open)
-                state = self.AFTER.get(b, self.READY)
-            if state[0] == 0:
-                done = i + 1
-            elif b in self.AFTER and state == self.AFTER[b]:
-                done = i
-        out, self.held, self.state = self.held[:done], self.held[done:], state
-        return out.decode("utf-8", "replace")
+        data = self.held + data
+        cut = len(data) - self.open_bytes(data)
+        self.held = data[cut:]
+        return data[:cut].decode("utf-8", "replace")
 
     def close(self) -> str:
-        out, self.held, self.state = self.held, b"", self.READY
+        out, self.held = self.held, b""
         return out.decode("utf-8", "replace")
 
 
@@ -119,24 +129,30 @@ class Paths(dict):
         self.machine = machine
 
     def __missing__(self, match: str) -> list[int]:
-        if len(self) >= PATHS:
-            self.clear()
         ids: list[int] = []
         self.machine.encode(match.encode(), ids)
-        if len(match) <= 64:
+        if len(self) < PATHS and len(match) <= 64:  # the frequent ones come first
             self[match] = ids
         return ids
 
 
 class ByteBpe:
     def __init__(self, path: str, pattern: str):
-        ranks = read_ranks(path)
-        if any(bytes((b,)) not in ranks for b in range(256)):
+        self.ranks, self.pattern = read_ranks(path), pattern
+        if any(bytes((b,)) not in self.ranks for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
-        self.machine = TokenMachine(ranks, whole=True)
-        self.words = {i: t for t, i in ranks.items()}
-        self.split = Splitter(pattern)
-        self.paths = Paths(self.machine)
+
+    @cached_property
+    def paths(self) -> Paths:
+        return Paths(TokenMachine(self.ranks, whole=True))
+
+    @cached_property
+    def split(self) -> Splitter:
+        return Splitter(self.pattern)
+
+    @cached_property
+    def tokens(self) -> dict[int, bytes]:
+        return {i: t for t, i in self.ranks.items()}
 
     def encode(self, text: str | None) -> list[int]:
         ids: list[int] = []
@@ -147,9 +163,9 @@ class ByteBpe:
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """The text in parts, each as soon as its characters are complete."""
-        decoder = Utf8Decoder()
-        for i in ids:
-            yield decoder.feed(self.words[i])
+        decoder, ids = Utf8Decoder(), iter(ids)
+        while part := [*map(self.tokens.__getitem__, islice(ids, TOGETHER))]:
+            yield decoder.feed(b"".join(part))
         yield decoder.close()
 
 
