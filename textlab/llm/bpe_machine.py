@@ -12,8 +12,8 @@ beginning of some token: the node of the vocabulary's trie, the last token
 before that start, and what the machine owes there (tokens that are decided for this
 start, not yet for the others).  What all starts owe alike is emitted, so
 a token leaves the machine at the latest after as many symbols as the longest token has.  States and
-transitions are made when a text first needs them; a full table is emptied (a
-memory bound, results do not change).
+transitions are made when a text first needs them; when the table is full, further ones
+serve their text and are dropped (a memory bound, results do not change).
 
 Two kinds of output: the tokens themselves (:class:`TokenMachine`) or only their number
 (:class:`CountMachine`, whose transitions carry emitted-token counts).
@@ -23,18 +23,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-STATES = 100_000  # states kept per machine
-PAIRS = 150_000   # answers kept per machine: may two tokens stand side by side
+STATES = 200_000  # states kept per machine
+PAIRS = 200_000   # answers kept per machine: may two tokens stand side by side
 
 
 class Node(dict):
-    """Node of the vocabulary's trie: symbol -> node; the token that ends here, if any."""
+    """Node of the vocabulary's trie: symbol -> node; the token that ends here, if any, and what it adds to the output."""
 
-    __slots__ = ("token",)
+    __slots__ = ("token", "output")
     __hash__ = object.__hash__
 
     def __init__(self):
-        self.token = None
+        self.token = self.output = None
 
     def __eq__(self, other):
         return self is other
@@ -43,13 +43,15 @@ class Node(dict):
 class State(dict):
     """Transitions symbol -> (state, output), made on first use; ``end`` is owed if the text ends here."""
 
-    __slots__ = ("machine", "starts", "end")
+    __slots__ = ("machine", "starts", "end", "kept")
 
-    def __init__(self, machine: Machine, starts: tuple, end):
-        self.machine, self.starts, self.end = machine, starts, end
+    def __init__(self, machine: Machine, starts: tuple, end, kept: bool):
+        self.machine, self.starts, self.end, self.kept = machine, starts, end, kept
 
     def __missing__(self, symbol):
-        to = self[symbol] = self.machine.step(self, symbol)
+        to = self.machine.step(self, symbol)
+        if self.kept and to[0].kept:
+            self[symbol] = to
         return to
 
 
@@ -72,19 +74,19 @@ class Machine:
                 if to is None:
                     to = node[symbol] = Node()
                 node = to
-            node.token = t
+            node.token, node.output = t, self.output(t)
         self.pairs: dict = {}
         self.split: dict = {}
-        self._clear()
-
-    def _clear(self) -> None:
         self.states: dict[tuple, State] = {}
         self.start = self._state(((self.root, None, self.nothing),), self.nothing)
 
     def _state(self, starts: tuple, end) -> State:
         s = self.states.get((starts, end))
         if s is None:
-            s = self.states[starts, end] = State(self, starts, end)
+            kept = len(self.states) < STATES
+            s = State(self, starts, end, kept)
+            if kept:
+                self.states[starts, end] = s
         return s
 
     def merged(self, text, parts_left: int = 1) -> list:
@@ -153,28 +155,26 @@ class Machine:
                 if found is None:
                     fits = known((last, token))
                     if fits or fits is None and self.fits(last, token):
-                        found = token, self.plus(owed, token)
+                        found = token, owed + to.output
                 if last is None and self.whole:
-                    all_of_it = token
+                    all_of_it = to.output
             if to:
                 starts.append((to, last, owed))
         if found is None:  # a symbol outside the vocabulary
             single = symbol if isinstance(symbol, str) else bytes((symbol,))
-            found = single[:0], self.plus(state.starts[-1][2], single)
+            found = single[:0], state.starts[-1][2] + self.output(single)
         starts.append((self.root, *found))
         out, end = self.nothing, found[1]
         if all_of_it is not None:
-            end = self.plus(out, all_of_it)
+            end = all_of_it
         elif starts[0][2]:  # a start that owes nothing keeps back all output
             out = self.common([owed for _, _, owed in starts])
             if out:
                 starts = [(node, last, self.minus(owed, out)) for node, last, owed in starts]
                 end = self.minus(end, out)
-        if len(self.states) >= STATES:
-            self._clear()
         return self._state(tuple(starts), end), out
 
-    def plus(self, owed, token):
+    def output(self, token):
         raise NotImplementedError
 
     def minus(self, owed, out):
@@ -189,8 +189,8 @@ class TokenMachine(Machine):
 
     nothing = ()
 
-    def plus(self, owed, token):
-        return (*owed, self.ranks[token])
+    def output(self, token):
+        return (self.ranks[token],)
 
     def minus(self, owed, out):
         return owed[len(out):]
@@ -221,8 +221,8 @@ class CountMachine(Machine):
         self.alone = alone
         super().__init__(ranks, whole)
 
-    def plus(self, owed, token):
-        return owed + (1 if token in self.ranks else self.alone(token))
+    def output(self, token):
+        return 1 if token in self.ranks else self.alone(token)
 
     def minus(self, owed, out):
         return owed - out

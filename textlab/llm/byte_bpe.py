@@ -15,20 +15,20 @@ decode to U+FFFD in place of each broken part, as Python's "replace" does.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
+from hashlib import sha256
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_machine import TokenMachine
 
-PATHS = 150_000  # whole matches kept per worker
+PATHS = 250_000  # whole matches kept per worker
 TOGETHER = 1024  # ids that the decoder takes at once
 
 
@@ -174,45 +174,54 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-def encode(path: str, pattern: str):
-    """Column -> Column: the ids of a text."""
+Batches = Iterator[pa.RecordBatch]
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(path, pattern)
-        for batch in texts:
-            yield pd.Series([np.asarray(c.encode(x), np.int32) for x in batch], dtype=object)
 
-    return ids
+def encoded(batches: Batches, codec: ByteBpe) -> Batches:
+    """Batches (doc_id, text) -> (doc_id, ids)."""
+    for b in batches:
+        ids = pa.array([np.asarray(codec.encode(t), np.int32) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["doc_id", "ids"])
 
 
-def decode(path: str, pattern: str):
-    """Column -> Column: the text of an array of ids."""
+def decoded(batches: Batches, codec: ByteBpe) -> Batches:
+    """Batches (doc_id, ids) with the text of the ids."""
+    for b in batches:
+        text = pa.array(["".join(codec.decode(x.values.to_pylist())) for x in b.column(1)], pa.string())
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], text], names=["doc_id", "ids", "text"])
 
-    @F.pandas_udf("string")
-    def text(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(path, pattern)
-        for batch in rows:
-            yield pd.Series(["".join(c.decode(x.tolist())) for x in batch], dtype=object)
 
-    return text
+def digests(batches: Batches) -> Batches:
+    """Batches (doc_id, ids, text) -> number of ids and hex sha256 of the ids (little-endian, unsigned, 32 bits) and of the text."""
+    for b in batches:
+        ids = [x.values.to_numpy() for x in b.column(1)]
+        out = [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
+               pa.array([sha256(t.encode()).hexdigest() for t in b.column(2).to_pylist()], pa.string())]
+        yield pa.RecordBatch.from_arrays([b.column(0), *out], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def ids_sha256(ids: Column) -> Column:
-    """Hex digest of the ids as little-endian unsigned 32-bit integers."""
+def _run(df: DataFrame, steps, columns: str) -> DataFrame:
+    return df.mapInArrow(steps, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, {columns}")
 
-    @F.pandas_udf("string")
-    def digest(rows: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in rows], dtype=object)
 
-    return digest(ids)
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids for every row."""
-    return docs.select(F.col(id_col).alias("doc_id"), encode(path, pattern)(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
+    return _run(_rows(docs, id_col, text_col), lambda batches: encoded(batches, codec(path, pattern)), "ids array<int>")
+
 
+def decode_documents(ids: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, ids and text for every row (doc_id, ids)."""
+    return _run(ids.select("doc_id", "ids"), lambda batches: decoded(batches, codec(path, pattern)), "ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Digests of encoding and decoding every row: both steps in one task, so that neither ids nor texts travel."""
+    def steps(batches: Batches) -> Batches:
+        c = codec(path, pattern)
+        return digests(decoded(encoded(batches, c), c))
 
-def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``encoded`` with its ids decoded as ``text``."""
-    return encoded.withColumn("text", decode(path, pattern)(F.col("ids")))
+    return _run(_rows(docs, id_col, text_col), steps, "n_tokens long, ids_sha256 string, decoded_sha256 string")

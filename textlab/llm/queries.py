@@ -104,10 +104,7 @@ def op12(spark, sf) -> DataFrame:
 
 @query("op13_transducer_bpe")
 def op13(spark, sf) -> DataFrame:
-    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    x = byte_bpe.decode_documents(byte_bpe.encode_documents(C.read_documents(spark, sf), path, pattern), path, pattern)
-    return x.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), byte_bpe.ids_sha256(F.col("ids")).alias("ids_sha256"),
-                    F.sha2("text", 256).alias("decoded_sha256"))
+    return byte_bpe.round_trip(C.read_documents(spark, sf), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable]:
