@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,18 +35,26 @@ def test_every_character():
         assert CODEC.encode(text) == LIBRARY.encode_ordinary(text), hex(first)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.tuples(st.text("ab", min_size=2, max_size=5)), max_size=12, unique=True), st.text("abc", max_size=30))
-def test_any_vocabulary(tokens, text):
-    """Vocabularies with tokens that no merge reaches, and symbols outside of them."""
-    ranks = {"a": 0, "b": 1} | {t: i + 2 for i, (t,) in enumerate(tokens)}
-    plain = bm.TokenMachine(ranks)
-    want = plain.merged(text)
-    if all(t in ranks for t in want):
-        ids: list = []
-        plain.encode(text, ids)
-        assert ids == [ranks[t] for t in want]
-    assert bm.CountMachine(ranks, lambda c: 3).count(text) == sum(1 if t in ranks else 3 for t in want)
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=12), st.text("ab", max_size=30), st.text("abc", max_size=30))
+def test_any_vocabulary_of_merges(merges, known, text):
+    """Every token joins two earlier ones (not each of them is reached by merging); symbols outside of them."""
+    tokens = ["a", "b"]
+    for i, j in merges:
+        t = tokens[i % len(tokens)] + tokens[j % len(tokens)]
+        if t not in tokens and len(t) < 12:
+            tokens.append(t)
+    ranks = {t: i for i, t in enumerate(tokens)}
+    m = bm.TokenMachine(ranks)
+    ids: list = []
+    m.encode(known, ids)
+    assert ids == [ranks[t] for t in m.merged(known)]
+    assert bm.CountMachine(ranks, lambda c: 3).count(text) == sum(1 if t in ranks else 3 for t in m.merged(text))
+
+
+def test_no_vocabulary_of_merges():
+    with pytest.raises(ValueError, match="comes before a part"):
+        bm.TokenMachine({"a": 0, "b": 1, "bba": 2, "bb": 3}).halves("bba")
 
 
 def test_full_tables_change_nothing(monkeypatch):

@@ -109,6 +109,8 @@ class Machine:
         if h == 0:
             parts = self.merged(token, 2) if len(token) > 1 else ()
             h = self.split[token] = tuple(parts) if len(parts) in (0, 2) and (not parts or token in self.ranks) else None
+            if h and any(len(t) > 1 and self.ranks[t] > self.ranks[token] for t in h):
+                raise ValueError(f"{token!r} comes before a part of it: not a vocabulary of merges")
         return h
 
     def fits(self, last, token) -> bool:
