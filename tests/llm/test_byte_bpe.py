@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from hypothesis import given, settings
+from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 
 from textlab.llm import bpe_machine as bm
@@ -46,6 +46,11 @@ def test_any_vocabulary_of_merges(merges, known, text):
             tokens.append(t)
     ranks = {t: i for i, t in enumerate(tokens)}
     m = bm.TokenMachine(ranks)
+    try:
+        for t in tokens:
+            m.halves(t)
+    except ValueError:  # joined in an order in which merging does not join it
+        assume(False)
     ids: list = []
     m.encode(known, ids)
     assert ids == [ranks[t] for t in m.merged(known)]

@@ -23,8 +23,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-STATES = 200_000  # states kept per machine
-PAIRS = 200_000   # answers kept per machine: may two tokens stand side by side
+STATES = 350_000  # states kept per machine
+PAIRS = 250_000   # answers kept per machine: may two tokens stand side by side
 
 
 class Node(dict):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bpe_machine import TokenMachine
 
-PATHS = 250_000  # whole matches kept per worker
+PATHS = 400_000  # whole matches kept per worker
 TOGETHER = 1024  # ids that the decoder takes at once
 
 
