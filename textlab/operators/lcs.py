@@ -14,18 +14,19 @@ step left when the left cell is strictly larger, else up.  It decides which
 positions enter the union, so it is kept exactly.
 
 One row per reference sentence: an Arrow kernel returns the united tokens,
-counting and clipping are an aggregate by (pair, system, token).  In the kernel
-one DP row is one NumPy step over all candidate sentences (a segmented
-prefix maximum) and the backtrack walks every candidate sentence in
-lockstep.  Of the table only every B-th row is kept; the rows between two
-kept ones are computed again when the backtrack reaches them, and
-candidates are processed in chunks, so at most MAX_CELLS cells exist at a time
-(or 2 sqrt(m) rows of one candidate sentence that is longer than that).
+counting and clipping are an aggregate by (pair, system, token).  The kernel is bit-parallel:
+a row of the LCS table is one integer whose bit j is 0 where the row grows at
+candidate token j, and the next row takes four integer operations.  The rows are stored and the
+backtrack reads table cells from them (a cell is the number of zeros below its
+column).  Only rows whose token stands in the candidate are made: the others repeat the row before and
+the backtrack passes them upwards.  Beyond MAX_CELLS bits only every B-th row is kept and
+the rows between two kept ones are made again when the backtrack reaches them.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -40,52 +41,65 @@ from .evaluation import PAIR, Eval
 MAX_CELLS = 4_000_000
 
 
-def _row(prev: np.ndarray, eq: np.ndarray, first: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    diag = np.empty_like(prev)
-    diag[1:] = prev[:-1]
-    diag[first] = 0
-    return np.maximum.accumulate(np.maximum(prev, diag + eq) + offset) - offset
-
-
-def _chunk_hits(ref: np.ndarray, can: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Booleans: reference position on the LCS path with any candidate sentence of the chunk."""
-    m, n = len(ref), len(can)
-    block = max(1, math.isqrt(m))
-    first = np.zeros(n, dtype=bool)
-    first[starts] = True
-    offset = np.repeat(np.arange(len(lens), dtype=np.int64) * (m + 1), lens)
-    kept = {0: np.zeros(n, dtype=np.int64)}
-    row = kept[0]
-    for i in range(1, m + 1):
-        row = _row(row, ref[i - 1] == can, first, offset)
-        if i % block == 0:
-            kept[i] = row
-    hit = np.zeros(m, dtype=bool)
-    i, j = np.full(len(lens), m, dtype=np.int64), lens.astype(np.int64)
+def _rows(row: int, tokens: list[int], masks: dict[int, int], full: int) -> list[int]:
+    """The row given and those after each of ``tokens``."""
+    out = [row]
+    for t in tokens:
+        u = row & masks[t]
+        row = ((row + u) | (row - u)) & full
+        out.append(row)
+    return out
+
+
+def _mark(ref: list[int], can: tuple[int, ...], hit: np.ndarray) -> None:
+    """Marks the reference positions on the LCS path with one candidate sentence."""
+    masks: dict[int, int] = {}
+    for j, t in enumerate(can):
+        masks[t] = masks.get(t, 0) | 1 << j
+    at = [p for p, t in enumerate(ref) if t in masks]
+    if not at:
+        return
+    toks, n, full = [ref[p] for p in at], len(can), (1 << len(can)) - 1
+    m = len(toks)
+    block = m if m * n <= MAX_CELLS else max(1, math.isqrt(m))
+    kept = [full]  # rows 0, block, 2 * block, ...
+    for low in range(0, m - block, block):
+        kept.append(_rows(kept[-1], toks[low:low + block], masks, full)[-1])
+    i, j, cell = m, n, -1
     for low in range((m - 1) // block * block, -1, -block):  # rows low .. low + block
-        rows = [kept[low]]
-        for k in range(low + 1, min(low + block, m) + 1):
-            rows.append(_row(rows[-1], ref[k - 1] == can, first, offset))
-        table = np.stack(rows)
-        while len(act := np.flatnonzero((i > low) & (j > 0))):
-            ia, ja = i[act], j[act]
-            col = starts[act] + ja - 1
-            match = ref[ia - 1] == can[col]
-            hit[ia[match] - 1] = True
-            left = np.where(ja > 1, table[ia - low, np.maximum(col - 1, 0)], 0)
-            go_left = ~match & (left > table[ia - 1 - low, col])
-            i[act] = ia - (match | ~go_left)
-            j[act] = ja - (match | go_left)
+        rows = _rows(kept[low // block], toks[low:low + block], masks, full)
+        if cell < 0:
+            cell = n - rows[-1].bit_count()
+        while i > low and cell:
+            if toks[i - 1] == can[j - 1]:
+                hit[at[i - 1]] = True
+                i, j, cell = i - 1, j - 1, cell - 1
+                continue
+            up = j - (rows[i - 1 - low] & ((1 << j) - 1)).bit_count()
+            left = cell - (~rows[i - low] >> (j - 1) & 1)
+            if left > up:
+                j, cell = j - 1, left
+            else:
+                i, cell = i - 1, up
+        if not cell:
+            return
+
+
+def _chunk_hits(ref: list[int], can: list[int], starts: list[int], lens: list[int]) -> np.ndarray:
+    """Booleans: reference position on the LCS path with any candidate sentence of the chunk (equal ones count once)."""
+    hit = np.zeros(len(ref), dtype=bool)
+    for c in {tuple(can[a:a + n]) for a, n in zip(starts, lens)}:
+        _mark(ref, c, hit)
     return hit
 
 
-def chunks(lens: np.ndarray, rows: int) -> list[tuple[int, int]]:
+def chunks(lens: list[int], rows: int) -> list[tuple[int, int]]:
     """Consecutive candidate ranges with rows * tokens <= MAX_CELLS (at least one sentence each)."""
     out, k = [], 0
     while k < len(lens):
-        e, total = k + 1, int(lens[k])
-        while e < len(lens) and (total + int(lens[e])) * rows <= MAX_CELLS:
-            total += int(lens[e])
+        e, total = k + 1, lens[k]
+        while e < len(lens) and (total + lens[e]) * rows <= MAX_CELLS:
+            total += lens[e]
             e += 1
         out.append((k, e))
         k = e
@@ -98,13 +112,13 @@ def union_tokens(ref: list[str], cans: list[list[str]]) -> list[str]:
     kept = [t for t in ref if t in vocab]  # tokens of no candidate are on no path and do not change one
     if not kept:
         return []
-    codes = np.array([vocab[t] for t in kept], dtype=np.int64)
-    cans_c = [np.array([vocab[t] for t in c], dtype=np.int64) for c in cans if len(c)]
-    lens = np.array([len(c) for c in cans_c], dtype=np.int64)
+    codes = [vocab[t] for t in kept]
+    cans_c = [[vocab[t] for t in c] for c in cans if len(c)]
+    lens = [len(c) for c in cans_c]
     hit = np.zeros(len(codes), dtype=bool)
     for a, b in chunks(lens, 2 * math.isqrt(len(codes)) + 2):
-        starts = np.concatenate(([0], np.cumsum(lens[a:b])[:-1])).astype(np.int64)
-        hit |= _chunk_hits(codes, np.concatenate(cans_c[a:b]), starts, lens[a:b])
+        starts = [0, *accumulate(lens[a:b - 1])]
+        hit |= _chunk_hits(codes, [t for c in cans_c[a:b] for t in c], starts, lens[a:b])
     return [t for t, h in zip(kept, hit) if h]
 
 
