@@ -152,6 +152,7 @@ def mark_sentences(
     enums: bool = True,
     paragraphs: bool = True,
     abbreviations: Mapping[str, Sequence[str]] | None = None,
+    learned: Column | None = None,
 ) -> Column:
     """The document with sentences separated by ``SENT_MARK``.
 
@@ -159,9 +160,13 @@ def mark_sentences(
     ends, collapse whitespace around markers, trim, unmask.  The result has
     no empty sentence unless the whole text is blank.  Marker characters of
     the text stay escaped until :func:`sentence_array` or :func:`token_array`.
+    ``learned``: a regular expression per row (or NULL) whose two groups are what precedes an
+    abbreviation and the abbreviation itself; needs ``lang``.
     """
     t = escape_markers(text)
     t = mask_abbreviations(t, lang, abbreviations) if lang is not None else t
+    if learned is not None:
+        t = F.coalesce(F.regexp_replace(t, learned, F.lit("$1$2" + R.ABBR_MARK)), t)
     if enums:
         t = enum_mask(t)
     if paragraphs:

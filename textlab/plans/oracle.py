@@ -7,6 +7,7 @@ The SQL is generated from the same rule tables as the Spark expressions.
 from __future__ import annotations
 
 from ..functions import rules as R
+from ..operators import abbreviations as AB
 from ..sources import lexicon
 from ..sources.tables import PAIR_STRIDE
 from . import sqlexpr as X
@@ -1003,6 +1004,45 @@ def _marked_all_langs(text: str) -> str:
     return X.rep(t, R.ABBR_MARK, ".")
 
 
+LEARNED_ABBREVIATIONS = f"""
+forms AS (
+  SELECT lang, CASE WHEN ends_with(word, '.') THEN left(word, length(word) - 1) ELSE word END AS form,
+         count(*) FILTER (ends_with(word, '.')) AS n_stop, count(*) FILTER (NOT ends_with(word, '.')) AS n_plain
+  FROM (SELECT lang, unnest(regexp_extract_all(text, {X.q(AB.WORD)})) AS word FROM documents) GROUP BY ALL
+),
+totals AS (SELECT lang, sum(n_stop)::DOUBLE AS stops, sum(n_stop + n_plain)::DOUBLE AS words FROM forms GROUP BY lang),
+types AS (
+  SELECT lang, lower(form) AS type, sum(n_stop)::BIGINT AS n_stop, sum(n_plain)::BIGINT AS n_plain,
+         list_sort(list(form) FILTER (n_stop > 0)) AS forms, length(replace(lower(form), '.', ''))::DOUBLE AS letters
+  FROM forms GROUP BY lang, lower(form)
+),
+scored AS (
+  SELECT t.*, 2 * (n_stop * (ln({AB.STOP_PROBABILITY}::DOUBLE) - ln(stops / words)) + n_plain * (ln(1 - {AB.STOP_PROBABILITY}::DOUBLE) - ln(1 - stops / words)))
+         * exp(-letters) * (length(type) - letters + 1) * pow(letters, -n_plain::DOUBLE) AS score
+  FROM types t JOIN totals USING (lang) WHERE n_stop > 0 AND stops < words
+),
+learned AS (SELECT * FROM scored WHERE score >= {AB.THRESHOLD})"""
+
+
+@oracle("abbreviations")
+def _():
+    return f"WITH {LEARNED_ABBREVIATIONS.strip()}\nSELECT lang, type, n_stop, n_plain, round(score, 6) AS score, array_to_string(forms, '|') AS forms FROM learned"
+
+
+@oracle("sentences_learned")
+def _():
+    marked = X.mark_sentences("text", "d.lang", learned="abbr_pattern")
+    return f"""WITH {LEARNED_ABBREVIATIONS.strip()},
+each_form AS (SELECT lang, unnest(forms) AS form FROM learned),
+patterns AS (
+  SELECT lang, '(^|[^\\p{{L}}])(' || string_agg(replace(form, '.', '\\.'), '|' ORDER BY length(form) DESC, form) || ')\\.' AS abbr_pattern
+  FROM each_form GROUP BY lang
+),
+marked AS (SELECT doc_id, {marked} AS marked FROM documents d LEFT JOIN patterns p ON d.lang = p.lang),
+s AS (SELECT doc_id, {X.sentence_array('marked')} AS sents FROM marked)
+SELECT doc_id, (i - 1)::BIGINT AS sent_idx, sents[i] AS sent FROM (SELECT doc_id, sents, unnest(range(1, len(sents) + 1)) AS i FROM s)"""
+
+
 @oracle("sentences_abbrev")
 def _():
     s = X.sentence_array(_marked_all_langs("text"))

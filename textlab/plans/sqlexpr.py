@@ -80,8 +80,10 @@ def mask_abbreviations(text: str, lang: str | None) -> str:
     return "(CASE " + " ".join(whens) + f" ELSE {text} END)"
 
 
-def mark_sentences(text: str, lang: str | None = None, enums: bool = True, paragraphs: bool = True) -> str:
+def mark_sentences(text: str, lang: str | None = None, enums: bool = True, paragraphs: bool = True, learned: str | None = None) -> str:
     t = mask_abbreviations(escape_markers(text), lang)
+    if learned:
+        t = f"(CASE WHEN {learned} IS NULL THEN {t} ELSE regexp_replace({t}, {learned}, {q(chr(92) + '1' + chr(92) + '2' + R.ABBR_MARK)}, 'g') END)"
     if enums:
         t = enum_mask(t)
     if paragraphs:

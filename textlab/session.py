@@ -52,14 +52,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def _session_folder(spark: SparkSession) -> str:
+    """This session's own folder below the checkpoint folder."""
+    name = spark.conf.get("textlab.scratch", None)
+    if not name:
+        name = uuid.uuid4().hex
+        spark.conf.set("textlab.scratch", name)
+    return f"{checkpoint_dir(spark).rstrip('/')}/textlab/{name}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path below the checkpoint folder for a written table."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/textlab/{name}-{uuid.uuid4().hex[:12]}"
+    """A new, unique path below the session's folder for a written table."""
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def release_scratch(spark: SparkSession) -> None:
-    """Remove all written intermediates of this folder (when no result that reads them is needed any more)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/textlab")
+    """Remove the written intermediates of this session (when no result that reads them is needed any more)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -157,15 +157,29 @@ def eval_files(spark: SparkSession, orig: str, ref: str, runs: Sequence[str] | M
     return Eval(rows, tuple(named))
 
 
-def save_metrics(metrics: DataFrame, path: str, prefix: str, samples: int | None = None) -> None:
-    """Append (split prefix, system, metric, value) rows to a metrics
-    table; ``samples`` adds the row ``{prefix}_samples`` for every system."""
-    rows = metrics.select(F.lit(prefix).alias("prefix"), "system", "metric", "value")
+METRICS_SCHEMA = "system string, metric string, value double, run string, prefix string"
+
+
+def save_metrics(metrics: DataFrame, path: str, prefix: str, samples: int | None = None, run: str = "run") -> None:
+    """(run, prefix, system, metric, value) rows of a metrics table; ``samples`` adds the row
+    ``{prefix}_samples`` for every system.
+
+    The table is partitioned by (run, prefix) and a write replaces its own partition only: other
+    runs and prefixes stay, and a rerun or a retry leaves one copy.
+    """
+    if not run or not prefix:
+        raise ValueError("run and prefix must not be empty")
+    rows = metrics.select("system", "metric", F.col("value").cast("double").alias("value"))
     if samples is not None:
-        n = metrics.select("system").distinct().select(
-            F.lit(prefix).alias("prefix"), "system", F.lit(f"{prefix}_samples").alias("metric"), F.lit(float(samples)).alias("value"))
-        rows = rows.unionByName(n)
-    rows.write.mode("append").parquet(path)
+        rows = rows.unionByName(metrics.select("system").distinct().select(
+            "system", F.lit(f"{prefix}_samples").alias("metric"), F.lit(float(samples)).alias("value")))
+    rows = rows.select("system", "metric", "value", F.lit(run).alias("run"), F.lit(prefix).alias("prefix"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "prefix").parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(system, metric, value, run, prefix) of all saved runs."""
+    return spark.read.schema(METRICS_SCHEMA).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
