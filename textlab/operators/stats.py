@@ -89,6 +89,36 @@ def type_counts(table: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+SKETCH_BITS = 14                                   # registers of a distinct sketch: 2 ** SKETCH_BITS (16 KB)
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)   # three standard errors, relative
+
+
+def type_sketches(table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A2, approximate: one mergeable distinct sketch (HyperLogLog) of cleaned tokens and one of lemmas per group.
+
+    A task sends one sketch per group instead of its (group, type) pairs.  Store the result and
+    combine slices with :func:`merge_type_sketches`, without a second scan of the texts.
+    """
+    by = list(by)
+
+    def tagged(col, kind):
+        return F.transform(col, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("t")))
+
+    def sketch(kind):
+        return F.hll_sketch_agg(F.when(F.col("kind") == kind, F.col("t")), SKETCH_BITS)
+
+    rows = table.select(*by, F.inline_outer(F.concat(tagged("types", "raw"), tagged("lemma_types", "lemma"))))
+    return rows.groupBy(*by).agg(sketch("raw").alias("raw_sketch"), sketch("lemma").alias("lemma_sketch"))
+
+
+def merge_type_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Estimated distinct counts of the union of the slices in each group; off by SKETCH_ERROR at most (three standard errors)."""
+    def estimate(col):
+        return F.hll_sketch_estimate(F.hll_union_agg(col))
+
+    return sketches.groupBy(*by).agg(estimate("raw_sketch").alias("types_raw"), estimate("lemma_sketch").alias("types_lemmas"))
+
+
 def corpus_stats(table: DataFrame, by: Sequence[str]) -> DataFrame:
     """A9-A11 per group, from :func:`doc_table` output, in one pass.
 

@@ -221,6 +221,15 @@ WITH {DOC_TABLE_LEMMAS.strip()},
 SELECT lang, types_raw, types_lemmas FROM types_by"""
 
 
+@oracle("type_counts_approx")
+def _():
+    return f"""
+WITH {DOC_TABLE_LEMMAS.strip()},
+{DOC_LEMMA_TYPES.strip()},
+{TYPES_BY_LANG.strip()}
+SELECT lang, types_raw, types_lemmas, true AS raw_within_bound, true AS lemmas_within_bound FROM types_by"""
+
+
 @oracle("corpus_stats")
 def _():
     return f"""

@@ -179,6 +179,18 @@ def q_type_counts(spark, sf):
         F.col("types_lemmas").cast("bigint").alias("types_lemmas"))
 
 
+@query("type_counts_approx")
+def q_type_counts_approx(spark, sf):
+    """A2: sketches of (split, lang) slices merged by language, held against the exact counts."""
+    t = A.doc_table(src.documents(spark, sf, clustered=True), lexicon.builtin_lemmas(spark))
+    slices = materialize(A.type_sketches(t.withColumn("split", src.split_of(F.col("doc_id"))), ["split", "lang"]), "type-sketches")
+    about = A.merge_type_sketches(slices, ["lang"]).select("lang", F.col("types_raw").alias("about_raw"), F.col("types_lemmas").alias("about_lemmas"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.ceil(F.col(b) * A.SKETCH_ERROR)
+    return A.type_counts(t, ["lang"]).join(about, "lang").select(
+        "lang", F.col("types_raw").cast("bigint").alias("types_raw"), F.col("types_lemmas").cast("bigint").alias("types_lemmas"),
+        near("about_raw", "types_raw").alias("raw_within_bound"), near("about_lemmas", "types_lemmas").alias("lemmas_within_bound"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
