@@ -13,16 +13,15 @@ Texts are compared as sets of word shingles; two link when
   ``n - ceil(t n) + 1`` shingles, so nodes meet in the groups of these keys and
   no link is lost.  The order never changes a result, only the group sizes.
 * Groups above ``BLOCK`` nodes are cut into blocks that meet pairwise.
-* Two rounds keep big groups of near copies from being compared all with all.
-  Round one takes every ``FIRST``-th key (by hash): a node meets its best neighbour in its leaf and
-  the group's middle point; exact verification of these pairs gives first
-  components.  Round two takes all keys whose nodes are still in different
-  components, searches their trees for every surviving pair across
-  components, and verifies those.  A pair left out is inside a component
-  already, so the components are exact.
-* The sets for the verification are made again from the texts of the nodes that
-  need one; a bitmap of fixed size drops the other texts inside the scan (an
-  exact join follows).
+* A key group emits no pairs but a *forest*: edges that connect the nodes whose bounds allow a link,
+  at most one for each node.  Round one takes every ``FIRST``-th key (by hash), round two all keys
+  whose nodes are still apart.  Linking nodes thus end in one *cluster*.
+* The sets of a cluster travel once and are verified together: in one call, or, above ``SETS`` sets or
+  ``BIN_BYTES`` bytes, in blocks that meet pairwise.  The tree over the cluster gives the pairs not yet
+  connected there, exact overlaps decide, and a forest of the links leaves the call.  A pair left out is
+  inside a component already, so the components are exact.
+* The sets are made again from the texts of the nodes that need one; a bitmap of fixed size drops the
+  other texts inside the scan (an exact join follows), and of repeated rows one set is kept.
 
 Shingles are 64-bit hashes, sets 128-bit hashes of them.
 
@@ -34,6 +33,7 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +41,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import id_filter, materialize
 
@@ -51,8 +50,9 @@ BLOCK = 4096         # nodes of a key group that one call compares
 SAMPLE_ROWS = 4000   # texts whose shingles decide what counts as frequent (order only)
 MOST_FREQUENT = 1 << 16
 PART_EDGES = 1_000_000  # edges contracted by one task
-BIN_BYTES = 16 << 20  # sets verified in one call
-SETS = 2000          # sets of one cluster in a bin
+BIN_BYTES = 16 << 20  # sets of one block, or of the small clusters of one bin
+SETS = 2000          # sets of one block of a cluster
+PIVOTS = 4           # nodes that are compared with their whole group before its tree is searched
 FIRST = 8            # share of the keys that round one uses
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -215,68 +215,90 @@ class CountRTree:
         return (num + den) * np.minimum(self.points[a], self.points[b]).sum(axis=-1) - num * (self.sizes[a] + self.sizes[b])
 
 
-_PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("kind", pa.int32()), ("slack", pa.int64())])
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _group_pairs(points, sizes, comp, side, every: bool, num: int, den: int):
-    """(i, j, kind, slack) of one group; ``side`` tells the two blocks of a split group apart."""
+def _forest(points, sizes, label, side, num: int, den: int, links) -> Iterator[tuple[int, int]]:
+    """Edges that connect the rows of one group as far as ``links`` does, at most one for each label.
+
+    ``label`` names what is connected already; ``links(i, rows)`` tells which of ``rows`` link with row i and is asked only
+    for pairs that the bound allows and that are not connected yet.  If ``side`` has several values,
+    only pairs across sides count (those of one side meet elsewhere).
+    """
+    label = np.unique(label, return_inverse=True)[1].astype(np.int64)
     cross = side.min() != side.max()
-    ok = lambda i, j: (comp[i] != comp[j]) & ((side[i] != side[j]) if cross else True)
-    if (comp == comp[0]).all():
+    apart = lambda i, rows: rows[(label[rows] != label[i]) & ((side[rows] != side[i]) if cross else True)]
+
+    def join(i: int, rows: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Connect row i with those of ``rows`` that link with it."""
+        rows = apart(i, rows)
+        rows = rows[links(i, rows)] if len(rows) else rows
+        new, first = np.unique(label[rows], return_index=True)
+        if len(new):
+            label[np.isin(label, new)] = label[i]
+            yield from ((i, int(j)) for j in rows[first])
+
+    if (label == label[0]).all():
         return
     tree = CountRTree(points, sizes)
-    if every:
-        for i, j in tree.search(np.arange(len(points)), num, den):
-            use = (i < j) & ok(i, j)
-            if use.any():
-                yield i[use], j[use], 0, np.zeros(use.sum(), np.int64)
+    everyone = np.arange(len(points))
+    if len(points) > LEAF:  # near copies hang together after a few rows
+        centre = np.abs(points - np.median(points, axis=0)).sum(axis=1)
+        for _ in range(PIVOTS):
+            i = int(centre.argmin())
+            rows = apart(i, everyone)
+            yield from join(i, rows[tree.slack(np.full(1, i), rows, num, den) >= 0])
+            centre[label == label[i]] = np.inf
+            if not np.isfinite(centre).any():
+                break
+    values, counts = np.unique(label, return_counts=True)
+    if len(values) == 1:
         return
-    for rows in tree.order:  # best neighbour within the leaf
-        if len(rows) > 1:
-            s = tree.slack(rows[:, None], rows[None, :], num, den)
-            s[~(ok(rows[:, None], rows[None, :]))] = -1
-            np.fill_diagonal(s, -1)
-            best = s.argmax(axis=1)
-            v = s[np.arange(len(rows)), best]
-            yield rows[v >= 0], rows[best[v >= 0]], 1, v[v >= 0]
-    middle = np.full(1, np.abs(points - np.median(points, axis=0)).sum(axis=1).argmin())
-    i = np.arange(len(points))
-    v = tree.slack(i, middle, num, den)
-    use = (v >= 0) & ok(i, middle) & (i != middle[0])
-    yield i[use], np.repeat(middle, use.sum()), 2, v[use]
-
-
-def _pair_maker(every: bool, num: int, den: int):
-    """Arrow batches sorted by (key, block) -> candidate pairs; a group may span batches."""
-
-    def columns(t: pa.Table):
-        t = t.combine_chunks()
-        node = t["node"].to_numpy()
-        return node, Points(t["point"].to_pylist()), t["n"].to_numpy().astype(np.int64), t["comp"].to_numpy(), t["side"].to_numpy()
+    outside = everyone[label != values[counts.argmax()]]  # a pair apart has an end outside the largest component
+    for part in np.array_split(outside, -(-len(outside) // 256)):
+        if (label == label[0]).all():
+            return
+        for i, j in tree.search(part, num, den):
+            use = (label[i] != label[j]) & ((side[i] != side[j]) if cross else True)
+            i, j = i[use], j[use]
+            turn = np.argsort(i, kind="stable")
+            i, j = i[turn], j[turn]
+            for s, e in zip(*_runs(i)):
+                yield from join(int(i[s]), j[s:e])
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of equal values."""
+    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+    return starts, np.append(starts[1:], len(x))[:len(starts)]
+
+
+def _key_forests(num: int, den: int):
+    """Arrow batches sorted by (key, block) -> edges between nodes that the bound lets link; a group may span batches."""
 
     def process(t: pa.Table, starts: np.ndarray):
-        node, packed, n, comp, side = columns(t)
+        t = t.combine_chunks()
+        node, packed, n, comp, side = t["node"].to_numpy(), Points(t["point"].to_pylist()), t["n"].to_numpy().astype(np.int64), t["comp"].to_numpy(), t["side"].to_numpy()
         points = packed.coarse
         ends = np.append(starts[1:], len(node))
-        found = []
+        edges = []
         two = starts[ends - starts == 2]
         if len(two):  # most groups are pairs: one vector operation for all
             a, b = two, two + 1
-            v = (num + den) * np.minimum(points[a], points[b]).sum(axis=1) - num * (n[a] + n[b])
-            use = (v >= 0) & (comp[a] != comp[b])
-            found.append((a[use], b[use], 1, v[use]))
-        for s, e in zip(starts, ends):
+            use = ((num + den) * np.minimum(points[a], points[b]).sum(axis=1) >= num * (n[a] + n[b])) & (comp[a] != comp[b])
+            a, b = a[use], b[use]
+            use = packed.refine(a, b, n, num, den)
+            edges.append(np.stack([a[use], b[use]]))
+        for s, e in zip(starts.tolist(), ends.tolist()):
             if e - s > 2:
                 r = slice(s, e)
-                found += [(i + s, j + s, kind, v) for i, j, kind, v in _group_pairs(points[r], n[r], comp[r], side[r], every, num, den)]
-        i = np.concatenate([f[0] for f in found] or [np.empty(0, np.int64)]).astype(np.int64)
-        if len(i):
-            j = np.concatenate([f[1] for f in found]).astype(np.int64)
-            kind = np.concatenate([np.full(len(f[0]), f[2], np.int32) for f in found])
-            v = np.concatenate([f[3] for f in found])
-            keep = packed.refine(i, j, n, num, den)
-            i, j, kind, v = i[keep], j[keep], kind[keep], v[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(kind), pa.array(v)], schema=_PAIRS)
+                links = lambda i, rows: packed.refine(np.full(len(rows), i + s), rows + s, n, num, den)  # noqa: E731, B023
+                found = np.array(list(_forest(points[r], n[r], comp[r], side[r], num, den, links)), np.int64).reshape(-1, 2)
+                edges.append(found.T + s)
+        if edges:
+            x, y = np.concatenate(edges, axis=1)
+            found = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=_EDGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -296,6 +318,42 @@ def _pair_maker(every: bool, num: int, den: int):
     return run
 
 
+def set_links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A forest of the exact links between sorted sets (pairs across sides, if there are several)."""
+    n = np.array([len(s) for s in sets], np.int64)
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.append(0, np.cumsum(n))
+    mark = np.zeros(len(known), bool)
+
+    def links(i: int, rows: np.ndarray) -> np.ndarray:
+        own = ids[at[i]:at[i + 1]]
+        mark[own] = True
+        both = np.fromiter((np.count_nonzero(mark[ids[at[j]:at[j + 1]]]) for j in rows.tolist()), np.int64, len(rows))
+        mark[own] = False
+        return den * both >= num * (n[i] + n[rows] - both)
+
+    points = Points([point(s) for s in sets]).coarse
+    return list(_forest(points, n, np.arange(len(sets)), side, num, den, links))
+
+
+def _verify(num: int, den: int):
+    """Rows (cluster, low, high, side, node, hashes) of one bin -> links; each (cluster, low, high) is verified by itself."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("cluster", "ascending"), ("low", "ascending"), ("high", "ascending"), ("node", "ascending")]).combine_chunks()
+        cluster, low, high, side, node = (t[c].to_numpy() for c in ("cluster", "low", "high", "side", "node"))
+        edges = []
+        new = (cluster[1:] != cluster[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        starts = np.flatnonzero(np.append(True, new)) if len(node) else np.empty(0, np.int64)
+        for s, e in zip(starts.tolist(), np.append(starts[1:], len(node)).tolist()):
+            if e - s > 1:
+                sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in t["hashes"].slice(s, e - s)]
+                edges += [(node[s + i], node[s + j]) for i, j in set_links(sets, side[s:e], num, den)]
+        return pa.table([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], schema=_EDGES)
+
+    return run
+
+
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the edges of one part: each node with the smallest node it reaches there."""
     parent: dict[int, int] = {}
@@ -387,33 +445,20 @@ def near_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_
     # a node's number is written with it, so it is the same wherever it is read
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
-    by_size = Window.partitionBy("key").orderBy("n")
-    keyed = keyed.withColumn("m", F.count("*").over(Window.partitionBy("key"))).withColumn("low", F.lag("n").over(by_size)).withColumn("high", F.lead("n").over(by_size))
-    # linking sets differ in size by num / den at most: a row without such a neighbour has no partner here
-    fits = lambda a, b: F.col(a).cast("long") * den >= F.col(b).cast("long") * num
-    keyed = materialize(keyed.filter("m >= 2").filter(F.coalesce(fits("low", "n"), F.lit(False)) | F.coalesce(fits("n", "high"), F.lit(False))).select("node", "key", "m"), "shared-keys")
+    # linking sets differ in size by num / den at most, so by one class at most (the margin covers rounding)
+    keyed = keyed.withColumn("c", F.floor(F.log("n") / F.lit(max(math.log(den / num) * (1 + 1e-6), 1e-6))).cast("int"))
+    shared = keyed.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m"), F.collect_set("c").alias("cs")).filter("m >= 2")
+    near = F.exists("cs", lambda x: F.abs(x - F.col("c")) == 1)
+    keyed = materialize(keyed.join(shared, keyed["key"] == shared["k"]).filter((F.col("m") > F.size("cs")) | near).select("node", "key", "m"), "shared-keys")
 
-    def candidates(c: DataFrame, every: bool) -> DataFrame:
+    def forests(c: DataFrame) -> DataFrame:
         """c: key, node, m, comp.  A group of m nodes is cut into blocks of about BLOCK; each two blocks meet."""
         c = c.withColumn("s", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
         c = c.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
         c = c.withColumn("block", F.least("side", "other").cast("long") * (1 << 31) + F.greatest("side", "other"))
         c = c.join(nodes.select("node", "n", "point"), "node").select("key", "block", "node", "side", "n", "point", "comp")
         c = c.repartition("key", "block").sortWithinPartitions("key", "block")
-        found = c.mapInArrow(_pair_maker(every, num, den), "x long, y long, kind int, slack long")
-        if not every:
-            found = found.groupBy("x", "kind").agg(F.max_by("y", F.struct("slack", "y")).alias("y"))
-        return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-
-    def check(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        known = {node: np.frombuffer(h, np.uint64) for node, h in zip(sets["node"].to_pylist(), sets["hashes"].to_pylist())}
-        out = []
-        for x, y in zip(pairs["x"].to_pylist(), pairs["y"].to_pylist()):
-            s, t = known[x], known[y]
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            if den * both >= num * (len(s) + len(t) - both):
-                out.append((x, y))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        return materialize(c.mapInArrow(_key_forests(num, den), "a long, b long").distinct(), "forest")
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -422,33 +467,27 @@ def near_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                                                  names=["doc_id", "set", "hashes"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that link.  Pairs that hang together are dealt to one bin, so a set travels
-        once; clusters of more than SETS nodes are cut into blocks that meet pairwise."""
-        pairs = materialize(pairs.select("x", "y"), "pairs")
-        cluster = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))).select("node", F.col("comp").alias("cluster"))
-        sizes = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / SETS).cast("int").alias("s"))
-        pairs = pairs.join(cluster.withColumnRenamed("node", "x"), "x").join(sizes, "cluster")
-        side = lambda c: F.pmod(F.xxhash64(c), F.col("s"))
-        where = F.xxhash64("cluster", F.least(side("x"), side("y")), F.greatest(side("x"), side("y")))
-        shingle_bytes = 8 * (nodes.agg(F.avg("n")).first()[0] or 0)
-        bins = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), cluster.count() * shingle_bytes // BIN_BYTES))
-        pairs = materialize(pairs.select("x", "y", F.pmod(where, F.lit(bins)).alias("bin")), "binned-pairs")
-        ends = pairs.select("bin", F.explode(F.array("x", "y")).alias("node")).distinct()
-        need = materialize(ends.join(nodes.select("node", "set", "rep"), "node"), "needed-sets")
+    def verified(cluster: DataFrame) -> DataFrame:
+        """A forest of the links inside the clusters (node, cluster)."""
+        need = materialize(cluster.join(nodes.select("node", "set", "rep", "n"), "node"), "needed-sets")
+        size = 8 * F.sum("n")
+        sizes = need.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / SETS, size / BIN_BYTES)).cast("int").alias("s"))
+        total = 8 * (need.agg(F.sum("n")).first()[0] or 0)
+        bins = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BIN_BYTES))
+        place = need.join(sizes, "cluster").withColumn("side", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
+        place = place.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
+        # small clusters share a bin, each two blocks of a large one have their own
+        own = F.xxhash64("cluster", "low", "high")
+        place = place.select("node", "cluster", "low", "high", "side", F.when(F.col("s") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(own).alias("bin"))
         texts = src.filter(id_filter(need, "rep")("doc_id")).mapInArrow(whole_sets, f"doc_id {kind}, set binary, hashes binary")
-        sets = texts.join(need, (texts["set"] == need["set"]) & texts["doc_id"].eqNullSafe(need["rep"])).select("bin", "node", "hashes")
-        links = pairs.groupBy("bin").cogroup(sets.groupBy("bin")).applyInArrow(check, "a long, b long")
-        return materialize(links, "links")
-
-    one = materialize(candidates(keyed.filter(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0).withColumn("comp", F.col("node")), False), "pairs")
-    first = verified(one)
-    comp = components(first)
-    now = keyed.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        sets = texts.join(need, (texts["set"] == need["set"]) & texts["doc_id"].eqNullSafe(need["rep"])).groupBy("node").agg(F.first("hashes").alias("hashes"))
+        return materialize(sets.join(place, "node").groupBy("bin").applyInArrow(_verify(num, den), "a long, b long"), "links")
+
+    one = forests(keyed.filter(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0).withColumn("comp", F.col("node")))
+    now = keyed.join(components(one), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    two = candidates(now.join(split, "key"), True).join(one, ["x", "y"], "left_anti")
-    more = verified(two)
-    comp = components(first.unionAll(more)) if more.limit(1).count() else comp
+    two = forests(now.join(split, "key"))
+    comp = components(verified(components(one.unionAll(two)).withColumnRenamed("comp", "cluster")))
     return feats.select("doc_id", F.col("n").alias("n_shingles"), "set").join(nodes.select("set", "node"), "set", "left").drop("set").join(comp, "node", "left")
 
 
