@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from ..functions import rules as R
 from ..operators import abbreviations as AB
+from ..operators import lemma_rules as LR
 from ..sources import lexicon
 from ..sources.tables import PAIR_STRIDE
 from . import sqlexpr as X
@@ -154,6 +155,50 @@ SELECT t.doc_id, t.sent_idx::BIGINT AS sent_idx, t.tok_idx::BIGINT AS tok_idx, t
 FROM toks t LEFT JOIN lemma_dict l ON t.lang = l.lang AND t.token = l.token"""
 
 
+LEMMA_GUESSES = f"""
+{TOKENS.strip()},
+{LEMMA_DICT.strip()},
+edits AS (
+  SELECT lang, token, lemma, length(token) AS size,
+         len(list_filter(range(1, least(length(token), length(lemma)) + 1), lambda i: left(token, i) = left(lemma, i))) AS common
+  FROM lemma_dict WHERE lemma <> '--' AND regexp_matches(token, '^\\p{{L}}+$')
+),
+cuts AS (
+  SELECT *, unnest(range(greatest(1, size - common), least(size - 1, {LR.LONGEST}, size - common + {LR.CONTEXT}) + 1)) AS cut FROM edits WHERE common > 0
+),
+votes AS (
+  SELECT lang, right(token, cut) AS suffix, substr(lemma, size - cut + 1) AS replacement, count(*) AS votes FROM cuts GROUP BY ALL
+),
+rules AS (
+  SELECT lang, suffix, replacement FROM votes
+  QUALIFY row_number() OVER (PARTITION BY lang, suffix ORDER BY votes DESC, replacement DESC) = 1
+      AND 2 * votes > sum(votes) OVER (PARTITION BY lang, suffix)
+),
+unknown AS (
+  SELECT DISTINCT t.lang, t.token FROM toks t ANTI JOIN lemma_dict l ON t.lang = l.lang AND t.token = l.token
+),
+guesses AS (
+  SELECT u.lang, u.token, left(u.token, length(u.token) - length(r.suffix)) || r.replacement AS lemma, r.suffix
+  FROM unknown u JOIN rules r ON u.lang = r.lang AND right(u.token, length(r.suffix)) = r.suffix
+  WHERE regexp_matches(u.token, '^\\p{{L}}+$') AND length(u.token) - length(r.suffix) >= {LR.STEM}
+  QUALIFY row_number() OVER (PARTITION BY u.lang, u.token ORDER BY length(r.suffix) DESC) = 1
+)"""
+
+
+@oracle("lemma_rules")
+def _():
+    return f"WITH {LEMMA_GUESSES.strip()}\nSELECT lang, token, lemma, suffix FROM guesses"
+
+
+@oracle("lemmas_guessed")
+def _():
+    return f"""
+WITH {LEMMA_GUESSES.strip()}
+SELECT t.doc_id, t.sent_idx::BIGINT AS sent_idx, t.tok_idx::BIGINT AS tok_idx, t.token, coalesce(nullif(l.lemma, '--'), g.lemma, t.token) AS lemma
+FROM toks t LEFT JOIN lemma_dict l ON t.lang = l.lang AND t.token = l.token
+LEFT JOIN guesses g ON t.lang = g.lang AND t.token = g.token"""
+
+
 @oracle("vocab")
 def _():
     return f"""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as RULES
 from ..functions import text as T
 from ..operators import abbreviations as AB
+from ..operators import lemma_rules as LR
 from ..operators import encode as ENC
 from ..operators import evaluation as EV
 from ..operators import lcs as LCS
@@ -110,6 +111,24 @@ def q_lemmas(spark, sf):
     )
 
 
+@query("lemma_rules")
+def q_lemma_rules(spark, sf):
+    """Types of the corpus that the dictionary lacks, with the lemma that its suffix rules give."""
+    types = S.tokens(src.documents(spark, sf), keep=("doc_id", "lang")).select("lang", "token").distinct()
+    entries = lexicon.builtin_lemmas(spark)
+    unknown = types.join(entries, ["lang", "token"], "left_anti")
+    return LR.guess(unknown, LR.learn(entries, support=1)).select("lang", "token", "lemma", "suffix")
+
+
+@query("lemmas_guessed")
+def q_lemmas_guessed(spark, sf):
+    """Lemmas by the dictionary and, for words it lacks, by its suffix rules."""
+    d = src.documents(spark, sf)
+    types = S.tokens(d, keep=("doc_id", "lang")).select("lang", "token").distinct()
+    out = S.lemmas(d, LR.extended(types, lexicon.builtin_lemmas(spark), support=1))
+    return out.select("doc_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), F.col("tok_idx").cast("bigint").alias("tok_idx"), "token", "lemma")
+
+
 # ---------------------------------------------------------------- vocabulary
 
 @query("vocab")
