@@ -718,6 +718,11 @@ def _():
     return f"WITH {EVAL_LINES.strip()}\nSELECT system, pair_id::BIGINT AS line_no, orig, ref, sys FROM ev"
 
 
+@oracle("eval_table_indexed")
+def _():
+    return ORACLE["eval_table"]
+
+
 @oracle("rouge_lsum")
 def _():
     return (f"WITH RECURSIVE {EVAL_STATS.strip()},\n{LSUM.strip()}\nSELECT system, round(precision, 6) AS precision, "
@@ -928,6 +933,11 @@ def _():
     return f"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS line_no, {_line('text')} AS line FROM documents"
 
 
+@oracle("read_lines_indexed")
+def _():
+    return ORACLE["read_lines"]
+
+
 @oracle("pair_lines")
 def _():
     return f"""

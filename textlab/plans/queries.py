@@ -25,6 +25,7 @@ from ..operators import stats as A
 from ..session import materialize
 from ..sources import files as IO
 from ..sources import lexicon
+from ..sources import line_index as LI
 from ..sources import tables as src
 from . import corpus_report as CR
 
@@ -465,6 +466,14 @@ def q_pair_lines(spark, sf):
     return IO.pair_lines(src_lines, IO.read_lines(spark, tgt_path))
 
 
+@query("read_lines_indexed")
+def q_read_lines_indexed(spark, sf):
+    """S1 by the line index: one scan of the text, no join."""
+    path = IO.scratch(spark, "doc-lines")
+    IO.write_lines(src.read_table(spark, sf, "documents"), path, "text", "doc_id")
+    return LI.read_indexed(spark, LI.index_lines(spark, path))
+
+
 def _split_line_files(spark, sf):
     """The pairs as line files {split}.source and {split}.target."""
     pairs = materialize(src.conversation_pairs(spark, sf), "pairs")
@@ -549,6 +558,15 @@ def q_eval_table(spark, sf):
     return _eval_from_files(spark, sf).long().select("system", F.col("pair_id").alias("line_no"), "orig", "ref", "sys")
 
 
+@query("eval_table_indexed")
+def q_eval_table_indexed(spark, sf):
+    """S7, S8, J2 by line indexes: totals from the indexes, each file read once."""
+    base = _written_runs(spark, sf)
+    orig, ref = (LI.index_lines(spark, f"{base}/{n}/predictions_test.txt") for n in ("orig", "refs"))
+    ev = LI.eval_indexed(spark, orig, ref, LI.load_runs_indexed(spark, _run_paths(base)))
+    return ev.long().select("system", F.col("pair_id").alias("line_no"), "orig", "ref", "sys")
+
+
 @query("clean_predictions")
 def q_clean_predictions(spark, sf):
     """S9 + N5: the outputs of all systems stripped, cleaned, written one per line, read back."""
