@@ -33,12 +33,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document, the one with the smallest id, of each group linked by five-word shingles at 0.8.
 
     A document is an id and a text: other texts of the id stay.  Of several texts of the smallest id, one stays.
+    Further columns pass through under any name.
     """
-    rows = docs.withColumn("text_hash", F.xxhash64("text"))
-    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("doc_id"), "text")
+    mark = "text_hash"
+    while mark in docs.columns:
+        mark += "_"
+    rows = docs.withColumn(mark, F.xxhash64("text"))
+    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(mark).alias("hash")).alias("doc_id"), "text")
     groups = ngram_join.ngram_components(keyed, k=5, num=80, den=100)
-    copies = groups.filter("component_id <> doc_id and not doc_id.no_id").select("doc_id.doc_id", "doc_id.text_hash").distinct()
-    return rows.join(copies, ["doc_id", "text_hash"], "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    copies = groups.filter("component_id <> doc_id and not doc_id.no_id").select("doc_id.doc_id", F.col("doc_id.hash").alias(mark)).distinct()
+    return rows.join(copies, ["doc_id", mark], "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
