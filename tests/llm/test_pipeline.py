@@ -126,3 +126,11 @@ def test_other_texts_of_a_copied_id_stay(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, "").collect()), key=str)
     assert got == sorted([(1, a), (2, b), (3, None), (None, a), (None, "own text"), (5, "short")], key=str)
+
+
+def test_further_columns_keep_their_values(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, a, 7, "x"), (2, a, 8, "y"), (3, "short", 9, None)], "doc_id long, text string, text_hash long, text_hash_ string")
+    got = cp.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(1, a, 7, "x"), (3, "short", 9, None)]
