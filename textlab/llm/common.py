@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-__all__ = ["read_documents", "read_table", "id_fold", "text_or_empty", "words_of", "id_filter", "materialize"]
+__all__ = ["read_documents", "read_table", "id_fold", "text_or_empty", "words_of", "id_filter", "give_back", "materialize"]
 
 FILTER_BITS = 1 << 24  # of an id_filter, whatever the input
 
@@ -37,6 +40,16 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def give_back() -> None:
+    """Returns the memory that this Python worker has freed to the system.
+
+    Workers are reused and take turns, so without it each of them keeps what the largest of all stages needed.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def id_filter(ids: DataFrame, col: str):
     """Column -> Column: True for all values in ``ids``, False for nearly all others.
 

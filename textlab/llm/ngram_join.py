@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, materialize
+from .common import give_back, id_filter, materialize
 
 GROUPS = 128         # coordinates of a point (large sets: more)
 LEAF = 32            # points in a leaf
@@ -314,6 +314,7 @@ def _key_forests(num: int, den: int):
             rest = t.slice(starts[-1])
         if rest is not None and len(rest):
             yield from process(rest, np.zeros(1, np.int64))
+        give_back()
 
     return run
 
@@ -349,33 +350,32 @@ def _verify(num: int, den: int):
             if e - s > 1:
                 sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in t["hashes"].slice(s, e - s)]
                 edges += [(node[s + i], node[s + j]) for i, j in set_links(sets, side[s:e], num, den)]
+        give_back()
         return pa.table([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], schema=_EDGES)
 
     return run
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the edges of one part: each node with the smallest node it reaches there."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = x
-        while parent[top] != top:
-            top = parent[top]
-        while parent[x] != top:
-            parent[x], x = top, parent[x]
-        return top
-
-    for b in batches:
-        for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist()):
-            parent.setdefault(u, u)
-            parent.setdefault(v, v)
-            a, b_ = root(u), root(v)
-            if a != b_:
-                parent[max(a, b_)] = min(a, b_)
-    rows = [(x, root(x)) for x in parent]
-    rows = [r for r in rows if r[0] != r[1]]
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.int64())], names=["u", "v"])
+    """The edges of one part contracted: each node with the smallest node it reaches there.
+
+    Every label that meets a smaller one takes the smallest; at least half of those that meet any are gone after a round.
+    """
+    ends = [(b["u"].to_numpy(), b["v"].to_numpy()) for b in batches]
+    u, v = (np.concatenate([e[i] for e in ends]) if ends else np.empty(0, np.int64) for i in (0, 1))
+    del ends
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y, label = at[:len(u)], at[len(u):], np.arange(len(names))
+    while len(x):
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+        x, y = label[x], label[y]
+        x, y = x[x != y], y[x != y]
+    inner = np.flatnonzero(label != np.arange(len(names)))
+    yield pa.RecordBatch.from_arrays([pa.array(names[inner]), pa.array(names[label[inner]])], names=["u", "v"])
+    del u, v, at, x, y, label, inner, names
+    give_back()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -438,6 +438,7 @@ def near_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_
                      pa.array([point(s) for s in sets], pa.binary()),
                      pa.array([order.value.keys(s, num, den).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))],
                     names=["doc_id", "n", "set", "point", "keys"])
+            give_back()
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     feats = materialize(src.mapInArrow(features, f"doc_id {kind}, n long, set binary, point binary, keys array<bigint>"), "shingle-keys")
@@ -466,6 +467,7 @@ def near_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_
                 sets = shingles(part["t"].to_pylist(), k)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                                                  names=["doc_id", "set", "hashes"])
+            give_back()
 
     def verified(cluster: DataFrame) -> DataFrame:
         """A forest of the links inside the clusters (node, cluster)."""

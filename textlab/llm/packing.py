@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 END_ID = 2
 TABLE_LIMIT = 1_500_000  # words kept per worker process,
 MARKED_LIMIT = 300_000   # as many of them with marks at the end
@@ -217,6 +219,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, i
         words = word_ids(tokenizer_file)
         for batch in texts:
             yield pd.Series([_squeeze(ids) for ids in encode(words, batch.tolist())], dtype=object)
+            give_back()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     group = F.pmod(F.xxhash64(F.lit("group"), F.monotonically_increasing_id()), F.lit(groups))
