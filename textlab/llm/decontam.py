@@ -42,6 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import give_back
+
 RATIO = 0.1                  # edits per byte of the item that still count as a leak
 RECALL = 0.98                # least recall at RATIO that the number of tables is derived from
 LEAST_ITEM = 24
@@ -311,6 +313,7 @@ def leaks(docs: DataFrame, items: DataFrame, ratio: float = RATIO, id_col: str =
                 cols = list(zip(*rows)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("doc_id").type), pa.array(cols[1], arrow_item), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())],
                                                  names=["doc_id", "item_id", "distance", "item_chars"])
+                give_back()
 
         found = src.mapInArrow(search, schema)
         out = found if out is None else out.unionAll(found)
@@ -332,5 +335,6 @@ def _leaky(index):
             for d, _, _ in index.value.search(texts.tolist()):
                 out[d] = True
             yield pd.Series(out)
+            give_back()
 
     return leaky

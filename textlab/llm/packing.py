@@ -218,7 +218,8 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, i
     def ids_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = word_ids(tokenizer_file)
         for batch in texts:
-            yield pd.Series([_squeeze(ids) for ids in encode(words, batch.tolist())], dtype=object)
+            texts = batch.tolist()
+            yield pd.Series([_squeeze(ids) for lo in range(0, len(texts), TOGETHER) for ids in encode(words, texts[lo:lo + TOGETHER])], dtype=object)
             give_back()
 
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -38,6 +38,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS = 2_000      # documents with digits or @ the potentials are fitted on,
 SAMPLE_CHARS = 20_000    # none of them longer than this
@@ -268,6 +270,7 @@ def spans_udf(docs: DataFrame, text_col: str):
                 n = [sum(k == kind for k, _, _ in base) for kind in range(4)]
                 rows.append((*n, hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(base + added), len(added)))
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+            give_back()
 
     return found
 
@@ -281,6 +284,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for texts in batches:
             texts = [t or "" for t in texts]
             yield pd.Series([mask(t, b + a) for t, b, a in zip(texts, *find(texts, model.value))], dtype=object)
+            give_back()
 
     return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), clean(F.coalesce(F.col(text_col), F.lit("")))))
 
