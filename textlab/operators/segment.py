@@ -7,7 +7,8 @@ without a shuffle.  Only lemmas need a join, on (lang, token).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,32 +64,50 @@ def lemmas(docs: DataFrame, lemma_dict: DataFrame | None, text: str = "text", la
     return lemma_join(toks, lemma_dict, lang).select("doc_id", "sent_idx", "tok_idx", "token", "lemma")
 
 
+def _by_position(found: str, size: Column) -> Column:
+    """An array of ``size`` with the ``l`` of the structs (p, l), sorted by p, at their positions and NULL elsewhere."""
+    def nulls(n: Column) -> Column:
+        return F.array_repeat(F.lit(None).cast("string"), n.cast("int"))
+
+    def filled(f: Column) -> Column:
+        after = F.transform(f, lambda x, j: F.concat(F.array(x["l"]), nulls(F.coalesce(F.get(f, j + 1)["p"], size) - x["p"] - 1)))
+        return F.concat(nulls(F.coalesce(F.get(f, F.lit(0))["p"], size)), F.flatten(after))
+
+    return T.let(found, filled)
+
+
 def fold_lemmas(rows: DataFrame, lemma_dict: DataFrame | None, keys: Sequence[str], arrays: Sequence[str],
-                item: Sequence[Column], lang: str = "lang") -> DataFrame:
-    """T10 for token arrays: each of ``arrays`` becomes an array of structs of
-    ``item`` (columns of token and lemma), in token order.
+                item: Callable[[Column, Column], Column], lang: str = "lang") -> DataFrame:
+    """T10 for token arrays: each of ``arrays`` becomes an array of ``item(token, lemma)``, in token order.
 
-    All arrays of a row are exploded together, joined with the dictionary
-    and folded by ``keys``.  Rows should be clustered by ``keys`` (then the
-    fold needs no exchange); two rows with one key are an error.
+    All arrays of a row are exploded together as narrow rows and joined with the dictionary.  Only
+    tokens whose lemma is another word go on, and the first row of each input row, which alone carries the other
+    columns and the arrays: the lemmas found are put back by position.  Rows should be clustered by ``keys`` (then the
+    fold needs no exchange); two rows with one key are an error.  Where one of the arrays is NULL all become empty.
     """
     keys, arrays = list(keys), list(arrays)
-    carry = [c for c in rows.columns if c not in keys and c not in arrays]
-
-    def tag(k: int):
-        return lambda t, p: F.struct(F.lit(k).alias("k"), p.alias("p"), t.alias("token"))
-
-    tagged = F.concat(*[F.transform(a, tag(k)) for k, a in enumerate(arrays)])
-    flat = rows.select(*keys, *carry, F.posexplode_outer(tagged).alias("_pos", "x"))
-    flat = flat.select(*keys, *carry, "_pos", "x.k", "x.p", "x.token")
-    lem = lemma_join(flat, lemma_dict, lang)
+    carry = [c for c in rows.columns if c not in keys]
+    # the language is looked at in every row, the rest is kept once
+    flat = rows.select(*keys, *carry, F.col(lang).alias("_lang_of"), F.posexplode_outer(F.concat(*arrays)).alias("_pos", "token"))
+    head = F.coalesce(F.col("_pos"), F.lit(0)) == 0
+    flat = flat.select(*keys, "_lang_of", "_pos", "token", F.when(head, F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)])).alias("_row"))
+    lem = lemma_join(flat, lemma_dict, "_lang_of")
+    found = F.col("lemma") != F.col("token")
+    lem = lem.where(F.coalesce(found, F.lit(False)) | F.col("_row").isNotNull())
     folded = lem.groupBy(*keys).agg(
-        F.count_if(F.coalesce(F.col("_pos"), F.lit(0)) == 0).alias("_rows"),
-        *[F.first(c).alias(c) for c in carry],
-        *[F.array_sort(F.collect_list(F.when(F.col("k") == k, F.struct(F.col("p").alias("_p"), *item)))).alias(a) for k, a in enumerate(arrays)],
+        F.count("_row").alias("_rows"), F.first("_row", ignorenulls=True).alias("_row"),
+        F.array_sort(F.collect_list(F.when(found, F.struct(F.col("_pos").alias("p"), F.col("lemma").alias("l"))))).alias("_found"),
     )
     one = F.when(F.col("_rows") > 1, F.raise_error(F.lit("two rows share a key: " + ", ".join(keys))).cast("boolean"))
-    return folded.where(one.isNull()).drop("_rows")
+    folded = folded.where(one.isNull()).select(*keys, *[F.col(f"_row._{i}").alias(c) for i, c in enumerate(carry)], "_found")
+    sizes = [F.size(F.col(a)) for a in arrays]
+    whole = reduce(lambda x, y: x & y, [F.col(a).isNotNull() for a in arrays])
+    dense = folded.select("*", _by_position("_found", reduce(lambda x, y: x + y, sizes)).alias("_lemmas"))
+    out, start = {}, F.lit(1)
+    for a, n in zip(arrays, sizes):
+        part = F.zip_with(F.col(a), F.slice("_lemmas", start, n), lambda t, m: item(t, F.coalesce(m, t)))
+        out[a], start = F.coalesce(F.when(whole, part), F.array()), start + n
+    return dense.select(*keys, *[out[c].alias(c) if c in out else F.col(c) for c in carry])
 
 
 def document_table(docs: DataFrame, lemma_dict: DataFrame | None = None, lang: str = "lang") -> DataFrame:
@@ -100,8 +119,8 @@ def document_table(docs: DataFrame, lemma_dict: DataFrame | None = None, lang: s
     marked = docs.select("doc_id", lang, T.mark_sentences("text", lang).alias("m"))
     nested = marked.select("doc_id", lang, T.sentence_array("m").alias("sents"), T.nested_tokens("m").alias("sents_tokenized"))
     nested = nested.withColumn("flat", F.flatten("sents_tokenized"))
-    folded = fold_lemmas(nested, lemma_dict, ["doc_id"], ["flat"], [F.col("lemma")], lang)
+    folded = fold_lemmas(nested, lemma_dict, ["doc_id"], ["flat"], lambda token, lemma: lemma, lang)
     sizes = F.transform("sents_tokenized", lambda s: F.size(s))
-    folded = folded.select("doc_id", "sents", "sents_tokenized", F.col("flat.lemma").alias("flat"), T.running_starts(sizes).alias("starts"))
-    cut = F.transform("sents_tokenized", lambda s, i: F.slice(F.col("flat"), F.get("starts", i) + 1, F.size(s)))
+    folded = folded.select("doc_id", "sents", "sents_tokenized", "flat", T.running_starts(sizes).alias("starts"))
+    cut = T.let("flat", lambda flat: F.zip_with("sents_tokenized", F.slice("starts", 1, F.size("sents_tokenized")), lambda s, at: F.slice(flat, at + 1, F.size(s))))
     return folded.select("doc_id", "sents", "sents_tokenized", cut.alias("sents_lemmatized"))

@@ -34,9 +34,9 @@ def text_measures(toks: str, n_sents: str, lang: str) -> dict[str, F.Column]:
     }
 
 
-def clean_pair() -> list[F.Column]:
+def clean_pair(token: F.Column, lemma: F.Column) -> F.Column:
     """Of a looked-up token: the cleaned token ``t`` and the cleaned lemma ``l``."""
-    return [T.clean_token("token").alias("t"), T.clean_token("lemma").alias("l")]
+    return F.struct(T.clean_token(token).alias("t"), T.clean_token(lemma).alias("l"))
 
 
 def doc_table(docs: DataFrame, lemma_dict: DataFrame | None = None, keys: Sequence[str] = ("doc_id", "lang")) -> DataFrame:
@@ -54,7 +54,7 @@ def doc_table(docs: DataFrame, lemma_dict: DataFrame | None = None, keys: Sequen
     if lemma_dict is None:  # lemmas are the tokens: cleaned once, no fold
         base = base.withColumn("types", F.array_distinct(T.clean_tokens("toks"))).withColumn("lemma_types", F.col("types"))
     else:
-        folded = S.fold_lemmas(base.withColumn("_lang", F.col("lang")), lemma_dict, keys, ["toks"], clean_pair(), "_lang")
+        folded = S.fold_lemmas(base.withColumn("_lang", F.col("lang")), lemma_dict, keys, ["toks"], clean_pair, "_lang")
         base = folded.withColumns({"types": F.array_distinct("toks.t"), "lemma_types": F.array_distinct("toks.l")})
     return base.select(
         *keys, "n_tokens", "n_sents", "sum_token_len",

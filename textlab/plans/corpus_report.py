@@ -37,7 +37,7 @@ def pair_table(pairs: DataFrame, lemma_dict: DataFrame | None = None, default_la
         F.size(T.sentence_array(x)).cast("bigint").alias(f"{x}_n_sents"), T.token_array(x).alias(f"{x}_toks"))])
     measured = arr.select("*", *[c.alias(f"{x}_{n}") for _, x in SIDES
                                  for n, c in A.text_measures(f"{x}_toks", f"{x}_n_sents", "lang").items()])
-    folded = S.fold_lemmas(measured, lemma_dict, PAIR, [f"{x}_toks" for _, x in SIDES], A.clean_pair())
+    folded = S.fold_lemmas(measured, lemma_dict, PAIR, [f"{x}_toks" for _, x in SIDES], A.clean_pair)
     clean = folded.select("*", *[c for _, x in SIDES for c in (
         F.col(f"{x}_toks.t").alias(f"{x}_raw"), F.col(f"{x}_toks.l").alias(f"{x}_lem"))]).drop(*[f"{x}_toks" for _, x in SIDES])
     out = A.with_novelty(clean, "s_lem", "t_lem", (1, 2, 3), clean=False)
