@@ -168,7 +168,8 @@ CONTRACTION_RULES = [
 
 # Words that are split in two (fixed values), in any letter case.
 JOINED_WORDS = [("can", "not"), ("gon", "na"), ("got", "ta"), ("wan", "na"), ("gim", "me"), ("lem", "me"), ("d", "'ye"), ("more", "'n"), ("'t", "is"), ("'t", "was")]
-ANY_JOINED_WORD = "(" + "|".join(_case_insensitive(a + b) for a, b in JOINED_WORDS) + ")"
+# the look-ahead only spares the alternatives at letters that begin no joined word
+ANY_JOINED_WORD = "(?=[" + "".join(sorted({c for a, _ in JOINED_WORDS for c in (a[0].lower(), a[0].upper())})) + "])(?:" + "|".join(_case_insensitive(a + b) for a, b in JOINED_WORDS) + ")"
 
 
 def _joined_word_rules() -> list[tuple[str, str]]:
@@ -202,6 +203,15 @@ DEFAULT_TITLE_PATTERN = "(?:^|\n)([^\n.]{1,80}[.:])\n"
 UNNAMED_TITLE = "[UNNAMED]"
 
 
+# The same whitespace as ranges: Java tests one range after the other, so fewer are faster.
+WS_RANGES = "\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+
+def java_pattern(pattern: str) -> str:
+    """``pattern`` with the whitespace set written as ranges (same matches)."""
+    return pattern.replace(WS_CLASS_BODY, WS_RANGES)
+
+
 def java_repl(repl: str) -> str:
     """``\\1`` group references -> Java's ``$1``; escape literal ``$``."""
     out = repl.replace("$", "\\$")

@@ -22,7 +22,7 @@ def _c(x: ColumnOrName) -> Column:
 
 def apply_rule(col: ColumnOrName, rule: tuple[str, str]) -> Column:
     pattern, repl = rule
-    return F.regexp_replace(_c(col), pattern, R.java_repl(repl))
+    return F.regexp_replace(_c(col), R.java_pattern(pattern), R.java_repl(repl))
 
 
 def apply_rules(col: ColumnOrName, rules: Sequence[tuple[str, str]]) -> Column:
@@ -193,7 +193,7 @@ def split_nonempty(col: ColumnOrName, pattern: str) -> Column:
     the one of a blank string; ``array_remove`` drops it without evaluating
     the (expensive) input twice, as a CASE would.
     """
-    return F.array_remove(F.split(_c(col), pattern), "")
+    return F.array_remove(F.split(_c(col), R.java_pattern(pattern)), "")
 
 
 def explode_rows(df, arr: ColumnOrName, value: str, pos: str | None = None, keep: tuple = ()):
@@ -218,12 +218,14 @@ def sentence_array(marked: ColumnOrName) -> Column:
 
 def token_string(marked: ColumnOrName) -> Column:
     """Apply the tokenisation rules to an escaped sentence or a marked document."""
-    t = apply_rules(marked, R.TOKEN_RULES)
+    # most texts hold no straight double quote or no apostrophe: they skip the rules that need one
+    quoted = apply_rules(marked, R.TOKEN_RULES[:2])
+    t = apply_rules(F.when(F.contains(_c(marked), F.lit('"')), quoted).otherwise(_c(marked)), R.TOKEN_RULES[2:])
     t = F.concat(F.lit(" "), t, F.lit(" "))
     # few texts hold a joined word: the others skip these rules
     joined = _c(marked).rlike(R.ANY_JOINED_WORD)
     t = F.when(joined, apply_rules(t, R.JOINED_WORD_RULES)).otherwise(t)
-    return apply_rules(t, R.CONTRACTION_RULES)
+    return let(t, lambda x: F.when(F.contains(x, F.lit("'")), apply_rules(x, R.CONTRACTION_RULES)).otherwise(x))
 
 
 def token_array(marked: ColumnOrName) -> Column:
@@ -363,11 +365,12 @@ def flesch(tokens: ColumnOrName, n_sents: ColumnOrName, lang: ColumnOrName) -> C
     vowels = "[" + R.VOWELS + "]"
     one = F.array_join(t, " ")
     two = F.concat(F.lit("  "), F.array_join(t, "  "), F.lit("  "))   # every token in its own spaces
-    w = F.size(F.regexp_extract_all(one, F.lit(r"[^ ]*\p{L}[^ ]*"), 0))
-    vowel_runs = F.size(F.regexp_extract_all(F.lower(one), F.lit(vowels + "+"), 0))
+    # the matches are only counted: the empty group spares their texts
+    w = F.size(F.regexp_extract_all(one, F.lit(r"\p{L}[^ ]*+()"), 1))
+    vowel_runs = F.size(F.regexp_extract_all(F.lower(one), F.lit(vowels + "++()"), 1))
     consonant = r"[^\P{L} " + R.VOWELS + "]"                          # a letter that is not a vowel
     no_vowel = F.size(F.regexp_extract_all(
-        F.lower(two), F.lit(" [^ " + R.VOWELS + "]*" + consonant + "[^ " + R.VOWELS + "]* "), 0))
+        F.lower(two), F.lit(r" [^\p{L} ]*+" + consonant + "[^ " + R.VOWELS + "]*+ ()"), 1))
     y = vowel_runs + no_vowel
     en = R.FLESCH_CONSTANTS["en"]
     base, a, b = (F.lit(en[0]), F.lit(en[1]), F.lit(en[2]))
