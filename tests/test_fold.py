@@ -29,3 +29,30 @@ def test_wide_columns_are_not_repeated_for_each_token(spark):
     df = _fold(spark, [(1, "en", ["w"], ["is"], ["x"])])
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "first(wide" not in plan and plan.count("first(") == 1
+
+
+def test_extended_dictionary_is_broadcast(spark, tmp_path):
+    """A written dictionary above the optimizer's threshold: tokens are not shuffled by word."""
+    many = spark.range(3000).select(F.lit("en").alias("lang"), F.concat(F.lit("w"), F.col("id")).alias("token"), F.lit("x").alias("lemma"))
+    same = spark.range(50).select(F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id")).alias("token"), F.concat(F.lit("s"), F.col("id")).alias("lemma"))
+    many.unionByName(same).write.parquet(str(tmp_path / "d"))
+    toks = spark.range(200).select(F.lit("en").alias("lang"), F.concat(F.lit("w"), F.col("id") * 30).alias("token"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    try:
+        out = S.lemma_join(toks, spark.read.parquet(str(tmp_path / "d")))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r.lemma == "x" for r in out.where("cast(substr(token, 2) as int) < 3000").collect()} == {True}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_sketches_and_exact_counts_tokenise_once(spark, monkeypatch):
+    from textlab.plans import queries as Q
+    seen = []
+    real = Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df, name="table": seen.append(name) or real(df, name))
+    out = Q.queries()["type_counts_approx"](spark, "/root/testdata/sf0.001")
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.raw_within_bound and r.lemmas_within_bound for r in out.collect())

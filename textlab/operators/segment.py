@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import scan_bytes
 
 
 def with_arrays(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
@@ -43,18 +44,31 @@ def tokens(docs: DataFrame, text: str = "text", lang: str | None = "lang", keep:
     return T.explode_rows(sents, T.sentence_tokens("sent"), "token", "tok_idx", keep=(*keep, "sent_idx"))
 
 
+BROADCAST_BYTES = 64 << 20   # a dictionary whose inputs are no larger is broadcast
+
+
+def _broadcast(lemma_dict: DataFrame) -> bool:
+    """Whether the dictionary is small enough, by the bytes it is read from; not where broadcasts are switched off."""
+    allowed = not str(lemma_dict.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")).startswith("-")
+    return allowed and 0 < scan_bytes(lemma_dict) <= BROADCAST_BYTES
+
+
 def lemma_join(toks: DataFrame, lemma_dict: DataFrame | None, lang: str = "lang") -> DataFrame:
     """Add ``lemma`` by a lookup join on (lang, token).
 
     A dictionary lemma of ``--`` keeps the token; tokens without an entry
-    keep themselves.  There is one path for dictionaries of any size: whether the
-    dictionary is broadcast is left to the optimizer's size check.
+    keep themselves.  There is one path for dictionaries of any size, whose entries that
+    change nothing are left out of the join.  Whether it is broadcast is the optimizer's size check, except that
+    files of up to BROADCAST_BYTES always are: a join by token would shuffle every token, each frequent word to one task.
     """
     if lemma_dict is None:
         return toks.withColumn("lemma", F.col("token"))
     d = lemma_dict.groupBy(F.col("lang").alias("_l_lang"), F.col("token").alias("_l_token")).agg(F.min("lemma").alias("_l_lemma"))
+    d = d.where((F.col("_l_lemma") != "--") & (F.col("_l_lemma") != F.col("_l_token")))
+    if _broadcast(lemma_dict):
+        d = F.broadcast(d)
     joined = toks.join(d, (toks[lang] == d["_l_lang"]) & (toks["token"] == d["_l_token"]), "left")
-    lemma = F.coalesce(F.nullif(F.col("_l_lemma"), F.lit("--")), F.col("token"))
+    lemma = F.coalesce(F.col("_l_lemma"), F.col("token"))
     return joined.select(*toks.columns, lemma.alias("lemma"))
 
 
