@@ -126,7 +126,8 @@ def q_lemmas_guessed(spark, sf):
     """Lemmas by the dictionary and, for words it lacks, by its suffix rules."""
     d = src.documents(spark, sf)
     types = S.tokens(d, keep=("doc_id", "lang")).select("lang", "token").distinct()
-    out = S.lemmas(d, LR.extended(types, lexicon.builtin_lemmas(spark), support=1))
+    # written once: the join with all tokens then knows its size
+    out = S.lemmas(d, materialize(LR.extended(types, lexicon.builtin_lemmas(spark), support=1), "lemma-dictionary"))
     return out.select("doc_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), F.col("tok_idx").cast("bigint").alias("tok_idx"), "token", "lemma")
 
 
@@ -202,7 +203,8 @@ def q_type_counts(spark, sf):
 @query("type_counts_approx")
 def q_type_counts_approx(spark, sf):
     """A2: sketches of (split, lang) slices merged by language, held against the exact counts."""
-    t = A.doc_table(src.documents(spark, sf, clustered=True), lexicon.builtin_lemmas(spark))
+    t = A.doc_table(src.documents(spark, sf, clustered=True), lexicon.builtin_lemmas(spark)).select("doc_id", "lang", "types", "lemma_types")
+    t = materialize(t, "doc-types")  # sketches and exact counts read it: texts are tokenised once
     slices = materialize(A.type_sketches(t.withColumn("split", src.split_of(F.col("doc_id"))), ["split", "lang"]), "type-sketches")
     about = A.merge_type_sketches(slices, ["lang"]).select("lang", F.col("types_raw").alias("about_raw"), F.col("types_lemmas").alias("about_lemmas"))
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.ceil(F.col(b) * A.SKETCH_ERROR)
