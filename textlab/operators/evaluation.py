@@ -4,19 +4,25 @@ Input: an :class:`Eval`, one row per pair (split, pair_id, orig, ref) with one
 column per system (y0, y1, ...).  What belongs to the pair (tokens and n-grams
 of orig and ref) is therefore computed once, however many systems there are.
 
-One n-gram count table (J3) serves ROUGE-1/2, BLEU and SARI: the n-gram lists
-that the wanted metrics need are exploded, and one aggregate by (split, pair_id,
-kind, n, gram) counts orig, ref and every system.  The rows are clustered by
-(split, pair_id) first, so that aggregate (and the one per pair after it) runs
-without an exchange; only the tiny per-system results are shuffled.
+One n-gram count table (J3) serves ROUGE-1/2, BLEU and SARI: the texts of a pair are
+brought together, an Arrow kernel counts their n-grams and gives one row per (kind, n, gram) with the
+counts of orig, ref and every system.  The rows are clustered by (split, pair_id)
+first, so grouping the texts and the aggregate per pair after it run
+without an exchange; only the tiny per-system results are shuffled.  No table of n-grams is hashed
+or sorted: memory follows the texts of one pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import repeat
 from typing import NamedTuple
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,29 +65,95 @@ def _orders(kind: str) -> tuple[int, ...]:
     return ROUGE_ORDERS if kind == "rouge" else BLEU_ORDERS
 
 
+TOGETHER = 64  # pairs whose counts a worker holds at once
+
+
+_RULES_13A = [(re.compile(pattern), repl) for pattern, repl in R.TOKEN_13A_RULES]
+
+
+def _tokens_13a(text: str) -> list[str]:
+    """As :func:`textlab.functions.text.tokens_13a`, of a text already lower-cased if wanted."""
+    t = text.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    for a, b in R.HTML_ENTITIES if "&" in t else ():
+        t = t.replace(a, b)
+    t = f" {t} "
+    for pattern, repl in _RULES_13A:
+        t = pattern.sub(repl, t)
+    return t.split()
+
+
+_TOKENS = {"rouge": re.compile(R.ROUGE_TOKEN).findall, "bleu": _tokens_13a, "sari": _tokens_13a}
+
+
+def _count(kind: str, texts: list[str | None], order: Sequence[int]) -> list[Counter]:
+    """The n-grams of one side of a pair (usually one text), a counter per order."""
+    out = [Counter() for _ in order]
+    for text in texts:
+        toks = _TOKENS[kind](text or "")
+        for n, counter in zip(order, out):
+            counter.update(toks if n == 1 else map(R.GRAM_SEP.join, zip(*[toks[k:] for k in range(n)])))
+    return out
+
+
+def _counter(specs: Sequence[tuple[str, int]], order: dict[str, tuple[int, ...]], sides: int):
+    """The kernel: per pair, from the texts of its rows, the structs (kind, n, gram, c0, c1, ...), a count per side."""
+    names = [f"c{k}" for k in range(sides)]
+    kinds = {kind: [(side, i) for i, (k, side) in enumerate(specs) if k == kind] for kind in order}
+
+    def counted(pairs: list[list[list[str | None]]]) -> pa.Array:
+        kind_of, n_of, grams, counts, ends = [], [], [], [[] for _ in range(sides)], [0]
+        for columns in pairs:
+            for kind, fields in kinds.items():
+                known: dict = {}  # equal texts are counted once
+                for side, i in fields:
+                    if (key := tuple(columns[i])) not in known:
+                        known[key] = _count(kind, columns[i], order[kind])
+                for k, n in enumerate(order[kind]):
+                    by_side = {side: known[tuple(columns[i])][k] for side, i in fields}
+                    found = list(dict.fromkeys(g for c in {id(c): c for c in by_side.values()}.values() for g in c))
+                    size = len(found) + 1  # and the row without a gram
+                    kind_of += [kind] * size
+                    n_of += [n] * size
+                    grams += found
+                    grams.append(None)
+                    for side, out in enumerate(counts):
+                        if side in by_side:
+                            out += map(by_side[side].get, found, repeat(0))
+                            out.append(0)
+                        else:
+                            out += [0] * size
+            ends.append(len(grams))
+        fields = [pa.array(kind_of, pa.string()), pa.array(n_of, pa.int32()), pa.array(grams, pa.string()), *[pa.array(c, pa.int64()) for c in counts]]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["kind", "n", "gram", *names]))
+
+    @F.arrow_udf("array<struct<kind string, n int, gram string, " + ", ".join(f"{c} bigint" for c in names) + ">>")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for low in range(0, len(batch), TOGETHER):
+                part = batch.slice(low, TOGETHER)
+                rows, ends = part.flatten(), [0, *pa.compute.cumulative_sum(part.value_lengths()).to_pylist()]
+                columns = [rows.field(i).to_pylist() for i in range(len(specs))]
+                yield counted([[c[a:b] for c in columns] for a, b in zip(ends, ends[1:])])
+
+    return count
+
+
 def ngram_counts(ev: Eval, kinds: Sequence[str] = KINDS, orders: Sequence[int] | None = None) -> DataFrame:
     """(split, pair_id, kind, n, gram, c_orig, c_ref, c0, c1, ...).
 
     Every (pair, kind, n) also has one row with a NULL gram and zero counts,
     so pairs without n-grams still take part in the means.  ``ev`` should be
-    clustered by pair.
+    clustered by pair; rows that share a pair are counted together.
     """
-    make = {"rouge": lambda c: T.rouge_tokens(c), "bleu": lambda c: T.tokens_13a(c), "sari": lambda c: T.tokens_13a(c, lowercase=True)}
     texts = ["orig", "ref", *[f"y{i}" for i in range(len(ev.systems))]]
-    specs = [(kind, side, name) for kind in kinds for side, name in enumerate(texts) if not (side == ORIG and kind != "sari")]
-    toks = ev.rows.select(*PAIR, *[make[kind](name).alias(f"{kind}_{name}") for kind, _, name in specs])
-    lists = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.lit(side).alias("side"), T.ngrams(f"{kind}_{name}", n).alias("g"))
-        for kind, side, name in specs for n in (orders or _orders(kind))
-    ])
-    grams = toks.select(*PAIR, F.inline(lists)).select(*PAIR, "kind", "n", "side", F.explode_outer("g").alias("gram"))
-    has = F.col("gram").isNotNull()
-
-    def count(side: int):
-        return F.count_if(has & (F.col("side") == side))
-
-    return grams.groupBy(*PAIR, "kind", "n", "gram").agg(
-        count(ORIG).alias("c_orig"), count(REF).alias("c_ref"), *[count(FIRST_SYS + i).alias(f"c{i}") for i in range(len(ev.systems))])
+    specs = [(kind, side) for kind in kinds for side in range(len(texts)) if not (side == ORIG and kind != "sari")]
+    cased = lambda kind, c: F.col(c) if kind == "bleu" else F.lower(c)
+    rows = ev.rows.select(*PAIR, F.struct(*[cased(kind, texts[side]).alias(f"{kind}_{side}") for kind, side in specs]).alias("texts"))
+    count = _counter(specs, {kind: tuple(orders or _orders(kind)) for kind in kinds}, len(texts))
+    grams = rows.groupBy(*PAIR).agg(F.collect_list("texts").alias("texts")).select(*PAIR, count("texts").alias("grams"))
+    named = {"c0": "c_orig", "c1": "c_ref", **{f"c{FIRST_SYS + i}": f"c{i}" for i in range(len(ev.systems))}}
+    flat = grams.select(*PAIR, F.inline_outer("grams"))  # never empty; a plain inline would run the kernel twice, for a filter on the size
+    return flat.select(*PAIR, "kind", "n", "gram", *[F.col(c).alias(name) for c, name in named.items()])
 
 
 def pair_order_stats(counts: DataFrame, ev: Eval) -> DataFrame:
