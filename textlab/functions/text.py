@@ -371,7 +371,12 @@ def flesch(tokens: ColumnOrName, n_sents: ColumnOrName, lang: ColumnOrName) -> C
     consonant = r"[^\P{L} " + R.VOWELS + "]"                          # a letter that is not a vowel
     no_vowel = F.size(F.regexp_extract_all(
         F.lower(two), F.lit(r" [^\p{L} ]*+" + consonant + "[^ " + R.VOWELS + "]*+ ()"), 1))
-    y = vowel_runs + no_vowel
+    return flesch_score(w, vowel_runs + no_vowel, n_sents, lang)
+
+
+def flesch_score(words: ColumnOrName, syllables: ColumnOrName, n_sents: ColumnOrName, lang: ColumnOrName) -> Column:
+    """A7 from the counts; NULL without words."""
+    w, y = _c(words), _c(syllables)
     en = R.FLESCH_CONSTANTS["en"]
     base, a, b = (F.lit(en[0]), F.lit(en[1]), F.lit(en[2]))
     lang_c = _c(lang)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import scan_bytes
+from . import token_kernel as K
 
 
 def with_arrays(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
@@ -40,8 +41,9 @@ def sentences(docs: DataFrame, text: str = "text", lang: str | None = "lang", ke
 
 def tokens(docs: DataFrame, text: str = "text", lang: str | None = "lang", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """(doc_id, sent_idx, tok_idx, token), tokenising each sentence."""
-    sents = sentences(docs, text, lang, keep)
-    return T.explode_rows(sents, T.sentence_tokens("sent"), "token", "tok_idx", keep=(*keep, "sent_idx"))
+    marked = docs.select(*keep, T.mark_sentences(text, lang).alias("_marked"))
+    sents = T.explode_rows(marked.select(*keep, K.sentence_tokens("_marked").alias("_toks")), "_toks", "_sent", "sent_idx", keep=tuple(keep))
+    return T.explode_rows(sents, "_sent", "token", "tok_idx", keep=(*keep, "sent_idx"))
 
 
 BROADCAST_BYTES = 64 << 20   # a dictionary whose inputs are no larger is broadcast
@@ -90,30 +92,44 @@ def _by_position(found: str, size: Column) -> Column:
     return T.let(found, filled)
 
 
-def fold_lemmas(rows: DataFrame, lemma_dict: DataFrame | None, keys: Sequence[str], arrays: Sequence[str],
-                item: Callable[[Column, Column], Column], lang: str = "lang") -> DataFrame:
-    """T10 for token arrays: each of ``arrays`` becomes an array of ``item(token, lemma)``, in token order.
+def _changed(rows: DataFrame, lemma_dict: DataFrame | None, keys: Sequence[str], tokens: Column, item: Column, lang: str) -> DataFrame:
+    """``rows`` and ``_found``, the array of ``item`` (of _pos, token, lemma) for the ``tokens`` whose lemma is another word.
 
-    All arrays of a row are exploded together as narrow rows and joined with the dictionary.  Only
-    tokens whose lemma is another word go on, and the first row of each input row, which alone carries the other
-    columns and the arrays: the lemmas found are put back by position.  Rows should be clustered by ``keys`` (then the
-    fold needs no exchange); two rows with one key are an error.  Where one of the arrays is NULL all become empty.
+    Of the exploded tokens only those go on, and the first row of each input row, which alone carries the other columns.
+    Two rows with one key are an error.
     """
-    keys, arrays = list(keys), list(arrays)
     carry = [c for c in rows.columns if c not in keys]
     # the language is looked at in every row, the rest is kept once
-    flat = rows.select(*keys, *carry, F.col(lang).alias("_lang_of"), F.posexplode_outer(F.concat(*arrays)).alias("_pos", "token"))
+    flat = rows.select(*keys, *carry, F.col(lang).alias("_lang_of"), F.posexplode_outer(tokens).alias("_pos", "token"))
     head = F.coalesce(F.col("_pos"), F.lit(0)) == 0
     flat = flat.select(*keys, "_lang_of", "_pos", "token", F.when(head, F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)])).alias("_row"))
     lem = lemma_join(flat, lemma_dict, "_lang_of")
     found = F.col("lemma") != F.col("token")
     lem = lem.where(F.coalesce(found, F.lit(False)) | F.col("_row").isNotNull())
     folded = lem.groupBy(*keys).agg(
-        F.count("_row").alias("_rows"), F.first("_row", ignorenulls=True).alias("_row"),
-        F.array_sort(F.collect_list(F.when(found, F.struct(F.col("_pos").alias("p"), F.col("lemma").alias("l"))))).alias("_found"),
-    )
+        F.count("_row").alias("_rows"), F.first("_row", ignorenulls=True).alias("_row"), F.collect_list(F.when(found, item)).alias("_found"))
     one = F.when(F.col("_rows") > 1, F.raise_error(F.lit("two rows share a key: " + ", ".join(keys))).cast("boolean"))
-    folded = folded.where(one.isNull()).select(*keys, *[F.col(f"_row._{i}").alias(c) for i, c in enumerate(carry)], "_found")
+    return folded.where(one.isNull()).select(*keys, *[F.col(f"_row._{i}").alias(c) for i, c in enumerate(carry)], "_found")
+
+
+def changed_lemmas(rows: DataFrame, lemma_dict: DataFrame | None, keys: Sequence[str], array: str, out: str, lang: str = "lang") -> DataFrame:
+    """T10 for an array of distinct tokens: ``rows`` with ``out``, the structs (t, l) of the tokens t with another lemma l."""
+    item = F.struct(F.col("token").alias("t"), F.col("lemma").alias("l"))
+    return _changed(rows, lemma_dict, list(keys), F.col(array), item, lang).withColumnRenamed("_found", out)
+
+
+def fold_lemmas(rows: DataFrame, lemma_dict: DataFrame | None, keys: Sequence[str], arrays: Sequence[str],
+                item: Callable[[Column, Column], Column], lang: str = "lang") -> DataFrame:
+    """T10 for token arrays: each of ``arrays`` becomes an array of ``item(token, lemma)``, in token order.
+
+    All arrays of a row are exploded together as narrow rows and joined with the dictionary; the lemmas found are put
+    back by position.  Rows should be clustered by ``keys`` (then the fold needs no exchange); two rows with one key are
+    an error.  Where one of the arrays is NULL all become empty.
+    """
+    keys, arrays = list(keys), list(arrays)
+    carry = [c for c in rows.columns if c not in keys]
+    folded = _changed(rows, lemma_dict, keys, F.concat(*arrays), F.struct(F.col("_pos").alias("p"), F.col("lemma").alias("l")), lang)
+    folded = folded.withColumn("_found", F.array_sort("_found"))
     sizes = [F.size(F.col(a)) for a in arrays]
     whole = reduce(lambda x, y: x & y, [F.col(a).isNotNull() for a in arrays])
     dense = folded.select("*", _by_position("_found", reduce(lambda x, y: x + y, sizes)).alias("_lemmas"))

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import cluster
 from . import segment as S
+from . import token_kernel as K
 
 
 def vocab(docs: DataFrame, by: Sequence[str] = ("lang",), clean: bool = True) -> DataFrame:
@@ -25,12 +27,11 @@ def vocab(docs: DataFrame, by: Sequence[str] = ("lang",), clean: bool = True) ->
     return toks.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def text_measures(toks: str, n_sents: str, lang: str) -> dict[str, F.Column]:
-    """What is computed from the raw tokens of one text."""
+def text_measures(m: str, lang: str) -> dict[str, F.Column]:
+    """What is computed from the raw tokens of one text; ``m`` is the column of :func:`token_kernel.measured`."""
     return {
-        "n_tokens": F.size(toks).cast("bigint"),
-        "sum_token_len": F.length(F.array_join(toks, "")).cast("bigint"),
-        "fre": T.flesch(toks, n_sents, lang),
+        **{c: F.col(f"{m}.{c}") for c in ("n_sents", "n_tokens", "sum_token_len")},
+        "fre": T.flesch_score(f"{m}.words", f"{m}.syllables", f"{m}.n_sents", lang),
     }
 
 
@@ -44,17 +45,17 @@ def doc_table(docs: DataFrame, lemma_dict: DataFrame | None = None, keys: Sequen
 
     Columns: keys..., n_tokens, n_sents, sum_token_len, avg_token_len,
     avg_sent_len, ttr, fre, types (distinct cleaned tokens), lemma_types
-    (distinct cleaned lemmas).  With a dictionary ``docs`` should be clustered by the keys.
+    (distinct cleaned lemmas).  With a dictionary the rows are clustered by the keys, behind the token kernel.
     """
     keys = list(keys)
-    arr = S.with_arrays(docs.select(*keys, "text") if "lang" in keys else docs.select(*keys, "lang", "text"))
     lang = [] if "lang" in keys else ["lang"]
-    arr = arr.select(*keys, *lang, F.size("sents").cast("bigint").alias("n_sents"), "toks")
-    base = arr.select(*keys, *lang, "n_sents", "toks", *[c.alias(n) for n, c in text_measures("toks", "n_sents", "lang").items()])
+    marked = docs.select(*keys, *lang, T.mark_sentences("text", "lang").alias("_marked"))
+    arr = marked.select(*keys, *lang, K.measured("_marked", distinct=True).alias("_m"))  # types need each token once
+    base = arr.select(*keys, *lang, F.col("_m.toks").alias("toks"), *[c.alias(n) for n, c in text_measures("_m", "lang").items()])
     if lemma_dict is None:  # lemmas are the tokens: cleaned once, no fold
         base = base.withColumn("types", F.array_distinct(T.clean_tokens("toks"))).withColumn("lemma_types", F.col("types"))
     else:
-        folded = S.fold_lemmas(base.withColumn("_lang", F.col("lang")), lemma_dict, keys, ["toks"], clean_pair, "_lang")
+        folded = S.fold_lemmas(cluster(base, *keys).withColumn("_lang", F.col("lang")), lemma_dict, keys, ["toks"], clean_pair, "_lang")
         base = folded.withColumns({"types": F.array_distinct("toks.t"), "lemma_types": F.array_distinct("toks.l")})
     return base.select(
         *keys, "n_tokens", "n_sents", "sum_token_len",

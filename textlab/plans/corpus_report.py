@@ -14,6 +14,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import segment as S
 from ..operators import stats as A
+from ..operators import token_kernel as K
 from ..sources.tables import cluster
 
 STAT_COLUMNS = [(name, column) for name, _, column in R.CORPUS_REPORT_ROWS]
@@ -24,23 +25,23 @@ NUM = ["n_tokens", "n_sents", "sum_token_len", "ttr", "fre", "nov_1", "nov_2", "
 
 def pair_table(pairs: DataFrame, lemma_dict: DataFrame | None = None, default_lang: str = "en") -> DataFrame:
     """One row per pair: for both sides (s_, t_) the measures n_tokens, n_sents,
-    sum_token_len, fre and the arrays raw (cleaned tokens) and lem (cleaned
+    sum_token_len, fre and the arrays raw and lem (distinct cleaned tokens and
     lemmas); novelty nov_1..nov_3 of target against source lemmas; cmp.
 
-    The pairs are clustered by (split, pair_id) once, as texts; the fold of
+    Pairs are clustered by (split, pair_id) once, behind the token kernel; the fold of
     the looked-up tokens then needs no exchange.
     """
     lang = F.col("lang") if "lang" in pairs.columns else F.lit(default_lang)
-    p = cluster(pairs.select(*PAIR, lang.alias("lang"), "source", "target"), *PAIR)
+    p = pairs.select(*PAIR, lang.alias("lang"), "source", "target")
     marked = p.select(*PAIR, "lang", *[T.mark_sentences(side, "lang").alias(x) for side, x in SIDES])
-    arr = marked.select(*PAIR, "lang", *[c for _, x in SIDES for c in (
-        F.size(T.sentence_array(x)).cast("bigint").alias(f"{x}_n_sents"), T.token_array(x).alias(f"{x}_toks"))])
-    measured = arr.select("*", *[c.alias(f"{x}_{n}") for _, x in SIDES
-                                 for n, c in A.text_measures(f"{x}_toks", f"{x}_n_sents", "lang").items()])
-    folded = S.fold_lemmas(measured, lemma_dict, PAIR, [f"{x}_toks" for _, x in SIDES], A.clean_pair)
-    clean = folded.select("*", *[c for _, x in SIDES for c in (
-        F.col(f"{x}_toks.t").alias(f"{x}_raw"), F.col(f"{x}_toks.l").alias(f"{x}_lem"))]).drop(*[f"{x}_toks" for _, x in SIDES])
-    out = A.with_novelty(clean, "s_lem", "t_lem", (1, 2, 3), clean=False)
+    arr = marked.select(*PAIR, "lang", *[K.measured(x).alias(f"{x}_m") for _, x in SIDES])
+    measured = arr.select(*PAIR, "lang", *[F.col(f"{x}_m.toks").alias(f"{x}_toks") for _, x in SIDES],
+                          *[c.alias(f"{x}_{n}") for _, x in SIDES for n, c in A.text_measures(f"{x}_m", "lang").items()])
+    # each token of a pair is looked up once; those with another lemma go on
+    types = cluster(measured, *PAIR).withColumn("_types", F.array_distinct(F.concat(*[f"{x}_toks" for _, x in SIDES])))
+    out = S.changed_lemmas(types, lemma_dict, PAIR, "_types", "_changed")
+    out = out.withColumn("_c", K.compared(*[f"{x}_toks" for _, x in SIDES], "_changed")).drop("_types", "_changed", *[f"{x}_toks" for _, x in SIDES])
+    out = out.select("*", "_c.*").drop("_c")
     return out.withColumn("cmp", A.compression("s_n_tokens", "t_n_tokens"))
 
 
@@ -53,11 +54,11 @@ def _rows(table: DataFrame) -> DataFrame:
     none = F.lit(None).cast("struct<" + ",".join(f"{c}:double" for c in NUM) + ">")
 
     def types(side, kind, col):
-        return F.transform(F.array_distinct(col), lambda t: F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), t.alias("t"), none.alias("v")))
+        return F.transform(col, lambda t: F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), t.alias("t"), none.alias("v")))
 
     docs = []
     for side, x in SIDES:
-        ttr = F.try_divide(F.size(F.array_distinct(f"{x}_lem")).cast("double"), F.col(f"{x}_n_tokens").cast("double"))
+        ttr = F.try_divide(F.size(f"{x}_lem").cast("double"), F.col(f"{x}_n_tokens").cast("double"))
         docs.append(row(side, "doc", {"ttr": ttr, **{c: F.col(f"{x}_{c}") for c in ("n_tokens", "n_sents", "sum_token_len", "fre")}}))
     docs.append(row("target", "pair", {c: F.col(c) for c in ("nov_1", "nov_2", "nov_3", "cmp")}))
     return table.select(F.inline(F.concat(F.array(*docs), *[types(side, kind, f"{x}_{c}") for side, x in SIDES for kind, c in (("raw", "raw"), ("lemma", "lem"))])))

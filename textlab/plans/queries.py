@@ -169,7 +169,7 @@ def q_doc_stats(spark, sf):
 
 @query("doc_stats_lemmas")
 def q_doc_stats_lemmas(spark, sf):
-    return A.doc_table(src.documents(spark, sf, clustered=True), lexicon.builtin_lemmas(spark)).select(*_doc_stats_cols())
+    return A.doc_table(src.documents(spark, sf), lexicon.builtin_lemmas(spark)).select(*_doc_stats_cols())
 
 
 @query("flesch")
@@ -188,13 +188,13 @@ def _corpus_cols(by):
 
 @query("corpus_stats")
 def q_corpus_stats(spark, sf):
-    t = A.doc_table(src.documents(spark, sf, clustered=True), lexicon.builtin_lemmas(spark))
+    t = A.doc_table(src.documents(spark, sf), lexicon.builtin_lemmas(spark))
     return A.corpus_stats(t, ["lang"]).select(*_corpus_cols(["lang"]))
 
 
 @query("type_counts")
 def q_type_counts(spark, sf):
-    t = A.doc_table(src.documents(spark, sf, clustered=True), lexicon.builtin_lemmas(spark))
+    t = A.doc_table(src.documents(spark, sf), lexicon.builtin_lemmas(spark))
     return A.type_counts(t, ["lang"]).select(
         "lang", F.col("types_raw").cast("bigint").alias("types_raw"),
         F.col("types_lemmas").cast("bigint").alias("types_lemmas"))
@@ -203,7 +203,7 @@ def q_type_counts(spark, sf):
 @query("type_counts_approx")
 def q_type_counts_approx(spark, sf):
     """A2: sketches of (split, lang) slices merged by language, held against the exact counts."""
-    t = A.doc_table(src.documents(spark, sf, clustered=True), lexicon.builtin_lemmas(spark)).select("doc_id", "lang", "types", "lemma_types")
+    t = A.doc_table(src.documents(spark, sf), lexicon.builtin_lemmas(spark)).select("doc_id", "lang", "types", "lemma_types")
     t = materialize(t, "doc-types")  # sketches and exact counts read it: texts are tokenised once
     slices = materialize(A.type_sketches(t.withColumn("split", src.split_of(F.col("doc_id"))), ["split", "lang"]), "type-sketches")
     about = A.merge_type_sketches(slices, ["lang"]).select("lang", F.col("types_raw").alias("about_raw"), F.col("types_lemmas").alias("about_lemmas"))
