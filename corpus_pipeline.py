@@ -22,6 +22,8 @@ from textlab.llm.common import materialize, read_documents, read_table
 
 #: No SQL: boosted rules, belief propagation and bin packing are tested against brute-force versions.
 ORACLE_SQL = None
+#: Words whose ids a worker keeps: executors have grown in the stages before, and up to four workers of each take turns.
+TABLE_WORDS = 150_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +59,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), table_words=TABLE_WORDS)
 
 
 STAGES = [

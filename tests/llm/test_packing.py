@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -114,3 +115,33 @@ def test_repeated_rows_spread_over_groups(spark, monkeypatch):
     rows = packing.pack_documents(materialize(df), FILE).collect()
     groups = {r.sequence_id >> 32 for r in rows}
     assert len(rows) == 2000 and len(groups) == -(-2000 * packing.ROW_BYTES // (64 << 10))
+
+
+def test_workers_keep_no_words_after_packing(spark, monkeypatch):
+    """The workers that encoded the texts are reused by later stages, which need their memory."""
+    monkeypatch.setattr(packing, "GROUP_BYTES", 1 << 10)
+    docs = materialize(spark.createDataFrame([(i, f"some words of text{i}") for i in range(800)], "doc_id long, text string").repartition(8))
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert packing.pack_documents(docs, FILE, table_words=10_000).select("doc_id").distinct().count() == 800
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+    def tables(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [packing.word_ids.cache_info().currsize]})
+
+    assert sum(r.n for r in spark.range(0, 64, 1, 64).mapInArrow(tables, "n long").collect()) == 0
+
+
+def test_words_kept_can_be_bounded_by_the_caller(spark):
+    texts = [" ".join(f"w{chr(97 + i)}{chr(97 + j // 26)}{chr(97 + j % 26)}" for i in range(20)) for j in range(600)]
+    want, table = packing.encode(packing.WordIds(FILE), texts), packing.WordIds(FILE)
+    for lo in range(0, len(texts), packing.TOGETHER):  # at most the bound and the words of the last texts
+        assert packing.encode(table, texts[lo:lo + packing.TOGETHER], 100) == want[lo:lo + packing.TOGETHER]
+        assert len(table) <= 100 + 1 + 20 * packing.TOGETHER
+    docs = materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(packing.pack_documents(docs, FILE, table_words=100).collect()) == sorted(packing.pack_documents(docs, FILE).collect())

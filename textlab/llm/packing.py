@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ END_ID = 2
 TABLE_LIMIT = 1_500_000  # words kept per worker process,
 MARKED_LIMIT = 300_000   # as many of them with marks at the end
 TOGETHER = 128           # texts looked up together
+OUT_ROWS = 8 * TOGETHER  # texts whose ids leave the worker together
 GROUP_BYTES = 8 << 20
 ROW_BYTES = 256           # of a group, for a row without text
 _ASCII_SPACES = re.compile(r"[\x20\x09\x0a\x0d]+")
@@ -109,7 +111,7 @@ def word_ids(tokenizer_file: str) -> WordIds:
     return WordIds(tokenizer_file)
 
 
-def encode(table: WordIds, texts: list[str]) -> list[bytes]:
+def encode(table: WordIds, texts: list[str], table_words: int | None = None) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers.
 
     Lower-casing first only merges table entries the tokenizer would treat
@@ -118,7 +120,7 @@ def encode(table: WordIds, texts: list[str]) -> list[bytes]:
     """
     out: list[bytes] = []
     for lo in range(0, len(texts), TOGETHER):
-        if len(table) > TABLE_LIMIT:
+        if len(table) > (TABLE_LIMIT if table_words is None else table_words):
             table.clear()
             table.marked = 0
         lists, different = [], set()
@@ -206,26 +208,32 @@ def pack(lengths: list[int], capacity: int = 4096) -> list[list[tuple[int, int,
     return bins
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text",
+                   table_words: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
+    ``table_words`` replaces ``TABLE_LIMIT`` where later stages need the room: fewer words take less memory and more time,
+    and the workers, which are reused, drop them once groups are packed.  The rows are the same.
+
     ``docs`` should come from files or a written table, whose rows keep their places when a task runs again.
     """
     total = docs.select(F.sum(F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
 
-    @F.pandas_udf("binary")
-    def ids_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_file)
-        for batch in texts:
-            texts = batch.tolist()
-            yield pd.Series([_squeeze(ids) for lo in range(0, len(texts), TOGETHER) for ids in encode(words, texts[lo:lo + TOGETHER])], dtype=object)
+        for b in batches:
+            for at in range(0, len(b), OUT_ROWS):  # a whole batch of texts, words and ids at once would be the worker's largest need
+                part = b.slice(at, OUT_ROWS)
+                texts = part["t"].to_pylist()
+                ids = [_squeeze(x) for lo in range(0, len(texts), TOGETHER) for x in encode(words, texts[lo:lo + TOGETHER], table_words)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["grp"], pa.array(ids, pa.binary())], names=["doc_id", "grp", "ids"])
             give_back()
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
     group = F.pmod(F.xxhash64(F.lit("group"), F.monotonically_increasing_id()), F.lit(groups))
-    x = docs.select(F.col(id_col).alias("doc_id"), group.alias("grp"), ids_of(text).alias("ids"))
     kind = docs.schema[id_col].dataType.simpleString()
+    x = docs.select(F.col(id_col).alias("doc_id"), group.alias("grp"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    x = x.mapInArrow(ids_of, f"doc_id {kind}, grp long, ids binary")
 
     def pack_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "ids"], kind="stable")
@@ -237,7 +245,12 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, i
                 crc = zlib.crc32(ids[i][start:start + n].astype("<u4").tobytes())
                 rows.append((doc[i], start, n, crc, len(ids[i]), (int(key[0]) << 32) + s, offset))
                 offset += n
-        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        if table_words is not None:  # all texts are encoded when the first group is packed
+            word_ids.cache_clear()
+        del ids, doc, rows
+        give_back()
+        return out
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return x.groupBy("grp").applyInPandas(pack_group, schema)
