@@ -141,8 +141,13 @@ def abbreviation_rule(words: list[str]) -> tuple[str, str]:
 # then whitespace.
 PARAGRAPH_RULE = ("\n\n", SENT_MARK)
 BOUNDARY_RULE = ("([.!?]+[\"')\\]]*)" + WS + "+", "\\1" + SENT_MARK)
+# Java only: the boundaries of a text whose enumerations are masked, in the text itself.  The full stop that a mask takes
+# is the one behind a digit, and it can only be the first of its run.
+ENUM_BOUNDARY_RULE = ("([.!?](?<![0-9]\\.)[.!?]*[\"')\\]]*)" + WS + "+", BOUNDARY_RULE[1])
 # Collapse whitespace around (runs of) markers into one marker.
 COLLAPSE_RULE = (WS + "*" + SENT_MARK + SEP + "*", SENT_MARK)
+# Java only: whether the rule changes a text.  It looks at markers alone, the rule itself at each character.
+TO_COLLAPSE = SENT_MARK + "(?:" + SEP + "|(?<=" + WS + SENT_MARK + "))"
 
 # Word tokenisation (Treebank-like), applied to one sentence or to a document
 # whose sentences are separated by SENT_MARK; "(MARK|$)" stands for the end of

@@ -167,15 +167,21 @@ def mark_sentences(
     t = mask_abbreviations(t, lang, abbreviations) if lang is not None else t
     if learned is not None:
         t = F.coalesce(F.regexp_replace(t, learned, F.lit("$1$2" + R.ABBR_MARK)), t)
-    if enums:
-        t = enum_mask(t)
-    if paragraphs:
-        t = replace_literal(t, *R.PARAGRAPH_RULE)
-    t = apply_rule(t, R.BOUNDARY_RULE)
-    t = apply_rule(t, R.COLLAPSE_RULE)
-    t = F.btrim(t, F.lit(R.WS_CHARS + R.SENT_MARK))
-    if enums:
-        t = enum_unmask(t)
+
+    def marked(x: Column, boundary: tuple[str, str]) -> Column:
+        if paragraphs:
+            x = replace_literal(x, *R.PARAGRAPH_RULE)
+        x = apply_rule(x, boundary)
+        x = let(x, lambda y: F.when(y.rlike(R.java_pattern(R.TO_COLLAPSE)), apply_rule(y, R.COLLAPSE_RULE)).otherwise(y))
+        return F.btrim(x, F.lit(R.WS_CHARS + R.SENT_MARK))
+
+    if enums:  # masks are written and read only where a text holds one of its own, which is unmasked too
+        def masked(x: Column) -> Column:
+            return enum_unmask(marked(enum_mask(x), R.BOUNDARY_RULE))
+
+        t = let(t, lambda x: F.when(F.contains(x, F.lit("<ENUM")), masked(x)).otherwise(marked(x, R.ENUM_BOUNDARY_RULE)))
+    else:
+        t = marked(t, R.BOUNDARY_RULE)
     if lang is not None:
         t = replace_literal(t, R.ABBR_MARK, ".")
     return t

@@ -55,6 +55,28 @@ def _broadcast(lemma_dict: DataFrame) -> bool:
     return allowed and 0 < scan_bytes(lemma_dict) <= BROADCAST_BYTES
 
 
+def _entries(lemma_dict: DataFrame) -> DataFrame:
+    """One lemma for each (lang, token) that has another word as its lemma."""
+    d = lemma_dict.groupBy(F.col("lang").alias("_l_lang"), F.col("token").alias("_l_token")).agg(F.min("lemma").alias("_l_lemma"))
+    return d.where((F.col("_l_lemma") != "--") & (F.col("_l_lemma") != F.col("_l_token")))
+
+
+TABLE_ENTRIES = 200_000   # entries of a dictionary that a Python worker holds
+
+
+def lemma_table(lemma_dict: DataFrame | None) -> dict[str, dict[str, str]] | None:
+    """T10 as a table {lang: {token: lemma}}; None if the dictionary is one to join with."""
+    if lemma_dict is None:
+        return {}
+    rows = _entries(lemma_dict).limit(TABLE_ENTRIES + 1).collect() if _broadcast(lemma_dict) else None
+    if rows is None or len(rows) > TABLE_ENTRIES:
+        return None
+    table: dict[str, dict[str, str]] = {}
+    for lang, token, lemma in rows:
+        table.setdefault(lang, {})[token] = lemma
+    return table
+
+
 def lemma_join(toks: DataFrame, lemma_dict: DataFrame | None, lang: str = "lang") -> DataFrame:
     """Add ``lemma`` by a lookup join on (lang, token).
 
@@ -65,8 +87,7 @@ def lemma_join(toks: DataFrame, lemma_dict: DataFrame | None, lang: str = "lang"
     """
     if lemma_dict is None:
         return toks.withColumn("lemma", F.col("token"))
-    d = lemma_dict.groupBy(F.col("lang").alias("_l_lang"), F.col("token").alias("_l_token")).agg(F.min("lemma").alias("_l_lemma"))
-    d = d.where((F.col("_l_lemma") != "--") & (F.col("_l_lemma") != F.col("_l_token")))
+    d = _entries(lemma_dict)
     if _broadcast(lemma_dict):
         d = F.broadcast(d)
     joined = toks.join(d, (toks[lang] == d["_l_lang"]) & (toks["token"] == d["_l_token"]), "left")

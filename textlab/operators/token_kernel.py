@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ class Words:
         self.plain = re.compile("[^" + re.escape(NAMED + R.WS_CHARS.replace(" ", "")) + "]*")
         self.plain_word = re.compile("[^" + re.escape(NAMED + R.WS_CHARS + ",-") + "]+")
         self.inner = Table(self.word_between_spaces)
-        self.last = Table(self.split)
+        self.last = Table(self.last_words)
 
     def split(self, text: str) -> tuple[str, ...]:
         """The rules in their order, as in ``token_string``."""
@@ -90,6 +91,12 @@ class Words:
             return (w,) if stem is w else (stem, w[-1])
         return self.between(" " + w + " ")
 
+    def last_words(self, text: str) -> tuple[str, ...]:
+        stem = text[1:-1] if text[0] == " " else ""
+        if text[-1] in ".!?" and self.plain_word.fullmatch(stem) and stem.lower() not in JOINED:
+            return stem, text[-1]
+        return self.split(text)
+
     def sentence(self, s: str, before: str, joined: bool) -> list[str]:
         """``before``: empty at the beginning of the text; ``joined``: there may be a joined word."""
         body, end = (s[:-1], [s[-1]]) if s[-1] in ".!?" else (s, [])
@@ -129,6 +136,13 @@ class Words:
             last = s
         return [[restored(t) for t in s] for s in out] if R.ESCAPE in marked else out
 
+    def syllables_each(self, tokens: list[str]) -> list[tuple[int, int]]:
+        """The same for each token."""
+        lower = " ".join(tokens).lower()
+        codes = lower.replace("œ", "o").encode("latin-1", "replace").translate(KINDS).split(b" ")
+        runs = [c.startswith(b"a") + c.count(b"ba") for c in codes]
+        return [(1, r) if r else (1, 1) if any(map(str.isalpha, t)) else (0, 0) for t, r in zip(lower.split(" "), runs)]
+
     def syllables(self, line: str) -> tuple[int, int]:
         """Of tokens joined by spaces: how many have a letter, and the vowel runs of these, at least one each."""
         lower = line.lower()
@@ -184,7 +198,7 @@ def _per_row(kind: str, prepare: Callable[[], Callable]):
     return kernel
 
 
-_ARROW = {"bigint": pa.int64(), "double": pa.float64(), "array<string>": pa.list_(pa.string()), "array<array<string>>": pa.list_(pa.list_(pa.string()))}
+_ARROW = {"bigint": pa.int64(), "double": pa.float64(), "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64()), "array<array<string>>": pa.list_(pa.list_(pa.string()))}
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -216,6 +230,139 @@ def sentence_tokens(marked: str) -> Column:
     return _per_row("array<array<string>>", lambda: lambda text: worker_words().sentences(text, alone=True))(marked)
 
 
+class Tokens(dict):
+    """Numbers of the tokens of a language; what is new is appended to ``met``, a list of (token, cleaned lemma)."""
+
+    def __init__(self, entries: dict[str, str], met: list[tuple[str, str]]):
+        super().__init__()
+        self.entries, self.met = entries, met
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = len(self.met)
+        self.met.append((token, clean(self.entries.get(token, token))))
+        return n
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """How many elements ``a`` has, ``b`` has, and only ``b`` has, each counted once; elements are below 2 ** 62."""
+    both = np.sort(np.concatenate([a * 2, b * 2 + 1]))
+    if not len(both):
+        return 0, 0, 0
+    of_b = (both & 1).astype(bool)
+    other = both[1:] >> 1 != both[:-1] >> 1
+    first, last = np.append(True, other), np.append(other, True)  # of equal elements those of a come first
+    new = int(np.count_nonzero(first & of_b))
+    return int(np.count_nonzero(first)) - new, int(np.count_nonzero(last & of_b)), new
+
+
+def number_grams(a: np.ndarray, b: np.ndarray, base: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The words, the bigrams and the trigrams of two texts of numbers below ``base``, as numbers."""
+    yield a, b
+    a2, b2 = (x[:-1] * base + x[1:] for x in (a, b))
+    yield a2, b2
+    if base >= 1 << 20:  # three of them are too large
+        a2, b2 = np.split(np.unique(np.concatenate([a2, b2]), return_inverse=True)[1], [len(a2)])
+    yield tuple(x2[:-1] * base + x[2:] for x2, x in ((a2, a), (b2, b)))
+
+
+class Pairs:
+    """A3-A7 and A12 of pairs of marked texts, with the lemmas of a table {lang: {token: lemma}}.
+
+    What follows from a token alone is kept by its number.  Between pairs a full table is emptied.  ``once``: types
+    come only with tokens that the table does not know from that side; after it was emptied they come again.
+    """
+
+    def __init__(self, table: dict[str, dict[str, str]], once: bool):
+        self.table, self.once, self.words = table, once, worker_words()
+        self.joined = any(R.GRAM_SEP in lemma for entries in table.values() for lemma in entries.values())
+        self.empty()
+
+    def empty(self) -> None:
+        self.tokens, self.met, self.lemmas = {}, [], {}   # by language; (token, lemma) by number; numbers of lemmas
+        self.known = 0                                    # tokens whose facts are known
+        self.facts = np.zeros((1 << 12, 4), np.int32)     # by number: lemma, whether it is a word, syllables, length
+        self.given = np.zeros(1 << 12, np.uint8)          # by number: 1 source, 2 target
+
+    def learn(self) -> None:
+        """The facts of the tokens that are new."""
+        n = len(self.met)
+        if n > len(self.given):
+            more = max(n, 2 * len(self.given)) - len(self.given)
+            self.facts, self.given = np.pad(self.facts, ((0, more), (0, 0))), np.pad(self.given, (0, more))
+        new = self.met[self.known:]
+        counts = self.words.syllables_each([token for token, _ in new])
+        self.facts[self.known:n] = [(self.lemmas.setdefault(lemma, len(self.lemmas)), words, syllables, len(token))
+                                    for (token, lemma), (words, syllables) in zip(new, counts)]
+        self.known = n
+
+    def measure(self, lang: str | None, text: str | None) -> tuple[np.ndarray | None, np.ndarray | None, tuple]:
+        """The numbers of the tokens, those of their lemmas, and the MEASURES."""
+        if text is None:
+            return None, None, (None,) * 5
+        lang = lang if lang in self.table else None
+        if lang not in self.tokens:
+            self.tokens[lang] = Tokens(self.table.get(lang, {}), self.met)
+        sents = self.words.sentences(text)
+        toks = np.fromiter(map(self.tokens[lang].__getitem__, chain.from_iterable(sents)), np.int64)
+        if len(self.met) > self.known:
+            self.learn()
+        facts = np.take(self.facts, toks, axis=0).T.copy()
+        words, syllables, length = facts[1:].sum(axis=1, dtype=np.int64).tolist()
+        return toks, facts[0].astype(np.int64), (len(sents), len(toks), length, words, syllables)
+
+    def new_types(self, a: np.ndarray, b: np.ndarray) -> tuple[list[str], list[int]]:
+        """Cleaned tokens and lemmas, and for each the sum of RAW and LEMMA, times 1 for the source and 4 for the target."""
+        out: dict[str, int] = {}
+        for side, toks in ((1, a), (2, b)):
+            new = toks[self.given[toks] & side == 0]
+            self.given[new] |= side
+            for i in set(new.tolist()):
+                token, lemma = self.met[i]
+                for t, bit in ((clean(token), RAW), (lemma, LEMMA)):
+                    out[t] = out.get(t, 0) | bit * side * side
+        return list(out), list(out.values())
+
+    def row(self, lang: str | None, s: str | None, t: str | None) -> dict:
+        if len(self.met) >= TABLE_LIMIT:
+            self.empty()
+        (a, a_lemmas, of_s), (b, b_lemmas, of_t) = self.measure(lang, s), self.measure(lang, t)
+        out = {f"{x}_{name}": v for x, values in (("s", of_s), ("t", of_t)) for name, v in zip(MEASURES, values)}
+        if a is None or b is None:  # what needs both
+            a = b = a_lemmas = b_lemmas = np.zeros(0, np.int64)
+        counts = [overlap(*x) for x in number_grams(a_lemmas, b_lemmas, len(self.lemmas) + 1)]
+        shares = [new / all_b if all_b else 0.0 for _, all_b, new in counts]
+        out["s_n_types"], out["t_n_types"], _ = counts[0]
+        if len(a) + len(b) and (self.joined or R.GRAM_SEP in s or R.GRAM_SEP in t):  # words can hold what joins n-grams
+            shares = [novelty(*([self.met[i][1] for i in x.tolist()] for x in (a, b)), n) for n in (1, 2, 3)]
+        if self.once:
+            out["types"], out["kinds"] = self.new_types(a, b)
+        else:
+            for x, toks in (("s", a), ("t", b)):
+                met = [self.met[i] for i in toks.tolist()]
+                out[f"{x}_raw"], out[f"{x}_lem"] = list(dict.fromkeys(clean(w) for w, _ in met)), list(dict.fromkeys(m for _, m in met))
+        return out | {f"nov_{n}": v for n, v in zip((1, 2, 3), shares)}
+
+
+MEASURES = ("n_sents", "n_tokens", "sum_token_len", "words", "syllables")
+RAW, LEMMA = 1, 2
+
+
+def paired(lang: str, s: str, t: str, table, once: bool = False) -> Column:
+    """Of the marked texts of a pair: for both sides (s_, t_) the MEASURES and n_types (distinct cleaned lemmas), and novelty
+    nov_1..nov_3 of the lemmas; raw and lem of both sides (distinct cleaned tokens and lemmas), or with ``once`` the types that
+    the task has not given yet: see :meth:`Pairs.new_types`.  What needs both texts is empty where one is NULL.
+
+    ``table``: a broadcast of :func:`textlab.operators.segment.lemma_table`.
+    """
+    def prepare():
+        pairs = Pairs(table.value, once)
+        return lambda x: pairs.row(x["lang"], x["s"], x["t"])
+
+    kind = [f"{x}_{c}:bigint" for x in "st" for c in (*MEASURES, "n_types")] + [f"nov_{n}:double" for n in (1, 2, 3)]
+    kind += ["types:array<string>", "kinds:array<bigint>"] if once else [f"{x}_{c}:array<string>" for x in "st" for c in ("raw", "lem")]
+    return _per_row(f"struct<{','.join(kind)}>", prepare)(F.struct(F.col(lang).alias("lang"), F.col(s).alias("s"), F.col(t).alias("t")))
+
+
 def compared(s_toks: str, t_toks: str, found: str) -> Column:
     """Of a pair's tokens and the lemmas ``found`` (token t, lemma l): distinct cleaned tokens and lemmas of
     both sides, novelty of the target's lemmas for n = 1, 2, 3.  All is empty where one side is NULL."""

@@ -7,7 +7,7 @@ by side.  Splits are stacked: a pair is known by (split, pair_id).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -25,15 +25,42 @@ NUM = ["n_tokens", "n_sents", "sum_token_len", "ttr", "fre", "nov_1", "nov_2", "
 
 def pair_table(pairs: DataFrame, lemma_dict: DataFrame | None = None, default_lang: str = "en") -> DataFrame:
     """One row per pair: for both sides (s_, t_) the measures n_tokens, n_sents,
-    sum_token_len, fre and the arrays raw and lem (distinct cleaned tokens and
+    sum_token_len, fre, n_types and the arrays raw and lem (distinct cleaned tokens and
     lemmas); novelty nov_1..nov_3 of target against source lemmas; cmp.
+    """
+    return _one_each(_pairs(pairs, lemma_dict, default_lang))
 
-    Pairs are clustered by (split, pair_id) once, behind the token kernel; the fold of
-    the looked-up tokens then needs no exchange.
+
+def _pairs(pairs: DataFrame, lemma_dict: DataFrame | None, default_lang: str = "en", once: bool = False) -> DataFrame:
+    """As :func:`pair_table`, without a look at the keys.  ``once``: ``types`` instead of the four arrays, structs
+    (t, kinds) as :meth:`textlab.operators.token_kernel.Pairs.new_types` gives them; a task may give a type once for all its pairs.
+
+    A dictionary that fits into a Python worker goes to a kernel that sees both texts of a pair: no token leaves it.
+    Larger ones are joined: see :func:`_joined_pairs`.
     """
     lang = F.col("lang") if "lang" in pairs.columns else F.lit(default_lang)
     p = pairs.select(*PAIR, lang.alias("lang"), "source", "target")
     marked = p.select(*PAIR, "lang", *[T.mark_sentences(side, "lang").alias(x) for side, x in SIDES])
+    table = S.lemma_table(lemma_dict)
+    if table is None:
+        out = _joined_pairs(marked, lemma_dict)
+        if once:
+            out = out.withColumn("types", F.concat(*[_typed(f"{x}_{c}", kind * side) for side, (_, x) in zip((1, 4), SIDES) for c, kind in (("raw", K.RAW), ("lem", K.LEMMA))]))
+    else:
+        found = marked.select(*PAIR, "lang", K.paired("lang", "s", "t", pairs.sparkSession.sparkContext.broadcast(table), once).alias("_c"))
+        measures = {x: F.struct(*[F.col(f"_c.{x}_{c}").alias(c) for c in K.MEASURES]) for _, x in SIDES}
+        found = found.withColumns({f"{x}_m": m for x, m in measures.items()})
+        out = found.select(*PAIR, "lang", *[c.alias(f"{x}_{n}") for _, x in SIDES for n, c in A.text_measures(f"{x}_m", "lang").items()],
+                           *[f"_c.{x}_n_types" for _, x in SIDES], *[f"_c.nov_{n}" for n in (1, 2, 3)],
+                           *([F.arrays_zip(F.col("_c.types").alias("t"), F.col("_c.kinds").alias("kinds")).alias("types")] if once
+                             else [f"_c.{x}_{c}" for _, x in SIDES for c in ("raw", "lem")]))
+    return out.withColumn("cmp", A.compression("s_n_tokens", "t_n_tokens"))
+
+
+def _joined_pairs(marked: DataFrame, lemma_dict: DataFrame | None) -> DataFrame:
+    """Pairs are clustered by (split, pair_id) once, behind the token kernel; the fold of
+    the looked-up tokens then needs no exchange.
+    """
     arr = marked.select(*PAIR, "lang", *[K.measured(x).alias(f"{x}_m") for _, x in SIDES])
     measured = arr.select(*PAIR, "lang", *[F.col(f"{x}_m.toks").alias(f"{x}_toks") for _, x in SIDES],
                           *[c.alias(f"{x}_{n}") for _, x in SIDES for n, c in A.text_measures(f"{x}_m", "lang").items()])
@@ -41,50 +68,71 @@ def pair_table(pairs: DataFrame, lemma_dict: DataFrame | None = None, default_la
     types = cluster(measured, *PAIR).withColumn("_types", F.array_distinct(F.concat(*[f"{x}_toks" for _, x in SIDES])))
     out = S.changed_lemmas(types, lemma_dict, PAIR, "_types", "_changed")
     out = out.withColumn("_c", K.compared(*[f"{x}_toks" for _, x in SIDES], "_changed")).drop("_types", "_changed", *[f"{x}_toks" for _, x in SIDES])
-    out = out.select("*", "_c.*").drop("_c")
-    return out.withColumn("cmp", A.compression("s_n_tokens", "t_n_tokens"))
+    return out.select("*", "_c.*", *[F.size(f"_c.{x}_lem").cast("bigint").alias(f"{x}_n_types") for _, x in SIDES]).drop("_c")
 
 
-def _rows(table: DataFrame) -> DataFrame:
-    """(side, kind, t, v): a "doc" row per side and a "pair" row with their values, narrow rows per type."""
-    def row(side, kind, values):
-        v = F.struct(*[values.get(c, F.lit(None)).cast("double").alias(c) for c in NUM])
-        return F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("t"), v.alias("v"))
+def _typed(words: str, kinds: int) -> Column:
+    return F.transform(words, lambda t: F.struct(t.alias("t"), F.lit(kinds).cast("bigint").alias("kinds")))
+
+
+def _raised(twice: Column) -> Column:
+    """True; an error where ``twice``: two rows with one key."""
+    return F.when(twice, F.raise_error(F.lit("two rows share a key: " + ", ".join(PAIR))).cast("boolean")).isNull()
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """``rows``; two with one key are an error."""
+    columns = [c for c in rows.columns if c not in PAIR]
+    folded = rows.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*columns)).alias("_row"))
+    return folded.where(_raised(F.col("_n") > 1)).select(*PAIR, "_row.*")
 
+
+def _rows(table: DataFrame) -> DataFrame:
+    """(side, kind, t, kinds, v): a "doc" row per side and a "pair" row with their values, narrow rows per type and a "key" row."""
     none = F.lit(None).cast("struct<" + ",".join(f"{c}:double" for c in NUM) + ">")
 
-    def types(side, kind, col):
-        return F.transform(col, lambda t: F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), t.alias("t"), none.alias("v")))
+    def row(side, kind, t=None, kinds=None, values=None):
+        v = none if values is None else F.struct(*[values.get(c, F.lit(None)).cast("double").alias(c) for c in NUM])
+        return F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if t is None else t).alias("t"),
+                        (F.lit(None).cast("bigint") if kinds is None else kinds).alias("kinds"), v.alias("v"))
 
     docs = []
     for side, x in SIDES:
-        ttr = F.try_divide(F.size(f"{x}_lem").cast("double"), F.col(f"{x}_n_tokens").cast("double"))
-        docs.append(row(side, "doc", {"ttr": ttr, **{c: F.col(f"{x}_{c}") for c in ("n_tokens", "n_sents", "sum_token_len", "fre")}}))
-    docs.append(row("target", "pair", {c: F.col(c) for c in ("nov_1", "nov_2", "nov_3", "cmp")}))
-    return table.select(F.inline(F.concat(F.array(*docs), *[types(side, kind, f"{x}_{c}") for side, x in SIDES for kind, c in (("raw", "raw"), ("lemma", "lem"))])))
+        ttr = F.try_divide(F.col(f"{x}_n_types").cast("double"), F.col(f"{x}_n_tokens").cast("double"))
+        docs.append(row(side, "doc", values={"ttr": ttr, **{c: F.col(f"{x}_{c}") for c in ("n_tokens", "n_sents", "sum_token_len", "fre")}}))
+    docs.append(row("target", "pair", values={c: F.col(c) for c in ("nov_1", "nov_2", "nov_3", "cmp")}))
+    docs.append(row("target", "key", F.to_json(F.struct(*PAIR))))
+    return table.select(F.inline(F.concat(F.array(*docs), F.transform("types", lambda x: row(None, "type", x["t"], x["kinds"])))))
 
 
 def corpus_report(pairs: DataFrame, lemma_dict: DataFrame | None = None) -> DataFrame:
-    """(ord, statistic, source, target) as doubles, in report order, in one pass."""
-    rows = _rows(pair_table(pairs, lemma_dict))
+    """(ord, statistic, source, target) as doubles, in report order, in one pass.
+
+    The aggregate that counts types also counts the rows of each key: pairs need no shuffle of their own.
+    """
+    rows = _rows(_pairs(pairs, lemma_dict, once=True))
     g1 = rows.groupBy("side", "kind", "t").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(f"v.{c}").alias(f"s_{c}") for c in NUM],
+        F.count(F.lit(1)).alias("n"), F.bit_or("kinds").alias("kinds"), *[F.sum(f"v.{c}").alias(f"s_{c}") for c in NUM],
         *[F.count(f"v.{c}").alias(f"c_{c}") for c in ("ttr", "fre", "cmp")])
+    # a type counts on both sides
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.shiftright("kinds", 2 * i).alias("kinds")) for i, (side, _) in enumerate(SIDES)])
+    g1 = g1.select("*", F.inline(F.when(F.col("kind") == "type", sides).otherwise(F.array(F.struct("side", "kinds")))).alias("of_side", "of_kinds"))
     kind = F.col("kind")
 
     def total(k, c):
         return F.sum(F.when(kind == k, F.col(c)))
 
-    g2 = g1.groupBy("side").agg(
+    g2 = g1.groupBy(F.col("of_side").alias("side")).agg(
         total("doc", "n").alias("docs"),
         total("doc", "s_n_tokens").alias("tokens"), total("doc", "s_n_sents").alias("sentences"),
         total("doc", "s_sum_token_len").alias("sum_len"),
         total("doc", "s_ttr").alias("sum_ttr"), total("doc", "c_ttr").alias("n_ttr"),
         total("doc", "s_fre").alias("sum_fre"), total("doc", "c_fre").alias("n_fre"),
-        F.count_if(kind == "raw").alias("types_raw"), F.count_if(kind == "lemma").alias("types_lemmas"),
+        *[F.count_if((kind == "type") & (F.col("of_kinds").bitwiseAND(k) != 0)).alias(c) for c, k in (("types_raw", K.RAW), ("types_lemmas", K.LEMMA))],
         total("pair", "n").alias("pairs"), *[total("pair", f"s_nov_{k}").alias(f"nov_{k}") for k in (1, 2, 3)],
         total("pair", "s_cmp").alias("sum_cmp"), total("pair", "c_cmp").alias("n_cmp"),
-    )
+        F.max(F.when(kind == "key", F.col("n"))).alias("rows_of_key"),
+    ).where(_raised(F.col("rows_of_key") > 1))
 
     def div(a, b):
         return F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
@@ -110,7 +158,8 @@ def corpus_report(pairs: DataFrame, lemma_dict: DataFrame | None = None) -> Data
 
 def corpus_novelty(pairs: DataFrame, lemma_dict: DataFrame | None = None) -> DataFrame:
     """Mean novelty n=1..3 in percent, and the line "a/b/c%"."""
-    m = pair_table(pairs, lemma_dict).agg(*[(F.avg(f"nov_{n}") * 100).alias(f"nov_{n}") for n in (1, 2, 3)])
+    novelties = _pairs(pairs, lemma_dict).select(*PAIR, *[f"nov_{n}" for n in (1, 2, 3)])
+    m = _one_each(novelties).agg(*[(F.avg(f"nov_{n}") * 100).alias(f"nov_{n}") for n in (1, 2, 3)])
     return m.select("*", _novelty_line(*[F.col(f"nov_{n}") for n in (1, 2, 3)]).alias("novelty"))
 
 
